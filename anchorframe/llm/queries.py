@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mixing
 from .common import table
 
 
+def op7_mix_sources(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op8_decontaminate": op8_decontaminate}
+QUERIES = {"op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
 ORACLES = {"op8_decontaminate": decontaminate.ORACLE}
