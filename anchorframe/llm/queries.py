@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, linededup, mixing
 from .common import table
 
 
@@ -14,5 +14,9 @@ def op8_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
-ORACLES = {"op8_decontaminate": decontaminate.ORACLE}
+def op10_line_dedup(spark, sf_dir):
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
+ORACLES = {"op10_line_dedup": linededup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
