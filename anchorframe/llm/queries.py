@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing
+from . import decontaminate, fingerprint, linededup, mixing
 from .common import table
 
 
@@ -18,5 +18,9 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
+def op5_fingerprint(spark, sf_dir):
+    return fingerprint.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
 ORACLES = {"op10_line_dedup": linededup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
