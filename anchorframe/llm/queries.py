@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, linededup, mixing
+from . import decontaminate, fingerprint, linededup, mixing, neardup
 from .common import table
 
 
@@ -22,5 +22,9 @@ def op5_fingerprint(spark, sf_dir):
     return fingerprint.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
-ORACLES = {"op10_line_dedup": linededup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+def op4_near_duplicates(spark, sf_dir):
+    return neardup.components_of(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
+ORACLES = {"op4_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
