@@ -101,6 +101,17 @@ class Words:
             np.cumsum(_BYTE[self.data] * up[:n], out=s[1:])
             return mix((s[self.end] - s[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
 
+    def stems(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the first ``size`` bytes of each longer word, and which words are longer."""
+        n = len(self.data)
+        up, down = _bytes.get(n + 1)
+        s = np.zeros(n + 1, np.uint64)
+        longer = self.end - self.start > size
+        a = self.start[longer]
+        with np.errstate(over="ignore"):
+            np.cumsum(_BYTE[self.data] * up[:n], out=s[1:])
+            return mix((s[a + size] - s[a]) * down[a] + np.uint64(size)), longer
+
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
