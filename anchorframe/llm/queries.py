@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, linededup, mixing, neardup, quality, toxicity
+from . import decontaminate, fingerprint, htmltext, linededup, mixing, neardup, quality, toxicity
 from .common import table
 
 
@@ -34,5 +34,9 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
+def op9_html_text(spark, sf_dir):
+    return htmltext.digest(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op9_html_text": op9_html_text, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
 ORACLES = {"op4_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
