@@ -38,5 +38,11 @@ def op9_html_text(spark, sf_dir):
     return htmltext.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op9_html_text": op9_html_text, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op9_html_text": op9_html_text, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
 ORACLES = {"op4_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
