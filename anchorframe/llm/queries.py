@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, htmltext, linededup, mixing, neardup, quality, toxicity
+from . import decontaminate, fingerprint, htmltext, linededup, mixing, neardup, quality, substrings, toxicity
 from .common import table
 
 
@@ -44,5 +44,9 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op9_html_text": op9_html_text, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
-ORACLES = {"op4_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+def op6_substring_dedup(spark, sf_dir):
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_substring_dedup": op6_substring_dedup, "pipeline": pipeline, "op9_html_text": op9_html_text, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
+ORACLES = {"op6_substring_dedup": substrings.ORACLE, "op4_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
