@@ -1 +1 @@
-
+"""Scalar and order-dependent functions."""
