@@ -10,7 +10,7 @@ joined on; with 28 bands a pair of J = 0.75 shares none with probability 2.4e-7.
    clusters: two nodes that share any bucket are in one cluster. No pair within a bucket is ever written.
 3. A cluster is dealt into blocks of at most ``block`` nodes. Within a block pairs are first judged by the joint
    likelihood of their registers (given the set sizes; pairs whose odds of reaching the threshold are below e**-14 drop
-   out) and then verified on the full sets. A block only returns which nodes hang together.
+   out) and then verified on the full sets (all at once where many are left). A block only returns which nodes hang together.
 4. Clusters of several blocks that are not yet in one piece go on: nodes outside the largest piece meet all nodes of
    their cluster, block against block, so no link between different texts is lost and no task holds more than two
    blocks.
@@ -38,7 +38,7 @@ from .common import LOWER, UPPER, cut, release
 from .graph import components
 
 NUMERATOR, DENOMINATOR = 75, 100
-BLOCK, SURE = 512, 14.0
+BLOCK, SURE = 1024, 14.0
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -80,47 +80,69 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
 
 class _Group:
-    """Nodes of one group: ids, registers and full sets."""
+    """Nodes of one group: ids, full sets and registers."""
 
-    def __init__(self, ids: np.ndarray, regs: list[bytes], texts: pa.Array):
+    def __init__(self, ids: np.ndarray, texts: pa.Array):
         self.ids = ids
-        self.regs = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, ss.REGISTERS)
         self.sets: list[np.ndarray] = []
+        regs = []
         for w in tk.tokenize(texts):
             x, _, bounds = ss.shingles(w)
+            regs.append(ss.registers(x, bounds))
             self.sets += [x[bounds[i] : bounds[i + 1]] for i in range(w.rows)]
+        self.regs = np.concatenate(regs) if regs else np.zeros((0, ss.REGISTERS), np.uint16)
         self.n = np.array([len(s) for s in self.sets], np.int64)
 
     def __len__(self) -> int:
         return len(self.ids)
 
 
-def _shared_dense(a: _Group, b: _Group) -> np.ndarray:
-    """|A & B| of all pairs: products of 0/1 matrices over the shingles that both sides hold, some columns at a time."""
+#: Columns that more pairs than this share are multiplied as dense blocks, the others pair by pair.
+HEAVY, STEP = 4096, 1 << 22
+
+
+def _shared(a: _Group, b: _Group) -> np.ndarray:
+    """|A & B| of all pairs of two groups, from the lists of rows that hold each shingle."""
     va, vb = np.concatenate(a.sets), np.concatenate(b.sets)
+    ra, rb = np.repeat(np.arange(len(a)), a.n), np.repeat(np.arange(len(b)), b.n)
     cols = np.intersect1d(va, vb)
-    out = np.zeros((len(a), len(b)), np.float32)
     sides = []
-    for g, v in ((a, va), (b, vb)):
-        at, rows = tk.member(v, cols), np.repeat(np.arange(len(g)), g.n)
+    for v, r in ((va, ra), (vb, rb)):
+        at = tk.member(v, cols)
+        at, r = at[at >= 0], r[at >= 0]
         order = np.argsort(at, kind="stable")
-        sides.append((at[order], rows[order]))
-    for lo in range(0, len(cols), 4096):
-        hi = min(lo + 4096, len(cols))
+        sides.append((at[order], r[order], np.searchsorted(at[order], np.arange(len(cols) + 1))))
+    (ca, ra, ea), (cb, rb, eb) = sides
+    pairs = np.diff(ea) * np.diff(eb)
+    out = np.zeros(len(a) * len(b), np.int64)
+    heavy = np.flatnonzero(pairs > HEAVY)
+    for lo in range(0, len(heavy), 2048):
+        part = heavy[lo : lo + 2048]
         ms = []
-        for (at, rows), g in zip(sides, (a, b), strict=True):
-            s, e = np.searchsorted(at, [lo, hi])
-            m = np.zeros((len(g), hi - lo), np.float32)
-            m[rows[s:e], at[s:e] - lo] = 1
+        for at, r, n in ((ca, ra, len(a)), (cb, rb, len(b))):
+            i = tk.member(at, part)
+            m = np.zeros((n, len(part)), np.float32)
+            m[r[i >= 0], i[i >= 0]] = 1
             ms.append(m)
-        out += ms[0] @ ms[1].T
-    return np.rint(out).astype(np.int64)
+        out += np.rint(ms[0] @ ms[1].T).astype(np.int64).ravel()
+    light = np.flatnonzero((pairs <= HEAVY) & (pairs > (1 if a is b else 0)))
+    done = np.concatenate([[0], np.cumsum(pairs[light])])
+    lo = 0
+    while lo < len(light):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + STEP, "right")) - 1)
+        part = light[lo:hi]
+        size, nb = pairs[part], np.diff(eb)[part]
+        k = np.arange(size.sum()) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        nb, fa, fb = np.repeat(nb, size), np.repeat(ea[part], size), np.repeat(eb[part], size)
+        out += np.bincount(ra[fa + k // nb] * len(b) + rb[fb + k % nb], minlength=len(out))
+        lo = hi
+    return out.reshape(len(a), len(b))
 
 
 def linked(a: _Group, b: _Group) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j) of verified links between two groups."""
     small = np.minimum(a.n[:, None], b.n[None, :]) * DENOMINATOR >= NUMERATOR * np.maximum(a.n[:, None], b.n[None, :])
-    i, j = np.nonzero(small & (a.ids[:, None] != b.ids[None, :]))
+    i, j = np.nonzero(small & (a.ids[:, None] < b.ids[None, :] if a is b else a.ids[:, None] != b.ids[None, :]))
     if not len(i):
         return i, j
     equal, above = (np.empty(len(i), np.int64) for _ in range(2))
@@ -130,14 +152,14 @@ def linked(a: _Group, b: _Group) -> tuple[np.ndarray, np.ndarray]:
     close = equal * DENOMINATOR >= NUMERATOR * ss.REGISTERS
     doubt = np.flatnonzero(~close & (equal >= ss.REGISTERS // 4))
     if len(doubt):
-        ratio, _ = ss.log_ratio(equal[doubt], above[doubt], ss.REGISTERS - equal[doubt] - above[doubt], a.n[i[doubt]], b.n[j[doubt]], NUMERATOR / DENOMINATOR)
-        close[doubt] = ratio <= SURE
+        for d in np.array_split(doubt, len(doubt) // 32768 + 1):
+            ratio, _ = ss.log_ratio(equal[d], above[d], ss.REGISTERS - equal[d] - above[d], a.n[i[d]], b.n[j[d]], NUMERATOR / DENOMINATOR)
+            close[d] = ratio <= SURE
     i, j = i[close], j[close]
     if not len(i):
         return i, j
-    cells = float(a.n.sum() + b.n.sum()) / 4096 * len(a) * len(b) * 4096
-    if len(i) * 6e-5 > cells * 5e-11 + 0.05:
-        shared = _shared_dense(a, b)[i, j]
+    if len(i) > 2000:
+        shared = _shared(a, b)[i, j]
     else:
         shared = np.array([len(np.intersect1d(a.sets[p], b.sets[q], assume_unique=True)) for p, q in zip(i, j, strict=True)], np.int64)
     true = DENOMINATOR * shared >= NUMERATOR * (a.n[i] + b.n[j] - shared)
@@ -196,7 +218,7 @@ def _stream(keys: list[str], fn: Callable[[pa.Table], tuple[np.ndarray, np.ndarr
 
 def _group(t: pa.Table, mask: np.ndarray | None = None) -> _Group:
     t = t if mask is None else t.filter(pa.array(mask))
-    return _Group(t.column("v").to_numpy(), t.column("regs").to_pylist(), t.column("text"))
+    return _Group(t.column("v").to_numpy(), t.column("text"))
 
 
 def _inside(t: pa.Table):
@@ -231,12 +253,13 @@ def components_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     hubs = bands.groupBy("key").agg(F.min("v").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
     ties = bands.join(hubs, "key").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = cut(components(ties))
+    release(spark)
     sizes = clusters.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "c").join(nodes, "v").select("c", "blocks", "v", "regs", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("h"))
+    members = clusters.join(sizes, "c").join(nodes, "v").select("c", "blocks", "v", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("h"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     members = members.join(texts, (F.col("i") == F.col("doc_id")) & (F.col("h") == F.col("th"))).dropDuplicates(["v"])
     deal = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-    members = cut(members.select("c", "blocks", "v", "regs", "text", deal.alias("blk")))
+    members = cut(members.select("c", "blocks", "v", "text", deal.alias("blk")))
     release(spark)
     found = cut(_links(members, ["c", "blk"], _inside))
     wide = members.where("blocks > 1").select("c", "blocks", "v", "blk")
@@ -249,8 +272,8 @@ def components_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         many = outer.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("oblocks"))
         both = members.join(many, "c").join(outer.drop("c"), "v", "left")
         oblk = F.pmod(F.xxhash64("v", F.lit(1)), F.col("oblocks")).cast("int")
-        left = both.where("outer").select("c", oblk.alias("ob"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mb"), "v", "regs", "text", F.lit(0).alias("side"))
-        right = both.select("c", F.explode(F.sequence(F.lit(0), F.col("oblocks") - 1)).alias("ob"), F.col("blk").alias("mb"), "v", "regs", "text", F.lit(1).alias("side"))
+        left = both.where("outer").select("c", oblk.alias("ob"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mb"), "v", "text", F.lit(0).alias("side"))
+        right = both.select("c", F.explode(F.sequence(F.lit(0), F.col("oblocks") - 1)).alias("ob"), F.col("blk").alias("mb"), "v", "text", F.lit(1).alias("side"))
         found = cut(found.unionByName(_links(left.unionByName(right), ["c", "ob", "mb"], _across)))
     links = components(found.unionByName(twins))
     joined = nodes.select("v", F.col("rep.doc_id").alias("least")).join(links, "v", "left")
