@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 WIDTH = 1 << 20
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """``df``, kept (in memory, else on disk) because several branches of a plan read it; lost parts are recomputed."""
+    return df.persist()
+
+
 def _block(order: str, width: int) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("bigint")
 
@@ -48,7 +53,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, order: lis
     """
     r = right.select(*keys, F.col(order[0]).cast("bigint").alias("_at"), F.struct(*order).alias("_o"), F.struct(*value).alias("_v"))
     r = r.withColumn("_blk", _block("_at", width))
-    cols = left.columns
+    left, cols = shared(left), left.columns
     q = left.select(F.struct(*cols).alias("_row"), *keys, F.col(at).cast("bigint").alias("_at")).withColumn("_blk", _block("_at", width))
     lasts = r.groupBy(*keys, "_blk").agg(F.max_by("_v", "_o").alias("_last")).withColumn("_have", F.lit(1))
     wanted = q.select(*keys, "_blk").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordered import WIDTH, ranked, running_sum, with_next
+from ..functions.ordered import WIDTH, ranked, running_sum, shared, with_next
 
 
 def neighbour_pairs(mums: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -22,7 +22,7 @@ def common_adjacency(mums: DataFrame, genomes: int, width: int = WIDTH) -> DataF
 
 def islands(numbers: DataFrame, col: str, width: int = WIDTH) -> DataFrame:
     """s, e: maximal runs of consecutive distinct numbers, inclusive."""
-    x = numbers.select(F.col(col).alias("x"))
+    x = shared(numbers.select(F.col(col).alias("x")))
     before, after = x.select((F.col("x") + 1).alias("x")), x.select((F.col("x") - 1).alias("x"))
     marks = x.join(before, "x", "left_anti").select("x", F.lit(0).alias("kind")).unionByName(x.join(after, "x", "left_anti").select("x", F.lit(1).alias("kind")))
     n = with_next(marks, [], ["x", "kind"], ["x"], width=width)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.ordered import shared
 from . import coords
 
 
@@ -30,7 +31,7 @@ def to_enhance(gap_rows: DataFrame, least: int) -> DataFrame:
 def outliers(gap_rows: DataFrame, factor: float | None = 5.0) -> DataFrame:
     """gap, seq_idx, gap_len, med, mad, masked: lengths far below a gap's median (by median absolute deviations)."""
     med = gap_rows.groupBy("gap").agg(F.median("gap_len").alias("med"))
-    j = gap_rows.select("gap", "seq_idx", "gap_len").join(med, "gap")
+    j = shared(gap_rows.select("gap", "seq_idx", "gap_len").join(med, "gap"))
     mad = j.groupBy("gap").agg(F.median(F.abs(F.col("gap_len") - F.col("med"))).alias("mad"))
     mad = mad.withColumn("mad", F.when(F.col("mad") == 0, F.lit(1.0)).otherwise(F.col("mad")))
     masked = F.lit(False) if factor is None else F.col("gap_len") < F.col("med") - F.lit(float(factor)) * F.col("mad")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordered import WIDTH, with_next
+from ..functions.ordered import WIDTH, shared, with_next
 
 
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
@@ -27,7 +27,7 @@ def pairwise_mems(left: DataFrame, right: DataFrame, k: int, width: int = WIDTH)
     """
     x = kmers(left, k).select(F.col("seq_id").alias("a"), F.col("pos").alias("a_pos"), "kmer")
     y = kmers(right, k).select(F.col("seq_id").alias("b"), F.col("pos").alias("b_pos"), "kmer")
-    hits = x.join(y, "kmer").select("a", "b", (F.col("a_pos") - F.col("b_pos")).alias("diag"), "a_pos")
+    hits = shared(x.join(y, "kmer").select("a", "b", (F.col("a_pos") - F.col("b_pos")).alias("diag"), "a_pos"))
     key = ["a", "b", "diag"]
     before, after = hits.select(*key, (F.col("a_pos") + 1).alias("a_pos")), hits.select(*key, (F.col("a_pos") - 1).alias("a_pos"))
     marks = hits.join(before, [*key, "a_pos"], "left_anti").withColumn("kind", F.lit(0)).unionByName(hits.join(after, [*key, "a_pos"], "left_anti").withColumn("kind", F.lit(1)))
@@ -48,13 +48,14 @@ def multi_matches(seqs: DataFrame, group: str, k: int, genomes: int, width: int
     for j in range(1, genomes):
         y = x.where(F.col("seq_idx") == j).select(group, "kmer", "pos")
         hits = hits.join(y, [group, "kmer"]).withColumn("d", F.concat("d", F.array(F.col("pos") - F.col("p0")))).drop("pos")
-    hits = hits.select(group, "d", "p0").distinct()
+    hits = shared(hits.select(group, "d", "p0").distinct())
     key = [group, "d"]
     before, after = hits.withColumn("p0", F.col("p0") + 1), hits.withColumn("p0", F.col("p0") - 1)
     marks = hits.join(before, [*key, "p0"], "left_anti").withColumn("kind", F.lit(0)).unionByName(hits.join(after, [*key, "p0"], "left_anti").withColumn("kind", F.lit(1)))
     runs = with_next(marks, key, ["p0", "kind"], ["p0"], width=width).where("kind = 0").select(*key, "p0", (F.col("next.p0") - F.col("p0") + k).alias("length"))
     first = seqs.where("seq_idx = 0").select(group, "seq")
     runs = runs.join(first, group).withColumn("text", F.substring("seq", (F.col("p0") + 1).cast("int"), F.col("length").cast("int"))).drop("seq")
+    runs = shared(runs)
     # occurrences by stepping through the positions, so overlapping ones count
     texts = runs.select(group, "text", "length").distinct().join(seqs.select(group, "seq_idx", "seq"), group)
     at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("seq") - F.length("text") + 1)), lambda i: F.substring(F.col("seq"), i, F.length("text")) == F.col("text"))

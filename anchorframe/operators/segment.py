@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordered import WIDTH, running_sum, with_next
+from ..functions.ordered import WIDTH, running_sum, shared, with_next
 from .coords import locate
 
 
@@ -32,7 +32,7 @@ def shred_cuts(rows: DataFrame, mums: DataFrame, contigs: DataFrame, size: int,
     """
     ends = F.array_sort(F.collect_list(F.struct("seq_idx", F.when(F.col("start") >= 0, F.col("start") + F.col("length")).alias("end"))))
     per = mums.join(rows.select("mum_id"), "mum_id").groupBy("mum_id").agg(F.bool_and("strand").alias("fwd"), F.transform(ends, lambda x: x["end"]).alias("ends"))
-    per = per.join(contig_breaks(rows, mums, contigs, width), "mum_id")
+    per = shared(per.join(contig_breaks(rows, mums, contigs, width), "mum_id"))
     seg = running_sum(per, [], ["mum_id"], F.col("brk").cast("bigint"), "upto", width).withColumn("seg", F.col("upto") - F.col("brk").cast("bigint"))
     opening = seg.where("brk").select((F.col("seg") + 1).alias("seg"), F.col("ends").alias("opening"))
     lists = seg.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("mum_id", "fwd", "brk", "ends"))).alias("rows")).join(opening, "seg", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..functions.ordered import with_next
+from ..functions.ordered import shared, with_next
 from ..operators import collinear as co, coords, gaps as gp, intervals, layout, liftover as lo, matching, segment, seqs
 from . import adapters as ad
 
@@ -97,7 +97,7 @@ NARROW = 200
 
 
 def _sparse(spark, d):
-    return layout.bin_spans(ad.mums(spark, d).where("mum_id % 3 = 0"), NARROW)
+    return shared(layout.bin_spans(ad.mums(spark, d).where("mum_id % 3 = 0"), NARROW))
 
 
 def nearest_nonempty_bin(spark, d):
@@ -156,7 +156,7 @@ def common_adjacency(spark, d):
 
 
 def _blocks(spark, d):
-    return co.collinear_blocks(ad.mums(spark, d), G, 4096)
+    return shared(co.collinear_blocks(ad.mums(spark, d), G, 4096))
 
 
 def collinear_blocks(spark, d):
@@ -176,7 +176,7 @@ def collinear_pct(spark, d):
 
 
 def _oriented(spark, d):
-    return co.oriented_blocks(ad.mums(spark, d), G, 4096)
+    return shared(co.oriented_blocks(ad.mums(spark, d), G, 4096))
 
 
 def oriented_blocks(spark, d):
@@ -196,13 +196,13 @@ def walk_links_distinct(spark, d):
 
 
 def contig_breaks(spark, d):
-    rows = co.block_rows(_blocks(spark, d)).select("mum_id")
+    rows = shared(co.block_rows(_blocks(spark, d)).select("mum_id"))
     return segment.contig_breaks(rows, ad.mums(spark, d), ad.contigs(spark, d), 4096).where("brk").select("mum_id")
 
 
 def _cuts(spark, d):
-    rows = co.block_rows(_blocks(spark, d)).select("mum_id")
-    return segment.shred_cuts(rows, ad.mums(spark, d), ad.contigs(spark, d), SHRED, 4096)
+    rows = shared(co.block_rows(_blocks(spark, d)).select("mum_id"))
+    return shared(segment.shred_cuts(rows, ad.mums(spark, d), ad.contigs(spark, d), SHRED, 4096))
 
 
 def shred_cuts(spark, d):
@@ -214,7 +214,7 @@ def shred_intervals(spark, d):
 
 
 def _gaps(spark, d):
-    return gp.gaps(_blocks(spark, d), ad.mums(spark, d))
+    return shared(gp.gaps(_blocks(spark, d), ad.mums(spark, d)))
 
 
 def gap_lengths(spark, d):

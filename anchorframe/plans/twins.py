@@ -176,8 +176,8 @@ FROM (SELECT *, CASE WHEN strand THEN '+' ELSE '-' END AS d FROM ob JOIN mums ON
     "contig_breaks": _q("SELECT mum_id FROM cb WHERE brk", _B, _C),
     "shred_cuts": _q('SELECT mum_id, seq_idx, "end" FROM cuts', _B, _C, _S, recursive=True),
     "shred_intervals": _q(
-        """SELECT seq_idx, cut_id, start, "end" FROM (SELECT seq_idx, CASE WHEN o = 1 << 60 THEN -1 ELSE o END AS cut_id, lag("end", 1, 0) OVER (PARTITION BY seq_idx ORDER BY o) AS start, "end" FROM (
-SELECT seq_idx, mum_id AS o, "end" FROM cuts UNION ALL SELECT seq_idx, 1 << 60, CAST(sum(length) AS BIGINT) FROM contigs GROUP BY seq_idx)) WHERE "end" > start""",
+        """SELECT seq_idx, cut_id, start, "end" FROM (SELECT seq_idx, CASE WHEN o = 1152921504606846976 THEN -1 ELSE o END AS cut_id, lag("end", 1, 0) OVER (PARTITION BY seq_idx ORDER BY o) AS start, "end" FROM (
+SELECT seq_idx, mum_id AS o, "end" FROM cuts UNION ALL SELECT seq_idx, 1152921504606846976, CAST(sum(length) AS BIGINT) FROM contigs GROUP BY seq_idx)) WHERE "end" > start""",
         _B, _C, _S, recursive=True,
     ),
     "gap_lengths": _q('SELECT gap, seq_idx, "left", "right", gap_len FROM gaps', _B, _G),
