@@ -7,8 +7,8 @@ exchange of dictionaries. Whether a boundary survives a round depends on its two
 carries the hull of words that decided its fate so far: inside equal substrings, boundaries whose hull lies inside are
 the same.
 
-A window of ``window`` words takes as its anchor the boundary of the highest round (leftmost of them) whose hull lies
-within the window. The anchor is a function of the window's words alone, so equal windows have equal anchors at equal
+A window of ``window`` words takes as its anchor the boundary of the highest round whose hull lies within the window; among
+several, the one whose hull has the least name, which neighbouring windows mostly share. The anchor is a function of the window's words alone, so equal windows have equal anchors at equal
 offsets; a window without any has its own hash as its key. Per anchor, and not per window, one row goes through Spark:
 
 1. rows are counted by key (the name of the hull around the anchor); what occurs once is unrepeated, and most is;
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import textkit as tk
 from .common import cut, map_rows, release, struct_array
 
-WINDOW, ROUNDS = 35, 5
+WINDOW, ROUNDS = 35, 2
 _FAR = 1 << 40
 
 
@@ -90,7 +90,7 @@ def anchors(w: tk.Words, h: np.ndarray, window: int = WINDOW) -> dict[str, np.nd
     valid = w.row[:n] == w.row[window - 1 :]
     anchor, level = np.full(n, -1), np.zeros(n, np.int64)
     a_low, a_high = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    begin = w.first[w.row]
+    begin, p = w.first[w.row], tk.prefix(h)
     for t, (pos, low, high) in reversed(list(enumerate(rounds(h, w.first[:-1]), 1))):
         ok = (low >= 0) & (high <= m) & (high - low <= window)
         pos, low, high = pos[ok], low[ok], high[ok]
@@ -101,11 +101,13 @@ def anchors(w: tk.Words, h: np.ndarray, window: int = WINDOW) -> dict[str, np.nd
         pos, low, high, lo, hi = pos[use], low[use], high[use], lo[use], hi[use]
         if not len(pos):
             continue
+        rank = np.argsort(tk.mix(tk.span_hash(h, low, np.maximum(high, low), p) + (pos - low).astype(np.uint64)), kind="stable")
+        pos, low, high, lo, hi = pos[rank], low[rank], high[rank], lo[rank], hi[rank]
         reps = hi - lo + 1
         which = np.repeat(np.arange(len(pos)), reps)
         s = np.repeat(lo - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
         best = np.full(n, -1)
-        best[s[::-1]] = which[::-1]  # the leftmost boundary wins
+        best[s[::-1]] = which[::-1]  # the least name wins
         new = np.flatnonzero(valid & (anchor < 0) & (best >= 0))
         b = best[new]
         anchor[new], level[new], a_low[new], a_high[new] = pos[b], t, low[b], high[b]
@@ -115,7 +117,7 @@ def anchors(w: tk.Words, h: np.ndarray, window: int = WINDOW) -> dict[str, np.nd
     start = np.ones(len(s), bool)
     start[1:] = (anchor[s[1:]] != anchor[s[:-1]]) | (level[s[1:]] != level[s[:-1]]) | (np.diff(s) != 1)
     s1, s2 = s[start], s[np.append(np.flatnonzero(start)[1:] - 1, len(s) - 1)] if len(s) else s
-    p, b, t = tk.prefix(h), anchor[s1], level[s1]
+    b, t = anchor[s1], level[s1]
     with np.errstate(over="ignore"):
         key = tk.mix(tk.span_hash(h, a_low[s1], a_high[s1], p) + (b - a_low[s1]).astype(np.uint64) * np.uint64(1000003) + t.astype(np.uint64))
         ctx = tk.mix(tk.span_hash(h, s1, s2 + window, p) ^ ((b - s1 + 64) * 4096 + (s2 - s1)).astype(np.uint64))
