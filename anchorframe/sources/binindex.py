@@ -1,0 +1,90 @@
+"""The binary bin index beside a match table: writer and reader.
+
+Words are u64. Header: format (seven magic bytes and 0 for one genome or 1 for all), checksum, bin width, genomes. For
+all genomes: byte offsets of each genome's part (genomes + 1), then per genome the number of bins, a (min, max) span for
+each bin, byte offsets of each bin's row ranges (bins + 1) and the ranges (lo, hi). For one: its index, first rows of
+each bin (bins + 1), spans. An empty bin has the span (2**64 - 1, 0).
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import layout
+
+# The format's magic bytes and the span of an empty bin.
+MAGIC = b"bumblbi"
+EMPTY = (2**64 - 1, 0)
+
+
+def word(kind: int) -> int:
+    return int.from_bytes(MAGIC + bytes([kind]), "little")
+
+
+def write_all(mums: DataFrame, bin_width: int, path: str) -> None:
+    """Index of all genomes. The index is one small file (a few words per bin), assembled on the driver."""
+    spans = layout.bin_spans(mums, bin_width).orderBy("seq_idx", "bin").toPandas()
+    runs = layout.bin_runs(mums, bin_width).orderBy("seq_idx", "bin", "lo").toPandas()
+    checksum = int(layout.lengths_checksum(mums).first().checksum)
+    genomes = int(mums.agg({"seq_idx": "max"}).first()[0]) + 1
+    parts = []
+    for g in range(genomes):
+        s, r = spans[spans.seq_idx == g], runs[runs.seq_idx == g]
+        lists = {b: x[["lo", "hi"]].to_numpy().ravel().tolist() for b, x in r.groupby("bin")}
+        own, at, flat = [len(s)], [0], []
+        for b, lo, hi in zip(s.bin, s.span_min, s.span_max, strict=True):
+            own += EMPTY if lo != lo else (int(lo), int(hi))
+            flat += lists.get(b, [])
+            at.append(8 * len(flat))
+        parts.append(own + at + flat)
+    offs = np.cumsum([0, *map(len, parts)]) * 8 + 8 * (4 + genomes + 1)
+    np.array([word(1), checksum, bin_width, genomes, *map(int, offs), *(x for p in parts for x in p)], np.uint64).tofile(path)
+
+
+def write_one(mums: DataFrame, seq_idx: int, bin_width: int, path: str) -> None:
+    own = mums.where(f"seq_idx = {seq_idx}")
+    spans = layout.bin_spans(own, bin_width).orderBy("bin").toPandas()
+    first = np.concatenate([[0], np.cumsum(spans.n)])
+    flat = [x for lo, hi in zip(spans.span_min, spans.span_max, strict=True) for x in (EMPTY if lo != lo else (int(lo), int(hi)))]
+    checksum = int(layout.lengths_checksum(mums).first().checksum)
+    genomes = int(mums.agg({"seq_idx": "max"}).first()[0]) + 1
+    np.array([word(0), checksum, bin_width, genomes, seq_idx, *map(int, first), *flat], np.uint64).tofile(path)
+
+
+def read(spark: SparkSession, path: str, seq_idx: int | None = None) -> DataFrame:
+    """seq_idx, bin, span_min, span_max (null if empty), ranges (array of lo, hi)."""
+    head = np.fromfile(path, "<u8", 5)
+    raw = int(head[0]).to_bytes(8, "little")
+    if raw[:7] != MAGIC or raw[7] > 1:
+        raise ValueError(f"{path}: not a bin index")
+    rows = []
+    span = lambda lo, hi: (None, None) if (lo, hi) == EMPTY else (lo, hi)
+    if raw[7] == 0:
+        if seq_idx is not None and seq_idx != int(head[4]):
+            raise ValueError(f"{path}: index of genome {int(head[4])}")
+        tail = [int(x) for x in np.fromfile(path, "<u8", offset=40)]
+        if (len(tail) - 1) % 3:
+            raise ValueError(f"{path}: damaged index")
+        n = (len(tail) - 1) // 3
+        rows = [(int(head[4]), b, *span(*tail[n + 1 + 2 * b : n + 3 + 2 * b]), [{"lo": tail[b], "hi": tail[b + 1]}] if tail[b + 1] > tail[b] else []) for b in range(n)]
+    else:
+        genomes = int(head[3])
+        offs = [int(x) for x in np.fromfile(path, "<u8", genomes + 1, offset=32)]
+        if seq_idx is not None and not 0 <= seq_idx < genomes:
+            raise ValueError(f"{path}: {genomes} genomes")
+        for g in range(genomes) if seq_idx is None else [seq_idx]:
+            x = [int(v) for v in np.fromfile(path, "<u8", (offs[g + 1] - offs[g]) // 8, offset=offs[g])]
+            n = x[0]
+            at, flat = [v // 8 for v in x[1 + 2 * n : 2 + 3 * n]], x[2 + 3 * n :]
+            if len(at) != n + 1 or at[-1] != len(flat):
+                raise ValueError(f"{path}: damaged index")
+            rows += [(g, b, *span(*x[1 + 2 * b : 3 + 2 * b]), [{"lo": flat[i], "hi": flat[i + 1]} for i in range(at[b], at[b + 1], 2)]) for b in range(n)]
+    return spark.createDataFrame(rows, "seq_idx int, bin bigint, span_min bigint, span_max bigint, ranges array<struct<lo:bigint,hi:bigint>>")
+
+
+def verify(mums: DataFrame, path: str) -> bool:
+    """Whether the index was built from this table: number of genomes and checksum agree."""
+    head = np.fromfile(path, "<u8", 4)
+    return int(head[3]) == int(mums.agg({"seq_idx": "max"}).first()[0]) + 1 and int(head[1]) == int(layout.lengths_checksum(mums).first().checksum)
