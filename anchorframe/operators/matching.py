@@ -7,10 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.ordered import WIDTH, shared, with_next
 
 
-def kmers(seqs: DataFrame, k: int) -> DataFrame:
-    """seq_id, pos, kmer of every k-mer."""
-    s = seqs.where(F.length("seq") >= k).select("seq_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("at"))
-    return s.select("seq_id", (F.col("at") - 1).cast("bigint").alias("pos"), F.substring("seq", F.col("at"), F.lit(k)).alias("kmer"))
+#: Characters of a piece: finding a position in a string takes time in proportion to it.
+PIECE = 512
+
+
+def kmers(seqs: DataFrame, k: int, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """keys, pos, kmer of every k-mer; a sequence is cut into overlapping pieces first."""
+    s = seqs.where(F.length("seq") >= k).select(*keys, "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(PIECE))).alias("base"))
+    s = s.select(*keys, "base", F.substring("seq", F.col("base") + 1, F.lit(PIECE + k - 1)).alias("piece"))
+    s = s.select(*keys, "base", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - k + 1)).alias("at"))
+    return s.select(*keys, (F.col("base") + F.col("at") - 1).cast("bigint").alias("pos"), F.substring("piece", F.col("at"), F.lit(k)).alias("kmer"))
 
 
 def unique_anchors(seqs: DataFrame, k: int, genomes: int) -> DataFrame:
@@ -42,8 +48,7 @@ def multi_matches(seqs: DataFrame, group: str, k: int, genomes: int, width: int
     The diagonals of all sequences against the first make a k-mer hit a vector; runs of one vector are matches. A run's
     text is then counted in every sequence, since a match may be unique though none of its k-mers is.
     """
-    x = seqs.where(F.length("seq") >= k).select(group, "seq_idx", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("at"))
-    x = x.select(group, "seq_idx", (F.col("at") - 1).cast("bigint").alias("pos"), F.substring("seq", F.col("at"), F.lit(k)).alias("kmer"))
+    x = kmers(seqs, k, (group, "seq_idx"))
     hits = x.where("seq_idx = 0").select(group, "kmer", F.col("pos").alias("p0"), F.array(F.lit(0).cast("bigint")).alias("d"))
     for j in range(1, genomes):
         y = x.where(F.col("seq_idx") == j).select(group, "kmer", "pos")
