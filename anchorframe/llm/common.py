@@ -31,6 +31,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_tidy(df: DataFrame) -> DataFrame:
+    """:func:`cut`, after which the shuffle files that were written for it are deleted at once.
+
+    The checkpoint needs them no more. Should another thread's query still read one of them, Spark recomputes it.
+    """
+    sc = df.sparkSession.sparkContext._jsc.sc()
+    first = sc.newShuffleId()
+    out = cut(df)
+    last, cleaner = sc.newShuffleId(), sc.cleaner()
+    if cleaner.isDefined():
+        for i in range(first + 1, last):
+            cleaner.get().doCleanupShuffle(i, True)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Ask the JVM to collect, so that shuffle files no plan refers to any more are deleted."""
     import gc

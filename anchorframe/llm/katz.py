@@ -16,7 +16,7 @@ CHUNK bytes (compressed); a chunk asks the tables' partitions for what it needs,
 
 Histories with more than a thousandth of all tokens (at most a thousand) are spread over many partitions by follower,
 and their sums, one row for each partition they are in, are put together afterwards. Requests of a chunk for a partition
-are one packed row. Everything gathered from the corpus - all counts of all orders - is counted over all training texts.
+are one packed row, and partitions are served in PASSES turns, which bounds the disk that requests take at once. Everything gathered from the corpus - all counts of all orders - is counted over all training texts.
 
 Words are 64-bit hashes, followers within a history 48 bits of them.
 
@@ -35,11 +35,13 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .common import cut, release, remainder
+from .common import cut, cut_tidy, release, remainder
 
-CHUNK, FEW = 12 << 20, 5
+CHUNK, FEW = 6 << 20, 5
 #: Training tokens of a table partition, on average; a history above HOT_SHARE of all tokens is spread.
-PART_TOKENS, MAX_PARTS, HOT_SHARE = 2_500_000, 50_000, 1e-3
+PART_TOKENS, MAX_PARTS, HOT_SHARE = 1_000_000, 100_000, 1e-3
+#: Pair requests are exchanged in so many passes over the partitions, each a share of the disk.
+PASSES = 2
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0x2545F4914F6CDD1D)
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -312,7 +314,7 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([cid] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["part", "cid", "blob"])
 
     asked = chunks.select("cid", "meta", "z").mapInArrow(ask_words, ASK)
-    words = cut(_answers(asked, parts, _hot_words(total * HOT_SHARE)))
+    words = cut_tidy(_answers(asked, parts, _hot_words(total * HOT_SHARE)))
     stats = [r.stats for r in words.where("stats is not null").select("stats").collect()]  # a row per partition, and the hot words
     whole = np.sum([s[1:] for s in stats if s[0] == 0], 0) if stats else np.zeros(1 + FEW + 1 + FEW + 1)
     hot = np.sort(np.array([START, *((int(s[1]) << 32) + int(s[2]) for s in stats if s[0] == 1)], np.uint64))
@@ -333,7 +335,7 @@ def score(docs: DataFrame) -> DataFrame:
             count[order[s:e]] = unpack(got[p], np.uint64)[0]
         return v, at, count
 
-    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_pairs(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
                 c = _load(b.column(1)[i].as_py(), b.column(2)[i].as_py())[2]
@@ -342,12 +344,19 @@ def score(docs: DataFrame) -> DataFrame:
                 run_part, ends = x.part[x.run], np.append(x.run[1:], len(x.part))
                 rows = []
                 for p, s, e in _by_part(run_part):
+                    if p % PASSES != turn:
+                        continue
                     lo, hi = x.run[s], ends[e - 1]
                     rows.append((p, pack(x.hist[x.run[s:e]], (ends[s:e] - x.run[s:e]).astype(np.uint32), _six(x.low[lo:hi]), count[x.word_at[lo:hi]], x.count[lo:hi])))
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(rows), pa.int64()), pa.array([r for _, r in rows], pa.binary())], names=["part", "cid", "blob"])
 
     counted = chunks.select("cid", "meta", "z").join(_gathered(words, "words"), "cid").select("cid", "meta", "z", "words")
-    pairs = cut(_answers(counted.mapInArrow(ask_pairs, ASK), parts, _merge_pairs(float(total), d1, unknown, scale, hot)))
+    pairs = None
+    for turn in range(PASSES):
+        merge = _merge_pairs(float(total), d1, unknown, scale, hot)
+        part = cut_tidy(_answers(counted.mapInArrow(lambda b, turn=turn: ask_pairs(b, turn), ASK), parts, merge))
+        pairs = part if pairs is None else pairs.unionByName(part)
+        release(spark)
     stats = [r.stats for r in pairs.where("stats is not null").select("stats").collect()]  # bounded as above
     d2 = discounts(np.sum([s[1:] for s in stats if s[0] == 0], 0) if stats else np.zeros(FEW + 1))
     spread: dict[int, np.ndarray] = {}
