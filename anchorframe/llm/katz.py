@@ -372,9 +372,10 @@ def score(docs: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(len(b)):
                 ids, some, c = _load(b.column(1)[i].as_py(), b.column(2)[i].as_py())
-                v, at, count = with_counts(c, b.column(3)[i].as_py())
+                answers = b.column(3)[i].as_py()
+                v, at, count = with_counts(c, answers)
                 x = Pairs(c, v, at, parts, hot)
-                got = {a["part"]: a["blob"] for a in b.column(4)[i].as_py()}
+                got = {a["part"] - parts: a["blob"] for a in answers}
                 run_part, ends = x.part[x.run], np.append(x.run[1:], len(x.part))
                 seen, few, mass = np.zeros(len(x.part), np.uint64), np.zeros((FEW, len(x.run))), np.zeros(len(x.run))
                 for p, s, e in _by_part(run_part):
@@ -404,7 +405,9 @@ def score(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    ready = chunks.select("cid", "meta", "z").join(_gathered(words, "words"), "cid").join(_gathered(pairs, "pairs"), "cid").select("cid", "meta", "z", "words", "pairs")
+    # Both answers are gathered together, so that chunks are shuffled once; pairs' partitions are numbered after words'.
+    both = words.unionByName(pairs.withColumn("part", F.col("part") + parts))
+    ready = chunks.select("cid", "meta", "z").join(_gathered(both, "answers"), "cid").select("cid", "meta", "z", "answers")
     return ready.mapInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
