@@ -27,7 +27,7 @@ from . import textkit as tk
 from .common import map_rows, remainder, struct_array
 from .quality import sampled
 
-SAMPLE, BITS, EPOCHS = 10_000, 22, 4
+SAMPLE, BITS, EPOCHS = 8_000, 22, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 #: A word longer than so many bytes also counts under its first bytes, so inflected forms share evidence.
 STEMS = (4, 5)
@@ -68,11 +68,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Model:
     """FTRL-proximal over the rows in the given order; each row is its distinct coordinates."""
     if not len(y):
         return Model(0.0, np.zeros(0, np.int64), np.zeros(0))
-    size = 1 << BITS
-    docs = np.zeros(size, np.int64)
+    docs, place = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for x in rows:
         docs[x] += 1
-    rows = [x[docs[x] >= LEAST_DOCS] for x in rows]
+    known = np.flatnonzero(docs >= LEAST_DOCS)
+    size = len(known)
+    place[known] = np.arange(size)
+    rows = [place[x[docs[x] >= LEAST_DOCS]] for x in rows]
+    del docs, place
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     mean = (y.sum() + 1) / (len(y) + 2)
     prior = float(np.log(mean / (1 - mean)))
@@ -90,9 +93,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Model:
                 sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
                 z[i] += g - sigma * v
                 n[i] += g * g
-    w = weights(np.arange(size), L1)
+    w = weights(slice(0, size), L1)
     at = np.flatnonzero(w)
-    return Model(prior + float(weights(bias, 0.0)[0]), at, w[at])
+    return Model(prior + float(weights(bias, 0.0)[0]), known[at], w[at])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -107,9 +110,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chosen = sampled(texts, labels, "toxic", remainder(4) == 2, sample, 5).select("doc_id", "y", "text")
-    got = chosen.mapInArrow(run, "doc_id bigint, y double, x binary").toPandas()
-    got = got.assign(o=tk.mix(got["doc_id"].to_numpy(np.int64).view(np.uint64))).sort_values(["o", "y"])
-    return fit([np.frombuffer(x, np.int32) for x in got["x"]], got["y"].to_numpy(float))
+    got = chosen.mapInArrow(run, "doc_id bigint, y double, x binary").toArrow()  # views of one buffer, no copies
+    ids, y = got["doc_id"].to_numpy(), got["y"].to_numpy()
+    order = np.lexsort((y, tk.mix(ids.astype(np.int64).view(np.uint64))))
+    rows = [np.frombuffer(v.as_buffer(), np.int32) for v in got["x"]]
+    return fit([rows[i] for i in order], y[order])
 
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType())])
