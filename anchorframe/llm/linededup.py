@@ -1,13 +1,18 @@
-"""Line deduplication over content-defined line chunks (DataFrame operations only).
+"""Line deduplication over runs of lines and over content-defined line chunks (DataFrame operations only).
 
-A text is split at line feeds; every line has a hash, and a rolling hash runs over ``WINDOW`` consecutive line hashes.
+``dedup_runs``, which the query and the pipeline use, finds every repeated run of ``min_lines`` lines or more: each
+window of ``min_lines`` consecutive lines has a 128-bit key, and a line goes if it lies in a window that holds anything
+but white space and stands at an earlier place too, in the order of (doc_id, text hash, line number). Windows overlap,
+so the edges of a run go like its middle, wherever it stands; the first place of every line stays.
+
+``dedup_lines`` compares whole chunks only, as ``ORACLE`` does. A text is split at line feeds; every line has a hash, and a rolling hash runs over ``WINDOW`` consecutive line hashes.
 A chunk ends after a line whose rolling hash is 0 modulo ``divisor``, or with the text. Boundaries depend on two lines
 only, so a passage that is moved, or stands between other lines, is cut alike everywhere but at its first line and
 after its last boundary. Chunks of ``min_lines`` lines or more that hold anything but white space and occur more than
 once anywhere are removed, save the first occurrence in the order of (doc_id, text hash, chunk number).
 
-Chunks are compared by a 128-bit key first; texts are fetched only for the keys that repeat, and a key's chunks are
-removed only if all their bytes agree (a key with different bytes is left alone). Counting and first occurrences are
+Windows and chunks are compared by a 128-bit key first; texts are fetched only for the keys that repeat, and a key's
+pieces are removed only if all their bytes agree (a key with different bytes is left alone). Counting and first occurrences are
 mergeable aggregates, so a chunk that a third of all rows share is reduced before it is shuffled; documents are
 shuffled once, by id.
 
@@ -109,8 +114,69 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LI
     return own.join(gone, same, "left").select("row", F.when(text.isNull(), empty).otherwise(_let(chunked(text, divisor), result)).alias("res"))
 
 
+def runs(text, min_lines: int = MIN_LINES):
+    """array<string>: every ``min_lines`` consecutive lines of ``text`` (not null)."""
+
+    def joined(lines):
+        n = F.size(lines) - (min_lines - 1)
+        starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(lines, i, min_lines), "\n"))
+
+    return _let(F.split(text, "\n", -1), joined)
+
+
+def dedup_runs(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, text_col: str = "text") -> DataFrame:
+    """Columns as ``dedup_lines`` gives them; n_chunks still counts content-defined chunks."""
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    text = F.col(f"row.`{text_col}`")
+    own = own.select("row", F.col("row.doc_id").alias("d"), F.xxhash64(text).alias("h"))
+    pieces = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text_col).alias("h"), F.posexplode(runs(F.col(text_col), min_lines)).alias("c", "x"))
+    pieces = pieces.where(F.col("x").rlike(r"[^\x20\x09-\x0D]")).select("d", "h", "c", F.unhex(F.md5(F.col("x").cast("binary"))).alias("key"))
+    repeated = pieces.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    places = pieces.join(repeated, "key", "left_semi").groupBy("d", "h").agg(F.sort_array(F.collect_set("c")).alias("cs"))
+    places = places.select(F.col("d").alias("pd"), F.col("h").alias("ph"), "cs")
+    same = F.col("d").eqNullSafe(F.col("pd")) & F.col("h").eqNullSafe(F.col("ph"))
+    found = (
+        own.join(places, same)
+        .select("d", "h", _let(runs(text, min_lines), lambda a: F.transform("cs", lambda c: F.struct(c.alias("c"), F.element_at(a, c + 1).alias("text")))).alias("xs"))
+        .select("d", "h", F.explode("xs").alias("x"))
+        .select("d", "h", "x.c", "x.text", F.unhex(F.md5(F.col("x.text").cast("binary"))).alias("key"))
+    )
+    first = (
+        found.groupBy("key")
+        .agg(F.min(F.struct("d", "h", "c")).alias("first"), F.min("text").alias("lo"), F.max("text").alias("hi"))
+        .where("lo = hi")  # byte comparison
+        .select("key", "first")
+    )
+    gone = (
+        found.drop("text")
+        .join(first, "key")
+        .where(~F.struct("d", "h", "c").eqNullSafe(F.col("first")))
+        .groupBy("d", "h")
+        .agg(F.collect_set("c").alias("gone"))
+        .select(F.col("d").alias("gd"), F.col("h").alias("gh"), "gone")
+    )
+    same = F.col("d").eqNullSafe(F.col("gd")) & F.col("h").eqNullSafe(F.col("gh"))
+
+    def result(lines):
+        covered = F.flatten(F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda c: F.sequence(c, c + (min_lines - 1))))
+        return _let(
+            F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered),
+            lambda kept: F.struct(
+                F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")).alias("text"),
+                F.size(lines).cast("bigint").alias("n_lines"),
+                F.size(chunked(text, divisor)).cast("bigint").alias("n_chunks"),
+                (F.size(lines) - F.size(kept)).cast("bigint").alias("n_removed"),
+            ),
+        )
+
+    zero = F.lit(0).cast("bigint")
+    empty = F.struct(F.lit(None).cast("string").alias("text"), zero.alias("n_lines"), zero.alias("n_chunks"), zero.alias("n_removed"))
+    return own.join(gone, same, "left").select("row", F.when(text.isNull(), empty).otherwise(_let(F.split(text, "\n", -1), result)).alias("res"))
+
+
 def digest(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs.select("doc_id", "text")).select("row.doc_id", "res.n_lines", "res.n_chunks", "res.n_removed", "res.text")
+    return dedup_runs(docs.select("doc_id", "text")).select("row.doc_id", "res.n_lines", "res.n_chunks", "res.n_removed", "res.text")
 
 
 ORACLE = f"""

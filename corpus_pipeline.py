@@ -21,9 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks are cut out of the texts (n_chars follows); a document of which nothing but white
-    space is left goes, others stay. Texts without a repeated chunk are unchanged."""
-    out = linededup.dedup_lines(docs)
+    """Repeated runs of lines are cut out of the texts (n_chars follows); a document of which nothing but white
+    space is left goes, others stay. Texts without a repeated run are unchanged."""
+    out = linededup.dedup_runs(docs)
     emptied = (F.col("res.n_removed") > 0) & ~F.col("res.text").rlike(r"[^\x20\x09-\x0D]")
     changed = F.col("res.n_removed") > 0
     columns = []

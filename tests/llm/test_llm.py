@@ -111,6 +111,36 @@ def test_line_dedup(spark, docs):
     assert linededup.dedup_lines(docs).count() == docs.count() and linededup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_runs_match_brute_force(spark, docs):
+    r = random.Random(6)
+    line = [f"line {i}" for i in range(400)]
+    run = [line[:2], line[2:9], line[9:12], ["only", ""]]
+    rows = [(None, None), (90, ""), (91, " \n\n "), (92, "line 2")]
+    for i in range(30):
+        parts = [[x] for x in r.sample(line[20:], 4)] + [p for p in run if r.random() < 0.4] + [r.sample(line[2:9], 1)] + [["é x", "é x", "é x"]] * (i == 4)
+        r.shuffle(parts)
+        rows.append((i, "\n".join(x for p in parts for x in p)))
+    seen, want = set(), []
+    for d, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        if t is None:
+            want.append((d, None, 0, 0))
+            continue
+        lines, gone = t.split("\n"), set()
+        for i in range(len(lines) - 1):
+            pair = tuple(lines[i : i + 2])
+            if "".join(pair).strip():
+                gone |= {i, i + 1} if pair in seen else set()
+                seen.add(pair)
+        want.append((d, "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(x.doc_id, x.text, x.n_lines, x.n_removed) for x in linededup.digest(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(x[3] for x in want) > 50
+    twice = [(5, "a\nb"), (5, "a\nb")]
+    assert [x.n_removed for x in linededup.digest(spark.createDataFrame(twice, df.schema)).collect()] == [0, 0]
+    assert linededup.dedup_runs(docs).count() == docs.count() and linededup.dedup_runs(empty(spark)).count() == 0
+
+
 def test_near_duplicates(spark, docs, rows):
     def shingles(t):
         w = words(t, True)
