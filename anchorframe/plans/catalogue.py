@@ -336,8 +336,11 @@ def haplotype_ids(spark, d):
 
 def split_multifasta(spark, d):
     b = ad.table(spark, d, "benchmark").select(F.col("item_id").cast("bigint").alias("i"), F.translate("text", ">", "").alias("text"))
-    lines = b.select((F.col("i") % 7).alias("file_id"), "i", F.posexplode(F.array(F.concat(F.lit(">r"), F.col("i").cast("string")), F.substring("text", 1, 30), F.substring("text", 31, 30))).alias("k", "line"))
-    lines = lines.select("file_id", (F.col("i") * 3 + F.col("k")).alias("line_no"), "line")
+    text = F.coalesce("text", F.lit(""))
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(30))).otherwise(F.array().cast("array<int>"))
+    whole = F.concat(F.array(F.concat(F.lit(">r"), F.col("i").cast("string"))), F.transform(starts, lambda k: F.substring(text, k, F.lit(30))))
+    lines = b.select((F.col("i") % 7).alias("file_id"), "i", F.posexplode(whole).alias("k", "line"))
+    lines = lines.select("file_id", (F.col("i") * (1 << 27) + F.col("k")).alias("line_no"), "line")
     names = b.groupBy((F.col("i") % 7).alias("file_id")).agg(F.count("*").alias("n"))
     return seqs.split_records(lines, names).select("file_id", F.col("record").cast("bigint").alias("record"), "header", "seq")
 

@@ -112,6 +112,18 @@ def test_multi_matches_match_brute_force(spark):
         assert {(x.seq_idx, x.pos, x.length) for x in matching.multi_matches(df, "g", k, 3, 8).collect()} == want
 
 
+def test_split_multifasta_keeps_whole_texts(spark, tmp_path):
+    from anchorframe.plans import catalogue
+
+    texts = {1: "", 2: "short", 3: "x" * 30, 4: "ab>c " * 70, 8: "é" * 61, 11: "y" * 60}
+    spark.createDataFrame(list(texts.items()), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.file_id, r.record, r.header, r.seq) for r in catalogue.split_multifasta(spark, str(tmp_path)).collect())
+    want = []
+    for f in range(7):
+        want += [(f, k, f">r{i}", texts[i].replace(">", "")) for k, i in enumerate(i for i in sorted(texts) if i % 7 == f)]
+    assert got == want
+
+
 def test_entry_module_without_extras(spark):
     import __spark_entry__ as e
 
