@@ -92,12 +92,12 @@ def bin_index_offsets(spark, d):
     return layout.bin_offsets(ad.mums(spark, d), 0, BIN, 4096)
 
 
-#: Narrow bins over a third of the matches, so that some are empty.
+#: Bins narrower than the distance between matches, so that some are empty.
 NARROW = 200
 
 
 def _sparse(spark, d):
-    return shared(layout.bin_spans(ad.mums(spark, d).where("mum_id % 3 = 0"), NARROW))
+    return shared(layout.bin_spans(ad.mums(spark, d), NARROW))
 
 
 def nearest_nonempty_bin(spark, d):

@@ -124,6 +124,31 @@ def test_split_multifasta_keeps_whole_texts(spark, tmp_path):
     assert got == want
 
 
+def test_narrow_bins_hold_all_matches(spark, tmp_path):
+    from anchorframe.plans import adapters, catalogue
+
+    d, w = str(tmp_path), catalogue.NARROW
+    spark.createDataFrame([(i, i * 7 % 50) for i in range(400)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(i, i % 25) for i in range(60)], "s_suppkey bigint, s_nationkey bigint").write.parquet(f"{d}/supplier.parquet")
+    spans = {}
+    for m in adapters.mums(spark, d).collect():
+        lo, hi = spans.get((m.seq_idx, m.start // w), (m.start, 0))
+        spans[m.seq_idx, m.start // w] = min(lo, m.start), max(hi, m.start + m.length)
+    near, flank = {}, {}
+    for r in adapters.regions(spark, d).collect():
+        bins = sorted(b for j, b in spans if j == r.seq_idx)
+        left = [b for b in bins if b <= r.start // w][::-1]
+        right = [b for b in bins if b >= r.start // w]
+        near[r.region_id] = next(iter(left), None), next(iter(right), None)
+        right = [b for b in bins if b >= (r.end - 1) // w]
+        flank[r.region_id] = (
+            next((b for b in left[:2] if spans[r.seq_idx, b][0] <= r.start), None),
+            next((b for b in right[:2] if spans[r.seq_idx, b][1] > r.end - 1), None),
+        )
+    assert near == {r.region_id: (r.left_bin, r.right_bin) for r in catalogue.nearest_nonempty_bin(spark, d).collect()}
+    assert flank == {r.region_id: (r.left_bin, r.right_bin) for r in catalogue.flank_bins(spark, d).collect()}
+
+
 def test_entry_module_without_extras(spark):
     import __spark_entry__ as e
 
