@@ -6,7 +6,7 @@ have is left out of training. FTRL-proximal keeps two numbers per coordinate (a
 gradient), which give every coordinate its own learning rate, and an L1 threshold that holds all coordinates without
 evidence at exactly zero. The model that is broadcast is the list of its nonzero coordinates.
 
-Labels are learned from a bounded sample: at most ``sample`` labelled documents, chosen by a hash of doc_id, whose
+Labels are learned from a bounded sample: about ``sample`` labelled documents, chosen by a hash of doc_id, whose
 hashed features (not texts) go to the driver. All documents are scored, whole.
 
 Defined results: null text is empty text and scores the bias; null labels are ignored; without labels the score is 0.5;
@@ -27,7 +27,7 @@ from . import textkit as tk
 from .common import map_rows, remainder, struct_array
 from .quality import sampled
 
-SAMPLE, BITS, EPOCHS = 8_000, 22, 4
+SAMPLE, BITS, EPOCHS = 10_000, 22, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 #: A word longer than so many bytes also counts under its first bytes, so inflected forms share evidence.
 STEMS = (4, 5)

@@ -305,6 +305,15 @@ def test_classifiers_learn_and_survive_odd_tables(spark, docs):
     assert clean.columns == docs.columns
 
 
+def test_toxicity_learns_from_ten_thousand_labels(spark, monkeypatch):
+    used = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y, *a: used.append(len(y)) or fit(rows, y, *a))
+    df = spark.range(24_000).selectExpr("id as doc_id", "concat('w', id % 50, ' v', id % 2) as text")
+    toxicity.train(df, df.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert 9_500 < used[0] < 10_500
+
+
 def test_boosting():
     x = np.random.default_rng(0).normal(size=(500, 3))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
