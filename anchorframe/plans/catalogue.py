@@ -263,6 +263,10 @@ def pairwise_mems(spark, d):
     return matching.pairwise_mems(_short(spark, d), _bench(spark, d), K, WIDTH)
 
 
+#: Least length of a match of several sequences; shorter items can have none.
+K_MULTI = 16
+
+
 def _dna(text):
     """A four-letter projection of a text."""
     return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac")
@@ -270,7 +274,7 @@ def _dna(text):
 
 def _groups(spark, d):
     """Groups of three sequences: a benchmark item, itself with its halves swapped, and itself within other text."""
-    b = ad.table(spark, d, "benchmark").select(F.col("item_id").cast("bigint").alias("grp"), _dna(F.col("text")).alias("t")).where(F.length("t") >= 60)
+    b = ad.table(spark, d, "benchmark").select(F.col("item_id").cast("bigint").alias("grp"), _dna(F.col("text")).alias("t")).where(F.length("t") >= K_MULTI)
     half = F.floor(F.length("t") / 2).cast("int")
     swapped = F.concat(F.substring("t", half + 1, F.length("t")), F.substring("t", F.lit(1), half))
     wrapped = F.concat(F.lit("acgtta"), F.col("t"), F.lit("ttgaca"))
@@ -279,7 +283,7 @@ def _groups(spark, d):
 
 
 def multi_mums(spark, d):
-    return matching.multi_matches(_groups(spark, d), "grp", 16, 3, WIDTH)
+    return matching.multi_matches(_groups(spark, d), "grp", K_MULTI, 3, WIDTH)
 
 
 def enhanced_union(spark, d):
@@ -305,8 +309,10 @@ def fasta_filenames(spark, d):
 
 
 def fasta_missing(spark, d):
-    have = ad.sequences(spark, d).where("length(seq) % 3 > 0")
-    return seqs.missing(ad.slices(spark, d), have)
+    """BED rows of all slices, and again under a path that no sequence has."""
+    bed = ad.slices(spark, d)
+    bed = bed.unionByName(bed.withColumn("path", F.concat("path", F.lit(".absent"))))
+    return seqs.missing(bed, ad.sequences(spark, d))
 
 
 def reverse_complement(spark, d):

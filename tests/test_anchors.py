@@ -149,6 +149,33 @@ def test_narrow_bins_hold_all_matches(spark, tmp_path):
     assert flank == {r.region_id: (r.left_bin, r.right_bin) for r in catalogue.flank_bins(spark, d).collect()}
 
 
+def test_short_items_have_multi_mums(spark, tmp_path):
+    from anchorframe.plans import catalogue
+
+    texts = {1: "q" * 15, 2: "abcdefhgjikmlaonpdqgrstvuxywzcbaedfghkji", 3: "tgca"}
+    spark.createDataFrame(list(texts.items()), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    t = "".join("acgt"[(ord(c) - 97) % 4] for c in texts[2])
+    s, k, want = [t, t[20:] + t[:20], "acgtta" + t + "ttgaca"], 16, set()
+    for a in range(len(t)):
+        for b in range(a + k, len(t) + 1):
+            at = [[i for i in range(len(x)) if x.startswith(t[a:b], i)] for x in s]
+            if all(len(i) == 1 for i in at):
+                ends = [(x[i[0] - 1] if i[0] else None, x[i[0] + b - a] if i[0] + b - a < len(x) else None) for x, i in zip(s, at, strict=True)]
+                if all(len({e[side] for e in ends}) > 1 or None in {e[side] for e in ends} for side in (0, 1)):
+                    want |= {(2, j, i[0], b - a) for j, i in enumerate(at)}
+    assert want
+    assert {(x.grp, x.seq_idx, x.pos, x.length) for x in catalogue.multi_mums(spark, str(tmp_path)).collect()} == want
+
+
+def test_present_sequences_are_not_missing(spark, tmp_path):
+    from anchorframe.plans import catalogue
+
+    docs = [(1, "abc", 3, "p"), (2, "abcd", 4, "p"), (3, "abcdef", 6, "q")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, n_chars bigint, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.path, r.contig) for r in catalogue.fasta_missing(spark, str(tmp_path)).collect())
+    assert got == [("p.absent", "doc1"), ("p.absent", "doc2"), ("q.absent", "doc3")]
+
+
 def test_entry_module_without_extras(spark):
     import __spark_entry__ as e
 
