@@ -18,40 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where the session has none
-    (single-machine tests).
+    Where the session names none, a temporary folder serves a local master (tests); on a cluster that is an error, since
+    executors would each write to a disk of their own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
-
+        sc.setCheckpointDir(folder)
+    return folder
 
-def cut_tidy(df: DataFrame) -> DataFrame:
-    """:func:`cut`, after which the shuffle files that were written for it are deleted at once.
 
-    The checkpoint needs them no more. Should another thread's query still read one of them, Spark recomputes it.
-    """
-    sc = df.sparkSession.sparkContext._jsc.sc()
-    first = sc.newShuffleId()
-    out = cut(df)
-    last, cleaner = sc.newShuffleId(), sc.cleaner()
-    if cleaner.isDefined():
-        for i in range(first + 1, last):
-            cleaner.get().doCleanupShuffle(i, True)
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Ask the JVM to collect, so that shuffle files no plan refers to any more are deleted."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and drop its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def map_rows(

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .common import cut, cut_tidy, release, remainder
+from .common import cut, remainder
 
 CHUNK, FEW = 6 << 20, 5
 #: Training tokens of a table partition, on average; a history above HOT_SHARE of all tokens is spread.
@@ -314,7 +314,7 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([cid] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["part", "cid", "blob"])
 
     asked = chunks.select("cid", "meta", "z").mapInArrow(ask_words, ASK)
-    words = cut_tidy(_answers(asked, parts, _hot_words(total * HOT_SHARE)))
+    words = cut(_answers(asked, parts, _hot_words(total * HOT_SHARE)))
     stats = [r.stats for r in words.where("stats is not null").select("stats").collect()]  # a row per partition, and the hot words
     whole = np.sum([s[1:] for s in stats if s[0] == 0], 0) if stats else np.zeros(1 + FEW + 1 + FEW + 1)
     hot = np.sort(np.array([START, *((int(s[1]) << 32) + int(s[2]) for s in stats if s[0] == 1)], np.uint64))
@@ -323,7 +323,6 @@ def score(docs: DataFrame) -> DataFrame:
     used = float((mass[:FEW] * d1[1:]).sum() + mass[FEW]) / max(total, 1)
     scale = min(1.0, (1 - 1 / (total + 1)) / used) if used > 0 else 1.0  # something is left for unknown words
     unknown = 1 - used * scale
-    release(spark)
 
     def with_counts(c: Chunk, answer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v, at, _ = c.vocabulary()
@@ -354,9 +353,8 @@ def score(docs: DataFrame) -> DataFrame:
     pairs = None
     for turn in range(PASSES):
         merge = _merge_pairs(float(total), d1, unknown, scale, hot)
-        part = cut_tidy(_answers(counted.mapInArrow(lambda b, turn=turn: ask_pairs(b, turn), ASK), parts, merge))
+        part = cut(_answers(counted.mapInArrow(lambda b, turn=turn: ask_pairs(b, turn), ASK), parts, merge))
         pairs = part if pairs is None else pairs.unionByName(part)
-        release(spark)
     stats = [r.stats for r in pairs.where("stats is not null").select("stats").collect()]  # bounded as above
     d2 = discounts(np.sum([s[1:] for s in stats if s[0] == 0], 0) if stats else np.zeros(FEW + 1))
     spread: dict[int, np.ndarray] = {}
@@ -366,7 +364,6 @@ def score(docs: DataFrame) -> DataFrame:
             spread[k] = spread.get(k, 0) + np.array(s[3:])
     hot_names = np.sort(np.array(list(spread), np.uint64))
     hot_sums = np.array([spread[int(k)] for k in hot_names]).reshape(-1, FEW + 1)
-    release(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

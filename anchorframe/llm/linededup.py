@@ -1,200 +1,174 @@
-"""Line deduplication over runs of lines and over content-defined line chunks (DataFrame operations only).
-
-``dedup_runs``, which the query and the pipeline use, finds every repeated run of ``min_lines`` lines or more: each
-window of ``min_lines`` consecutive lines has a 128-bit key, and a line goes if it lies in a window that holds anything
-but white space and stands at an earlier place too, in the order of (doc_id, text hash, line number). Windows overlap,
-so the edges of a run go like its middle, wherever it stands; the first place of every line stays.
-
-``dedup_lines`` compares whole chunks only, as ``ORACLE`` does. A text is split at line feeds; every line has a hash, and a rolling hash runs over ``WINDOW`` consecutive line hashes.
-A chunk ends after a line whose rolling hash is 0 modulo ``divisor``, or with the text. Boundaries depend on two lines
-only, so a passage that is moved, or stands between other lines, is cut alike everywhere but at its first line and
-after its last boundary. Chunks of ``min_lines`` lines or more that hold anything but white space and occur more than
-once anywhere are removed, save the first occurrence in the order of (doc_id, text hash, chunk number).
-
-Windows and chunks are compared by a 128-bit key first; texts are fetched only for the keys that repeat, and a key's
-pieces are removed only if all their bytes agree (a key with different bytes is left alone). Counting and first occurrences are
-mergeable aggregates, so a chunk that a third of all rows share is reduced before it is shuffled; documents are
-shuffled once, by id.
-
-Defined results: a null text has no lines and stays null; an empty text is one empty line; a text whose chunks all go
-becomes empty; repeated rows (equal doc_id and text) count as repeats of their chunks for other documents but are
+"""Line deduplication by content-defined line chunks (DataFrame operations only).
+
+A text is split at line feeds and every line has a hash; a rolling hash runs over ``WINDOW`` consecutive line hashes. A
+line whose rolling hash is 0 modulo ``divisor`` proposes to end a chunk. A proposal counts unless the line before makes
+one too, or a piece of one line would be left at the text's edge, so every chunk of a longer text has two lines or more.
+All this depends on three lines at most: a passage that is moved, or stands between other lines, is cut alike everywhere
+but at its edges.
+
+1. Chunks that occur more than once anywhere are removed, save the first occurrence in the order of (doc_id, text hash,
+   line number).
+2. A repeated passage also has lines before its first boundary and after its last one. They are found by the keys of
+   overlapping pairs of lines: of all pairs that do not lie in a removed chunk, a pair that stands at an earlier place
+   too is removed. The first place of a pair never lies in a removed chunk, so the two steps together remove exactly the
+   lines that lie in a run of two lines or more (not all white space) with an earlier occurrence.
+3. Both steps work on a skeleton of the texts, 20 bytes a line. Texts are then fetched for the lines that are to go and
+   for their first occurrences: a line goes only if all lines of its 128-bit key have the same bytes.
+
+Counts and first occurrences are mergeable aggregates. Keys that hold more than a ``HOT``-th of all rows (so fewer than
+``HOT`` keys) are joined by broadcast, so no key's rows meet in one task.
+
+Defined results: a null text has no lines and stays null; an empty text is one empty line; a text whose lines all go
+becomes empty; repeated rows (equal doc_id and text) count as repeats of their lines for other documents but are
 treated alike, so neither removes the other's; null ids order first; empty tables give empty results; extra columns
 stay as they are, in ``row``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
+from .common import cut
+
+WINDOW, DIVISOR, HOT = 2, 3, 1000
 _FACTOR = 31
+#: Lines are joined in runs of at least two.
+PAIR = 2
+
+
+def _let(value, body):
+    return F.transform(F.array(value), body)[0]
+
 
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
-def line_hash(line):
+
+def line_number(line: Column) -> Column:
     """28 bits of the line's MD5."""
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("bigint")
 
 
-def _let(value, body):
-    return F.transform(F.array(value), body)[0]
+def _at(array: Column, i: Column) -> Column:
+    """Entry ``i`` (from 1) of ``array``, 0 before the first."""
+    return F.when(i > 0, F.element_at(array, F.greatest(i, F.lit(1)))).otherwise(F.lit(0))
 
 
-def chunked(text, divisor: int = DIVISOR):
-    """array<struct<n bigint, text string>>: the chunks of ``text`` (not null)."""
+def chunk_ends(numbers: Column, divisor: int = DIVISOR) -> Column:
+    """array<int>: numbers (from 1) of the lines that end a chunk, from the line numbers."""
+    n = F.size(numbers)
+    proposes = lambda i: ((_at(numbers, i - 1) * _FACTOR + _at(numbers, i)) % divisor == 0) & (i > 0)
+    return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ((i > 1) & (i < n - 1) & proposes(i) & ~proposes(i - 1)))
 
-    def with_hashes(lines, hashes):
-        n = F.size(lines)
-        ends = F.filter(
-            F.sequence(F.lit(1), n),
-            lambda i: (i == n) | (((F.when(i > 1, F.element_at(hashes, F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0)) * _FACTOR + F.element_at(hashes, i)) % divisor) == 0),
-        )
-        return _let(
-            ends,
-            lambda e: F.transform(
-                e,
-                lambda end, j: _let(
-                    F.when(j > 0, F.element_at(e, F.greatest(j, F.lit(1)))).otherwise(F.lit(0)),
-                    lambda before: F.struct((end - before).cast("bigint").alias("n"), F.array_join(F.slice(lines, before + 1, end - before), "\n").alias("text")),
-                ),
-            ),
-        )
 
-    return _let(F.split(text, "\n", -1), lambda lines: _let(F.transform(lines, line_hash), lambda h: with_hashes(lines, h)))
+def _skeleton(docs: DataFrame, text_col: str, divisor: int) -> DataFrame:
+    """d, h, keys (128 bits of each line), full (is it more than white space), ends; one row per text."""
+    own = docs.where(F.col(text_col).isNotNull()).select(F.col("doc_id").alias("d"), F.xxhash64(text_col).alias("h"), _lines(F.col(text_col)).alias("l"))
+    hashed = own.select("d", "h", F.transform("l", lambda x: F.unhex(F.md5(x.cast("binary")))).alias("keys"), F.transform("l", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("full"), F.transform("l", line_number).alias("a"))
+    return hashed.select("d", "h", "keys", "full", chunk_ends(F.col("a"), divisor).alias("ends"))
 
 
-def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, text_col: str = "text") -> DataFrame:
-    """Columns ``row`` (all of ``docs``) and ``res``: text (what is left), n_lines, n_chunks, n_removed (lines)."""
-    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    text = F.col(f"row.`{text_col}`")
-    own = own.select("row", F.col("row.doc_id").alias("d"), F.xxhash64(text).alias("h"))
-    pieces = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text_col).alias("h"), F.posexplode(chunked(F.col(text_col), divisor)).alias("c", "x"))
-    pieces = pieces.where((F.col("x.n") >= min_lines) & (F.col("x.text").rlike(r"[^\x20\x09-\x0D]"))).select("d", "h", "c", F.md5(F.col("x.text").cast("binary")).alias("key"))
-    repeated = pieces.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    places = pieces.join(repeated, "key", "left_semi").groupBy("d", "h").agg(F.sort_array(F.collect_set("c")).alias("cs"))
-    places = places.select(F.col("d").alias("pd"), F.col("h").alias("ph"), "cs")
-    same = F.col("d").eqNullSafe(F.col("pd")) & F.col("h").eqNullSafe(F.col("ph"))
-    found = (
-        own.join(places, same)
-        .select("d", "h", _let(chunked(text, divisor), lambda a: F.transform("cs", lambda c: F.struct(c.alias("c"), F.element_at(a, c + 1)["text"].alias("text")))).alias("xs"))
-        .select("d", "h", F.explode("xs").alias("x"))
-        .select("d", "h", "x.c", "x.text", F.md5(F.col("x.text").cast("binary")).alias("key"))
-    )
-    first = (
-        found.groupBy("key")
-        .agg(F.min(F.struct("d", "h", "c")).alias("first"), F.min("text").alias("lo"), F.max("text").alias("hi"))
-        .where("lo = hi")  # byte comparison
-        .select("key", "first")
-    )
-    gone = (
-        found.drop("text")
-        .join(first, "key")
-        .where(~F.struct("d", "h", "c").eqNullSafe(F.col("first")))
-        .groupBy("d", "h")
-        .agg(F.collect_set("c").alias("gone"))
-        .select(F.col("d").alias("gd"), F.col("h").alias("gh"), "gone")
-    )
-    same = F.col("d").eqNullSafe(F.col("gd")) & F.col("h").eqNullSafe(F.col("gh"))
-    none = F.array().cast("array<int>")
+def _key(keys: Column) -> Column:
+    return F.unhex(F.md5(F.aggregate(keys, F.lit(b""), lambda acc, k: F.concat(acc, k))))
+
 
-    def result(a):
-        kept = F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: ~F.array_contains(F.coalesce("gone", none), y["i"]))
-        lines = lambda z: F.aggregate(z, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
-        return _let(
-            F.transform(kept, lambda y: y["x"]),
-            lambda k: F.struct(
-                F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(k, lambda x: x["text"]), "\n")).alias("text"),
-                lines(a).alias("n_lines"),
-                F.size(a).cast("bigint").alias("n_chunks"),
-                (lines(a) - lines(k)).alias("n_removed"),
-            ),
-        )
+def _later(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``pieces`` (key, d, h, s, e) that have an earlier place, and the first places of their keys."""
+    seen = pieces.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("d", "h", "s", "e")).alias("first"), F.max(F.struct("d", "h", "s", "e")).alias("last"))
+    seen = cut(seen.where("m > 1 and not (first <=> last)").select("key", "m", "first"))
+    rows = pieces.count()
+    hot = F.broadcast(seen.where(F.col("m") * HOT > rows))  # fewer than HOT rows
+    joined = pieces.join(hot, "key").unionByName(pieces.join(hot.select("key"), "key", "left_anti").join(seen.where(F.col("m") * HOT <= rows), "key"))
+    return joined.where(~F.struct("d", "h", "s", "e").eqNullSafe(F.col("first"))).select("d", "h", "s", "e"), seen.select("first.*")
 
-    zero = F.lit(0).cast("bigint")
-    empty = F.struct(F.lit(None).cast("string").alias("text"), zero.alias("n_lines"), zero.alias("n_chunks"), zero.alias("n_removed"))
-    return own.join(gone, same, "left").select("row", F.when(text.isNull(), empty).otherwise(_let(chunked(text, divisor), result)).alias("res"))
 
+def _same(a: str, b: str) -> Column:
+    return F.col("d").eqNullSafe(F.col(a)) & F.col("h").eqNullSafe(F.col(b))
 
-def runs(text, min_lines: int = MIN_LINES):
-    """array<string>: every ``min_lines`` consecutive lines of ``text`` (not null)."""
 
-    def joined(lines):
-        n = F.size(lines) - (min_lines - 1)
-        starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(lines, i, min_lines), "\n"))
+def _covered(spans: Column) -> Column:
+    """Line numbers (from 0) of spans (s, e), e exclusive."""
+    return F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["s"], x["e"] - 1))))
 
-    return _let(F.split(text, "\n", -1), joined)
 
+def _spans(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("d", "h").agg(F.collect_set(F.struct("s", "e")).alias(name)).select(F.col("d").alias(f"{name}_d"), F.col("h").alias(f"{name}_h"), name)
 
-def dedup_runs(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, text_col: str = "text") -> DataFrame:
-    """Columns as ``dedup_lines`` gives them; n_chunks still counts content-defined chunks."""
+
+def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, text_col: str = "text") -> DataFrame:
+    """Columns ``row`` (all of ``docs``) and ``res``: text (what is left), n_lines, n_chunks, n_removed (lines), removed
+    (their numbers from 0, in no order)."""
     own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     text = F.col(f"row.`{text_col}`")
     own = own.select("row", F.col("row.doc_id").alias("d"), F.xxhash64(text).alias("h"))
-    pieces = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text_col).alias("h"), F.posexplode(runs(F.col(text_col), min_lines)).alias("c", "x"))
-    pieces = pieces.where(F.col("x").rlike(r"[^\x20\x09-\x0D]")).select("d", "h", "c", F.unhex(F.md5(F.col("x").cast("binary"))).alias("key"))
-    repeated = pieces.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    places = pieces.join(repeated, "key", "left_semi").groupBy("d", "h").agg(F.sort_array(F.collect_set("c")).alias("cs"))
-    places = places.select(F.col("d").alias("pd"), F.col("h").alias("ph"), "cs")
-    same = F.col("d").eqNullSafe(F.col("pd")) & F.col("h").eqNullSafe(F.col("ph"))
-    found = (
-        own.join(places, same)
-        .select("d", "h", _let(runs(text, min_lines), lambda a: F.transform("cs", lambda c: F.struct(c.alias("c"), F.element_at(a, c + 1).alias("text")))).alias("xs"))
-        .select("d", "h", F.explode("xs").alias("x"))
-        .select("d", "h", "x.c", "x.text", F.unhex(F.md5(F.col("x.text").cast("binary"))).alias("key"))
-    )
-    first = (
-        found.groupBy("key")
-        .agg(F.min(F.struct("d", "h", "c")).alias("first"), F.min("text").alias("lo"), F.max("text").alias("hi"))
-        .where("lo = hi")  # byte comparison
-        .select("key", "first")
-    )
-    gone = (
-        found.drop("text")
-        .join(first, "key")
-        .where(~F.struct("d", "h", "c").eqNullSafe(F.col("first")))
-        .groupBy("d", "h")
-        .agg(F.collect_set("c").alias("gone"))
-        .select(F.col("d").alias("gd"), F.col("h").alias("gh"), "gone")
+    bones = cut(_skeleton(docs, text_col, divisor))
+
+    chunk = F.explode(F.transform("ends", lambda e, j: F.struct(_at(F.col("ends"), j).cast("int").alias("s"), e.alias("e"))))
+    chunks = bones.where(F.size("keys") >= PAIR).select("d", "h", "keys", "full", chunk.alias("x")).select("d", "h", "x.s", "x.e", "keys", "full")
+    part = lambda c: F.slice(c, F.col("s") + 1, F.col("e") - F.col("s"))
+    chunks = chunks.where(F.exists(part("full"), lambda f: f)).select(_key(part("keys")).alias("key"), "d", "h", "s", "e")
+    copied, first_chunks = _later(chunks)
+    copied = cut(copied.distinct())
+
+    marked = bones.where(F.size("keys") >= PAIR).join(_spans(copied, "cut"), _same("cut_d", "cut_h"), "left")
+    inside = F.flatten(F.transform("cut", lambda x: F.sequence(x["s"], x["e"] - 2)))
+    starts = F.sequence(F.lit(0), F.size("keys") - PAIR)
+    starts = F.when(F.col("cut").isNull(), starts).otherwise(F.array_except(starts, inside))
+    pairs = marked.select("d", "h", "keys", "full", F.explode(starts).alias("s"))
+    line = lambda c, k: F.element_at(c, F.col("s") + k)
+    pairs = pairs.where(line("full", 1) | line("full", 2)).select(F.unhex(F.md5(F.concat(line("keys", 1), line("keys", 2)))).alias("key"), "d", "h", "s", (F.col("s") + PAIR).alias("e"))
+    again, first_pairs = _later(pairs)
+    gone = cut(copied.unionByName(again.distinct()).groupBy("d", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select("d", "h", _covered(F.col("spans")).alias("gone")))
+
+    # byte comparison: all lines that are to go, and the first places of their pairs and chunks
+    firsts = first_chunks.unionByName(first_pairs).groupBy("d", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans")).select("d", "h", _covered(F.col("spans")).alias("at"))
+    places = gone.select("d", "h", F.col("gone").alias("at")).unionByName(firsts)
+    places = places.groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")).select(F.col("d").alias("pd"), F.col("h").alias("ph"), "at")
+    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    fetched = texts.join(places, _same("pd", "ph")).select(F.explode(_let(_lines(F.col("t")), lambda l: F.transform("at", lambda i: F.element_at(l, i + 1)))).alias("line"))
+    differ = fetched.groupBy(F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")).agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("key")
+    differ = cut(differ)
+    if not differ.isEmpty():
+        doubt = gone.join(bones.select(F.col("d").alias("bd"), F.col("h").alias("bh"), "keys").dropDuplicates(["bd", "bh"]), _same("bd", "bh"))
+        doubt = doubt.select("d", "h", F.explode("gone").alias("i"), "keys").select("d", "h", "i", F.element_at("keys", F.col("i") + 1).alias("key"))
+        gone = doubt.join(differ, "key", "left_anti").groupBy("d", "h").agg(F.collect_set("i").alias("gone"))
+
+    facts = bones.select("d", "h", F.size("keys").alias("n"), F.size("ends").alias("c")).distinct()
+    facts = facts.join(gone.select(F.col("d").alias("gd"), F.col("h").alias("gh"), "gone"), _same("gd", "gh"), "left").select(F.col("d").alias("fd"), F.col("h").alias("fh"), "n", "c", "gone")
+    long = lambda c: c.cast("bigint")
+    kept = _let(_lines(text), lambda l: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("gone")), lambda i: F.element_at(l, i + 1)), "\n"))
+    res = F.struct(
+        F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text"),
+        long(F.coalesce("n", F.lit(0))).alias("n_lines"),
+        long(F.coalesce("c", F.lit(0))).alias("n_chunks"),
+        long(F.coalesce(F.size("gone"), F.lit(0))).alias("n_removed"),
+        F.coalesce("gone", F.array().cast("array<int>")).alias("removed"),
     )
-    same = F.col("d").eqNullSafe(F.col("gd")) & F.col("h").eqNullSafe(F.col("gh"))
-
-    def result(lines):
-        covered = F.flatten(F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda c: F.sequence(c, c + (min_lines - 1))))
-        return _let(
-            F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered),
-            lambda kept: F.struct(
-                F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")).alias("text"),
-                F.size(lines).cast("bigint").alias("n_lines"),
-                F.size(chunked(text, divisor)).cast("bigint").alias("n_chunks"),
-                (F.size(lines) - F.size(kept)).cast("bigint").alias("n_removed"),
-            ),
-        )
-
-    zero = F.lit(0).cast("bigint")
-    empty = F.struct(F.lit(None).cast("string").alias("text"), zero.alias("n_lines"), zero.alias("n_chunks"), zero.alias("n_removed"))
-    return own.join(gone, same, "left").select("row", F.when(text.isNull(), empty).otherwise(_let(F.split(text, "\n", -1), result)).alias("res"))
+    return own.join(facts, _same("fd", "fh"), "left").select("row", res.alias("res"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return dedup_runs(docs.select("doc_id", "text")).select("row.doc_id", "res.n_lines", "res.n_chunks", "res.n_removed", "res.text")
+    return dedup_lines(docs.select("doc_id", "text")).select("row.doc_id", "res.n_lines", "res.n_chunks", "res.n_removed", "res.text")
 
 
 ORACLE = f"""
 WITH l AS (
-  SELECT doc_id, i, line, CAST('0x' || left(md5(line), 7) AS BIGINT) AS a
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  SELECT doc_id, i, n, line, CAST('0x' || left(md5(line), 7) AS BIGINT) AS a
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i,
+          len(string_split(text, chr(10))) AS n
         FROM documents WHERE text IS NOT NULL)),
 r AS (
-  SELECT *, CASE WHEN (coalesce(lag(a) OVER w, 0) * {_FACTOR} + a) % {DIVISOR} = 0 THEN 1 ELSE 0 END AS brk
+  SELECT *, (coalesce(lag(a) OVER w, 0) * {_FACTOR} + a) % {DIVISOR} = 0 AS proposes
   FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-g AS (
-  SELECT *, coalesce(sum(brk) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM r),
-ch AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM g GROUP BY doc_id, c),
-f AS (
-  SELECT *, n >= {MIN_LINES} AND regexp_matches(text, '[^\\x20\\x09-\\x0D]')
-    AND row_number() OVER (PARTITION BY text ORDER BY doc_id, c) > 1 AS gone FROM ch)
-SELECT d.doc_id, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS n_lines, CAST(count(f.c) AS BIGINT) AS n_chunks,
-  CAST(coalesce(sum(f.n) FILTER (WHERE f.gone), 0) AS BIGINT) AS n_removed,
-  CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(f.text, chr(10) ORDER BY f.c) FILTER (WHERE NOT f.gone), '') END AS text
+e AS (SELECT *, i = n OR (i > 1 AND i < n - 1 AND proposes AND NOT lag(proposes) OVER w) AS ends FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after, i < n AS paired FROM l),
+q AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) AS k FROM p
+    WHERE paired AND (regexp_matches(line, '[^\\x20\\x09-\\x0D]') OR regexp_matches(after, '[^\\x20\\x09-\\x0D]'))) WHERE k > 1),
+g AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM q),
+f AS (SELECT e.doc_id, e.i, e.line, e.ends, g.i IS NOT NULL AS gone FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.i = e.i)
+SELECT d.doc_id, CAST(count(f.i) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE f.ends) AS BIGINT) AS n_chunks,
+  CAST(count(*) FILTER (WHERE f.gone) AS BIGINT) AS n_removed,
+  CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(f.line, chr(10) ORDER BY f.i) FILTER (WHERE NOT f.gone), '') END AS text
 FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id
 """

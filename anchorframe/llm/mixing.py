@@ -190,10 +190,13 @@ def digest(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The documents the mix takes at all, with all their columns and ``copies``, the times each is taken.
 
-    A column of the input that is named ``copies`` is replaced.
+    A column of the input that is named ``copies`` is replaced; other names never clash, since rows travel as structs.
     """
-    own = docs.drop("copies").withColumn("_size", size_of())
-    sizes = cut(own.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("_size").alias("size")))
+    own = docs.drop("copies")
+    rows = own.select(
+        F.struct(*[own[f"`{c}`"] for c in own.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of().alias("size")
+    )
+    sizes = cut(rows.select("doc_id", "source", "size"))
     got = decide(sizes, cut(targets(sizes))).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies")
-    same = [F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")), F.col("source").cast("string").eqNullSafe(F.col("_s")), F.col("_size") == F.col("_n")]
-    return own.join(got, same).drop("_size", "_d", "_s", "_n")
+    same = [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("source").eqNullSafe(F.col("_s")), F.col("size") == F.col("_n")]
+    return rows.join(got, same).select("row.*", "copies")

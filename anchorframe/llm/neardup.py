@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import setsketch as ss, textkit as tk
-from .common import LOWER, UPPER, cut, release
+from .common import LOWER, UPPER, cut
 from .graph import components
 
 NUMERATOR, DENOMINATOR = 75, 100
@@ -253,14 +253,12 @@ def components_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     hubs = bands.groupBy("key").agg(F.min("v").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
     ties = bands.join(hubs, "key").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = cut(components(ties))
-    release(spark)
     sizes = clusters.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = clusters.join(sizes, "c").join(nodes, "v").select("c", "blocks", "v", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("h"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     members = members.join(texts, (F.col("i") == F.col("doc_id")) & (F.col("h") == F.col("th"))).dropDuplicates(["v"])
     deal = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
     members = cut(members.select("c", "blocks", "v", "text", deal.alias("blk")))
-    release(spark)
     found = cut(_links(members, ["c", "blk"], _inside))
     wide = members.where("blocks > 1").select("c", "blocks", "v", "blk")
     if not wide.isEmpty():
@@ -287,9 +285,10 @@ def components_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    kept = components_of(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint") == F.col("_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """The documents that stay, one of each group, with all their columns; rows without an id stay."""
+    gone = components_of(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 ORACLE = f"""

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkit as tk
-from .common import cut, map_rows, release, struct_array
+from .common import cut, map_rows, struct_array
 
 WINDOW, ROUNDS = 35, 2
 _FAR = 1 << 40
@@ -176,11 +176,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_col: str = "tex
     marked = rows.select("key", "th", "s1", "s2").join(keys, "key").select("th", "s1", "s2", "mixed").distinct()
     pick = lambda mixed: F.collect_list(F.when(F.col("mixed") == mixed, F.struct("s1", "s2")))
     found = cut(marked.groupBy("th").agg(pick(False).alias("sure"), pick(True).alias("open")))
-    release(docs.sparkSession)
     wins = _windows(texts.join(found.where(F.size("open") > 0), "th").select("th", "text", "open"), window)
     again = wins.groupBy("wh").agg(F.count("*").alias("m")).where("m > 1").select("wh")
     single = cut(wins.join(again, "wh", "left_semi").groupBy("th", "s").agg(F.count("*").alias("m")).groupBy("th").agg(F.collect_list("s").alias("more")))
-    release(docs.sparkSession)
     cover = found.select("th", "sure").join(single, "th", "full")
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), F.xxhash64(text_col).alias("th")).join(cover, "th", "left").select("doc", "sure", "more")
 

@@ -6,8 +6,9 @@ have is left out of training. FTRL-proximal keeps two numbers per coordinate (a
 gradient), which give every coordinate its own learning rate, and an L1 threshold that holds all coordinates without
 evidence at exactly zero. The model that is broadcast is the list of its nonzero coordinates.
 
-Labels are learned from a bounded sample: about ``sample`` labelled documents, chosen by a hash of doc_id, whose
-hashed features (not texts) go to the driver. All documents are scored, whole.
+Labels are learned from a bounded sample: about ``sample`` labelled documents, or fewer so that their texts have about
+SAMPLE_BYTES characters, chosen by a hash of doc_id. FTRL is sequential, so one executor task makes the sample's
+features and fits; only the model (its nonzero coordinates) goes to the driver. All documents are scored, whole.
 
 Defined results: null text is empty text and scores the bias; null labels are ignored; without labels the score is 0.5;
 repeated rows get equal scores; null ids are scored; empty tables give empty results; :func:`keep_clean` keeps all
@@ -28,6 +29,8 @@ from .common import map_rows, remainder, struct_array
 from .quality import sampled
 
 SAMPLE, BITS, EPOCHS = 10_000, 22, 4
+#: Characters of sampled texts: bounds the training task where texts are long.
+SAMPLE_BYTES = 256 << 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 #: A word longer than so many bytes also counts under its first bytes, so inflected forms share evidence.
 STEMS = (4, 5)
@@ -56,6 +59,7 @@ class Model:
     bias: float
     at: np.ndarray  # sorted nonzero coordinates
     weight: np.ndarray
+    learned: int = 0  # labels it was trained on
 
     def score(self, w: tk.Words) -> np.ndarray:
         row, x = coordinates(w)
@@ -98,23 +102,27 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Model:
     return Model(prior + float(weights(bias, 0.0)[0]), known[at], w[at])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_BYTES) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, ids, y = [], [], []
         for b in batches:
-            out: list[bytes] = []
+            ids.append(b.column(0).to_numpy())
+            y.append(b.column(1).to_numpy())
             for w in tk.tokenize(b.column(2), tk.NOT_ALNUM):
                 row, x = tk.uniq_pairs(*coordinates(w))
                 cuts = np.searchsorted(row, np.arange(w.rows + 1))
-                out += [x[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in range(w.rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "y", "x"])
+                rows += [x[cuts[i] : cuts[i + 1]].astype(np.int32) for i in range(w.rows)]
+        ids, y = (np.concatenate(v) if v else np.zeros(0) for v in (ids, y))
+        order = np.lexsort((y, tk.mix(ids.astype(np.int64).view(np.uint64))))
+        m = fit([rows[i] for i in order], y[order])
+        yield pa.RecordBatch.from_arrays([pa.array([len(y)]), pa.array([m.bias]), pa.array([m.at.tobytes()], pa.binary()), pa.array([m.weight.tobytes()], pa.binary())], names=["n", "bias", "at", "weight"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    chosen = sampled(texts, labels, "toxic", remainder(4) == 2, sample, 5).select("doc_id", "y", "text")
-    got = chosen.mapInArrow(run, "doc_id bigint, y double, x binary").toArrow()  # views of one buffer, no copies
-    ids, y = got["doc_id"].to_numpy(), got["y"].to_numpy()
-    order = np.lexsort((y, tk.mix(ids.astype(np.int64).view(np.uint64))))
-    rows = [np.frombuffer(v.as_buffer(), np.int32) for v in got["x"]]
-    return fit([rows[i] for i in order], y[order])
+    chosen = sampled(texts, labels, "toxic", remainder(4) == 2, sample, 5, chars).select("doc_id", "y", "text")
+    got = chosen.repartition(1).mapInArrow(run, "n bigint, bias double, at binary, weight binary").collect()
+    if not got:
+        return fit([], np.zeros(0))
+    return Model(got[0].bias, np.frombuffer(got[0].at, np.int64), np.frombuffer(got[0].weight, np.float64), got[0].n)
 
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType())])

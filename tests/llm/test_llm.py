@@ -78,37 +78,27 @@ def test_decontaminate(spark, docs, rows):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("res.n_hit > 0").count() == 0
 
 
-def test_line_dedup(spark, docs):
-    rows = [(2, "a b\nc d\ne f\ng h\ni j\nk"), (1, "x\na b\nc d\ne f\ng h\ni j\nz"), (3, None), (4, ""), (5, "a b\nc d\ne f\ng h\ni j\nk"), (5, "a b\nc d\ne f\ng h\ni j\nk")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = [(r.row.doc_id, r.res.text, r.res.n_lines, r.res.n_removed) for r in linededup.dedup_lines(df).collect()]
-
-    def chunks(t):
-        lines, out, prev = t.split("\n"), [[]], 0
-        for line in lines:
-            a = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
-            out[-1].append(line)
-            if (prev * 31 + a) % linededup.DIVISOR == 0:
-                out.append([])
-            prev = a
-        return [c for c in out if c]
-
-    firsts = {}
-    for d, t in sorted((x for x in rows if x[1] is not None), key=lambda x: x[0]):
-        for k, c in enumerate(chunks(t)):
-            firsts.setdefault(tuple(c), (d, k))
-    want = []
-    for d, t in rows:
-        if t is None:
-            want.append((d, None, 0, 0))
-            continue
-        cs = chunks(t)
-        kept = [c for k, c in enumerate(cs) if len(c) < 2 or not "".join(c).strip() or firsts[tuple(c)] == (d, k)]
-        want.append((d, "\n".join("\n".join(c) for c in kept), sum(map(len, cs)), sum(map(len, cs)) - sum(map(len, kept))))
-    key = lambda x: (x[0], str(x[1]))
-    assert sorted(got, key=key) == sorted(want, key=key)
-    assert sum(x[3] for x in got) > 0
-    assert linededup.dedup_lines(docs).count() == docs.count() and linededup.dedup_lines(empty(spark)).count() == 0
+def test_chunk_boundaries_are_local(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    shared = [f"line {r.random()}" for _ in range(60)]
+    texts = ["\n".join([f"own {i} {k}" for k in range(r.randint(0, 5))] + shared + [f"end {i} {k}" for k in range(r.randint(0, 4))]) for i in range(8)] + ["one", "", "a\nb", "\n\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    lines = F.split("t", "\n", -1)
+    got = {x.i: x.ends for x in df.select("i", linededup.chunk_ends(F.transform(lines, linededup.line_number)).alias("ends")).collect()}
+    within = set()
+    for i, t in enumerate(texts):
+        ls = t.split("\n")
+        a = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in ls]
+        prop = [(31 * (a[k - 1] if k else 0) + a[k]) % linededup.DIVISOR == 0 for k in range(len(ls))]
+        want = [k + 1 for k in range(len(ls)) if k == len(ls) - 1 or (0 < k < len(ls) - 2 and prop[k] and not prop[k - 1])]
+        assert got[i] == want
+        assert len(ls) < 2 or min(np.diff([0, *want])) >= 2
+        if i < 8:
+            at = ls.index(shared[0])
+            within.add(tuple(e - at for e in want if 2 < e - at < 58))
+    assert len(within) == 1  # the shared passage is cut alike wherever it stands
 
 
 def test_line_runs_match_brute_force(spark, docs):
@@ -138,7 +128,12 @@ def test_line_runs_match_brute_force(spark, docs):
     assert sum(x[3] for x in want) > 50
     twice = [(5, "a\nb"), (5, "a\nb")]
     assert [x.n_removed for x in linededup.digest(spark.createDataFrame(twice, df.schema)).collect()] == [0, 0]
-    assert linededup.dedup_runs(docs).count() == docs.count() and linededup.dedup_runs(empty(spark)).count() == 0
+    assert linededup.dedup_lines(docs).count() == docs.count() and linededup.dedup_lines(empty(spark)).count() == 0
+    odd = df.selectExpr("*", "1 as d", "2 as h", "3 as keys", "4 as gone", "5 as s", "6 as res", "7 as row")
+    assert linededup.dedup_lines(odd).select("row.*").columns == odd.columns
+    big = "\n".join(f"line {i % 4000}" for i in range(8000))
+    long = linededup.digest(spark.createDataFrame([(1, big), (2, big)], df.schema)).collect()
+    assert [x.n_removed for x in sorted(long)] == [4000, 8000]
 
 
 def test_near_duplicates(spark, docs, rows):
@@ -305,13 +300,12 @@ def test_classifiers_learn_and_survive_odd_tables(spark, docs):
     assert clean.columns == docs.columns
 
 
-def test_toxicity_learns_from_ten_thousand_labels(spark, monkeypatch):
-    used = []
-    fit = toxicity.fit
-    monkeypatch.setattr(toxicity, "fit", lambda rows, y, *a: used.append(len(y)) or fit(rows, y, *a))
+def test_toxicity_learns_from_ten_thousand_labels(spark):
     df = spark.range(24_000).selectExpr("id as doc_id", "concat('w', id % 50, ' v', id % 2) as text")
-    toxicity.train(df, df.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
-    assert 9_500 < used[0] < 10_500
+    labels = df.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    assert 9_500 < toxicity.train(df, labels).learned < 10_500
+    assert toxicity.train(df, labels, chars=20_000).learned < 6_000  # a bound on characters, too
+    assert toxicity.train(df, labels.unionByName(labels)).learned < 10_500  # repeated labels count once
 
 
 def test_boosting():
