@@ -2,28 +2,34 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; all but the last return
 the columns of ``documents``. Between stages the rows are written as Parquet and read again.
+
+Defined results: documents with null or empty text, null ids or null sources pass through every stage that does not
+name them (an empty text is not toxic, repeats nothing, and the mix takes none of it, so the last stage leaves it out);
+repeated rows of one doc_id and text stay together until the mix; an empty table gives an empty result; extra columns,
+whatever their names, are carried along, but for ``copies``, which the mix writes.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from anchorframe.llm import decontaminate, linededup, mixing, neardup, toxicity
-from anchorframe.llm.common import table
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on their labels, does not reject."""
+    from anchorframe.llm import toxicity
+    from anchorframe.llm.common import table
+
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines are cut out of the texts (n_chars follows); a document of which nothing but white
     space is left goes, others stay. Texts without a repeated run are unchanged."""
-    out = linededup.dedup_runs(docs)
+    from anchorframe.llm import linededup
+
+    out = linededup.dedup_lines(docs)
     emptied = (F.col("res.n_removed") > 0) & ~F.col("res.text").rlike(r"[^\x20\x09-\x0D]")
     changed = F.col("res.n_removed") > 0
     columns = []
@@ -36,17 +42,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group of near duplicates."""
+    from anchorframe.llm import neardup
+
     return neardup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth is benchmark text."""
+    from anchorframe.llm import decontaminate
+    from anchorframe.llm.common import table
+
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return out.where(~decontaminate.contaminated()).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with ``copies``, how often each is taken."""
+    from anchorframe.llm import mixing
+
     return mixing.mix(docs)
 
 
@@ -64,8 +77,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are kept as Parquet beside the session's checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    from anchorframe.llm.common import shared_folder, table
+
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         out = f"{base}/{i}-{name}"
