@@ -16,7 +16,9 @@ class Forest:
     value: np.ndarray  # trees x leaves
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        b = np.stack([np.searchsorted(c, x[:, j], "right") for j, c in enumerate(self.cuts)], 1)
+        b = np.zeros(x.shape, np.int64)
+        for j in np.unique(self.feature[self.feature >= 0]):  # only what a tree looks at
+            b[:, j] = np.searchsorted(self.cuts[j], x[:, j], "right")
         out, rows = np.full(len(x), self.start), np.arange(len(x))
         inner = self.feature.shape[1]
         for f, t, v in zip(self.feature, self.bin, self.value, strict=True):

@@ -1,21 +1,28 @@
 """Main-text extraction from HTML by boosted trees over DOM nodes.
 
-A page is parsed into a tree of elements (with the usual implied end tags) whose leaves are its text blocks: runs of
-text without a block-level tag in between. Gradient-boosted trees judge every node - element or block - by its tag and
-attribute tokens, those of its ancestors, depth, text and link density of its subtree and its place among siblings: how
-likely does it hold any main text? Decoding is hierarchical. A dropped node drops its whole subtree, a kept node leaves
-the choice to its children, and the most probable labelling of that form is found from the leaves up, so an ancestor
-and a descendant never contradict each other.
+A page is parsed into a tree of block elements (with the usual implied end tags) whose leaves are its text blocks: runs of
+text without a block-level tag in between. Gradient-boosted trees judge every node - element or block - by its tag, by
+what its hashed attribute tokens have meant in training, by those of its ancestors, by depth, by text and link density of
+its subtree and by its place among siblings: how likely does it hold any main text? Decoding is hierarchical. A dropped
+node drops its whole subtree, a kept node leaves the choice to its children, and the most probable labelling of that form
+is found from the leaves up, so an ancestor and a descendant never contradict each other.
+
+The tokeniser reads a page once, from left to right, in time proportional to its length whatever the markup: quotes
+matter only where a value starts, a tag that never ends takes the rest of the page, a quoted value that never ends is
+taken as unquoted, and elements nested deeper than DEPTH become siblings.
 
 No table labels DOM nodes, so the trees are trained on pages that this module writes itself (:func:`training_page`):
-articles with surroundings of every kind the operator must remove, under semantic tags or mere attribute tokens. The
-training set is fixed by its seed and size, and does not depend on the data.
+articles with surroundings of every kind the operator must remove, under semantic tags or attribute tokens, part of them
+tokens without any meaning, so that structure has to tell. Attribute tokens are hashed into BUCKETS; one half of the pages
+teaches how often the nodes of a bucket hold main text, the other half, with these rates as features, grows the trees. The
+training set is fixed by its seed and size, and does not depend on the data. Its marks are read by the training parser
+only; an attribute of that name in an input page means nothing.
 
 Scripts, styles and other invisible elements never count as text. Character references are decoded, white space within
 a block becomes one space, blocks are trimmed and joined by a line feed in page order.
 
 Defined results: null and empty pages have empty text; markup that is not closed is closed by its ancestors' end or the
-page's; plain text without markup is judged as a block; repeated rows have equal results; extra columns are untouched.
+page's; invisible elements that never end are ignored (scripts, styles and their like take the rest); plain text without markup is judged as a block; repeated rows have equal results; extra columns are untouched.
 """
 
 from __future__ import annotations
@@ -23,7 +30,9 @@ from __future__ import annotations
 import html as _html
 import random
 import re
-from functools import cache
+import zlib
+from dataclasses import dataclass
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +41,21 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import boosting
 from .common import map_rows, struct_array
 
-PAGES, TREES, SEED = 500, 50, 5
+PAGES, TREES, SEED = 2000, 80, 5
+DEPTH, BUCKETS = 512, 4096
+#: Attribute that carries the truth in training pages.
+MARK = "data-truth"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TAG = re.compile(r"""([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""")
+_ATTR = re.compile(r"""([^\s/=>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_UNQUOTED_END = re.compile(r"""=\s*+[^\s"'>][^\s>]*/\Z""")
+_COMMENT_END = re.compile(r"--!?>")
 _LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Fixed values of HTML: element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INVISIBLE = frozenset("head title script style template noscript iframe svg canvas object select textarea button datalist".split())
-RAW = frozenset("script style textarea title iframe noscript template".split())
+RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
+HIDDEN = frozenset("svg math template canvas object select button datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul".split()
@@ -49,9 +63,11 @@ BLOCK = frozenset(
 #: An opening tag closes these open elements (up to the listed boundary).
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
-SCOPE = frozenset("article aside body div footer header main nav section table td th form figure blockquote ul ol dl li html fieldset details".split())
+#: End tags of other elements do not reach out of these.
+CELL = frozenset("td th caption table".split())
+TABLE = frozenset("table caption tbody td tfoot th thead tr html body".split())
 
-# What attribute tokens tell.
+# What attribute tokens mean in training pages; the parser and the features know none of them.
 TOKENS = {
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner adsense",
     "nav": "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager tabs toc skip",
@@ -63,110 +79,160 @@ TOKENS = {
     "form": "form search login contact",
     "share": "share social sharing follow",
     "main": "content main article post entry story body text prose single",
+    "part": "title headline lead intro byline author date caption summary paragraph heading quote",
 }
-GROUP = {t: i for i, v in enumerate(TOKENS.values()) for t in v.split()}
 TAGS = ["article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "nav", "header", "footer", "aside", "form fieldset", "table tbody thead tr td th", "blockquote figure pre", "#text"]
 TAG = {t: i for i, v in enumerate(TAGS) for t in v.split()}
-_NG, _NT = len(TOKENS), len(TAGS)
+_NT = len(TAGS)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "groups", "text", "chars", "links", "words", "stops", "blocks", "tags", "depth", "start", "mark", "inlink")
+    __slots__ = ("tag", "parent", "kids", "tokens", "text", "chars", "links", "words", "stops", "blocks", "tags", "depth", "start", "mark")
 
-    def __init__(self, tag: str, parent: Node | None, groups: int = 0, mark: int = 0):
-        self.tag, self.parent, self.kids, self.groups, self.text = tag, parent, [], groups, ""
+    def __init__(self, tag: str, parent: Node | None, tokens: tuple[int, ...] = (), mark: int = 0):
+        self.tag, self.parent, self.kids, self.tokens, self.text = tag, parent, [], tokens, ""
         self.chars = self.links = self.words = self.stops = self.blocks = self.tags = self.start = 0
         self.depth, self.mark = (parent.depth + 1, mark or parent.mark) if parent else (0, mark)
 
 
-def _groups(attrs: str) -> tuple[int, int]:
-    """Bit set of token groups of class, id, role and the like; 1 or 2 for a training mark."""
-    bits, mark = 0, 0
+@lru_cache(1 << 16)
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def _tokens(attrs: str, marks: bool) -> tuple[tuple[int, ...], int]:
+    """Hashed tokens of class, id, role and the like; the mark, if asked for."""
+    out, mark = [], 0
     for name, a, b, c in _ATTR.findall(attrs):
         name = name.lower()
         if name in ("class", "id", "role", "itemprop", "aria-label", "data-component"):
-            for t in _LETTERS.findall(a or b or c):
-                g = GROUP.get(t.lower())
-                if g is not None:
-                    bits |= 1 << g
+            out += [bucket(t.lower()) for t in _LETTERS.findall(a or b or c)]
         elif name == "hidden":
-            bits |= 1 << GROUP["popup"]
-        elif name == "data-truth":
-            mark = int(a)
-    return bits, mark
+            out.append(bucket("*hidden"))
+        elif marks and name == MARK:
+            mark = int(a or b or c)
+    return tuple(set(out)), mark
 
 
-def parse(page: str) -> Node:
-    """The page's tree; text blocks are nodes of tag ``#text``."""
+def parse(page: str, marks: bool = False) -> Node:
+    """The page's tree of block elements; text blocks are nodes of tag ``#text``."""
     root = Node("#root", None)
-    stack, buffer, linked = [root], [], [0, 0]  # characters of the block, of them in links
-    link = 0
+    stack, open_ = [root], {}  # open block elements, and how many there are of each tag
+    buffer, linked = [], 0  # text of the block, characters of it in links
+    link = 0  # height of the stack at which the open link began, 0 if none is
+    hidden, nested = "", 0
+    ends: dict[str, int] = {}  # where the last end tag of an invisible element starts
 
     def flush():
+        nonlocal linked
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                owner = next(n for n in reversed(stack) if n.tag in BLOCK or n.parent is None)
-                leaf = Node("#text", owner)
-                leaf.text, leaf.links = text, min(len(text), linked[1])
-                owner.kids.append(leaf)
+                leaf = Node("#text", stack[-1])
+                leaf.text, leaf.links = text, min(len(text), linked)
+                stack[-1].kids.append(leaf)
             buffer.clear()
-            linked[:] = [0, 0]
+            linked = 0
 
     def close(depth: int):
         nonlocal link
         for n in stack[depth:]:
-            if n.tag == "a":
-                link -= 1
+            open_[n.tag] -= 1
         del stack[depth:]
+        if link > depth:
+            link = 0
 
-    pos, size = 0, len(page)
-    while pos < size:
-        m = _TOKEN.match(page, pos)
-        pos = m.end()
-        text = m.group(4)
-        if text is not None or m.group(0) == "<":
-            text = text or "<"
-            if "&" in text:
-                text = _html.unescape(text)
+    def ends_after(tag: str, at: int) -> bool:
+        if tag not in ends:
+            ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+        return ends[tag] >= at
+
+    def say(text: str):
+        nonlocal linked
+        if not hidden:
             buffer.append(text)
             if link:
-                linked[1] += len(text)
+                linked += len(text)
+
+    pos, size = 0, len(page)
+    while pos < size:
+        at = page.find("<", pos)
+        if at != pos:
+            text = page[pos : at if at >= 0 else size]
+            say(_html.unescape(text) if "&" in text else text)
+            if at < 0:
+                break
+            pos = at
+        after = page[pos + 1 : pos + 2]
+        if after in ("!", "?"):
+            if page.startswith("<!--", pos):
+                if page.startswith(">", pos + 4) or page.startswith("->", pos + 4):
+                    pos = page.index(">", pos + 4) + 1
+                    continue
+                m = _COMMENT_END.search(page, pos + 4)
+                pos = m.end() if m else size
+            else:
+                pos = page.find(">", pos) + 1 or size
             continue
-        tag = m.group(2)
-        if tag is None:
+        ending = after == "/"
+        m = _TAG.match(page, pos + 1 + ending)
+        if m is None:
+            letter = page[pos + 1 + ending : pos + 2 + ending]
+            if letter.isascii() and letter.isalpha():
+                break  # a tag that never ends
+            if ending:
+                pos = page.find(">", pos) + 1 or size
+            else:
+                say("<")
+                pos += 1
             continue
-        tag = tag.lower()
-        if m.group(1):
-            for d in range(len(stack) - 1, 0, -1):
-                t = stack[d].tag
-                if t == tag:
-                    if tag in BLOCK:
-                        flush()
-                    close(d)
-                    break
-                if tag not in BLOCK and t in BLOCK:
-                    break  # an inline end tag does not reach out of its block
-                if tag == "p" and t in SCOPE:
-                    break
+        pos, tag, attrs = m.end(), m.group(1).lower(), m.group(2)
+        if hidden:
+            if tag == hidden:
+                closed = not ending and hidden in ("svg", "math") and attrs.endswith("/") and not _UNQUOTED_END.search(attrs)
+                nested += -1 if ending else 0 if closed else 1
+                hidden = hidden if nested else ""
+            elif tag in RAW and not ending:
+                e = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, pos) if ends_after(tag, pos) else None
+                pos = e.start() if e else size
+            continue
+        if ending:
+            if tag == "a":
+                link = 0
+            elif tag == "br":
+                say(" ")
+            elif tag in BLOCK:
+                flush()
+                if open_.get(tag) and tag not in ("body", "html"):
+                    for d in range(len(stack) - 1, 0, -1):
+                        t = stack[d].tag
+                        if t == tag:
+                            close(d)
+                            break
+                        if t in CELL and tag not in TABLE:
+                            break
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
             elif tag == "br":
-                buffer.append(" ")
+                say(" ")
             continue
-        if tag in INVISIBLE:
-            if tag in RAW or tag in ("select", "svg", "canvas", "object", "button", "datalist"):
-                e = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
-                pos = e.end() if e else (size if tag in RAW else pos)
-                continue
-            e = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, pos)
-            if e:
-                pos = e.start() if e.group(0)[1] != "/" else e.end()
+        if tag in RAW:
+            e = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, pos) if ends_after(tag, pos) else None
+            pos = e.start() if e else size
+            continue
+        if tag in HIDDEN:
+            closed = tag in ("svg", "math") and attrs.endswith("/") and not _UNQUOTED_END.search(attrs)
+            if not closed and ends_after(tag, pos):
+                hidden, nested = tag, 1
             continue
-        if tag in BLOCK:
+        if tag == "a":
+            link = len(stack)
+        elif tag in BLOCK:
             flush()
+            if tag in ("html", "body") and open_.get(tag):
+                continue
             if tag in IMPLIED:
                 what, edge = IMPLIED[tag]
                 for d in range(len(stack) - 1, 0, -1):
@@ -176,22 +242,13 @@ def parse(page: str) -> Node:
                         close(d)
                         if tag != "tr":
                             break
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d].tag == "p":
-                    close(d)
-                    break
-                if stack[d].tag in SCOPE:
-                    break
-        if not m.group(3).rstrip().endswith("/") or tag in BLOCK or tag == "a":
-            groups, mark = _groups(m.group(3)) if m.group(3) else (0, 0)
-            n = Node(tag, stack[-1], groups, mark)
-            if tag in BLOCK:
-                owner = next(x for x in reversed(stack) if x.tag in BLOCK or x.parent is None)
-                n.parent, n.depth = owner, owner.depth + 1
-                owner.kids.append(n)
-            elif tag == "a":
-                link += 1
+            if stack[-1].tag == "p" or len(stack) > DEPTH:
+                close(len(stack) - 1)
+            tokens, mark = _tokens(attrs, marks) if attrs else ((), 0)
+            n = Node(tag, stack[-1], tokens, mark)
+            stack[-1].kids.append(n)
             stack.append(n)
+            open_[tag] = open_.get(tag, 0) + 1
     flush()
     return root
 
@@ -206,7 +263,12 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def features(root: Node) -> tuple[list[Node], np.ndarray]:
+#: Meaning of attribute tokens where none is known, as for tokens never seen in training.
+UNKNOWN = np.zeros(BUCKETS)
+
+
+def features(root: Node, meaning: np.ndarray = UNKNOWN) -> tuple[list[Node], np.ndarray]:
+    """Nodes in page order and their features; ``meaning`` is the log odds of main text by token bucket."""
     nodes, seen = _order(root), 0
     for n in nodes:
         n.start = seen
@@ -224,23 +286,25 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
             p.blocks += n.blocks
             p.tags += n.tags + (n.tag != "#text")
     total = max(root.chars, 1)
-    above: dict[int, tuple[int, int]] = {}
+    above: dict[int, tuple[int, float, float]] = {}
     out = []
     for n in nodes:
-        up_tags, up_groups = above[id(n.parent)] if n.parent is not None else (0, 0)
+        up_tags, up_low, up_high = above[id(n.parent)] if n.parent is not None else (0, 0.0, 0.0)
         t = TAG.get(n.tag, -1)
-        above[id(n)] = (up_tags | (1 << t if t >= 0 else 0), up_groups | n.groups)
+        m = [meaning[b] for b in n.tokens] or [0.0]
+        low, high = min(m), max(m)
+        above[id(n)] = (up_tags | (1 << t if t >= 0 else 0), min(up_low, low), max(up_high, high))
         p, chars = n.parent, max(n.chars, 1)
         out.append(
             (
-                t, n.groups, up_tags, up_groups, n.depth, np.log1p(n.chars), n.links / chars, n.chars / total, n.chars / max(p.chars if p else total, 1), n.words / max(n.blocks, 1),
-                n.stops / max(n.words, 1), n.tags / max(n.words, 1), len(n.kids), len(p.kids) if p else 1, n.start / total, n.blocks,
+                t, up_tags, low, high, up_low, up_high, n.depth, np.log1p(n.chars), n.links / chars, n.chars / total, n.chars / max(p.chars if p else total, 1), n.words / max(n.blocks, 1),
+                n.stops / max(n.words, 1), n.tags / max(n.words, 1), len(n.kids), len(p.kids) if p else 1, n.start / total, n.blocks, len(n.tokens),
             )
         )
     raw = np.array(out, np.float64)
-    bits = lambda col, k: (raw[:, col].astype(np.int64)[:, None] >> np.arange(k)) & 1
     tags = (raw[:, :1] == np.arange(_NT)).astype(np.float64)
-    return nodes, np.concatenate([tags, bits(1, _NG), bits(2, _NT), bits(3, _NG), raw[:, 4:]], 1)
+    ups = ((raw[:, 1].astype(np.int64)[:, None] >> np.arange(_NT)) & 1).astype(np.float64)
+    return nodes, np.concatenate([tags, ups, raw[:, 2:]], 1)
 
 
 def decode(nodes: list[Node], logit: np.ndarray) -> list[str]:
@@ -276,9 +340,13 @@ def _prose(r: random.Random, least: int = 1, most: int = 8) -> str:
 def _attr(r: random.Random, group: str, always: bool = False) -> str:
     if not always and r.random() < 0.4:
         return ""
-    t = r.choice(TOKENS[group].split())
+    if r.random() < 0.2:  # a name without meaning
+        t = "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randint(2, 6))) + r.choice(["", "", str(r.randint(1, 99))])
+    else:
+        t = r.choice(TOKENS[group].split())
     t = r.choice([t, t, f"{t}-{r.randint(1, 9)}", f"page-{t}", f"{t}_wrap", f"js-{t} c{r.randint(1, 99)}"])
-    return f' {r.choice(["class", "class", "id"])}="{t}"'
+    quote = r.choice(['"', '"', "'", ""] if " " not in t else ['"', "'"])
+    return f" {r.choice(['class', 'class', 'id'])}={quote}{t}{quote}"
 
 
 def training_page(r: random.Random) -> str:
@@ -290,7 +358,7 @@ def training_page(r: random.Random) -> str:
     def box(group, tag, inner):
         semantic = tag and r.random() < 0.6
         name = tag if semantic else r.choice(["div", "div", "section"])
-        return f'<{name}{_attr(r, group, not semantic)} data-truth="2">{inner}</{name}>'
+        return f'<{name}{_attr(r, group, not semantic)} {MARK}="2">{inner}</{name}>'
 
     def few(wrap="p"):
         return "".join(f"<{wrap}>{_prose(r, 1, 3)}</{wrap}>" if r.random() < 0.7 else _prose(r, 1, 2) for _ in range(r.randint(1, 3)))
@@ -314,7 +382,7 @@ def training_page(r: random.Random) -> str:
         return box("note", None, few())
 
     def form():
-        return f'<form{_attr(r, "form")} data-truth="2"><label>{_sentence(r, 2)}</label><input>{_prose(r, 1, 2) if r.random() < 0.5 else ""}</form>'
+        return f'<form{_attr(r, "form")} {MARK}="2"><label>{_sentence(r, 2)}</label><input>{_prose(r, 1, 2) if r.random() < 0.5 else ""}</form>'
 
     def comments():
         one = lambda: f"<{(t := r.choice(['div', 'li', 'p', 'article']))}{_attr(r, 'comm')}>{few() if t != 'p' else _prose(r)}</{t}>"
@@ -323,32 +391,55 @@ def training_page(r: random.Random) -> str:
     def share():
         return box("share", None, f"<ul>{links(3)}</ul>")
 
-    body = [f"<h1>{_prose(r, 1, 2)}</h1>"] if r.random() < 0.85 else []
+    truth = f' {MARK}="1"'
+
+    def part(tag, inner, odds=0.12):
+        return f"<{tag}{_attr(r, 'part', True) if r.random() < odds else ''}{truth}>{inner}</{tag}>"
+
+    def open_part(tag, inner):
+        return f"<{tag}{truth}>{inner}"
+
+    body = [part("h1", _prose(r, 1, 2)) if r.random() < 0.85 else part(r.choice(["div", "p"]), _sentence(r, r.randint(2, 8)), 0.9)] if r.random() < 0.9 else []
     if body and r.random() < 0.2:
-        body = [f"<header>{body[0]}" + (f"<p>{_sentence(r, 5)}</p>" if r.random() < 0.5 else "") + "</header>"]
+        body = [f"<header{truth}>{body[0]}" + (part("p", _sentence(r, 5), 0.4) if r.random() < 0.5 else "") + "</header>"]
+    if body and r.random() < 0.15:
+        body.append(part(r.choice(["p", "div"]), _sentence(r, r.randint(2, 7)), 0.7))
     for _ in range(r.choice([1, 1, 1, 2, 3, 5, 9])):
         x = r.random()
-        if x < 0.72:
-            body.append(f"<p>{_prose(r)}</p>" if r.random() < 0.7 else f"<p><b>{_prose(r)}<br>")
-        elif x < 0.8:
-            body.append(f"<h2>{_sentence(r, 4)}</h2>")
-        elif x < 0.86:
-            body.append("<ul>" + "".join(f"<li>{_prose(r, 1, 2)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
-        elif x < 0.9:
-            body.append(f"<blockquote>{_prose(r)}</blockquote>")
+        if x < 0.7:
+            body.append(part("p", _prose(r), 0.03) if r.random() < 0.7 else open_part("p", f"<b>{_prose(r)}<br>"))
+        elif x < 0.78:
+            body.append(part(r.choice(["h2", "h2", "h3"]), _sentence(r, 4)))
+        elif x < 0.84:
+            tag = r.choice(["ul", "ul", "ol"])
+            body.append(f"<{tag}{truth}>" + "".join(f"<li>{_prose(r, 1, 2)}</li>" for _ in range(r.randint(2, 5))) + f"</{tag}>")
+        elif x < 0.88:
+            body.append(part("blockquote", _prose(r)))
+        elif x < 0.91:
+            body.append(f"<table{truth}>" + "".join(f"<tr><td>{_sentence(r, 2)}</td><td>{_sentence(r, 2)}</td></tr>" for _ in range(3)) + "</table>")
         elif x < 0.93:
-            body.append("<table>" + "".join(f"<tr><td>{_sentence(r, 2)}</td><td>{_sentence(r, 2)}</td></tr>" for _ in range(3)) + "</table>")
+            body.append(f"<figure{truth}><img src=a.png>{part('figcaption', _sentence(r, 6))}</figure>")
         elif x < 0.97:
-            body.append(_prose(r))
+            body.append(part("div", _prose(r)))
         else:
-            body.append(f'<p>{_prose(r)} <a href="/x">{_sentence(r, 3)}</a> {_prose(r)}</p>')
+            body.append(part("p", f'{_prose(r)} <a href="/x">{_sentence(r, 3)}</a> {_prose(r)}'))
     for extra, odds in ((ad, 0.2), (share, 0.15), (comments, 0.12), (note, 0.1), (side, 0.1), (form, 0.08)):
         if r.random() < odds:
             body.insert(r.randint(1, len(body)) if body else 0, extra())
-    name = r.choice(["article", "article", "main", "div", "section"])
-    main = f'<{name}{_attr(r, "main", name in ("div", "section"))} data-truth="1">{"".join(body)}</{name}>'
-    if r.random() < 0.2:
-        main = f"<main{_attr(r, 'main')}>{main}</main>"
+    if len(body) > 2 and r.random() < 0.15:  # in pieces
+        at = r.randint(1, len(body) - 1)
+        tag = r.choice(["section", "div"])
+        body = [f"<{tag}{_attr(r, 'main')}{truth}>{''.join(x)}</{tag}>" for x in (body[:at], body[at:])]
+    shape = r.random()
+    if shape < 0.15:  # nothing around it
+        main = "".join(body)
+    elif shape < 0.2:  # a cell of a layout table
+        main = f'<table><tr><td{_attr(r, "nav", True)} {MARK}="2"><ul>{links(r.randint(2, 6))}</ul></td><td{_attr(r, "main", True)}{truth}>{"".join(body)}</td></tr></table>'
+    else:
+        name = r.choice(["article", "article", "main", "div", "section"])
+        main = f'<{name}{_attr(r, "main", name in ("div", "section"))}{truth}>{"".join(body)}</{name}>'
+        if r.random() < 0.2:
+            main = f"<main{_attr(r, 'main')}>{main}</main>"
     before = [f() for f, odds in ((nav, 0.7), (head, 0.5), (ad, 0.4), (note, 0.25), (side, 0.2), (form, 0.1)) if r.random() < odds]
     after = [f() for f, odds in ((comments, 0.35), (side, 0.35), (ad, 0.25), (form, 0.2), (share, 0.2), (note, 0.15), (nav, 0.15)) if r.random() < odds]
     r.shuffle(before)
@@ -359,26 +450,50 @@ def training_page(r: random.Random) -> str:
     return f"<html><head><title>t</title></head><body>{page}</body></html>"
 
 
+@dataclass
+class Model:
+    meaning: np.ndarray  # by token bucket
+    forest: boosting.Forest
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return self.forest.logit(x)
+
+
+def wanted(nodes: list[Node]) -> np.ndarray:
+    """Which nodes of a marked page hold main text."""
+    good: dict[int, bool] = {}
+    for n in reversed(nodes):
+        good[id(n)] = (n.tag == "#text" and n.mark == 1) or any(good[id(k)] for k in n.kids)
+    return np.array([good[id(n)] for n in nodes])
+
+
 @cache
-def model(pages: int = PAGES, trees: int = TREES, seed: int = SEED) -> boosting.Forest:
-    r, xs, ys = random.Random(seed), [], []
-    for _ in range(pages):
-        nodes, x = features(parse(training_page(r)))
-        good = {}
-        for n in reversed(nodes):  # a node is wanted if any text below it is
-            own = n.tag == "#text" and n.mark == 1
-            good[id(n)] = own or any(good[id(k)] for k in n.kids)
+def model(pages: int = PAGES, trees: int = TREES, seed: int = SEED) -> Model:
+    r = random.Random(seed)
+    kept, seen = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for _ in range(pages // 2):
+        nodes = _order(parse(training_page(r), marks=True))
+        for n, good in zip(nodes, wanted(nodes), strict=True):
+            for b in n.tokens:
+                kept[b] += good
+                seen[b] += 1
+    prior = (kept.sum() + 1) / (seen.sum() + 2)
+    rate = (kept + 2 * prior) / (seen + 2)
+    meaning = np.where(seen > 0, np.log(rate / (1 - rate)) - np.log(prior / (1 - prior)), 0.0)
+    xs, ys = [], []
+    for _ in range(pages - pages // 2):
+        nodes, x = features(parse(training_page(r), marks=True), meaning)
         xs.append(x)
-        ys += [good[id(n)] for n in nodes]
-    return boosting.fit(np.concatenate(xs), np.array(ys, float), trees)
+        ys.append(wanted(nodes))
+    return Model(meaning, boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float), trees))
 
 
-def texts(pages: list[str | None], forest: boosting.Forest) -> list[str]:
-    trees = [features(parse(p)) if p else None for p in pages]
+def texts(pages: list[str | None], judge: Model) -> list[str]:
+    trees = [features(parse(p), judge.meaning) if p else None for p in pages]
     full = [t for t in trees if t is not None]
     if not full:
         return ["" for _ in pages]
-    logit = forest.logit(np.concatenate([x for _, x in full]))
+    logit = judge.logit(np.concatenate([x for _, x in full]))
     out, at = [], 0
     for t in trees:
         if t is None:

@@ -328,7 +328,7 @@ def test_html(spark):
     rnd = random.Random(123)
     good = 0
     for _ in range(60):
-        nodes, x = htmltext.features(htmltext.parse(htmltext.training_page(rnd)))
+        nodes, x = htmltext.features(htmltext.parse(htmltext.training_page(rnd), marks=True), htmltext.model().meaning)
         want = [n.text for n in nodes if n.tag == "#text" and n.mark == 1]
         good += htmltext.decode(nodes, htmltext.model().logit(x)) == want
     assert good >= 40
