@@ -1,24 +1,30 @@
-"""Language-model scoring by a Katz backoff bigram model with Good-Turing discounts.
+"""Language-model scoring by a Katz backoff trigram model with Good-Turing discounts.
 
-P(w | h) is d(c) * c / c(h) where the pair was seen c times in training (d: Good-Turing discount, 1 beyond FEW), and
-alpha(h) * P(w) otherwise; P(w) backs off once more from discounted word counts to one class of unknown words, which
-holds the mass the discounts free. alpha(h) is exact: the mass that h's seen followers leave, over the unigram mass of
-all others. Sums over the words and the unknown class are 1 for every history.
+P(w | u v) is d3(c) * c / c(u v) where the trigram was seen c times in training (d: Good-Turing discount, 1 beyond FEW),
+and alpha(u v) * P(w | v) otherwise; P(w | v) is made likewise of bigrams and P(w), and P(w) backs off once more from
+discounted word counts to one class of unknown words, which holds the mass the discounts free. A history that training
+never saw passes the question on unchanged. alpha is exact: the mass that a history's seen followers leave, over the mass
+that the next lower order gives to all others. Sums over the words and the unknown class are 1 for every history.
+Everything gathered from the corpus - all counts of all orders - is counted over all training texts.
 
 The tables are too large for one machine, so nothing of them is broadcast. Documents are packed into chunks of about
-CHUNK bytes (compressed); a chunk asks the tables' partitions for what it needs, each distinct word or pair once:
+CHUNK bytes, and chunks talk to partitioned tables:
 
-1. word requests (with the chunk's training counts) meet in partitions by word: counts are summed, each chunk gets its
-   words' totals; counts of counts give the discounts;
-2. pair requests meet in partitions by history: pair counts are summed; per history the counts of counts of its
-   followers and their unigram mass are kept, which is all that alpha(h) needs; each chunk gets these;
-3. each chunk scores its documents.
+1. Words: a chunk sends its distinct words with their training counts to partitions by word; totals come back, with
+   short ids that are the lower the more frequent a word is. Counts of counts give the discounts d1.
+2. Trigrams: a chunk sends every token with its two predecessors (and its document) to the partition of the middle word
+   v. There all of c(u v w), c(u v), c(v w), c(v) are summed, and with them both backoff weights, so a partition scores
+   its tokens by itself; what comes back is one sum for each document. The partitions read their rows twice: d2 and d3
+   come from the counts of counts of the first reading.
+3. Chunks add up what they get.
 
-Histories with more than a thousandth of all tokens (at most a thousand) are spread over many partitions by follower,
-and their sums, one row for each partition they are in, are put together afterwards. Requests of a chunk for a partition
-are one packed row, and partitions are served in PASSES turns, which bounds the disk that requests take at once. Everything gathered from the corpus - all counts of all orders - is counted over all training texts.
+A middle word with more than ``hot`` tokens (at most MOST_HOT of them, whose ids alone are collected) is spread over all
+partitions by its follower w. Bigram and trigram counts are still whole there; what belongs to the histories v and u v is
+summed over the partitions by an ordinary aggregate, whose rows go back to the partitions that asked.
 
-Words are 64-bit hashes, followers within a history 48 bits of them.
+A partition holds ``part_tokens`` tokens on average, whatever the size of the corpus, and is worked on by itself; tasks
+take several partitions in turn beyond MOST_TASKS. Memory is bounded by the larger of two partitions, a hot word's limit,
+a chunk and the longest text. Words are 64-bit hashes.
 
 Defined results: null text is empty text, which is one end token; null ids count as id text '' for the split; without
 training texts every token is unknown and scores 0; repeated rows are counted as often as they occur; an empty table
@@ -28,6 +34,8 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,104 +45,51 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as tk
 from .common import cut, remainder
 
-CHUNK, FEW = 6 << 20, 5
-#: Training tokens of a table partition, on average; a history above HOT_SHARE of all tokens is spread.
-PART_TOKENS, MAX_PARTS, HOT_SHARE = 1_000_000, 100_000, 1e-3
-#: Pair requests are exchanged in so many passes over the partitions, each a share of the disk.
-PASSES = 2
-END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0x2545F4914F6CDD1D)
-LOW48 = np.uint64((1 << 48) - 1)
+CHUNK, FEW = 8 << 20, 5
+#: Training tokens of a table partition on average, tasks of a stage at most, and hot words at most.
+PART_TOKENS, MOST_TASKS, MOST_HOT = 1_500_000, 20_000, 1_000_000
+END = np.uint64(0x1B873593CC9E2D51)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Sums of a history: its count, followers seen 1 .. FEW times, and what the lower order gives to its seen followers
+#: (for u v as counts of v w above FEW, and how many followers have the bigram count 1 .. FEW; for v as a mass).
+SUMS = 2 * FEW + 2
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of small integers or bytes as one compressed value."""
-    z = zstandard.ZstdCompressor(level=1)
-    parts = [z.compress(np.ascontiguousarray(a).tobytes()) for a in arrays]
-    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+    """Arrays as one value: bytes of equal significance stand together, without leading zeros, each run compressed."""
+    z, head, body = zstandard.ZstdCompressor(level=1), [], []
+    for a in arrays:
+        b = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+        wide = a.itemsize
+        while wide > 1 and a.dtype.kind in "iu" and not b[:, wide - 1].any():
+            wide -= 1
+        planes = [np.ascontiguousarray(b[:, k]).tobytes() for k in range(wide)]
+        planes = [min(p, z.compress(p), key=len) if len(p) > 64 else p for p in planes]
+        head += [len(a), wide, *map(len, planes)]
+        body += planes
+    numbers = np.array(head, "<u4")
+    return len(numbers).to_bytes(4, "little") + numbers.tobytes() + b"".join(body)
 
 
 def unpack(blob: bytes, *types) -> list[np.ndarray]:
-    z, out, at = zstandard.ZstdDecompressor(), [], 0
-    for t in types:
-        n = int.from_bytes(blob[at : at + 4], "little")
-        out.append(np.frombuffer(z.decompress(blob[at + 4 : at + 4 + n]), t))
-        at += 4 + n
+    z, out = zstandard.ZstdDecompressor(), []
+    n = int.from_bytes(blob[:4], "little")
+    head, at = iter(np.frombuffer(blob[4 : 4 + 4 * n], "<u4").tolist()), 4 + 4 * n
+    for t in map(np.dtype, types):
+        size, wide = next(head), next(head)
+        b = np.zeros((size, t.itemsize), np.uint8)
+        for k in range(wide):
+            m = next(head)
+            p = blob[at : at + m]
+            b[:, k] = np.frombuffer(p if m == size else z.decompress(p), np.uint8)
+            at += m
+        out.append(b.reshape(-1).view(t))
     return out
 
 
-def _six(x: np.ndarray) -> np.ndarray:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-
-
-def _eight(b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = b.reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
-
-
-class Chunk:
-    """Tokens of some documents: per token its word, history, document."""
-
-    def __init__(self, lens: np.ndarray, held: np.ndarray, data: np.ndarray):
-        self.held = held.astype(bool)
-        hs, rows = [], []
-        offs = np.concatenate([[0], np.cumsum(lens.astype(np.int64))])
-        for lo, hi in tk.chunks(offs):
-            w = tk.words(tk.LOWERED[data[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo], tk.SPACE, lo)
-            at = w.first[1:]
-            hs.append(np.insert(w.hashes(), at, END))
-            rows.append(np.insert(w.row, at, np.arange(w.rows)) + lo)
-        self.word = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
-        self.doc = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.hist = np.empty_like(self.word)
-        self.hist[1:] = self.word[:-1]
-        new = np.ones(len(self.doc), bool)
-        new[1:] = self.doc[1:] != self.doc[:-1]
-        self.hist[new] = START
-        self.train = ~self.held[self.doc]
-
-    def vocabulary(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words, each token's index in them, training counts."""
-        v, at = np.unique(self.word, return_inverse=True)
-        return v, at, np.bincount(at, self.train, len(v)).astype(np.uint32)
-
-
-def part_of(word: np.ndarray, parts: int) -> np.ndarray:
-    return (tk.mix(word) % np.uint64(parts)).astype(np.int64)
-
-
-def pair_part(hist: np.ndarray, word: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
-    """Partition of a pair: by history, for hot histories by both."""
-    with np.errstate(over="ignore"):
-        x = np.where(tk.member(hist, hot) >= 0, tk.mix(word) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0)) if len(hot) else np.uint64(0)
-        return part_of(hist + x, parts)
-
-
-class Pairs:
-    """Distinct (history, word) of a chunk, ordered by partition, history, word; histories as runs."""
-
-    def __init__(self, c: Chunk, v: np.ndarray, at: np.ndarray, parts: int, hot: np.ndarray):
-        # pairs are named by the indices of their words; START has the index len(v)
-        hi = np.where(c.hist == START, len(v), np.concatenate([[0], at[:-1]]) if len(at) else at)
-        key, self.of, = np.unique(hi * (len(v) + 1) + at, return_inverse=True)
-        h_at, self.word_at = key // (len(v) + 1), key % (len(v) + 1)
-        hist = np.append(v, START)[h_at]
-        low = v[self.word_at] & LOW48 if len(v) else np.zeros(0, np.uint64)
-        part = pair_part(hist, low, parts, hot)
-        count = np.bincount(self.of, c.train, len(key)).astype(np.uint32)
-        order = np.lexsort((low, hist, part))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.of = back[self.of]
-        self.hist, self.low, self.part, self.count, self.word_at, self.hist_at = hist[order], low[order], part[order], count[order], self.word_at[order], h_at[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (self.hist[1:] != self.hist[:-1]) | (self.part[1:] != self.part[:-1])
-        self.run = np.flatnonzero(new)
-        self.run_of = np.cumsum(new) - 1
-
-
 def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """cid, meta (ids, which are not null, held, lengths), z (texts), n (training tokens), d (training documents)."""
+    """meta (ids, which are not null, held, tokens), body (words by falling frequency, tokens as numbers of them),
+    n (training tokens), d (training documents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,54 +97,53 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             ids, some = b.column(0).fill_null(0).to_numpy(), b.column(0).is_valid().to_numpy(zero_copy_only=False)
             held = b.column(2).to_numpy(zero_copy_only=False)
             for lo, hi in tk.chunks(offs, size):
-                part, lens = data[offs[lo] : offs[hi]], np.diff(offs[lo : hi + 1]).astype(np.uint32)
-                c = Chunk(lens, held[lo:hi], part)
-                with np.errstate(over="ignore"):
-                    cid = tk.mix(tk.span_hash(np.concatenate([c.word, ids[lo:hi].view(np.uint64), lens.astype(np.uint64)]), np.array([0]), np.array([len(c.word) + 2 * (hi - lo)])))
+                hashes, counts = [], []
+                own = offs[lo : hi + 1] - offs[lo]
+                part = data[offs[lo] : offs[hi]]
+                for s, e in tk.chunks(own):
+                    w = tk.words(tk.LOWERED[part[own[s] : own[e]]], own[s : e + 1] - own[s], tk.SPACE)
+                    hashes.append(np.insert(w.hashes(), w.first[1:], END))
+                    counts.append(w.counts() + 1)
+                counts = np.concatenate(counts)
+                words, at, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+                order = np.argsort(-often, kind="stable")
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order))
+                free = counts[~held[lo:hi]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cid.view(np.int64)), pa.array([pack(ids[lo:hi], some[lo:hi], held[lo:hi], lens)], pa.binary()), pa.array([pack(part)], pa.binary()), pa.array([int(c.train.sum())], pa.int64()), pa.array([int((~c.held).sum())], pa.int64())],
-                    names=["cid", "meta", "z", "n", "d"],
-                )
+                    [
+                        pa.array([pack(ids[lo:hi], some[lo:hi], held[lo:hi], counts.astype(np.int64))], pa.binary()), pa.array([pack(words[order], place[at])], pa.binary()),
+                        pa.array([int(free.sum())], pa.int64()), pa.array([len(free)], pa.int64()),
+                    ],
+                    names=["meta", "body", "n", "d"],
+                )
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (remainder(10) == 0).alias("held"))
-    return own.mapInArrow(run, "cid bigint, meta binary, z binary, n bigint, d bigint")
+    return own.mapInArrow(run, "meta binary, body binary, n bigint, d bigint")
 
 
-def _load(meta: bytes, z: bytes):
-    ids, some, held, lens = unpack(meta, np.int64, bool, bool, np.uint32)
-    return ids, some, Chunk(lens, held, unpack(z, np.uint8)[0])
+META = (np.int64, bool, bool, np.int64)
 
 
-ASK = "part int, cid bigint, blob binary"
-ANSWER = "part int, cid bigint, blob binary, stats array<double>"
+def part_of(x: np.ndarray, parts: int) -> np.ndarray:
+    return (tk.mix(x) % np.uint64(parts)).astype(np.int64)
 
 
-def _answers(asks: DataFrame, parts: int, merge) -> DataFrame:
-    """Rows of a partition together: ``merge(blobs)`` gives one answer for each blob and a list of statistics rows."""
+def runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of the runs of equal values."""
+    edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(x[a]), int(a), int(b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        last = None
 
-        def flush():
-            got, stats = merge([x for _, x in held])
-            n = len(held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([last] * (n + len(stats)), pa.int32()), pa.array([c for c, _ in held] + [None] * len(stats), pa.int64()), pa.array(got + [None] * len(stats), pa.binary()), pa.array([None] * n + stats, pa.list_(pa.float64()))],
-                names=["part", "cid", "blob", "stats"],
-            )
+def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of sorted batches, grouped by their first column: (value, iterator of rows)."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    return groupby(rows, itemgetter(0))
 
-        for b in batches:
-            for p, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if p != last and held:
-                    yield from flush()
-                    held = []
-                last = p
-                held.append((c, x))
-        if held:
-            yield from flush()
 
-    return asks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, ANSWER)
+def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def counts_of_counts(c: np.ndarray) -> np.ndarray:
@@ -209,203 +163,295 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def unigram(c: np.ndarray, total: float, d: np.ndarray, unknown: float, scale: float) -> np.ndarray:
-    """P(w) of words with the training counts c."""
-    c = c.astype(float)
-    return np.where(c > 0, scale * np.where(c <= FEW, d[np.minimum(c, FEW).astype(np.int64)], 1.0) * c / max(total, 1), unknown)
+class Unigram:
+    """P(w) from a word's training count."""
+
+    def __init__(self, total: int, whole: np.ndarray):
+        """``whole``: words seen, words seen 1 .. FEW + 1 times, tokens of words seen 1 .. FEW times and more often."""
+        self.total, self.words, self.d = total, whole[0], discounts(whole[1 : FEW + 2])
+        mass = whole[FEW + 2 :]
+        used = float((mass[:FEW] * self.d[1:]).sum() + mass[FEW]) / max(total, 1)
+        self.scale = min(1.0, (1 - 1 / (total + 1)) / used) if used > 0 else 1.0  # something is left for unknown words
+        self.unknown = 1 - used * self.scale
+
+    def __call__(self, c: np.ndarray) -> np.ndarray:
+        c = c.astype(float)
+        return np.where(c > 0, self.scale * np.where(c <= FEW, self.d[np.minimum(c, FEW).astype(np.int64)], 1.0) * c / max(self.total, 1), self.unknown)
 
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.1) / (self.total + 0.1 * (self.words + 1)))
 
-def _merge_words(blobs: list[bytes]):
-    parts = [unpack(b, np.uint64, np.uint32) for b in blobs]
-    sizes = [len(p[0]) for p in parts]
-    v, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    c = np.bincount(at, np.concatenate([p[1] for p in parts]), len(v))
-    out, pos = [], 0
-    for s in sizes:
-        out.append(pack(c[at[pos : pos + s]].astype(np.uint64)))
-        pos += s
-    n = counts_of_counts(c)
-    mass = np.bincount(np.minimum(c, FEW + 1).astype(np.int64), c, FEW + 2)[1:]
-    return out, [[0.0, float((c > 0).sum()), *n, *mass]]
 
+def freed(few: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Counts that discounts free, from the numbers of followers seen 1 .. FEW times."""
+    return (few * ((1 - d[1:]) * np.arange(1, FEW + 1))).sum(1)
 
-def _hot_words(limit: float):
-    def merge(blobs: list[bytes]):
-        out, stats = _merge_words(blobs)
-        parts = [unpack(b, np.uint64, np.uint32) for b in blobs]
-        v, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        c = np.bincount(at, np.concatenate([p[1] for p in parts]), len(v))
-        # a word's hash travels as two halves, which doubles hold exactly
-        return out, stats + [[1.0, float(x >> np.uint64(32)), float(x & np.uint64(0xFFFFFFFF))] for x in v[c > limit]]
 
-    return merge
+def below(before: np.ndarray, few: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Denominators of histories; where no discount frees anything, one more occurrence stands for the unseen."""
+    return np.maximum(before + (freed(few, d) <= 0), 1)
 
 
-def _merge_pairs(total: float, d: np.ndarray, unknown: float, scale: float, hot: np.ndarray):
-    def merge(blobs: list[bytes]):
-        hs, ls, cs, us, sizes, runs = [], [], [], [], [], []
+def seen(c: np.ndarray, before: np.ndarray, few: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of followers seen c times, and what their histories leave for all others, from the histories' counts
+    and the numbers of followers they saw 1 .. FEW times (both given for each follower)."""
+    left, whole = freed(few, d), below(before, few, d)
+    return np.where(c <= FEW, d[np.minimum(c, FEW).astype(np.int64)], 1.0) * c / whole, np.where(left <= 0, 1.0, left) / whole
+
+
+class Part:
+    """Tokens of one partition of the trigram table, and the counts that are whole in it."""
+
+    def __init__(self, blobs: list[bytes], hot: np.ndarray):
+        ids, often, v, u, w, self.doc, held_out, sizes = [], [], [], [], [], [], [], []
         for b in blobs:
-            h, n, low, cw, c = unpack(b, np.uint64, np.uint32, np.uint8, np.uint64, np.uint32)
-            hs.append(np.repeat(h, n))
-            ls.append(_eight(low))
-            us.append(cw)
-            cs.append(c)
-            sizes.append(len(c))
-            runs.append((h, n))
-        h, low, c, cw = (np.concatenate(x) for x in (hs, ls, cs, us))
-        order = np.lexsort((low, h))
-        h2, l2 = h[order], low[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (h2[1:] != h2[:-1]) | (l2[1:] != l2[:-1])
-        slot = np.cumsum(new) - 1
-        at = np.empty(len(order), np.int64)
-        at[order] = slot
-        count = np.bincount(at, c, int(new.sum()))
-        lead = order[new]
-        own = h[lead]
-        p = unigram(cw[lead], total, d, unknown, scale) * (count > 0)
-        first = np.ones(len(own), bool)
-        first[1:] = own[1:] != own[:-1]
-        group = np.cumsum(first) - 1
-        names = own[first]
-        mass = np.bincount(group, p, len(names))
-        few = np.stack([np.bincount(group, count == r, len(names)) for r in range(1, FEW + 1)], 1).astype(np.uint32)
-        out, pos = [], 0
-        for s, (rh, _) in zip(sizes, runs, strict=True):
-            g = np.searchsorted(names, rh)
-            out.append(pack(count[at[pos : pos + s]].astype(np.uint64), few[g].T, mass[g]))
-            pos += s
-        stats = [[0.0, *counts_of_counts(count)]]
-        for i in np.flatnonzero(tk.member(names, hot) >= 0):
-            stats.append([1.0, float(names[i] >> np.uint64(32)), float(names[i] & np.uint64(0xFFFFFFFF)), *map(float, few[i]), float(mass[i])])
-        return out, stats
-
-    return merge
-
-
-def _by_part(part: np.ndarray, parts_in_order: bool = True) -> Iterator[tuple[int, int, int]]:
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    edges = [0, *cuts.tolist(), len(part)]
-    for a, b in zip(edges, edges[1:], strict=False):
-        if b > a:
-            yield int(part[a]), a, b
-
-
-def _gathered(answers: DataFrame, name: str) -> DataFrame:
-    """One row for each chunk: its answers, ordered by partition."""
-    rows = answers.where("cid is not null").select("cid", F.struct("part", "blob").alias("x")).distinct()
-    return rows.groupBy("cid").agg(F.sort_array(F.collect_list("x")).alias(name))
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row for each document."""
-    spark = docs.sparkSession
-    chunks = cut(chunked(docs))
-    total, starts = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0))).first()
-    parts = int(min(MAX_PARTS, max(8, total // PART_TOKENS)))
+            i, c, dv, du, dw, doc, held = unpack(b, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.uint8)
+            ids.append(np.cumsum(i))
+            often.append(c)
+            v.append(np.cumsum(dv, dtype=np.int64))
+            u.append(du)
+            w.append(dw)
+            self.doc.append(doc)
+            held_out.append(np.unpackbits(held)[doc].astype(bool))
+            sizes.append(len(doc))
+        name, at = np.unique(np.concatenate(ids), return_inverse=True)
+        base = np.cumsum([0, *map(len, ids)])
+        local = [at[a:b] for a, b in zip(base[:-1], base[1:], strict=True)]
+        v, u, w = (np.concatenate([m[x] for m, x in zip(local, xs, strict=True)]) for xs in (v, u, w))
+        count = np.zeros(len(name), np.int64)
+        count[at] = np.concatenate(often)
+        train = ~np.concatenate(held_out)
+        self.name, self.count, self.sizes = name, count, np.array(sizes)
+        k = len(name)
+        add = lambda at, n, x=None: np.bincount(at, x, n)
+        # bigrams v w, histories u v, trigrams u v w
+        key, of2 = np.unique(v * k + w, return_inverse=True)
+        self.v2, self.w2, self.c2 = key // k, key % k, add(of2, len(key), train)
+        key, ofh = np.unique(u * k + v, return_inverse=True)
+        self.uh, self.vh = key // k, key % k
+        self.ch = add(ofh, len(key), train)
+        key, self.of = np.unique(ofh * k + w, return_inverse=True)
+        self.h3, self.c3 = key // k, add(self.of, len(key), train)
+        self.b3 = np.zeros(len(key), np.int64)
+        self.b3[self.of] = of2
+        self.cv = add(v, k, train)
+        self.is_hot = tk.member(name, hot) >= 0
+
+    def few(self, group: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+        """How many members of each group have the count 1 .. FEW (those that are counted at all)."""
+        ok = (c >= 1) & (c <= FEW)
+        at = group[ok] * FEW + c[ok].astype(np.int64) - 1
+        return np.bincount(at, minlength=n * FEW).reshape(n, FEW).astype(float)
+
+    def sums(self, one: Unigram) -> tuple[np.ndarray, np.ndarray]:
+        """SUMS of every v and of every u v."""
+        k, n = len(self.name), len(self.ch)
+        some = self.c2 > 0
+        mass = np.bincount(self.v2[some], one(self.count[self.w2[some]]), k)
+        of_v = np.concatenate([self.cv[:, None], self.few(self.v2, self.c2, k), mass[:, None], np.zeros((k, FEW))], 1)
+        some = self.c3 > 0
+        c2 = self.c2[self.b3]
+        above = np.bincount(self.h3[some], np.where(c2 > FEW, c2, 0)[some], n)
+        lower = np.where(some & (c2 <= FEW), c2, 0)
+        of_h = np.concatenate([self.ch[:, None], self.few(self.h3, self.c3, n), above[:, None], self.few(self.h3, lower, n)], 1)
+        return of_v, of_h
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the histories v and u v, the same in all partitions."""
+        with np.errstate(over="ignore"):
+            v = tk.mix(self.name.astype(np.uint64) * _SPREAD)
+            return v, tk.mix(v[self.vh] + tk.mix(self.name.astype(np.uint64)[self.uh] + np.uint64(7)))
+
+    def scores(self, one: Unigram, d2: np.ndarray, d3: np.ndarray, whole: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """log10 P of every token; ``whole`` (keys, sums) holds what other partitions know of hot words' histories."""
+        of_v, of_h = self.sums(one)
+        if whole is not None and self.is_hot.any():
+            name_v, name_h = self.keys()
+            of_v[self.is_hot] = whole[1][tk.member(name_v[self.is_hot], whole[0])]
+            mine = self.is_hot[self.vh]
+            of_h[mine] = whole[1][tk.member(name_h[mine], whole[0])]
+        before, few, mass = of_v[:, 0], of_v[:, 1 : FEW + 1], of_v[:, FEW + 1]
+        p1 = one(self.count[self.w2])
+        v, s = self.v2, self.c2.astype(float)
+        got, left = seen(s, before[v], few[v], d2)
+        p2 = np.where(before[v] > 0, np.where(s > 0, got, left / np.maximum(1 - mass[v], 1e-12) * p1), p1)
+        # what P(w | v) gives to the seen followers of u v
+        r = np.arange(1, FEW + 1)
+        lower = (of_h[:, FEW + 1] + (of_h[:, FEW + 2 :] * (d2[1:] * r)).sum(1)) / below(before, few, d2)[self.vh]
+        h, s = self.h3, self.c3.astype(float)
+        got, left = seen(s, of_h[h, 0], of_h[h, 1 : FEW + 1], d3)
+        p2 = p2[self.b3]
+        p3 = np.where(of_h[h, 0] > 0, np.where(s > 0, got, left / np.maximum(1 - lower[h], 1e-12) * p2), p2)
+        return np.log10(p3)[self.of]
+
+
+def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row for each document.
+
+    A word is hot above ``hot_tokens`` training tokens: by default two partitions, and one in MOST_HOT of all at least.
+    """
+    chunks = cut(chunked(docs)).withColumn("cid", F.monotonically_increasing_id())
+    total, starts, n_chunks = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0)), F.count("*")).first()
+    parts = int(max(8, total // part_tokens))
+    limit = max(2 * total // parts, total // MOST_HOT, 1) if hot_tokens is None else hot_tokens
+    tasks, chunk_tasks = min(parts, MOST_TASKS), min(max(n_chunks, 1), MOST_TASKS)
+    row = pa.schema([("part", pa.int32()), ("cid", pa.int64()), ("blob", pa.binary())])
+    answer = pa.schema([*row, ("stat", pa.list_(pa.float64())), ("hot", pa.int64())])
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for cid, meta, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                v, _, c = _load(meta, z)[2].vocabulary()
-                part = part_of(v, parts)
+            for cid, meta, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held, counts = unpack(meta, *META)[2:]
+                words, at = unpack(body, np.uint64, np.int32)
+                c = np.bincount(at, np.repeat(~held, counts), len(words)).astype(np.int64)
+                part = part_of(words, parts)
                 order = np.argsort(part, kind="stable")
-                rows = [(p, pack(v[order[s:e]], c[order[s:e]])) for p, s, e in _by_part(part[order])]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([cid] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["part", "cid", "blob"])
-
-    asked = chunks.select("cid", "meta", "z").mapInArrow(ask_words, ASK)
-    words = cut(_answers(asked, parts, _hot_words(total * HOT_SHARE)))
-    stats = [r.stats for r in words.where("stats is not null").select("stats").collect()]  # a row per partition, and the hot words
-    whole = np.sum([s[1:] for s in stats if s[0] == 0], 0) if stats else np.zeros(1 + FEW + 1 + FEW + 1)
-    hot = np.sort(np.array([START, *((int(s[1]) << 32) + int(s[2]) for s in stats if s[0] == 1)], np.uint64))
-    vocabulary, d1 = whole[0], discounts(whole[1 : FEW + 2])
-    mass = whole[FEW + 2 :]
-    used = float((mass[:FEW] * d1[1:]).sum() + mass[FEW]) / max(total, 1)
-    scale = min(1.0, (1 - 1 / (total + 1)) / used) if used > 0 else 1.0  # something is left for unknown words
-    unknown = 1 - used * scale
-
-    def with_counts(c: Chunk, answer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        v, at, _ = c.vocabulary()
-        part = part_of(v, parts)
-        order = np.argsort(part, kind="stable")
-        count = np.zeros(len(v), np.uint64)
-        got = {x["part"]: x["blob"] for x in answer}
-        for p, s, e in _by_part(part[order]):
-            count[order[s:e]] = unpack(got[p], np.uint64)[0]
-        return v, at, count
-
-    def ask_pairs(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                c = _load(b.column(1)[i].as_py(), b.column(2)[i].as_py())[2]
-                v, at, count = with_counts(c, b.column(3)[i].as_py())
-                x = Pairs(c, v, at, parts, hot)
-                run_part, ends = x.part[x.run], np.append(x.run[1:], len(x.part))
-                rows = []
-                for p, s, e in _by_part(run_part):
-                    if p % PASSES != turn:
-                        continue
-                    lo, hi = x.run[s], ends[e - 1]
-                    rows.append((p, pack(x.hist[x.run[s:e]], (ends[s:e] - x.run[s:e]).astype(np.uint32), _six(x.low[lo:hi]), count[x.word_at[lo:hi]], x.count[lo:hi])))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(rows), pa.int64()), pa.array([r for _, r in rows], pa.binary())], names=["part", "cid", "blob"])
-
-    counted = chunks.select("cid", "meta", "z").join(_gathered(words, "words"), "cid").select("cid", "meta", "z", "words")
-    pairs = None
-    for turn in range(PASSES):
-        merge = _merge_pairs(float(total), d1, unknown, scale, hot)
-        part = cut(_answers(counted.mapInArrow(lambda b, turn=turn: ask_pairs(b, turn), ASK), parts, merge))
-        pairs = part if pairs is None else pairs.unionByName(part)
-    stats = [r.stats for r in pairs.where("stats is not null").select("stats").collect()]  # bounded as above
-    d2 = discounts(np.sum([s[1:] for s in stats if s[0] == 0], 0) if stats else np.zeros(FEW + 1))
-    spread: dict[int, np.ndarray] = {}
-    for s in stats:
-        if s[0] == 1:
-            k = (int(s[1]) << 32) + int(s[2])
-            spread[k] = spread.get(k, 0) + np.array(s[3:])
-    hot_names = np.sort(np.array(list(spread), np.uint64))
-    hot_sums = np.array([spread[int(k)] for k in hot_names]).reshape(-1, FEW + 1)
+                yield batch([(p, cid, pack(words[order[s:e]], c[order[s:e]])) for p, s, e in runs(part[order])], row)
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in stream(batches):
+            cids, got = zip(*((cid, unpack(blob, np.uint64, np.int64)) for _, cid, blob in rows), strict=True)
+            words, at = np.unique(np.concatenate([w for w, _ in got]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([x for _, x in got]), len(words)).astype(np.int64)
+            place = np.empty(len(words), np.int64)
+            place[np.lexsort((words, -c))] = np.arange(len(words))
+            base = np.cumsum([0, *(len(w) for w, _ in got)])
+            out = [(part, cid, pack(place[at[s:e]], c[at[s:e]]), None, None) for cid, s, e in zip(cids, base[:-1], base[1:], strict=True)]
+            mass = np.bincount(np.minimum(c, FEW + 1), c, FEW + 2)[1:]
+            out.append((None, None, None, [float((c > 0).sum()), *counts_of_counts(c), *mass], None))
+            out += [(None, None, None, None, int(x) * parts + part + 1) for x in place[c > limit]]
+            yield batch(out, answer)
+
+    to_part = lambda df, n, key: df.repartition(n, key).sortWithinPartitions(key)
+    asked = chunks.select("cid", "meta", "body").mapInArrow(ask_words, "part int, cid bigint, blob binary")
+    words = cut(to_part(asked, tasks, "part").mapInArrow(count_words, "part int, cid bigint, blob binary, stat array<double>, hot bigint"))
+    stats = words.where("stat is not null").select(F.posexplode("stat").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    whole = np.zeros(1 + 2 * (FEW + 1))
+    for r in stats.collect():  # as many rows as the array has entries
+        whole[r.i] = r.x
+    one = Unigram(total, whole)
+    # at most total / limit rows, so MOST_HOT; id 0 is the start of a text
+    hot = np.sort(np.array([r.hot for r in words.where("hot is not null").select("hot").collect()] + [0] * (starts > limit), np.int64))
+
+    def ask_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cid, rows in stream(batches):
+            _, _, body, meta = next(rows)
+            _, _, held, counts = unpack(meta, *META)
+            names, tokens = unpack(body, np.uint64, np.int32)
+            n, docs = len(names), len(counts)
+            part = part_of(names, parts)
+            order = np.argsort(part, kind="stable")
+            ids, often = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+            spans = {p: (s, e) for p, s, e in runs(part[order])}
+            for _, p, blob, _ in rows:
+                place, c = unpack(blob, np.int64, np.int64)
+                at = order[slice(*spans[p])]
+                ids[at], often[at] = place * parts + p + 1, c
+            doc = np.repeat(np.arange(docs), counts)
+            c = often[tokens]
+            own = pack(np.bincount(doc, c > 0, docs).astype(np.int64), np.bincount(doc, one.base(c), docs))
+            out = [(cid % parts, cid, own, True)]
+            rank = np.empty(n + 1, np.int64)  # number of each word in the order of ids; the start of a text is n
+            by_id = np.argsort(ids, kind="stable")
+            rank[by_id] = np.arange(n + 1)
+            ids, often = ids[by_id], often[by_id]
+            w, start = rank[tokens], rank[n]
+            begin = np.cumsum(counts) - counts
+            v, u = np.empty_like(w), np.empty_like(w)
+            v[1:], u[2:] = w[:-1], w[:-2]
+            v[begin], u[begin] = start, start
+            u[begin[counts > 1] + 1] = start
+            to = part_of(ids.astype(np.uint64), parts)[v]
+            spread = (tk.member(ids, hot) >= 0)[v]
+            with np.errstate(over="ignore"):
+                to[spread] = part_of(ids[v[spread]].astype(np.uint64) * _SPREAD + tk.mix(ids[w[spread]].astype(np.uint64)), parts)
+            order = np.lexsort((u, v, to)) if n >= 1 << 20 or parts >= 1 << 23 else np.argsort((to << 40) | (v << 20) | u, kind="stable")
+            w, v, u, doc, to = w[order], v[order], u[order], doc[order].astype(np.int32), to[order]
+            bits = np.packbits(held)
+            for p, s, e in runs(to):
+                used, at = np.unique(np.concatenate([v[s:e], u[s:e], w[s:e]]), return_inverse=True)
+                lv, lu, lw = at.astype(np.int32).reshape(3, -1)
+                out.append((p, cid, pack(np.diff(ids[used], prepend=0), often[used], np.diff(lv, prepend=np.int32(0)), lu, lw, doc[s:e], bits), False))
+            yield batch(out, asks_row)
+
+    asks_row = pa.schema([*row, ("own", pa.bool_())])
+    both = chunks.select("cid", F.lit(-1).alias("part"), F.col("body").alias("blob"), "meta").unionByName(words.where("cid is not null").select("cid", "part", "blob", F.lit(None).cast("binary").alias("meta")))
+    asks = both.repartition(chunk_tasks, "cid").sortWithinPartitions("cid", "part").mapInArrow(ask_trigrams, "part int, cid bigint, blob binary, own boolean")
+    table = asks.repartition(tasks, "part")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of counts of bigrams and trigrams; sums of hot words' histories, by key and partition."""
+        for part, rows in stream(batches):
+            blobs = [blob for _, _, blob, own in rows if not own]
+            if not blobs:
+                continue
+            x = Part(blobs, hot)
+            out = [(None, part, [*counts_of_counts(x.c2), *counts_of_counts(x.c3)])]
+            if x.is_hot.any():
+                for key, sums, mine in zip(x.keys(), x.sums(one), (x.is_hot, x.is_hot[x.vh]), strict=True):
+                    out += [(int(k), part, s.tolist()) for k, s in zip(key[mine].view(np.int64), sums[mine], strict=True)]
+            yield batch(out, pa.schema([("key", pa.int64()), ("part", pa.int32()), ("x", pa.list_(pa.float64()))]))
+
+    tallied = table.sortWithinPartitions("part").mapInArrow(tally, "key bigint, part int, x array<double>")
+    of_orders = tallied.where("key is null").agg(*[F.coalesce(F.sum(F.col("x")[i]), F.lit(0.0)).alias(f"n{i}") for i in range(2 * FEW + 2)])
+    of_orders = of_orders.select(F.array(*of_orders.columns).alias("orders"), F.lit(0).alias("all"))  # one row
+    empty = lambda t: F.lit(None).cast(t)
+    asked = table.select("part", F.lit(1).alias("kind"), "cid", "blob", "own", empty("bigint").alias("key"), empty("array<double>").alias("x"))
+    if len(hot):
+        each = tallied.where("key is not null")
+        sums = each.groupBy("key").agg(F.array(*[F.sum(F.col("x")[i]) for i in range(SUMS)]).alias("x"))
+        back = each.select("key", "part").join(sums, "key").select("part", F.lit(0).alias("kind"), empty("bigint").alias("cid"), empty("binary").alias("blob"), empty("boolean").alias("own"), "key", "x")
+        asked = asked.unionByName(back).repartition(tasks, "part")
+    asked = asked.withColumn("all", F.lit(0)).join(F.broadcast(of_orders), "all").select("part", "kind", "cid", "blob", "own", "key", "x", "orders")
+    asked = asked.sortWithinPartitions("part", "kind")  # after the join, which would drop an order before it
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in stream(batches):
+            keys, sums, cids, blobs, out, orders = [], [], [], [], [], None
+            for _, _, cid, blob, own, key, x, orders in rows:
+                if key is not None:
+                    keys.append(key)
+                    sums.append(x)
+                elif own:
+                    out.append((0, cid, blob))
+                else:
+                    cids.append(cid)
+                    blobs.append(blob)
+            if blobs:
+                d2, d3 = discounts(np.array(orders[: FEW + 1])), discounts(np.array(orders[FEW + 1 :]))
+                names = np.array(keys, np.int64).view(np.uint64)
+                by = np.argsort(names)
+                x = Part(blobs, hot)
+                p = x.scores(one, d2, d3, (names[by], np.array(sums).reshape(-1, SUMS)[by]))
+                ends = np.cumsum(x.sizes)
+                for cid, s, e, doc in zip(cids, ends - x.sizes, ends, x.doc, strict=True):
+                    own = np.bincount(doc, p[s:e])
+                    at = np.unique(doc)
+                    out.append((1, cid, pack(np.diff(at, prepend=np.int32(0)), own[at])))
+            if out:
+                yield batch(out, pa.schema([("kind", pa.int32()), ("cid", pa.int64()), ("blob", pa.binary())]))
+
+    judged = asked.mapInArrow(judge, "kind int, cid bigint, blob binary")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                ids, some, c = _load(b.column(1)[i].as_py(), b.column(2)[i].as_py())
-                answers = b.column(3)[i].as_py()
-                v, at, count = with_counts(c, answers)
-                x = Pairs(c, v, at, parts, hot)
-                got = {a["part"] - parts: a["blob"] for a in answers}
-                run_part, ends = x.part[x.run], np.append(x.run[1:], len(x.part))
-                seen, few, mass = np.zeros(len(x.part), np.uint64), np.zeros((FEW, len(x.run))), np.zeros(len(x.run))
-                for p, s, e in _by_part(run_part):
-                    a, f, m = unpack(got[p], np.uint64, np.uint32, np.float64)
-                    seen[x.run[s] : ends[e - 1]], few[:, s:e], mass[s:e] = a, f.reshape(FEW, -1), m
-                names = x.hist[x.run]
-                k = tk.member(names, hot_names)
-                few[:, k >= 0], mass[k >= 0] = hot_sums[k[k >= 0], :FEW].T, hot_sums[k[k >= 0], FEW]
-                before = np.append(count, np.uint64(starts))[x.hist_at].astype(float)  # c(h) of each pair
-                left = (few * ((1 - d2[1:]) * np.arange(1, FEW + 1))[:, None]).sum(0)[x.run_of]
-                flat = left <= 0  # no discount frees anything: one more occurrence stands for the unseen
-                below = before + flat
-                left = np.where(flat, 1.0, left)
-                p1 = unigram(count[x.word_at], float(total), d1, unknown, scale)
-                s = seen.astype(float)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    p2 = np.where(s > 0, np.where(s <= FEW, d2[np.minimum(s, FEW).astype(np.int64)], 1.0) * s / below, left / below / np.maximum(1 - mass[x.run_of], 1e-12) * p1)
-                p2 = np.where(before > 0, p2, p1)
-                rows = len(ids)
-                add = lambda y: np.bincount(c.doc, y, rows)
-                cw = count[at].astype(float)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, mask=~some), pa.array(c.held), pa.array(add(np.ones(len(c.doc))).astype(np.int64)), pa.array(add(cw > 0).astype(np.int64)), pa.array(np.full(rows, total, np.int64)),
-                        pa.array(add(np.log10((cw + 0.1) / (total + 0.1 * (vocabulary + 1))))), pa.array(add(np.log10(p2)[x.of])),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for _, rows in stream(batches):
+            _, _, meta = next(rows)
+            ids, some, held, counts = unpack(meta, *META)
+            known, base, sums = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
+            for _, kind, blob in rows:
+                if kind == 0:
+                    known, base = unpack(blob, np.int64, np.float64)
+                else:
+                    at, x = unpack(blob, np.int32, np.float64)
+                    sums[np.cumsum(at)] += x
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=~some), pa.array(held), pa.array(counts), pa.array(known), pa.array(np.full(len(ids), total, np.int64)), pa.array(base), pa.array(sums)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
-    # Both answers are gathered together, so that chunks are shuffled once; pairs' partitions are numbered after words'.
-    both = words.unionByName(pairs.withColumn("part", F.col("part") + parts))
-    ready = chunks.select("cid", "meta", "z").join(_gathered(both, "answers"), "cid").select("cid", "meta", "z", "answers")
-    return ready.mapInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    every = chunks.select("cid", F.lit(-1).alias("kind"), F.col("meta").alias("blob")).unionByName(judged.select("cid", "kind", "blob"))
+    last = every.repartition(chunk_tasks, "cid").sortWithinPartitions("cid", "kind")
+    return last.mapInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def digest(docs: DataFrame) -> DataFrame:

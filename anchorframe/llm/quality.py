@@ -214,22 +214,15 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE,
     return Model(start, cuts, tables, [(i, j, coarse[i], coarse[j], t) for i, j, t in chosen])
 
 
-def sampled(rows: DataFrame, labels: DataFrame, target: str, held, bound: int, seed: int, chars: int | None = None) -> DataFrame:
+def sampled(rows: DataFrame, labels: DataFrame, target: str, held, bound: int, seed: int) -> DataFrame:
     """Rows with their label ``y``: about ``bound`` of those that may be learned from, chosen by a hash of doc_id.
 
-    With ``chars`` the share is lowered so that about so many characters of ``text`` are chosen, if there are more. A
-    doc_id with several label rows counts once, with their greatest value.
+    A doc_id with several label rows counts once, with their greatest value.
     """
     y = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).cast("double").alias("y"))
     y = y.where(~held).groupBy("doc_id").agg(F.max("y").alias("y"))
     n = y.count()
-    share = min(1.0, bound / n) if n else 0.0
-    chosen = y.where(unit("doc_id", seed=seed) < share)
-    if chars is not None and n:
-        size = rows.join(chosen.select("doc_id"), "doc_id", "left_semi").agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-        if size > chars:
-            chosen = y.where(unit("doc_id", seed=seed) < share * chars / size)
-    return rows.join(chosen, "doc_id")
+    return rows.join(y.where(unit("doc_id", seed=seed) * n < bound), "doc_id")
 
 
 def train(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

@@ -6,8 +6,8 @@ have is left out of training. FTRL-proximal keeps two numbers per coordinate (a
 gradient), which give every coordinate its own learning rate, and an L1 threshold that holds all coordinates without
 evidence at exactly zero. The model that is broadcast is the list of its nonzero coordinates.
 
-Labels are learned from a bounded sample: about ``sample`` labelled documents, or fewer so that their texts have about
-SAMPLE_BYTES characters, chosen by a hash of doc_id. FTRL is sequential, so one executor task makes the sample's
+Labels are learned from a bounded sample: about ``sample`` labelled documents, and no more once their texts fill
+SAMPLE_BYTES, chosen and ordered by hashes of doc_id. FTRL is sequential, so one executor task makes the sample's
 features and fits; only the model (its nonzero coordinates) goes to the driver. All documents are scored, whole.
 
 Defined results: null text is empty text and scores the bias; null labels are ignored; without labels the score is 0.5;
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkit as tk
-from .common import map_rows, remainder, struct_array
+from .common import map_rows, remainder, struct_array, unit
 from .quality import sampled
 
 SAMPLE, BITS, EPOCHS = 10_000, 22, 4
-#: Characters of sampled texts: bounds the training task where texts are long.
+#: Bytes of sampled texts: bounds the training task where texts are long.
 SAMPLE_BYTES = 256 << 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 #: A word longer than so many bytes also counts under its first bytes, so inflected forms share evidence.
@@ -68,17 +68,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(row, self.weight[i], w.rows), -30, 30)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """FTRL-proximal over the rows in the given order; each row is its distinct coordinates."""
+def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """FTRL-proximal over the documents in the given order; each has the next ``counts`` distinct coordinates of x."""
     if not len(y):
         return Model(0.0, np.zeros(0, np.int64), np.zeros(0))
-    docs, place = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    for x in rows:
-        docs[x] += 1
+    docs = np.bincount(x, minlength=1 << BITS)
     known = np.flatnonzero(docs >= LEAST_DOCS)
     size = len(known)
+    place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(size)
-    rows = [place[x[docs[x] >= LEAST_DOCS]] for x in rows]
+    x = place[x]
+    ends = np.cumsum(np.add.reduceat(np.append(x >= 0, False), np.minimum(np.cumsum(counts) - counts, len(x))) * (counts > 0))
+    x = x[x >= 0]
     del docs, place
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     mean = (y.sum() + 1) / (len(y) + 2)
@@ -90,10 +91,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Model:
 
     bias = np.array([size])
     for _ in range(epochs):
-        for x, t in zip(rows, y, strict=True):
-            w, b = weights(x, L1), weights(bias, 0.0)
+        for lo, hi, t in zip([0, *ends[:-1].tolist()], ends.tolist(), y, strict=True):
+            own = x[lo:hi]
+            w, b = weights(own, L1), weights(bias, 0.0)
             g = 1 / (1 + np.exp(-np.clip(prior + b[0] + w.sum(), -30, 30))) - t
-            for i, v in ((x, w), (bias, b)):
+            for i, v in ((own, w), (bias, b)):
                 sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
                 z[i] += g - sigma * v
                 n[i] += g * g
@@ -102,26 +104,32 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Model:
     return Model(prior + float(weights(bias, 0.0)[0]), known[at], w[at])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_BYTES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, ids, y = [], [], []
+        xs, counts, y, left = [], [], [], size
         for b in batches:
-            ids.append(b.column(0).to_numpy())
-            y.append(b.column(1).to_numpy())
-            for w in tk.tokenize(b.column(2), tk.NOT_ALNUM):
+            own, t = b.column(1), b.column(0).to_numpy()
+            _, offs = tk.column_bytes(own)
+            keep = int(np.searchsorted(offs, left, "right"))  # documents that begin within the bound
+            left -= int(offs[min(keep, len(own))])
+            y.append(t[:keep])
+            for w in tk.tokenize(own.slice(0, keep), tk.NOT_ALNUM):
                 row, x = tk.uniq_pairs(*coordinates(w))
-                cuts = np.searchsorted(row, np.arange(w.rows + 1))
-                rows += [x[cuts[i] : cuts[i + 1]].astype(np.int32) for i in range(w.rows)]
-        ids, y = (np.concatenate(v) if v else np.zeros(0) for v in (ids, y))
-        order = np.lexsort((y, tk.mix(ids.astype(np.int64).view(np.uint64))))
-        m = fit([rows[i] for i in order], y[order])
+                xs.append(x.astype(np.int32))
+                counts.append(np.bincount(row, minlength=w.rows))
+            if left < 0:
+                break
+        x, counts, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, counts, y))
+        del xs
+        m = fit(x, counts, y)
         yield pa.RecordBatch.from_arrays([pa.array([len(y)]), pa.array([m.bias]), pa.array([m.at.tobytes()], pa.binary()), pa.array([m.weight.tobytes()], pa.binary())], names=["n", "bias", "at", "weight"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    chosen = sampled(texts, labels, "toxic", remainder(4) == 2, sample, 5, chars).select("doc_id", "y", "text")
-    got = chosen.repartition(1).mapInArrow(run, "n bigint, bias double, at binary, weight binary").collect()
+    chosen = sampled(texts, labels, "toxic", remainder(4) == 2, sample, 5).select("y", "text", unit("doc_id", seed=6).alias("u"), "doc_id")
+    one = chosen.repartition(1).sortWithinPartitions("u", "doc_id", "text").select("y", "text")
+    got = one.mapInArrow(run, "n bigint, bias double, at binary, weight binary").collect()  # one row, the model
     if not got:
-        return fit([], np.zeros(0))
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return Model(got[0].bias, np.frombuffer(got[0].at, np.int64), np.frombuffer(got[0].weight, np.float64), got[0].n)
 
 

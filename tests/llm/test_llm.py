@@ -244,38 +244,69 @@ def test_substrings(spark, docs, rows):
     assert substrings.dedup_substrings(empty(spark)).count() == 0
 
 
-def test_katz_is_normalised_and_exact(spark, docs, rows, monkeypatch):
+@pytest.mark.parametrize("hot", [None, 20])
+def test_katz_is_normalised_and_exact(spark, docs, rows, monkeypatch, hot):
     monkeypatch.setattr(katz.chunked, "__defaults__", (2000,))
-    got = {(r.doc_id, r.n_tokens): r for r in katz.score(docs).collect()}
+    got = {(r.doc_id, r.n_tokens): r for r in katz.score(docs, hot_tokens=hot).collect()}
     toks = [(i, words(t, True) + ["</s>"]) for i, t, _ in rows]
     held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in toks}
-    uni, bi, hist = Counter(), Counter(), Counter()
-    for i, w in toks:
+    padded = [(i, ["<s>", "<s>", *w]) for i, w in toks]
+    uni, bi, tri, h1, h2 = Counter(), Counter(), Counter(), Counter(), Counter()
+    for i, w in padded:
         if not held[i]:
-            uni.update(w)
-            bi.update(zip(["<s>", *w[:-1]], w, strict=True))
-            hist.update(["<s>", *w[:-1]])
+            uni.update(w[2:])
+            bi.update(zip(w[1:], w[2:], strict=False))
+            tri.update(zip(w, w[1:], w[2:], strict=False))
+            h1.update(w[1:-1])
+            h2.update(zip(w[:-2], w[1:-1], strict=True))
+    if hot:
+        assert max(h1.values()) > hot and max(h2.values()) > hot  # words and pairs that are spread over partitions
     n = sum(uni.values())
-    d1, d2 = (katz.discounts(katz.counts_of_counts(np.array(list(c.values())))) for c in (uni, bi))
+    d1, d2, d3 = (katz.discounts(katz.counts_of_counts(np.array(list(c.values())))) for c in (uni, bi, tri))
     d = lambda t, c: t[c] if c <= katz.FEW else 1.0
     p1 = lambda w: d(d1, uni[w]) * uni[w] / n if uni[w] else 1 - sum(d(d1, c) * c for c in uni.values()) / n
-
-    def p2(h, w):
-        if not hist[h]:
-            return p1(w)
-        left = sum((1 - d(d2, c)) * c for (x, _), c in bi.items() if x == h)
-        total, left = (hist[h] + 1, 1) if left <= 0 else (hist[h], left)
-        return d(d2, bi[h, w]) * bi[h, w] / total if bi[h, w] else left / total / (1 - sum(p1(y) for x, y in bi if x == h)) * p1(w)
-
-    assert abs(sum(p2("w1", w) for w in uni) + p2("w1", None) - 1) < 1e-9
+    after1, after2 = {}, {}
+    for (x, y), c in bi.items():
+        after1.setdefault(x, {})[y] = c
+    for (x, y, z), c in tri.items():
+        after2.setdefault((x, y), {})[z] = c
+
+    def back_off(h, w, count, after, disc, lower):
+        if not count[h]:
+            return lower(w)
+        f = after[h]
+        left = sum((1 - d(disc, c)) * c for c in f.values())
+        total, left = (count[h] + 1, 1) if left <= 0 else (count[h], left)
+        return d(disc, f[w]) * f[w] / total if w in f else left / total / (1 - sum(lower(y) for y in f)) * lower(w)
+
+    p2 = lambda h, w: back_off(h, w, h1, after1, d2, p1)
+    p3 = lambda g, h, w: back_off((g, h), w, h2, after2, d3, lambda y: p2(h, y))
+    g, h = max(h2, key=h2.get)
+    assert abs(sum(p3(g, h, w) for w in uni) + p3(g, h, None) - 1) < 1e-9
     for i, w in toks[:4] + toks[20:30]:
-        g = got[i, len(w)]
-        assert abs(g.score - sum(np.log10(p2(h, x)) for h, x in zip(["<s>", *w[:-1]], w, strict=True))) < 1e-6 * (1 + abs(g.score))
-        assert abs(g.base_score - sum(np.log10((uni[x] + 0.1) / (n + 0.1 * (len(uni) + 1))) for x in w)) < 1e-6 * (1 + abs(g.base_score))
-        assert (g.held_out, g.n_known, g.train_tokens) == (held[i], sum(uni[x] > 0 for x in w), n)
+        r = got[i, len(w)]
+        want = sum(np.log10(p3(*x)) for x in zip(["<s>", "<s>", *w[:-2]], ["<s>", *w[:-1]], w, strict=False))
+        assert abs(r.score - want) < 1e-6 * (1 + abs(want))
+        assert abs(r.base_score - sum(np.log10((uni[x] + 0.1) / (n + 0.1 * (len(uni) + 1))) for x in w)) < 1e-6 * (1 + abs(r.base_score))
+        assert (r.held_out, r.n_known, r.train_tokens) == (held[i], sum(uni[x] > 0 for x in w), n)
+    assert len(got) == len({(i, len(w)) for i, w in toks})
     assert katz.score(empty(spark)).count() == 0
 
 
+def test_katz_leaves_other_queries_alone(spark, docs):
+    """Other queries of the session that run beside the scoring keep their right results."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def other(k):
+        out = spark.range(300_000).selectExpr(f"id % {700 + k} as g", "id as x").groupBy("g").sum("x").groupBy().sum("sum(x)").first()[0]
+        return out == 300_000 * 299_999 // 2
+
+    with ThreadPoolExecutor(4) as pool:
+        scored = [pool.submit(lambda: katz.score(docs).count()) for _ in range(2)]
+        assert all(pool.map(other, range(12)))
+        assert {s.result() for s in scored} == {docs.count()}
+
+
 def test_classifiers_learn_and_survive_odd_tables(spark, docs):
     r = random.Random(2)
     rows, labels = [], []
@@ -304,7 +335,7 @@ def test_toxicity_learns_from_ten_thousand_labels(spark):
     df = spark.range(24_000).selectExpr("id as doc_id", "concat('w', id % 50, ' v', id % 2) as text")
     labels = df.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
     assert 9_500 < toxicity.train(df, labels).learned < 10_500
-    assert toxicity.train(df, labels, chars=20_000).learned < 6_000  # a bound on characters, too
+    assert toxicity.train(df, labels, size=20_000).learned < 6_000  # a bound on bytes, too
     assert toxicity.train(df, labels.unionByName(labels)).learned < 10_500  # repeated labels count once
 
 
