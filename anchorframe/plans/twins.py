@@ -7,7 +7,7 @@ tot AS (SELECT max(i) + 1 AS n FROM o),
 m0 AS (SELECT i, c, CAST(j AS INTEGER) j, i // 64 AS b, (j > 0 AND (i // 64 + j) % 11 = 0) AS inv FROM o, (SELECT unnest(range(5)) AS j)),
 m1 AS (SELECT *, CASE WHEN inv THEN b * 64 + 63 - i % 64 WHEN j = 2 AND i % 37 = 5 AND i % 64 <> 63 THEN i + 1
   WHEN j = 2 AND i % 37 = 6 AND i % 64 <> 0 THEN i - 1 ELSE i END AS slot FROM m0),
-mums AS (SELECT i AS mum_id, j AS seq_idx, CAST(slot * {slot} + (c * (j + 3) + i) % 136 AS BIGINT) AS start, CAST(20 + c % 100 AS BIGINT) AS length, NOT inv AS strand FROM m1),
+mums AS MATERIALIZED (SELECT i AS mum_id, j AS seq_idx, CAST(slot * {slot} + (c * (j + 3) + i) % 136 AS BIGINT) AS start, CAST(20 + c % 100 AS BIGINT) AS length, NOT inv AS strand FROM m1),
 part_ AS (SELECT mum_id, seq_idx, CASE WHEN seq_idx > 0 AND mum_id % 29 = seq_idx THEN -1 ELSE start END AS start, length, strand FROM mums),
 c0 AS (SELECT CAST(n_nationkey AS BIGINT) k, n_name AS contig, CAST(j AS INTEGER) AS seq_idx, CAST((n * 256 + 24) // 25 + (n_nationkey * 37 + j * 101) % 1000 AS BIGINT) AS length
   FROM nation, tot, (SELECT unnest(range(5)) AS j)),
@@ -18,17 +18,18 @@ _B = """,
 np AS (SELECT seq_idx, CASE WHEN strand THEN mum_id ELSE nid END AS l, CASE WHEN strand THEN nid ELSE mum_id END AS r
   FROM (SELECT *, lead(mum_id) OVER w AS nid, lead(strand) OVER w AS nstrand FROM mums WINDOW w AS (PARTITION BY seq_idx ORDER BY start, mum_id)) WHERE strand = nstrand),
 ca AS (SELECT l, r FROM np GROUP BY l, r HAVING count(*) = 5),
-bl AS (SELECT min(l) AS s, max(l) + 1 AS e FROM (SELECT l, l - row_number() OVER (ORDER BY l) AS g FROM ca WHERE r = l + 1) GROUP BY g)"""
+bl AS MATERIALIZED (SELECT min(l) AS s, max(l) + 1 AS e FROM (SELECT l, l - row_number() OVER (ORDER BY l) AS g FROM ca WHERE r = l + 1) GROUP BY g)"""
 _O = """,
 mk AS (SELECT mum_id, CAST(sum(CASE WHEN strand THEN 0 ELSE 1 << seq_idx END) AS BIGINT) AS mask FROM mums GROUP BY mum_id),
 op AS (SELECT l FROM ca JOIN mk a ON a.mum_id = l JOIN mk b ON b.mum_id = r WHERE r = l + 1 AND a.mask = b.mask),
 ob0 AS (SELECT min(l) AS s, max(l) + 1 AS e FROM (SELECT l, l - row_number() OVER (ORDER BY l) AS g FROM op) GROUP BY g),
 ob AS (SELECT row_number() OVER (ORDER BY s) - 1 AS block, s, e, e - s + 1 AS n FROM ob0)"""
 _L = """,
-lf AS (SELECT region_id, r.seq_idx, r.start AS s, r."end" - 1 AS e_incl,
-    (SELECT arg_max(mum_id, (start, mum_id)) FROM mums m WHERE m.seq_idx = r.seq_idx AND m.start <= r.start) AS left_id,
-    (SELECT arg_min(mum_id, (start + length, mum_id)) FROM mums m WHERE m.seq_idx = r.seq_idx AND m.start + m.length > r."end" - 1) AS right_id FROM regions r),
-bd AS (SELECT lf.*, a.start AS left_start, a.start + a.length AS left_end, b.start AS right_start, b.start + b.length AS right_end
+ml AS MATERIALIZED (SELECT seq_idx, start, max(mum_id) AS mum_id FROM mums GROUP BY seq_idx, start),
+mr AS MATERIALIZED (SELECT seq_idx, start + length AS "end", min(mum_id) AS mum_id FROM mums GROUP BY ALL),
+lf AS (SELECT r.region_id, r.seq_idx, r.start AS s, r."end" - 1 AS e_incl, a.mum_id AS left_id, b.mum_id AS right_id FROM regions r
+  ASOF JOIN ml a ON a.seq_idx = r.seq_idx AND a.start <= r.start ASOF JOIN mr b ON b.seq_idx = r.seq_idx AND b."end" >= r."end"),
+bd AS MATERIALIZED (SELECT lf.*, a.start AS left_start, a.start + a.length AS left_end, b.start AS right_start, b.start + b.length AS right_end
   FROM lf JOIN mums a ON a.mum_id = left_id AND a.seq_idx = lf.seq_idx JOIN mums b ON b.mum_id = right_id AND b.seq_idx = lf.seq_idx),
 ofs AS (SELECT *, CASE WHEN s < left_end THEN s - left_start ELSE 0 END AS left_off, CASE WHEN e_incl >= right_start THEN e_incl - right_start ELSE 0 END AS right_off,
   CASE WHEN s < left_end THEN 0 ELSE s - (left_end - 1) END AS left_margin, CASE WHEN e_incl >= right_start THEN 0 ELSE right_start - e_incl END AS right_margin FROM bd),
@@ -38,11 +39,12 @@ loc AS (SELECT lift.*, a.contig AS ac, a.off AS ao, b.contig AS bc, b.off AS bo
   LEFT JOIN contigs a ON a.seq_idx = lift.seq_idx AND a.off <= start AND start < a.off + a.length
   LEFT JOIN contigs b ON b.seq_idx = lift.seq_idx AND b.off <= end_incl AND end_incl < b.off + b.length)"""
 _G = """,
-gp AS (SELECT unnest(range(s, e)) AS gap FROM bl),
-gaps AS (SELECT gap, a.seq_idx, CASE WHEN b.start < a.start THEN b.start + b.length ELSE a.start + a.length END AS "left",
+gp AS MATERIALIZED (SELECT unnest(range(s, e)) AS gap FROM bl),
+nx AS MATERIALIZED (SELECT mum_id - 1 AS gap, seq_idx, start, length FROM mums),
+gaps AS MATERIALIZED (SELECT gp.gap, a.seq_idx, CASE WHEN b.start < a.start THEN b.start + b.length ELSE a.start + a.length END AS "left",
     CASE WHEN b.start < a.start THEN a.start ELSE b.start END AS "right",
     abs(a.start - b.start) - CASE WHEN b.start < a.start THEN b.length ELSE a.length END AS gap_len
-  FROM gp JOIN mums a ON a.mum_id = gap JOIN mums b ON b.mum_id = gap + 1 AND b.seq_idx = a.seq_idx),
+  FROM gp JOIN mums a ON a.mum_id = gp.gap JOIN nx b ON b.gap = gp.gap AND b.seq_idx = a.seq_idx),
 md AS (SELECT gap, median(gap_len) AS med FROM gaps GROUP BY gap),
 mdd AS (SELECT gap, seq_idx, gap_len, med FROM gaps JOIN md USING (gap)),
 mad AS (SELECT gap, CASE WHEN median(abs(gap_len - med)) = 0 THEN 1.0 ELSE median(abs(gap_len - med)) END AS mad FROM mdd GROUP BY gap),
@@ -65,7 +67,7 @@ fold AS (
   FROM fold JOIN sr ON sr.rn = fold.rn + 1, LATERAL (SELECT sr.brk OR (sr.fwd AND e0 + e1 + e2 + e3 + e4 - l0 - l1 - l2 - l3 - l4 > 5 * 20000) AS cut) x),
 cuts AS (SELECT mum_id, unnest([0, 1, 2, 3, 4]) AS seq_idx, unnest([e0, e1, e2, e3, e4]) AS "end" FROM fold JOIN sr USING (rn) WHERE fold.cut)"""
 _SP = """,
-sp0 AS (SELECT seq_idx, start // 200 AS bin, min(start) AS span_min, max(start + length) AS span_max FROM mums WHERE mum_id % 3 = 0 GROUP BY ALL)"""
+sp0 AS (SELECT seq_idx, start // 200 AS bin, min(start) AS span_min, max(start + length) AS span_max FROM mums GROUP BY ALL)"""
 
 
 def _q(select: str, *extra: str, slot: int = 256, recursive: bool = False) -> str:
@@ -216,14 +218,14 @@ fo AS (SELECT gap AS cut, seq_idx, "left" + gap_len // 2 AS start, true AS stran
 q AS (SELECT *, regexp_extract(path, '[^/]*$') AS base FROM p),
 r AS (SELECT *, regexp_replace(base, '\\.[^.]*$', '') AS stem, CASE WHEN base LIKE '%.%' THEN regexp_extract(base, '\\.[^.]*$') ELSE '.fa' END AS ext FROM q)
 SELECT contig, path, CASE WHEN count(*) OVER (PARTITION BY stem, ext) = 1 THEN stem || '_extract' || ext ELSE stem || '_extract_' || contig || '_' || start || '_' || "end" || ext END AS name FROM r""",
-    "fasta_missing": _SLICE + "SELECT DISTINCT path, contig FROM sl WHERE length(text) % 3 = 0",
+    "fasta_missing": _SLICE + "SELECT DISTINCT path || '.absent' AS path, contig FROM sl",
     "reverse_complement": f"SELECT doc_id, reverse(translate({_DNA.format(x="coalesce(text, '')")}, 'ACGTacgt', 'TGCAtgca')) AS rc FROM documents",
     "strand_mirror": _q("SELECT mum_id, m.seq_idx, CASE WHEN strand THEN start ELSE CAST(total AS BIGINT) - start - m.length END AS start FROM mums m JOIN (SELECT seq_idx, sum(length) AS total FROM contigs GROUP BY seq_idx) t ON t.seq_idx = m.seq_idx"),
     "region_parse": _LR + ' SELECT region_id, contig, s AS start, e AS "end" FROM lr',
     "path_functions": """SELECT page_id, url LIKE 'http://%' OR url LIKE 'https://%' AS is_url, left(coalesce(nullif(trim(regexp_replace(url, '[^A-Za-z0-9_.\\-]+', '_', 'g'), '._'), ''), 'region'), 40) AS safe,
 regexp_extract(url, '[^/]*$') AS base FROM pages""",
     "haplotype_ids": "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'CHM13#1#chr7' ELSE lower(left(n_name, 5)) || '#' || (n_nationkey % 2 + 1) || '#chr7' END AS hap FROM nation",
-    "split_multifasta": """SELECT item_id % 7 AS file_id, row_number() OVER (PARTITION BY item_id % 7 ORDER BY item_id) - 1 AS record, '>r' || item_id AS header, left(replace(text, '>', ''), 60) AS seq FROM benchmark""",
+    "split_multifasta": """SELECT item_id % 7 AS file_id, row_number() OVER (PARTITION BY item_id % 7 ORDER BY item_id) - 1 AS record, '>r' || item_id AS header, replace(text, '>', '') AS seq FROM benchmark""",
     "block_polygons": _q(
         """SELECT block, seq_idx, x0, x1, y0, y1 FROM (SELECT *, lead(x0) OVER w AS y0, lead(x1) OVER w AS y1 FROM (SELECT block, a.seq_idx, least(a.start, b.start) AS x0, greatest(a.start + a.length, b.start + b.length) AS x1
 FROM ob JOIN mums a ON a.mum_id = s JOIN mums b ON b.mum_id = e AND b.seq_idx = a.seq_idx) WINDOW w AS (PARTITION BY block ORDER BY seq_idx)) WHERE y0 IS NOT NULL""",
