@@ -7,18 +7,20 @@ exchange of dictionaries. Whether a boundary survives a round depends on its two
 carries the hull of words that decided its fate so far: inside equal substrings, boundaries whose hull lies inside are
 the same.
 
-A window of ``window`` words takes as its anchor the boundary of the highest round whose hull lies within the window; among
-several, the one whose hull has the least name, which neighbouring windows mostly share. The anchor is a function of the window's words alone, so equal windows have equal anchors at equal
-offsets; a window without any has its own hash as its key. Per anchor, and not per window, one row goes through Spark:
+A window of ``window`` words takes as its anchor the boundary of the highest round whose hull lies within the window;
+among several, the one whose hull has the least name, which neighbouring windows mostly share. The anchor is a function of
+the window's words alone, so equal windows have equal anchors at equal offsets; a window without any has its own hash as
+its key. What goes through Spark are the symbols that anchors stand for, and not windows:
 
-1. rows are counted by key (the name of the hull around the anchor); what occurs once is unrepeated, and most is;
-2. a key whose rows all have the same context (all words of all windows of the anchor) proves these windows repeated;
-3. only for keys with different contexts the single windows are counted, by the hash of their words;
-4. what repeated windows cover is cut out of the documents.
+1. Naming: chunks of documents send the name of every anchor's hull with its context (all words of all windows of the
+   anchor) to partitions by name, each distinct pair once with its number. A name that the corpus holds once is
+   unrepeated, and most are. A name with one context only proves all its windows repeated.
+2. Verification: only where a shared name has different contexts, single windows are sent, by two hashes of their words.
+3. What repeated windows cover is cut out of the documents.
 
-Counts are mergeable aggregates; joins are by key or by the hash of a whole text (copies of a text share their result),
-and hot keys only meet one row of the other side, so Spark may split them. Equality is decided on 64-bit hashes of word
-sequences.
+A chunk sends equal names once, so copies of a text or a passage that a third of all documents share add one entry for
+each chunk. Chunks are dealt to partitions once and stay there; only the packed names travel. Equality is decided on 128
+bits of hashes of word sequences (name and context, or two window hashes).
 
 Defined results: null and empty texts have no words and keep the empty string; texts shorter than a window lose nothing;
 repeated rows are occurrences of their own and so repeat each other; null ids are kept; empty tables give empty results;
@@ -31,12 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkit as tk
-from .common import cut, map_rows, struct_array
+from .common import cut, struct_array
+from .exchange import batch, beside, distinct, pack, part_of, runs, stream, unpack
 
-WINDOW, ROUNDS = 35, 2
+WINDOW, ROUNDS = 35, 5
+#: Bytes of text in a chunk, chunks for each table partition, and tasks of a stage at most.
+CHUNK, PART_CHUNKS, MOST_TASKS = 6 << 20, 4, 20_000
 _FAR = 1 << 40
 
 
@@ -124,90 +130,192 @@ def anchors(w: tk.Words, h: np.ndarray, window: int = WINDOW) -> dict[str, np.nd
     return {"row": w.row[s1], "key": key, "ctx": ctx, "s1": s1, "s2": s2}
 
 
-def _rows(texts: DataFrame, window: int) -> DataFrame:
-    """key, ctx, th, s1, s2 (within the document) of every anchor of every text."""
-
+def chunked(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """cid and body: rows of about ``size`` bytes of text as one compressed Arrow stream."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cid = TaskContext.get().partitionId() << 32
         for b in batches:
-            th = b.column(0).to_numpy()
-            for w in tk.tokenize(b.column(1), lower=False):
-                a = anchors(w, w.hashes(), window)
-                base = w.first[a["row"]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a["key"].view(np.int64)), pa.array(a["ctx"].view(np.int64)), pa.array(th[w.lo + a["row"]]), pa.array((a["s1"] - base).astype(np.int32)), pa.array((a["s2"] - base).astype(np.int32))],
-                    names=["key", "ctx", "th", "s1", "s2"],
-                )
-
-    return texts.mapInArrow(run, "key bigint, ctx bigint, th bigint, s1 int, s2 int")
-
-
-def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """wh, th, s of the windows of the ranges in column ``open``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            th, ranges = b.column(0).to_numpy(), b.column(2)
-            offs = ranges.offsets.to_numpy()
-            flat = ranges.flatten()
-            r1, r2 = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            offs = offs - offs[0]
-            for w in tk.tokenize(b.column(1), lower=False):
-                h = w.hashes()
-                p = tk.prefix(h)
-                lo, hi = offs[w.lo], offs[w.hi]
-                row = np.repeat(np.arange(w.rows), np.diff(offs[w.lo : w.hi + 1]))
-                s1, reps = r1[lo:hi] + w.first[row], r2[lo:hi] - r1[lo:hi] + 1
-                s = np.repeat(s1 - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps).astype(np.int64) + np.arange(reps.sum())
-                row = np.repeat(row, reps)
-                yield pa.RecordBatch.from_arrays([pa.array(tk.span_hash(h, s, s + window, p).view(np.int64)), pa.array(th[w.lo + row]), pa.array((s - w.first[row]).astype(np.int32))], names=["wh", "th", "s"])
-
-    return texts.mapInArrow(run, "wh bigint, th bigint, s int")
+            rows = b.column(0)
+            _, offs = tk.column_bytes(rows.field(text_col))
+            for lo, hi in tk.chunks(offs, size):
+                sink = pa.BufferOutputStream()
+                part = pa.RecordBatch.from_arrays([rows.slice(lo, hi - lo)], names=["row"])
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([cid]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["cid", "body"])
+                cid += 1
+
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).mapInArrow(run, "cid bigint, body binary")
+
+
+class Chunk:
+    """Rows of a chunk and the anchors of their texts."""
+
+    def __init__(self, body: bytes, text_col: str, window: int, parts: int):
+        table = pa.ipc.open_stream(body).read_all().combine_chunks()
+        self.rows = table.column(0).chunk(0)
+        self.texts, self.window, self.parts, self.pieces = self.rows.field(text_col), window, parts, []
+        for w in tk.tokenize(self.texts, lower=False):
+            h = w.hashes()
+            self.pieces.append((w, h, anchors(w, h, window)))
+        cat = lambda k: np.concatenate([a[k] for _, _, a in self.pieces]) if self.pieces else np.zeros(0, np.int64)
+        key, ctx = cat("key").astype(np.uint64), cat("ctx").astype(np.uint64)
+        self.part, self.key, self.ctx, self.often, self.at = distinct(part_of(key, parts), key, ctx)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def names(self) -> list[tuple[int, bytes]]:
+        return [(p, pack(np.diff(self.key[s:e], prepend=np.uint64(0)), self.ctx[s:e], self.often[s:e])) for p, s, e in runs(self.part)]
+
+    def judged(self, flags: dict[int, np.ndarray], part: np.ndarray) -> np.ndarray:
+        return np.concatenate([flags[p] for p, _, _ in runs(part)]) if len(part) else np.zeros(0, np.uint8)
+
+    def open_windows(self, state: np.ndarray) -> None:
+        """The windows of anchors with state 2: rows, first words (within the row) and their distinct hashes."""
+        rows, firsts, one, two, done = [], [], [], [], 0
+        for w, h, a in self.pieces:
+            mine = state[done : done + len(a["row"])] == 2
+            done += len(a["row"])
+            s1, s2 = a["s1"][mine], a["s2"][mine]
+            reps = s2 - s1 + 1
+            s = (np.repeat(s1 - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())).astype(np.int64) if len(s1) else np.zeros(0, np.int64)
+            row = np.repeat(a["row"][mine], reps)
+            again = tk.mix(h ^ np.uint64(0xA0761D6478BD642F))
+            one.append(tk.span_hash(h, s, s + self.window))
+            two.append(tk.span_hash(again, s, s + self.window))
+            rows.append(row + w.lo)
+            firsts.append(s - w.first[row])
+        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+        self.w_row, self.w_first = cat(rows, np.int64), cat(firsts, np.int64)
+        h1, h2 = cat(one, np.uint64), cat(two, np.uint64)
+        self.w_part, self.h1, self.h2, self.w_often, self.w_at = distinct(part_of(h1, self.parts), h1, h2)
+
+    def windows(self) -> list[tuple[int, bytes]]:
+        return [(p, pack(np.diff(self.h1[s:e], prepend=np.uint64(0)), self.h2[s:e], self.w_often[s:e])) for p, s, e in runs(self.w_part)]
+
+    def spans(self, state: np.ndarray, again: np.ndarray) -> list[np.ndarray]:
+        """Per row the [from, to) of its words that repeated windows cover."""
+        row, lo, hi, done = [self.w_row[again]], [self.w_first[again]], [self.w_first[again] + self.window], 0
+        for w, _, a in self.pieces:
+            sure = state[done : done + len(a["row"])] == 1
+            done += len(a["row"])
+            r = a["row"][sure]
+            row.append(r + w.lo)
+            lo.append(a["s1"][sure] - w.first[r])
+            hi.append(a["s2"][sure] - w.first[r] + self.window)
+        row, lo, hi = (np.concatenate(x).astype(np.int64) for x in (row, lo, hi))
+        order = np.lexsort((lo, row))
+        row, lo, hi = row[order], lo[order], hi[order]
+        cuts = np.searchsorted(row, np.arange(len(self) + 1))
+        out = []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if s == e:
+                out.append(np.zeros((0, 2), np.int64))
+                continue
+            reach = np.maximum.accumulate(hi[s:e])
+            new = np.append(True, lo[s + 1 : e] > reach[:-1])
+            out.append(np.stack([lo[s:e][new], reach[np.append(np.flatnonzero(new)[1:] - 1, e - s - 1)]], 1))
+        return out
+
+
+def _told(batches: Iterator[pa.RecordBatch], text_col: str, window: int, parts: int) -> Iterator[tuple[int, Chunk, np.ndarray, list]]:
+    """Every chunk (kind -1) with the states of its anchors (kind 0) and the rows of later answers."""
+    for cid, rows in stream(batches):
+        _, kind, _, body = next(rows)
+        if kind != -1:
+            raise RuntimeError("answers without their chunk")
+        c, flags, more = Chunk(body, text_col, window, parts), {}, []
+        for _, kind, part, blob in rows:
+            if kind == 0:
+                flags[part] = unpack(blob, np.uint8)[0]
+            else:
+                more.append((part, blob))
+        yield cid, c, c.judged(flags, c.part)[c.at], more
 
 
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("text", T.StringType())])
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_col: str = "text", size: int = CHUNK) -> DataFrame:
     """Columns ``row`` (all of ``docs``) and ``res``: n_words, n_removed, spans of removed words [from, to), text (kept
     words, joined by one space)."""
-    texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    rows = _rows(texts, window)
-    keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("ctx").alias("a"), F.max("ctx").alias("z")).where("m > 1").select("key", (F.col("a") != F.col("z")).alias("mixed"))
-    marked = rows.select("key", "th", "s1", "s2").join(keys, "key").select("th", "s1", "s2", "mixed").distinct()
-    pick = lambda mixed: F.collect_list(F.when(F.col("mixed") == mixed, F.struct("s1", "s2")))
-    found = cut(marked.groupBy("th").agg(pick(False).alias("sure"), pick(True).alias("open")))
-    wins = _windows(texts.join(found.where(F.size("open") > 0), "th").select("th", "text", "open"), window)
-    again = wins.groupBy("wh").agg(F.count("*").alias("m")).where("m > 1").select("wh")
-    single = cut(wins.join(again, "wh", "left_semi").groupBy("th", "s").agg(F.count("*").alias("m")).groupBy("th").agg(F.collect_list("s").alias("more")))
-    cover = found.select("th", "sure").join(single, "th", "full")
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), F.xxhash64(text_col).alias("th")).join(cover, "th", "left").select("doc", "sure", "more")
-
-    def run(rows: pa.StructArray) -> pa.StructArray:
-        texts, sure, more = rows.field("doc").field(text_col).to_pylist(), rows.field("sure"), rows.field("more")
-        n, removed, spans, kept = [], [], [], []
-        for i, text in enumerate(texts):
-            ws = (text or "").encode().split()
-            n.append(len(ws))
-            own: list[list[int]] = []
-            if sure[i].is_valid or more[i].is_valid:
-                hit = np.zeros(len(ws) + 1, np.int64)
-                for r in sure[i].as_py() or ():
-                    hit[r["s1"]] += 1
-                    hit[r["s2"] + window] -= 1
-                for s in more[i].as_py() or ():
-                    hit[s] += 1
-                    hit[s + window] -= 1
-                x = np.diff(np.concatenate([[0], np.cumsum(hit[:-1]) > 0, [0]]).astype(np.int8))
-                own = np.stack([np.flatnonzero(x == 1), np.flatnonzero(x == -1)], 1).tolist()
-            if own:
-                edges = [0, *(e for span in own for e in span), len(ws)]
-                ws = [x for a, b in zip(edges[::2], edges[1::2], strict=True) for x in ws[a:b]]
-            removed.append(n[-1] - len(ws))
-            spans.append(own)
-            kept.append(b" ".join(ws).decode())
-        return struct_array({"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "text": pa.array(kept, pa.string())})
-
-    return map_rows(packed, run, RESULT).select(F.col("row.doc").alias("row"), "res")
+    chunks = cut(chunked(docs, text_col, size))
+    count = chunks.count()
+    parts = max(16, count // PART_CHUNKS)
+    n, tasks = min(max(count, 1), MOST_TASKS), min(parts, MOST_TASKS)
+    placed = chunks.select("cid", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), F.col("body").alias("blob")).repartition(n, "cid")
+    ask = pa.schema([("part", pa.int32()), ("cid", pa.int64()), ("blob", pa.binary())])
+    asked = "part int, cid bigint, blob binary"
+
+    def ask_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cid, body in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                yield batch([(p, cid, blob) for p, blob in Chunk(body, text_col, window, parts).names()], ask)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """0 for a name that occurs once, 1 for one with one context, 2 for one with several."""
+        for part, rows in stream(batches):
+            cids, got = zip(*((cid, unpack(blob, np.uint64, np.uint64, np.int64)) for _, cid, blob in rows), strict=True)
+            with np.errstate(over="ignore"):
+                key = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _, _ in got])
+            ctx, often = (np.concatenate([g[i] for g in got]) for i in (1, 2))
+            _, at = np.unique(key, return_inverse=True)
+            low, high = np.full(at.max() + 1, np.iinfo(np.uint64).max), np.zeros(at.max() + 1, np.uint64)
+            np.minimum.at(low, at, ctx)
+            np.maximum.at(high, at, ctx)
+            state = np.where(np.bincount(at, often) > 1, np.where(low == high, 1, 2), 0).astype(np.uint8)[at]
+            ends = np.cumsum([len(g[0]) for g in got])
+            yield batch([(part, cid, pack(state[e - len(g[0]) : e])) for cid, g, e in zip(cids, got, ends, strict=True)], ask)
+
+    def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cid, c, state, _ in _told(batches, text_col, window, parts):
+            c.open_windows(state)
+            yield batch([(p, cid, blob) for p, blob in c.windows()], ask)
+
+    def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in stream(batches):
+            cids, got = zip(*((cid, unpack(blob, np.uint64, np.uint64, np.int64)) for _, cid, blob in rows), strict=True)
+            with np.errstate(over="ignore"):
+                h1 = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _, _ in got])
+            h2, often = (np.concatenate([g[i] for g in got]) for i in (1, 2))
+            at = distinct(np.zeros(len(h1), np.int8), h1, h2)[4]
+            again = (np.bincount(at, often) > 1).astype(np.uint8)[at]
+            ends = np.cumsum([len(g[0]) for g in got])
+            yield batch([(part, cid, pack(again[e - len(g[0]) : e])) for cid, g, e in zip(cids, got, ends, strict=True)], ask)
+
+    def answers(asks: DataFrame, fn) -> DataFrame:
+        return asks.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(fn, asked)
+
+    def to_chunks(*tables: DataFrame) -> DataFrame:
+        more = None
+        for kind, t in enumerate(tables):
+            t = t.select("cid", F.lit(kind).alias("kind"), "part", "blob")
+            more = t if more is None else more.unionByName(t)
+        return beside(placed, more, n, "cid").sortWithinPartitions("cid", "kind", "part")
+
+    states = cut(answers(chunks.mapInArrow(ask_names, asked), judge))
+    repeats = answers(to_chunks(states).mapInArrow(ask_windows, asked), count_windows)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, c, state, more in _told(batches, text_col, window, parts):
+            c.open_windows(state)
+            again = c.judged({p: unpack(blob, np.uint8)[0] for p, blob in more}, c.w_part)[c.w_at].astype(bool)
+            words, removed, spans, kept = [], [], [], []
+            for text, own in zip(c.texts.to_pylist(), c.spans(state, again), strict=True):
+                ws = (text or "").encode().split()
+                words.append(len(ws))
+                if len(own):
+                    edges = [0, *own.ravel().tolist(), len(ws)]
+                    ws = [x for a, b in zip(edges[::2], edges[1::2], strict=True) for x in ws[a:b]]
+                removed.append(words[-1] - len(ws))
+                spans.append(own.tolist())
+                kept.append(b" ".join(ws).decode())
+            res = struct_array({"n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "text": pa.array(kept, pa.string())})
+            yield pa.RecordBatch.from_arrays([c.rows, res], names=["row", "res"])
+
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("res", RESULT)])
+    return to_chunks(states, repeats).mapInArrow(finish, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
