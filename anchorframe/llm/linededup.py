@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut
 
 WINDOW, DIVISOR, HOT = 2, 3, 1000
+#: Up to so many repeated keys (60 bytes each) are broadcast to the pieces; beyond, both are shuffled.
+BROADCAST_KEYS = 250_000
 _FACTOR = 31
 #: Lines are joined in runs of at least two.
 PAIR = 2
@@ -73,13 +75,17 @@ def _key(keys: Column) -> Column:
 
 
 def _later(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``pieces`` (key, d, h, s, e) that have an earlier place, and the first places of their keys."""
-    seen = pieces.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("d", "h", "s", "e")).alias("first"), F.max(F.struct("d", "h", "s", "e")).alias("last"))
-    seen = cut(seen.where("m > 1 and not (first <=> last)").select("key", "m", "first"))
-    rows = pieces.count()
-    hot = F.broadcast(seen.where(F.col("m") * HOT > rows))  # fewer than HOT rows
-    joined = pieces.join(hot, "key").unionByName(pieces.join(hot.select("key"), "key", "left_anti").join(seen.where(F.col("m") * HOT <= rows), "key"))
-    return joined.where(~F.struct("d", "h", "s", "e").eqNullSafe(F.col("first"))).select("d", "h", "s", "e"), seen.select("first.*")
+    """Two tables (d, h, s, n): the rows of ``pieces`` (key, d, h, s, n) that have an earlier place, and the first places
+    of all keys that repeat."""
+    seen = pieces.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("d", "h", "s")).alias("first"), F.max("n").alias("n"))
+    rows, seen = pieces.count(), cut(seen.where("m > 1"))
+    if seen.count() <= BROADCAST_KEYS:
+        joined = pieces.drop("n").join(F.broadcast(seen), "key")
+    else:
+        hot = F.broadcast(seen.where(F.col("m") * HOT > rows))  # fewer than HOT rows
+        rest = pieces.drop("n").join(hot.select("key"), "key", "left_anti")
+        joined = pieces.drop("n").join(hot, "key").unionByName(rest.join(seen.where(F.col("m") * HOT <= rows), "key"))
+    return joined.where(~F.struct("d", "h", "s").eqNullSafe(F.col("first"))).select("d", "h", "s", "n"), seen.select("first.*", "n")
 
 
 def _same(a: str, b: str) -> Column:
@@ -87,12 +93,12 @@ def _same(a: str, b: str) -> Column:
 
 
 def _covered(spans: Column) -> Column:
-    """Line numbers (from 0) of spans (s, e), e exclusive."""
-    return F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["s"], x["e"] - 1))))
+    """Line numbers (from 0) of spans (s, n)."""
+    return F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1))))
 
 
 def _spans(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("d", "h").agg(F.collect_set(F.struct("s", "e")).alias(name)).select(F.col("d").alias(f"{name}_d"), F.col("h").alias(f"{name}_h"), name)
+    return rows.groupBy("d", "h").agg(F.collect_set(F.struct("s", "n")).alias(name)).select(F.col("d").alias(f"{name}_d"), F.col("h").alias(f"{name}_h"), name)
 
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, text_col: str = "text") -> DataFrame:
@@ -103,31 +109,32 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, text_col: str = "text")
     own = own.select("row", F.col("row.doc_id").alias("d"), F.xxhash64(text).alias("h"))
     bones = cut(_skeleton(docs, text_col, divisor))
 
-    chunk = F.explode(F.transform("ends", lambda e, j: F.struct(_at(F.col("ends"), j).cast("int").alias("s"), e.alias("e"))))
-    chunks = bones.where(F.size("keys") >= PAIR).select("d", "h", "keys", "full", chunk.alias("x")).select("d", "h", "x.s", "x.e", "keys", "full")
-    part = lambda c: F.slice(c, F.col("s") + 1, F.col("e") - F.col("s"))
-    chunks = chunks.where(F.exists(part("full"), lambda f: f)).select(_key(part("keys")).alias("key"), "d", "h", "s", "e")
+    several = bones.where(F.size("keys") >= PAIR)
+    chunk = F.explode(F.transform("ends", lambda e, j: _let(_at(F.col("ends"), j).cast("int"), lambda b: F.struct(b.alias("s"), (e - b).alias("n")))))
+    chunks = several.select("d", "h", "keys", "full", chunk.alias("x")).select("d", "h", "x.s", "x.n", "keys", "full")
+    part = lambda c: F.slice(c, F.col("s") + 1, F.col("n"))
+    chunks = chunks.where(F.exists(part("full"), lambda f: f)).select(_key(part("keys")).alias("key"), "d", "h", "s", "n")
     copied, first_chunks = _later(chunks)
     copied = cut(copied.distinct())
 
-    marked = bones.where(F.size("keys") >= PAIR).join(_spans(copied, "cut"), _same("cut_d", "cut_h"), "left")
-    inside = F.flatten(F.transform("cut", lambda x: F.sequence(x["s"], x["e"] - 2)))
+    marked = several.join(_spans(copied, "cut"), _same("cut_d", "cut_h"), "left")
+    inside = F.flatten(F.transform("cut", lambda x: F.sequence(x["s"], x["s"] + x["n"] - PAIR)))
     starts = F.sequence(F.lit(0), F.size("keys") - PAIR)
     starts = F.when(F.col("cut").isNull(), starts).otherwise(F.array_except(starts, inside))
     pairs = marked.select("d", "h", "keys", "full", F.explode(starts).alias("s"))
     line = lambda c, k: F.element_at(c, F.col("s") + k)
-    pairs = pairs.where(line("full", 1) | line("full", 2)).select(F.unhex(F.md5(F.concat(line("keys", 1), line("keys", 2)))).alias("key"), "d", "h", "s", (F.col("s") + PAIR).alias("e"))
+    pairs = pairs.where(line("full", 1) | line("full", 2)).select(F.unhex(F.md5(F.concat(line("keys", 1), line("keys", 2)))).alias("key"), "d", "h", "s", F.lit(PAIR).alias("n"))
     again, first_pairs = _later(pairs)
-    gone = cut(copied.unionByName(again.distinct()).groupBy("d", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select("d", "h", _covered(F.col("spans")).alias("gone")))
+    gone = cut(copied.unionByName(again.distinct()).groupBy("d", "h").agg(F.collect_list(F.struct("s", "n")).alias("spans")).select("d", "h", _covered(F.col("spans")).alias("gone")))
 
     # byte comparison: all lines that are to go, and the first places of their pairs and chunks
-    firsts = first_chunks.unionByName(first_pairs).groupBy("d", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans")).select("d", "h", _covered(F.col("spans")).alias("at"))
+    firsts = first_chunks.unionByName(first_pairs).groupBy("d", "h").agg(F.collect_set(F.struct("s", "n")).alias("spans")).select("d", "h", _covered(F.col("spans")).alias("at"))
     places = gone.select("d", "h", F.col("gone").alias("at")).unionByName(firsts)
     places = places.groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")).select(F.col("d").alias("pd"), F.col("h").alias("ph"), "at")
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
     fetched = texts.join(places, _same("pd", "ph")).select(F.explode(_let(_lines(F.col("t")), lambda l: F.transform("at", lambda i: F.element_at(l, i + 1)))).alias("line"))
-    differ = fetched.groupBy(F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")).agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("key")
-    differ = cut(differ)
+    texts_of = fetched.groupBy("line").count().groupBy(F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")).agg(F.count("*").alias("m"))
+    differ = cut(texts_of.where("m > 1").select("key"))
     if not differ.isEmpty():
         doubt = gone.join(bones.select(F.col("d").alias("bd"), F.col("h").alias("bh"), "keys").dropDuplicates(["bd", "bh"]), _same("bd", "bh"))
         doubt = doubt.select("d", "h", F.explode("gone").alias("i"), "keys").select("d", "h", "i", F.element_at("keys", F.col("i") + 1).alias("key"))
