@@ -23,8 +23,8 @@ partitions by its follower w. Bigram and trigram counts are still whole there; w
 summed over the partitions by an ordinary aggregate, whose rows go back to the partitions that asked.
 
 A partition holds ``part_tokens`` tokens on average, whatever the size of the corpus, and is worked on by itself; tasks
-take several partitions in turn beyond MOST_TASKS. Memory is bounded by the larger of two partitions, a hot word's limit,
-a chunk and the longest text. Words are 64-bit hashes.
+take several partitions in turn beyond MOST_TASKS. Memory is bounded by the larger of a partition with a word just below the limit, a
+chunk and the longest text. Words are 56-bit hashes; sums travel as multiples of 2**-24.
 
 Defined results: null text is empty text, which is one end token; null ids count as id text '' for the split; without
 training texts every token is unknown and scores 0; repeated rows are counted as often as they occur; an empty table
@@ -34,59 +34,28 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
 from .common import cut, remainder
+from .exchange import batch, beside, pack, part_of, runs, stream, unpack
 
-CHUNK, FEW = 8 << 20, 5
+CHUNK, FEW = 6 << 20, 5
 #: Training tokens of a table partition on average, tasks of a stage at most, and hot words at most.
-PART_TOKENS, MOST_TASKS, MOST_HOT = 1_500_000, 20_000, 1_000_000
-END = np.uint64(0x1B873593CC9E2D51)
+PART_TOKENS, MOST_TASKS, MOST_HOT = 1_000_000, 20_000, 1_000_000
+END = np.uint64(0x873593CC9E2D51)
+LOW56 = np.uint64((1 << 56) - 1)
+#: Units of a partition's sums for a document.
+UNIT = 2.0**24
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Sums of a history: its count, followers seen 1 .. FEW times, and what the lower order gives to its seen followers
 #: (for u v as counts of v w above FEW, and how many followers have the bigram count 1 .. FEW; for v as a mass).
 SUMS = 2 * FEW + 2
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one value: bytes of equal significance stand together, without leading zeros, each run compressed."""
-    z, head, body = zstandard.ZstdCompressor(level=1), [], []
-    for a in arrays:
-        b = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
-        wide = a.itemsize
-        while wide > 1 and a.dtype.kind in "iu" and not b[:, wide - 1].any():
-            wide -= 1
-        planes = [np.ascontiguousarray(b[:, k]).tobytes() for k in range(wide)]
-        planes = [min(p, z.compress(p), key=len) if len(p) > 64 else p for p in planes]
-        head += [len(a), wide, *map(len, planes)]
-        body += planes
-    numbers = np.array(head, "<u4")
-    return len(numbers).to_bytes(4, "little") + numbers.tobytes() + b"".join(body)
-
-
-def unpack(blob: bytes, *types) -> list[np.ndarray]:
-    z, out = zstandard.ZstdDecompressor(), []
-    n = int.from_bytes(blob[:4], "little")
-    head, at = iter(np.frombuffer(blob[4 : 4 + 4 * n], "<u4").tolist()), 4 + 4 * n
-    for t in map(np.dtype, types):
-        size, wide = next(head), next(head)
-        b = np.zeros((size, t.itemsize), np.uint8)
-        for k in range(wide):
-            m = next(head)
-            p = blob[at : at + m]
-            b[:, k] = np.frombuffer(p if m == size else z.decompress(p), np.uint8)
-            at += m
-        out.append(b.reshape(-1).view(t))
-    return out
-
-
 def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     """meta (ids, which are not null, held, tokens), body (words by falling frequency, tokens as numbers of them),
     n (training tokens), d (training documents)."""
@@ -102,7 +71,7 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
                 part = data[offs[lo] : offs[hi]]
                 for s, e in tk.chunks(own):
                     w = tk.words(tk.LOWERED[part[own[s] : own[e]]], own[s : e + 1] - own[s], tk.SPACE)
-                    hashes.append(np.insert(w.hashes(), w.first[1:], END))
+                    hashes.append(np.insert(w.hashes() & LOW56, w.first[1:], END))
                     counts.append(w.counts() + 1)
                 counts = np.concatenate(counts)
                 words, at, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
@@ -125,27 +94,6 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
 META = (np.int64, bool, bool, np.int64)
 
 
-def part_of(x: np.ndarray, parts: int) -> np.ndarray:
-    return (tk.mix(x) % np.uint64(parts)).astype(np.int64)
-
-
-def runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(value, from, to) of the runs of equal values."""
-    edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else [0]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(x[a]), int(a), int(b)
-
-
-def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of sorted batches, grouped by their first column: (value, iterator of rows)."""
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-    return groupby(rows, itemgetter(0))
-
-
-def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-
 def counts_of_counts(c: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(c[c > 0], FEW + 2).astype(np.int64), minlength=FEW + 3)[1 : FEW + 2].astype(float)
 
@@ -216,7 +164,7 @@ class Part:
             sizes.append(len(doc))
         name, at = np.unique(np.concatenate(ids), return_inverse=True)
         base = np.cumsum([0, *map(len, ids)])
-        local = [at[a:b] for a, b in zip(base[:-1], base[1:], strict=True)]
+        local = [at[a:b].astype(np.int32) for a, b in zip(base[:-1], base[1:], strict=True)]
         v, u, w = (np.concatenate([m[x] for m, x in zip(local, xs, strict=True)]) for xs in (v, u, w))
         count = np.zeros(len(name), np.int64)
         count[at] = np.concatenate(often)
@@ -224,16 +172,18 @@ class Part:
         self.name, self.count, self.sizes = name, count, np.array(sizes)
         k = len(name)
         add = lambda at, n, x=None: np.bincount(at, x, n)
+        pair = lambda a, b: np.unique(a.astype(np.int64) * k + b, return_inverse=True)
         # bigrams v w, histories u v, trigrams u v w
-        key, of2 = np.unique(v * k + w, return_inverse=True)
+        key, of2 = pair(v, w)
         self.v2, self.w2, self.c2 = key // k, key % k, add(of2, len(key), train)
-        key, ofh = np.unique(u * k + v, return_inverse=True)
-        self.uh, self.vh = key // k, key % k
-        self.ch = add(ofh, len(key), train)
-        key, self.of = np.unique(ofh * k + w, return_inverse=True)
-        self.h3, self.c3 = key // k, add(self.of, len(key), train)
+        of2 = of2.astype(np.int32)
+        key, ofh = pair(u, v)
+        self.uh, self.vh, self.ch = key // k, key % k, add(ofh, len(key), train)
+        key, of = pair(ofh.astype(np.int32), w)
+        self.h3, self.c3 = key // k, add(of, len(key), train)
         self.b3 = np.zeros(len(key), np.int64)
-        self.b3[self.of] = of2
+        self.b3[of] = of2
+        self.of = of.astype(np.int32)
         self.cv = add(v, k, train)
         self.is_hot = tk.member(name, hot) >= 0
 
@@ -267,9 +217,12 @@ class Part:
         of_v, of_h = self.sums(one)
         if whole is not None and self.is_hot.any():
             name_v, name_h = self.keys()
-            of_v[self.is_hot] = whole[1][tk.member(name_v[self.is_hot], whole[0])]
             mine = self.is_hot[self.vh]
-            of_h[mine] = whole[1][tk.member(name_h[mine], whole[0])]
+            for mask, names, sums in ((self.is_hot, name_v, of_v), (mine, name_h, of_h)):
+                at = tk.member(names[mask], whole[0])
+                if (at < 0).any():
+                    raise RuntimeError("a partition lacks the sums of a spread history")
+                sums[mask] = whole[1][at]
         before, few, mass = of_v[:, 0], of_v[:, 1 : FEW + 1], of_v[:, FEW + 1]
         p1 = one(self.count[self.w2])
         v, s = self.v2, self.c2.astype(float)
@@ -288,12 +241,12 @@ class Part:
 def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row for each document.
 
-    A word is hot above ``hot_tokens`` training tokens: by default two partitions, and one in MOST_HOT of all at least.
+    A word is hot above ``hot_tokens`` training tokens: by default four partitions, and one in MOST_HOT of all at least.
     """
     chunks = cut(chunked(docs)).withColumn("cid", F.monotonically_increasing_id())
     total, starts, n_chunks = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0)), F.count("*")).first()
     parts = int(max(8, total // part_tokens))
-    limit = max(2 * total // parts, total // MOST_HOT, 1) if hot_tokens is None else hot_tokens
+    limit = max(4 * total // parts, total // MOST_HOT, 1) if hot_tokens is None else hot_tokens
     tasks, chunk_tasks = min(parts, MOST_TASKS), min(max(n_chunks, 1), MOST_TASKS)
     row = pa.schema([("part", pa.int32()), ("cid", pa.int64()), ("blob", pa.binary())])
     answer = pa.schema([*row, ("stat", pa.list_(pa.float64())), ("hot", pa.int64())])
@@ -305,13 +258,13 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
                 words, at = unpack(body, np.uint64, np.int32)
                 c = np.bincount(at, np.repeat(~held, counts), len(words)).astype(np.int64)
                 part = part_of(words, parts)
-                order = np.argsort(part, kind="stable")
-                yield batch([(p, cid, pack(words[order[s:e]], c[order[s:e]])) for p, s, e in runs(part[order])], row)
+                order = np.lexsort((words, part))
+                yield batch([(p, cid, pack(np.diff(words[order[s:e]], prepend=np.uint64(0)), c[order[s:e]])) for p, s, e in runs(part[order])], row)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in stream(batches):
             cids, got = zip(*((cid, unpack(blob, np.uint64, np.int64)) for _, cid, blob in rows), strict=True)
-            words, at = np.unique(np.concatenate([w for w, _ in got]), return_inverse=True)
+            words, at = np.unique(np.concatenate([np.cumsum(w, dtype=np.uint64) for w, _ in got]), return_inverse=True)
             c = np.bincount(at, np.concatenate([x for _, x in got]), len(words)).astype(np.int64)
             place = np.empty(len(words), np.int64)
             place[np.lexsort((words, -c))] = np.arange(len(words))
@@ -340,7 +293,7 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
             names, tokens = unpack(body, np.uint64, np.int32)
             n, docs = len(names), len(counts)
             part = part_of(names, parts)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((names, part))
             ids, often = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
             spans = {p: (s, e) for p, s, e in runs(part[order])}
             for _, p, blob, _ in rows:
@@ -394,22 +347,23 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
 
     tallied = table.sortWithinPartitions("part").mapInArrow(tally, "key bigint, part int, x array<double>")
     of_orders = tallied.where("key is null").agg(*[F.coalesce(F.sum(F.col("x")[i]), F.lit(0.0)).alias(f"n{i}") for i in range(2 * FEW + 2)])
-    of_orders = of_orders.select(F.array(*of_orders.columns).alias("orders"), F.lit(0).alias("all"))  # one row
     empty = lambda t: F.lit(None).cast(t)
-    asked = table.select("part", F.lit(1).alias("kind"), "cid", "blob", "own", empty("bigint").alias("key"), empty("array<double>").alias("x"))
+    asked = table.select("part", F.lit(2).alias("kind"), "cid", "blob", "own", empty("bigint").alias("key"), empty("array<double>").alias("x"))
+    # to every partition: the counts of counts, and the whole sums of the histories it asks for
+    told = of_orders.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), empty("bigint").alias("key"), F.array(*of_orders.columns).alias("x"))
     if len(hot):
-        each = tallied.where("key is not null")
-        sums = each.groupBy("key").agg(F.array(*[F.sum(F.col("x")[i]) for i in range(SUMS)]).alias("x"))
-        back = each.select("key", "part").join(sums, "key").select("part", F.lit(0).alias("kind"), empty("bigint").alias("cid"), empty("binary").alias("blob"), empty("boolean").alias("own"), "key", "x")
-        asked = asked.unionByName(back).repartition(tasks, "part")
-    asked = asked.withColumn("all", F.lit(0)).join(F.broadcast(of_orders), "all").select("part", "kind", "cid", "blob", "own", "key", "x", "orders")
-    asked = asked.sortWithinPartitions("part", "kind")  # after the join, which would drop an order before it
+        sums = tallied.where("key is not null").groupBy("key").agg(F.collect_list("part").alias("parts"), F.array(*[F.sum(F.col("x")[i]) for i in range(SUMS)]).alias("x"))
+        told = told.unionByName(sums.select(F.explode("parts").alias("part"), F.lit(1).alias("kind"), "key", "x"))
+    told = told.select("part", "kind", empty("bigint").alias("cid"), empty("binary").alias("blob"), empty("boolean").alias("own"), "key", "x")
+    asked = beside(asked, told, tasks, "part").sortWithinPartitions("part", "kind")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in stream(batches):
             keys, sums, cids, blobs, out, orders = [], [], [], [], [], None
-            for _, _, cid, blob, own, key, x, orders in rows:
-                if key is not None:
+            for _, kind, cid, blob, own, key, x in rows:
+                if kind == 0:
+                    orders = x
+                elif kind == 1:
                     keys.append(key)
                     sums.append(x)
                 elif own:
@@ -427,7 +381,7 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
                 for cid, s, e, doc in zip(cids, ends - x.sizes, ends, x.doc, strict=True):
                     own = np.bincount(doc, p[s:e])
                     at = np.unique(doc)
-                    out.append((1, cid, pack(np.diff(at, prepend=np.int32(0)), own[at])))
+                    out.append((1, cid, pack(np.diff(at, prepend=np.int32(0)), np.rint(own[at] * -UNIT).astype(np.int64))))
             if out:
                 yield batch(out, pa.schema([("kind", pa.int32()), ("cid", pa.int64()), ("blob", pa.binary())]))
 
@@ -442,8 +396,8 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
                 if kind == 0:
                     known, base = unpack(blob, np.int64, np.float64)
                 else:
-                    at, x = unpack(blob, np.int32, np.float64)
-                    sums[np.cumsum(at)] += x
+                    at, x = unpack(blob, np.int32, np.int64)
+                    sums[np.cumsum(at)] -= x / UNIT
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, mask=~some), pa.array(held), pa.array(counts), pa.array(known), pa.array(np.full(len(ids), total, np.int64)), pa.array(base), pa.array(sums)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
