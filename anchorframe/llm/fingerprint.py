@@ -4,13 +4,17 @@ Every paragraph (line) is hashed to a wide vector, and a text's fingerprint is t
 modulo 2**60 per lane. The sum does not depend on the order of paragraphs, and a paragraph is inserted into or deleted
 from a fingerprint by adding or subtracting its vector: no other part of the text is needed. The vector has
 
-* ``EQUAL`` lanes of 60 uniform bits from SHA-512 of the paragraph: equal texts (as multisets of paragraphs) have equal
-  lanes, others differ with overwhelming probability;
+* ``EQUAL`` lanes of 60 bits, drawn by seeded hashes from the paragraph's SHA-512: equal texts (as multisets of paragraphs)
+  have equal lanes, others differ with overwhelming probability;
 * one lane that counts the paragraph's pieces (sentences; very long ones are cut after words that end in certain
   letters), and
-* ``NEAR`` lanes, each three counters of 20 bits, of the one bits of the pieces' hashes. A counter of n pieces gives
-  2 * ones - n, a sum of random signs; over 120 counters the sums of two texts give an estimate of how many pieces they
-  share, with no access to the texts (:func:`likeness`, standard error about 0.1).
+* ``NEAR`` lanes, each two counters of 30 bits, of the one bits of the pieces' hashes. A text of 2 GB, the longest there
+  can be, has fewer pieces than that, so no counter carries into the next. A counter of n pieces gives 2 * ones - n, a sum
+  of random signs; over 120 counters the sums of two texts give an estimate of how many pieces they share, with no access
+  to the texts (:func:`likeness`, standard error about 0.1).
+
+The query gets an edited text's fingerprint from the text's own: the paragraphs from the cut on are deleted
+(:func:`subtract`) and those of the new end inserted (:func:`combine`).
 
 Defined results: null is the empty text; empty texts have the fingerprint of one empty paragraph; repeated rows have
 equal results; rows that share a doc_id are ordered by text, null ids come first; the next document of the last is the
@@ -21,11 +25,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-EQUAL, HASHES, SHIFTS, COUNTER = 16, 2, 20, 20
+EQUAL, HASHES, SHIFTS, COUNTER = 16, 2, 30, 30
 NEAR = HASHES * SHIFTS
 MASK = (1 << 60) - 1
-#: Bits 0, 20 and 40.
-SPREAD = 1 | 1 << 20 | 1 << 40
+#: Bits 0 and 30.
+SPREAD = 1 | 1 << COUNTER
 LONG_PIECE = 300
 #: Documents in a bucket of the ordered pass, on average, and the most buckets.
 BUCKET_ROWS, MAX_BUCKETS, COARSE = 2000, 4096, 64
@@ -49,8 +53,7 @@ def vector(text: Column) -> Column:
     """Fingerprint of ``text`` (not null) as array<bigint>: EQUAL lanes, the count, NEAR lanes."""
 
     def add_line(acc, line):
-        digest = F.concat(F.sha2(line, 512), F.sha2(F.concat(F.lit("\x01"), line), 512))
-        return _let(digest, lambda d: F.transform(acc, lambda a, i: _wrap(a + F.conv(d.substr(i * 15 + 1, F.lit(15)), 16, 10).cast("bigint"))))
+        return _let(F.sha2(line, 512), lambda d: F.transform(acc, lambda a, i: _wrap(a + _wrap(F.xxhash64(i, d)))))
 
     def add_piece(acc, p):
         hashes = F.array(*[F.xxhash64(F.lit(j), p) for j in range(HASHES)])
@@ -88,7 +91,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     def add(acc, p):
         ab, sq = acc["ab"], acc["sq"]
-        for k in range(3):
+        for k in range(60 // COUNTER):
             x, y = count(p["x"], k) - na, count(p["y"], k) - nb
             ab, sq = ab + x * y, sq + x * x + y * y
         return F.struct(ab.alias("ab"), sq.alias("sq"))
@@ -131,15 +134,15 @@ def digest(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marked = own.select("doc_id", "text", vector(F.col("text")).alias("v"))
     ordered = with_next(marked, ["text", "v"])
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = ordered.select(
-        "doc_id",
-        F.length("text").cast("bigint").alias("n_chars"),
-        F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited"),
-        "v",
-        F.col("next.v").alias("w"),
+    size = F.length("text")
+    half = F.floor(size / 2).cast("int")
+    own = ordered.select("doc_id", "text", "v", F.col("next.v").alias("w"), F.substring("text", F.lit(1), size - half).alias("head"), F.substring(F.col("next.text"), F.lit(1), half).alias("end"))
+    # the paragraph that the cut falls into, and all after it, before and after the edit
+    last = F.substring_index("head", "\n", -1)
+    old, new = F.concat(last, F.substring("text", F.length("head") + 1, size)), F.concat(last, "end")
+    both = own.select(
+        "doc_id", size.cast("bigint").alias("n_chars"), F.sha2(F.concat("head", "end"), 256).alias("edited_sha256"), "v", "w", combine(subtract(F.col("v"), vector(old)), vector(new)).alias("e")
     )
-    both = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "v", "w", vector(F.col("edited")).alias("e"))
     return both.select(
         "doc_id",
         "n_chars",

@@ -2,15 +2,16 @@
 
 A document's set is its distinct 5-word shingles. Every set is sketched into registers: the minimum of exponentially
 distributed hashes, truncated to exponentially spaced steps, so registers of a union are the larger of two registers
-and two sets' registers agree with about the probability of their Jaccard similarity J. Bands of three registers are
-joined on; with 28 bands a pair of J = 0.75 shares none with probability 2.4e-7.
+and two sets' registers agree with about the probability of their Jaccard similarity J. Bands of four registers are
+joined on; of 40 bands a pair of J = 0.75 shares none with probability 2.5e-7, one of J = 0.3 shares any with 0.28.
 
 1. Equal sets collapse into one node (named by a 64-bit hash of the set), so copies cost nothing afterwards.
 2. Every node is tied to the smallest node (by name) of each of its buckets; the connected components of these ties are candidate
    clusters: two nodes that share any bucket are in one cluster. No pair within a bucket is ever written.
-3. A cluster is dealt into blocks of at most ``block`` nodes. Within a block pairs are first judged by the joint
-   likelihood of their registers (given the set sizes; pairs whose odds of reaching the threshold are below e**-14 drop
-   out) and then verified on the full sets (all at once where many are left). A block only returns which nodes hang together.
+3. A cluster is dealt by hash into blocks of about ``block`` nodes and BLOCK_SHINGLES shingles, whichever gives more
+   blocks. Within a block pairs are first judged by the joint likelihood of their registers (given the set sizes; pairs
+   whose odds of reaching the threshold are below e**-14 drop out, and without more ado those that agree in less than a
+   quarter of the registers, which at J = 0.75 lies 14 standard deviations below the mean) and then verified on the full sets (all at once where many are left). A block only returns which nodes hang together.
 4. Clusters of several blocks that are not yet in one piece go on: nodes outside the largest piece meet all nodes of
    their cluster, block against block, so no link between different texts is lost and no task holds more than two
    blocks.
@@ -38,7 +39,9 @@ from .common import LOWER, UPPER, cut
 from .graph import components
 
 NUMERATOR, DENOMINATOR = 75, 100
-BLOCK, SURE = 1024, 14.0
+BLOCK, SURE = 512, 14.0
+#: Shingles in a block on average: bounds the bytes of a block where texts are long.
+BLOCK_SHINGLES = 2_000_000
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -253,8 +256,9 @@ def components_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     hubs = bands.groupBy("key").agg(F.min("v").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
     ties = bands.join(hubs, "key").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = cut(components(ties))
-    sizes = clusters.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "c").join(nodes, "v").select("c", "blocks", "v", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("h"))
+    known = clusters.join(nodes.select("v", "rep", "n"), "v")
+    sizes = known.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = known.join(sizes, "c").select("c", "blocks", "v", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("h"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     members = members.join(texts, (F.col("i") == F.col("doc_id")) & (F.col("h") == F.col("th"))).dropDuplicates(["v"])
     deal = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")

@@ -6,7 +6,7 @@ import numpy as np
 
 from . import textkit as tk
 
-SHINGLE, BANDS, ROWS = 5, 28, 3
+SHINGLE, BANDS, ROWS = 5, 40, 4
 REGISTERS = BANDS * ROWS
 #: Register scale: x is exponential with rate RATE per element; a register holds floor(1 - log_BASE(min x)), truncated.
 BASE, RATE, TOP = 1.001, 20.0, 65535

@@ -162,6 +162,24 @@ def test_near_duplicates(spark, docs, rows):
     assert neardup.components_of(empty(spark)).count() == 0
 
 
+def test_pairs_just_above_the_threshold_are_found(spark):
+    """Recall of pairs with a similarity of 0.75 to 0.8, and none below the threshold."""
+    r = random.Random(9)
+    rows, near = [], {}
+    for k in range(300):
+        base = [f"t{r.randrange(50_000)}" for _ in range(160)]
+        other = list(base)
+        for at in r.sample(range(0, 160, 8), r.choice([4, 5, 6])):
+            other[at] = f"x{k}.{at}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(156)} for w in (base, other))
+        near[2 * k] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    got = {x.doc_id: x.component_id for x in neardup.components_of(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    close = [i for i, j in near.items() if 0.75 <= j <= 0.8]
+    assert len(close) > 50 and all(got[i + 1] == i for i in close)
+    assert all((got[i + 1] == i) == (j >= 0.75) for i, j in near.items())
+
+
 def test_components_without_single_task(spark, monkeypatch):
     monkeypatch.setattr(graph, "ONE_TASK", 0)
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 40), (40, 60), (7, 7)], "a bigint, b bigint")
@@ -191,6 +209,25 @@ def test_fingerprint(spark, docs, rows):
     from pyspark.sql import functions as F
 
     v = fingerprint.vector
+    # the edited text's fingerprint, which the query derives from the text's, is that of the edited text
+    edits = [(k, t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]) for k, (_, t) in enumerate(order)]
+    direct = {r.t: r.f for r in spark.createDataFrame(edits, "k int, t string").select("t", fingerprint.to_string(v(F.col("t"))).alias("f")).collect()}
+    by = {(r.doc_id, r.edited_sha256): r for r in got}
+    for k, t in edits:
+        r = by[order[k][0], hashlib.sha256(t.encode()).hexdigest()]
+        assert r.edited_fingerprint == direct[t]
+        assert (r.near_edited == 1) == (r.fingerprint == r.edited_fingerprint)
+    # likeness against the share of common sentences
+    r = random.Random(3)
+    pool = [f"Sentence {i} says {r.random()}." for i in range(4000)]
+    pairs = [(s / 10, " ".join(pool[k * 60 : k * 60 + 30]), " ".join(pool[k * 60 : k * 60 + 3 * s] + pool[k * 60 + 30 : k * 60 + 60 - 3 * s])) for k, s in enumerate([0, 2, 5, 8, 10] * 12)]
+    frame = spark.createDataFrame(pairs, "s double, a string, b string")
+    near = [(x.s, x.n) for x in frame.select("s", fingerprint.likeness(v(F.col("a")), v(F.col("b"))).alias("n")).collect()]
+    assert all(abs(s - n) < 0.4 for s, n in near) and sum(abs(s - n) for s, n in near) / len(near) < 0.1
+    assert fingerprint.digest(df.limit(0)).count() == 0
+    loose = spark.createDataFrame([(None, "a"), (None, "b\nc"), (3, None), (2, "d")], "doc_id bigint, text string")
+    order3 = ["a", "b\nc", "d", ""]
+    assert sorted(x.edited_sha256 for x in fingerprint.digest(loose).collect()) == sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + order3[(k + 1) % 4][: len(t) // 2]).encode()).hexdigest() for k, t in enumerate(order3))
     one = spark.range(1).select(
         (v(F.lit("a\nb. c\nd")) == v(F.lit("d\na\nb. c"))).alias("order"),
         (fingerprint.combine(v(F.lit("a\nb")), v(F.lit("c"))) == v(F.lit("a\nb\nc"))).alias("insert"),
