@@ -12,9 +12,36 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 WIDTH = 1 << 20
 
 
+#: Tables of up to this many rows are broadcast; larger ones are joined by shuffle, with the same rows.
+BROADCAST_ROWS = 100_000
+
+_kept: list[DataFrame] = []
+
+
 def shared(df: DataFrame) -> DataFrame:
-    """``df``, kept (in memory, else on disk) because several branches of a plan read it; lost parts are recomputed."""
-    return df.persist()
+    """``df``, kept (in memory, else on disk) because several branches of a plan read it; lost parts are recomputed.
+
+    It is kept until :func:`release`, which long sessions call between queries.
+    """
+    _kept.append(df.persist())
+    return _kept[-1]
+
+
+def release() -> None:
+    """Give up everything that is kept; results not read yet stay right and recompute what they need."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
+def small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether ``df`` has at most ``rows`` rows (BROADCAST_ROWS)."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return df.limit(rows + 1).count() <= rows
+
+
+def fitting(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it is small."""
+    return F.broadcast(df) if small(df) else df
 
 
 def _block(order: str, width: int) -> Column:
@@ -45,28 +72,45 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, width: i
     return running_sum(df, keys, order, F.lit(1), name, width).withColumn(name, F.col(name) - 1)
 
 
+#: Position blocks in which :func:`asof` looks for candidates; only one row of each goes further.
+FINE = 1 << 14
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, order: list[str], value: list[str], name: str, width: int = WIDTH) -> DataFrame:
     """``left`` with the struct ``name`` of ``value`` of the last row of ``right`` whose order[0] is at most ``at``.
 
-    Ties in order[0] go to the last by the rest of ``order``. Both sides are dealt by key and block; blocks without rows
-    on the right side take the last row of an earlier block.
+    Ties in order[0] go to the last by the rest of ``order``. The distinct points of ``left`` meet the rows of their own
+    fine block; of all other blocks only the last row counts, so the right side is reduced before it is shuffled.
+    """
+    fine = min(FINE, width)
+    r = right.select(*keys, F.col(order[0]).cast("bigint").alias("_at"), F.struct(*order).alias("_o"), F.struct(*value).alias("_v")).withColumn("_fine", _block("_at", fine))
+    lasts = r.groupBy(*keys, "_fine").agg(F.max_by(F.struct("_at", "_o", "_v"), "_o").alias("_x")).select(*keys, "_x._at", "_x._o", "_x._v")
+    points = shared(left.select(*keys, F.col(at).cast("bigint").alias("_p")).distinct().withColumn("_fine", _block("_p", fine)))
+    few = small(points)
+    near = r.join(F.broadcast(points) if few else points, [*keys, "_fine"]).where("_at <= _p")
+    near = near.groupBy(*keys, "_p").agg(F.max_by("_v", "_o").alias("_near"))
+    far = _asof_lasts(points.select(*keys, "_p", (F.col("_fine") * fine - 1).alias("_at")), lasts, keys, width)
+    found = far.join(F.broadcast(near) if few else near, [*keys, "_p"], "left").select(*keys, "_p", F.coalesce("_near", "_far").alias(name))
+    found = shared(found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_p", name))  # a row per point
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(at).cast("bigint").eqNullSafe(F.col("_p"))]
+    return left.join(F.broadcast(found) if few else found, same, "left").select(*left.columns, name)
+
+
+def _asof_lasts(points: DataFrame, rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``points`` (keys, _p, _at) with ``_far``, the _v of the last of ``rows`` (keys, _at, _o, _v) at or before _at.
+
+    Both sides are dealt by key and block; blocks without rows on the right side take the last row of an earlier block.
     """
-    r = right.select(*keys, F.col(order[0]).cast("bigint").alias("_at"), F.struct(*order).alias("_o"), F.struct(*value).alias("_v"))
-    r = r.withColumn("_blk", _block("_at", width))
-    left, cols = shared(left), left.columns
-    q = left.select(F.struct(*cols).alias("_row"), *keys, F.col(at).cast("bigint").alias("_at")).withColumn("_blk", _block("_at", width))
-    lasts = r.groupBy(*keys, "_blk").agg(F.max_by("_v", "_o").alias("_last")).withColumn("_have", F.lit(1))
-    wanted = q.select(*keys, "_blk").distinct()
-    blocks = wanted.join(lasts.drop("_have"), [*keys, "_blk"], "full")
+    r, q = rows.withColumn("_blk", _block("_at", width)), points.withColumn("_blk", _block("_at", width))
+    lasts = r.groupBy(*keys, "_blk").agg(F.max_by("_v", "_o").alias("_last"))
+    blocks = q.select(*keys, "_blk").distinct().join(lasts, [*keys, "_blk"], "full")
     before = (W.partitionBy(*keys).orderBy("_blk") if keys else W.orderBy("_blk")).rowsBetween(W.unboundedPreceding, -1)
     carry = blocks.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last")
-    null_row = F.lit(None).cast(q.schema["_row"].dataType)
-    events = r.select(*keys, "_blk", "_at", F.lit(0).alias("_kind"), "_o", "_v", null_row.alias("_row")).unionByName(
-        q.select(*keys, "_blk", "_at", F.lit(1).alias("_kind"), F.lit(None).cast(r.schema["_o"].dataType).alias("_o"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), "_row")
-    )
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    events = r.select(*keys, "_blk", "_at", F.lit(0).alias("_kind"), "_o", "_v", none(q, "_p")).unionByName(q.select(*keys, "_blk", "_at", F.lit(1).alias("_kind"), none(r, "_o"), none(r, "_v"), "_p"))
     w = W.partitionBy(*keys, "_blk").orderBy("_at", "_kind", "_o").rowsBetween(W.unboundedPreceding, 0)
     got = events.withColumn("_in", F.last("_v", ignorenulls=True).over(w)).where("_kind = 1").join(carry, [*keys, "_blk"])
-    return got.select("_row.*", F.coalesce("_in", "_carry").alias(name))
+    return got.select(*keys, "_p", F.coalesce("_in", "_carry").alias("_far"))
 
 
 def asof_next(left: DataFrame, right: DataFrame, keys: list[str], at: str, order: list[str], value: list[str], name: str, width: int = WIDTH) -> DataFrame:

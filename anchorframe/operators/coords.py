@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalar
-from ..functions.ordered import asof
+from ..functions.ordered import asof, small
 
-#: A contig table of up to this many rows is broadcast; a larger one is joined by position blocks.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+#: A genome with more contigs than this is looked up by position blocks; with fewer, each row is tested against all.
+MOST_TESTED = 256
 
 
 def locate(points: DataFrame, contigs: DataFrame, at: str, prefix: str) -> DataFrame:
     """``points`` with {prefix}contig, {prefix}contig_idx and {prefix}rel of the position ``at``; null outside."""
     c = contigs.select(F.col("seq_idx").alias("_s"), F.col("contig").alias(f"{prefix}contig"), F.col("contig_idx").alias(f"{prefix}contig_idx"), F.col("offset").alias("_o"), F.col("length").alias("_l"))
-    if small(contigs):
+    if small(contigs, MOST_TESTED):
         hit = (F.col("_s") == F.col("seq_idx")) & (F.col("_o") <= F.col(at)) & (F.col(at) < F.col("_o") + F.col("_l"))
         out = points.join(F.broadcast(c), hit, "left")
     else:

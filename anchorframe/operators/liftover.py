@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordered import WIDTH, asof, asof_next
+from ..functions.ordered import WIDTH, asof, asof_next, fitting, shared
 
 
 def bounds(regions: DataFrame, mums: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -40,8 +40,10 @@ def liftover(regions: DataFrame, mums: DataFrame, width: int = WIDTH, strand_awa
     By default offsets are added whatever the strand, so an interval in an inverted stretch may have start > end; with
     ``strand_aware`` offsets are mirrored within reverse matches and the interval is put in order.
     """
-    b = offsets(bounds(regions, mums, width)).select("region_id", "left_id", "right_id", "left_off", "right_off")
-    side = lambda k: mums.where("start >= 0").select(F.col("mum_id").alias(f"{k}_id"), "seq_idx", F.col("start").alias(f"{k}_s"), F.col("length").alias(f"{k}_n"), F.col("strand").alias(f"{k}_strand"))
+    b = shared(offsets(bounds(regions, mums, width)).select("region_id", "left_id", "right_id", "left_off", "right_off"))
+    ids = fitting(b.select(F.explode(F.array("left_id", "right_id")).alias("mum_id")).distinct())
+    m = mums.where("start >= 0").join(ids, "mum_id", "left_semi")  # only the bounding matches go on
+    side = lambda k: m.select(F.col("mum_id").alias(f"{k}_id"), "seq_idx", F.col("start").alias(f"{k}_s"), F.col("length").alias(f"{k}_n"), F.col("strand").alias(f"{k}_strand"))
     j = b.join(side("left"), "left_id").join(side("right"), ["right_id", "seq_idx"])
     at = lambda k: F.col(f"{k}_s") + F.col(f"{k}_off")
     if strand_aware:

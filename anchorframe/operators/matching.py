@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ordered import WIDTH, shared, with_next
+from ..functions.suffixes import once_in_each
 
 
 #: Characters of a piece: finding a position in a string takes time in proportion to it.
@@ -41,29 +43,23 @@ def pairwise_mems(left: DataFrame, right: DataFrame, k: int, width: int = WIDTH)
     return n.select("a", "b", "a_pos", (F.col("a_pos") - F.col("diag")).alias("b_pos"), (F.col("next.a_pos") - F.col("a_pos") + k).alias("length"))
 
 
-def multi_matches(seqs: DataFrame, group: str, k: int, genomes: int, width: int = WIDTH) -> DataFrame:
-    """group, match, seq_idx, pos, length: maximal matches of at least ``k`` characters that occur exactly once in each of
-    the ``genomes`` sequences (seq_idx 0 ..) of a group.
+def multi_matches(seqs: DataFrame, group: str, k: int, both_strands: bool = False) -> DataFrame:
+    """group, match, seq_idx, pos, length, strand: maximal matches of at least ``k`` characters that occur exactly once in
+    each of a group's sequences (group, seq_idx, seq; null ones are absent). ``match`` numbers a group's matches from 0.
 
-    The diagonals of all sequences against the first make a k-mer hit a vector; runs of one vector are matches. A run's
-    text is then counted in every sequence, since a match may be unique though none of its k-mers is.
+    With ``both_strands`` sequences are nucleic acids and occurrences on either strand count. A match may be unique though
+    none of its k-mers is, so a group's suffixes are sorted as a whole: a task holds one group, some hundred bytes for
+    each character of it. Groups are slices between neighbouring anchors, not genomes.
     """
-    x = kmers(seqs, k, (group, "seq_idx"))
-    hits = x.where("seq_idx = 0").select(group, "kmer", F.col("pos").alias("p0"), F.array(F.lit(0).cast("bigint")).alias("d"))
-    for j in range(1, genomes):
-        y = x.where(F.col("seq_idx") == j).select(group, "kmer", "pos")
-        hits = hits.join(y, [group, "kmer"]).withColumn("d", F.concat("d", F.array(F.col("pos") - F.col("p0")))).drop("pos")
-    hits = shared(hits.select(group, "d", "p0").distinct())
-    key = [group, "d"]
-    before, after = hits.withColumn("p0", F.col("p0") + 1), hits.withColumn("p0", F.col("p0") - 1)
-    marks = hits.join(before, [*key, "p0"], "left_anti").withColumn("kind", F.lit(0)).unionByName(hits.join(after, [*key, "p0"], "left_anti").withColumn("kind", F.lit(1)))
-    runs = with_next(marks, key, ["p0", "kind"], ["p0"], width=width).where("kind = 0").select(*key, "p0", (F.col("next.p0") - F.col("p0") + k).alias("length"))
-    first = seqs.where("seq_idx = 0").select(group, "seq")
-    runs = runs.join(first, group).withColumn("text", F.substring("seq", (F.col("p0") + 1).cast("int"), F.col("length").cast("int"))).drop("seq")
-    runs = shared(runs)
-    # occurrences by stepping through the positions, so overlapping ones count
-    texts = runs.select(group, "text", "length").distinct().join(seqs.select(group, "seq_idx", "seq"), group)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("seq") - F.length("text") + 1)), lambda i: F.substring(F.col("seq"), i, F.length("text")) == F.col("text"))
-    once = texts.groupBy(group, "text").agg(F.min(F.size(at)).alias("lo"), F.max(F.size(at)).alias("hi")).where("lo = 1 and hi = 1")
-    good = runs.join(once.select(group, "text"), [group, "text"])
-    return good.select(group, F.col("p0").alias("match"), F.posexplode("d").alias("seq_idx", "shift"), "length", "p0").select(group, "match", "seq_idx", (F.col("p0") + F.col("shift")).alias("pos"), "length")
+    kind = seqs.schema[group].dataType.simpleString()
+
+    def run(key, t):
+        rows = sorted((i, x) for i, x in zip(t.column("seq_idx").to_pylist(), t.column("seq").to_pylist(), strict=True) if x is not None)
+        found = once_in_each([x.encode() for _, x in rows], k, both_strands)
+        flat = [(m, rows[j][0], p, n, f) for m, (n, starts, forward) in enumerate(found) for j, (p, f) in enumerate(zip(starts, forward, strict=True))]
+        cols = list(zip(*flat, strict=True)) or [[]] * 5
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(flat), t.schema.field(group).type), *(pa.array(c, y) for c, y in zip(cols, types, strict=True))], names=[group, "match", "seq_idx", "pos", "length", "strand"])
+
+    own = seqs.select(group, F.col("seq_idx").cast("int").alias("seq_idx"), "seq")
+    return own.groupBy(group).applyInArrow(run, f"`{group}` {kind}, match bigint, seq_idx int, pos bigint, length bigint, strand boolean")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.ordered import shared, with_next
-from ..operators import collinear as co, coords, gaps as gp, intervals, layout, liftover as lo, matching, segment, seqs
+from ..operators import collinear as co, coords, enhance, gaps as gp, graph, intervals, layout, liftover as lo, matching, segment, seqs
 from . import adapters as ad
 
 #: Positions in a block of the order-dependent helpers, bin width of the index queries, strip size, genomes.
@@ -283,7 +283,41 @@ def _groups(spark, d):
 
 
 def multi_mums(spark, d):
-    return matching.multi_matches(_groups(spark, d), "grp", K_MULTI, 3, WIDTH)
+    return matching.multi_matches(_groups(spark, d), "grp", K_MULTI).drop("strand")
+
+
+def multi_mums_stranded(spark, d):
+    """The same groups with the second sequence turned over."""
+    g = _groups(spark, d).withColumn("seq", F.when(F.col("seq_idx") == 1, scalar.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+    return matching.multi_matches(g, "grp", K_MULTI, both_strands=True)
+
+
+def enhanced_gaps(spark, d):
+    """The partial match table with new matches in gaps of 300 or more, whose sequences are those of the groups above."""
+    open_ = enhance.open_gaps(_blocks(spark, d), ad.mums(spark, d), ad.contigs(spark, d), 300, 2.0)
+    items = _groups(spark, d)
+    n = (items.agg(F.max("grp")).first()[0] or 0) + 1
+    text = open_.select("gap", "seq_idx", "left", (F.col("gap") % n).alias("grp"), (F.col("seq_idx") % 3).cast("int").alias("k"))
+    slices = text.join(items.withColumnRenamed("seq_idx", "k"), ["grp", "k"]).select("gap", "seq_idx", "left", "seq")
+    return enhance.enhanced_table(ad.mums_partial(spark, d), enhance.rematch(slices, K_MULTI), G)
+
+
+def bubble_nodes(spark, d):
+    """Alleles between the rows of oriented blocks; their sequences are cut from one word by the interval's numbers."""
+    i = graph.inner_intervals(_oriented(spark, d), ad.mums(spark, d))
+    at, size = (F.col("start") - F.col("end")) % 5 + 6, (F.col("gap") + F.col("seq_idx") * F.col("seq_idx")) % 4
+    return graph.bubble_nodes(i.select("block", "gap", "seq_idx", F.substring(F.lit("acgtgcatcgatgc"), at.cast("int"), size.cast("int")).alias("seq")))
+
+
+def interblock_walks(spark, d):
+    return graph.interblock(_oriented(spark, d), ad.mums(spark, d), 60, 4096)
+
+
+def fasta_pieces(spark, d):
+    """The slices of :func:`fasta_slices`, fetched from sequences in pieces."""
+    size = 64
+    pieces = seqs.in_pieces(ad.sequences(spark, d), size)
+    return seqs.fetch_pieces(ad.slices(spark, d), pieces, size).select("contig", "start", "end", "slice")
 
 
 def enhanced_union(spark, d):
@@ -372,7 +406,7 @@ NAMES = [
     cross_contig_rejects, local_to_global, global_to_local, sort_by_genome_rank, sortedness_violations, bin_ranges_rle, bin_spans, bin_index_offsets, nearest_nonempty_bin,
     flank_bins, region_bin_candidates, lengths_checksum, table_stats, genome_lengths, contig_offsets, last_mum_end, presence_counts, wide_to_long, long_to_wide, neighbour_pairs,
     common_adjacency, collinear_blocks, filter_collinear, block_renumber, collinear_pct, oriented_blocks, rearranged_blocks, walk_steps, walk_links_distinct, contig_breaks,
-    shred_cuts, shred_intervals, gap_lengths, gaps_to_enhance, gap_outliers, gap_coords, trim_overlaps, unique_kmer_anchors, pairwise_mems, multi_mums, enhanced_union,
+    shred_cuts, shred_intervals, gap_lengths, gaps_to_enhance, gap_outliers, gap_coords, trim_overlaps, unique_kmer_anchors, pairwise_mems, multi_mums, multi_mums_stranded, enhanced_gaps, enhanced_union, bubble_nodes, interblock_walks, fasta_pieces,
     fasta_slices, fasta_headers, fasta_filenames, fasta_missing, reverse_complement, strand_mirror, region_parse, path_functions, haplotype_ids, split_multifasta, block_polygons,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

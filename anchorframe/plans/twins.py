@@ -212,6 +212,26 @@ SELECT n + t.cut, CAST(t.seq_idx AS INTEGER), coalesce(f.start, -1), 20, coalesc
 fo AS (SELECT gap AS cut, seq_idx, "left" + gap_len // 2 AS start, true AS strand FROM gaps WHERE gap_len >= 300)""",
     ),
     "fasta_slices": _SLICE + 'SELECT contig, start, "end", substr(text, start + 1, "end" - start) AS slice FROM sl',
+    "fasta_pieces": _SLICE + 'SELECT contig, start, "end", substr(text, start + 1, "end" - start) AS slice FROM sl',
+    "bubble_nodes": _q(
+        """SELECT block, gap, seq_idx, CASE WHEN seq <> '' THEN 'oblock' || block || '_g' || gap || '_a' || (dense_rank() OVER (PARTITION BY block, gap ORDER BY first) - 1) END AS name
+FROM (SELECT *, min(seq_idx) OVER (PARTITION BY block, gap, seq) AS first FROM iv)""",
+        _B, _O,
+        """,
+iv0 AS (SELECT block, l - s AS gap, a.seq_idx, CASE WHEN a.strand THEN a.start + a.length ELSE b.start + b.length END AS x, CASE WHEN a.strand THEN b.start ELSE a.start END AS y
+  FROM (SELECT block, s, unnest(range(s, e)) AS l FROM ob) p JOIN mums a ON a.mum_id = l JOIN mums b ON b.mum_id = l + 1 AND b.seq_idx = a.seq_idx),
+iv AS (SELECT block, gap, seq_idx, substr('acgtgcatcgatgc', CAST((x - y) % 5 + 6 AS INTEGER), CAST((gap + seq_idx * seq_idx) % 4 AS INTEGER)) AS seq FROM iv0)""",
+    ),
+    "interblock_walks": _q(
+        """SELECT seq_idx, block, lo, hi, joined, CAST(sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY seq_idx ORDER BY block) AS BIGINT) AS walk FROM
+(SELECT g.seq_idx, g.block, lo, hi, m.block IS NULL AND hi > lo AND (g.seq_idx = 0 OR hi - lo <= 60) AS joined FROM ig g LEFT JOIN mv m ON m.seq_idx = g.seq_idx AND m.block = g.block)""",
+        _B, _O,
+        """,
+sp AS (SELECT block, m.seq_idx, min(m.start) AS start, max(m.start + m.length) AS "end", any_value(h.start) AS head FROM ob JOIN mums m ON m.mum_id = s OR m.mum_id = e
+  JOIN mums h ON h.mum_id = s AND h.seq_idx = m.seq_idx GROUP BY block, m.seq_idx),
+ig AS (SELECT seq_idx, block, lag("end", 1, 0) OVER w AS lo, start AS hi, head < lag(head) OVER w AS back FROM sp WINDOW w AS (PARTITION BY seq_idx ORDER BY block)),
+mv AS (SELECT DISTINCT seq_idx, unnest([block - 1, block, block + 1]) AS block FROM ig WHERE back)""",
+    ),
     "fasta_headers": _SLICE + """SELECT contig, '>' || contig || ':' || (start + 1) || '-' || "end" AS header, contig || ':' || (start + 1) || '-' || "end" AS interval FROM sl""",
     "fasta_filenames": _SLICE
     + """, p AS (SELECT contig, start, "end", '/data/in/' || path || (start % 40) || (['', '.fa', '.fna.gz', '.x y'])[start % 4 + 1] AS path FROM sl),

@@ -109,7 +109,7 @@ def test_multi_matches_match_brute_force(spark):
                     if left and right:
                         want |= {(j, i[0], len(t)) for j, i in enumerate(at)}
         df = spark.createDataFrame([(0, j, x) for j, x in enumerate(s)], "g int, seq_idx int, seq string")
-        assert {(x.seq_idx, x.pos, x.length) for x in matching.multi_matches(df, "g", k, 3, 8).collect()} == want
+        assert {(x.seq_idx, x.pos, x.length) for x in matching.multi_matches(df, "g", k).collect()} == want
 
 
 def test_split_multifasta_keeps_whole_texts(spark, tmp_path):
