@@ -7,6 +7,8 @@ are windowed by key alone.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 WIDTH = 1 << 20
@@ -15,22 +17,20 @@ WIDTH = 1 << 20
 #: Tables of up to this many rows are broadcast; larger ones are joined by shuffle, with the same rows.
 BROADCAST_ROWS = 100_000
 
-_kept: list[DataFrame] = []
-
 
 def shared(df: DataFrame) -> DataFrame:
-    """``df``, kept (in memory, else on disk) because several branches of a plan read it; lost parts are recomputed.
+    """``df``, written once to the checkpoint folder, because several branches of a plan read it.
 
-    It is kept until :func:`release`, which long sessions call between queries.
+    Nothing stays in memory, and plans that are built on it start anew, so they stay short. The folder is the session's
+    ``spark.checkpoint.dir``, which driver and executors must share; a local master without one uses a temporary folder.
     """
-    _kept.append(df.persist())
-    return _kept[-1]
-
-
-def release() -> None:
-    """Give up everything that is kept; results not read yet stay right and recompute what they need."""
-    while _kept:
-        _kept.pop().unpersist()
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared-"))
+    return df.checkpoint()
 
 
 def small(df: DataFrame, rows: int | None = None) -> bool:

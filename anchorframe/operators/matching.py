@@ -61,5 +61,7 @@ def multi_matches(seqs: DataFrame, group: str, k: int, both_strands: bool = Fals
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
         return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(flat), t.schema.field(group).type), *(pa.array(c, y) for c, y in zip(cols, types, strict=True))], names=[group, "match", "seq_idx", "pos", "length", "strand"])
 
-    own = seqs.select(group, F.col("seq_idx").cast("int").alias("seq_idx"), "seq")
+    # a number of partitions is not coalesced: groups are small, but each takes a while
+    n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = seqs.select(group, F.col("seq_idx").cast("int").alias("seq_idx"), "seq").repartition(n, group)
     return own.groupBy(group).applyInArrow(run, f"`{group}` {kind}, match bigint, seq_idx int, pos bigint, length bigint, strand boolean")

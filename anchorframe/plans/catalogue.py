@@ -293,12 +293,16 @@ def multi_mums_stranded(spark, d):
 
 
 def enhanced_gaps(spark, d):
-    """The partial match table with new matches in gaps of 300 or more, whose sequences are those of the groups above."""
+    """The partial match table with new matches in gaps of 300 or more. A gap's sequences are a benchmark item, in each
+    genome with other letters in its middle, and turned over in the second genome."""
     open_ = enhance.open_gaps(_blocks(spark, d), ad.mums(spark, d), ad.contigs(spark, d), 300, 2.0)
-    items = _groups(spark, d)
-    n = (items.agg(F.max("grp")).first()[0] or 0) + 1
-    text = open_.select("gap", "seq_idx", "left", (F.col("gap") % n).alias("grp"), (F.col("seq_idx") % 3).cast("int").alias("k"))
-    slices = text.join(items.withColumnRenamed("seq_idx", "k"), ["grp", "k"]).select("gap", "seq_idx", "left", "seq")
+    b = ad.table(spark, d, "benchmark").select(F.col("item_id").cast("bigint").alias("grp"), F.upper(_dna(F.col("text"))).alias("t"))
+    n = (b.agg(F.max("grp")).first()[0] or 0) + 1
+    half = F.floor(F.length("t") / 2).cast("int")
+    letter = F.element_at(F.array(*[F.lit(x) for x in "ACGTA"]), F.col("seq_idx") + 1)
+    seq = F.concat(F.substring("t", F.lit(1), half), F.repeat(letter, F.col("seq_idx") + 3), F.substring("t", half + 1, F.length("t")))
+    text = open_.select("gap", "seq_idx", "left", (F.col("gap") % n).alias("grp")).join(b, "grp")
+    slices = shared(text.select("gap", "seq_idx", "left", F.when(F.col("seq_idx") == 1, scalar.reverse_complement(seq)).otherwise(seq).alias("seq")))
     return enhance.enhanced_table(ad.mums_partial(spark, d), enhance.rematch(slices, K_MULTI), G)
 
 

@@ -8,7 +8,6 @@ import time
 
 from pyspark.sql import SparkSession
 
-from anchorframe.functions.ordered import release
 from anchorframe.plans import catalogue
 
 HEADLINE = ["subset_batch", "extract_bounds", "extract_liftover", "extract_bed", "bin_spans", "sort_by_genome_rank", "common_adjacency", "collinear_blocks", "gap_lengths", "fasta_slices", "table_stats"]
@@ -30,7 +29,6 @@ def main() -> None:
     catalogue.QUERIES["table_stats"](spark, sf).count()  # starts the JVM's code paths
     took = {}
     for name in HEADLINE:
-        release()
         spark.catalog.clearCache()
         began = time.time()
         catalogue.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
