@@ -12,9 +12,10 @@ def bin_of(width: int, at: str = "start") -> Column:
     return F.floor(F.col(at) / width).cast("bigint")
 
 
-def sort_by_genome(mums: DataFrame, seq_idx: int, width: int = WIDTH) -> DataFrame:
-    """mum_id and new_id, its row number when sorted by one genome's start (present matches)."""
-    own = mums.where((F.col("seq_idx") == seq_idx) & (F.col("start") >= 0)).select("mum_id", "start")
+def sort_by_genome(mums: DataFrame, seq_idx: int, width: int = WIDTH, absent: bool = False) -> DataFrame:
+    """mum_id and new_id, its row number when sorted by one genome's start; with ``absent`` matches that the genome lacks
+    (start -1) come first, otherwise they are left out."""
+    own = mums.where((F.col("seq_idx") == seq_idx) & ((F.col("start") >= 0) | F.lit(absent))).select("mum_id", "start")
     return ranked(own, [], ["start", "mum_id"], "new_id", width).select("mum_id", F.col("new_id").cast("bigint").alias("new_id"))
 
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import layout
+from . import matchfile
 
 # The format's magic bytes and the span of an empty bin.
 MAGIC = b"bumblbi"
@@ -55,7 +56,8 @@ def write_one(mums: DataFrame, seq_idx: int, bin_width: int, path: str) -> None:
 
 def read(spark: SparkSession, path: str, seq_idx: int | None = None) -> DataFrame:
     """seq_idx, bin, span_min, span_max (null if empty), ranges (array of lo, hi)."""
-    head = np.fromfile(path, "<u8", 5)
+    words = lambda at, n: np.frombuffer(matchfile.read_at(path, 8 * at, 8 * n), "<u8")
+    head = words(0, 5)
     raw = int(head[0]).to_bytes(8, "little")
     if raw[:7] != MAGIC or raw[7] > 1:
         raise ValueError(f"{path}: not a bin index")
@@ -64,18 +66,18 @@ def read(spark: SparkSession, path: str, seq_idx: int | None = None) -> DataFram
     if raw[7] == 0:
         if seq_idx is not None and seq_idx != int(head[4]):
             raise ValueError(f"{path}: index of genome {int(head[4])}")
-        tail = [int(x) for x in np.fromfile(path, "<u8", offset=40)]
+        tail = [int(x) for x in words(5, matchfile.size_of(path) // 8 - 5)]
         if (len(tail) - 1) % 3:
             raise ValueError(f"{path}: damaged index")
         n = (len(tail) - 1) // 3
         rows = [(int(head[4]), b, *span(*tail[n + 1 + 2 * b : n + 3 + 2 * b]), [{"lo": tail[b], "hi": tail[b + 1]}] if tail[b + 1] > tail[b] else []) for b in range(n)]
     else:
         genomes = int(head[3])
-        offs = [int(x) for x in np.fromfile(path, "<u8", genomes + 1, offset=32)]
+        offs = [int(x) for x in words(4, genomes + 1)]
         if seq_idx is not None and not 0 <= seq_idx < genomes:
             raise ValueError(f"{path}: {genomes} genomes")
         for g in range(genomes) if seq_idx is None else [seq_idx]:
-            x = [int(v) for v in np.fromfile(path, "<u8", (offs[g + 1] - offs[g]) // 8, offset=offs[g])]
+            x = [int(v) for v in words(offs[g] // 8, (offs[g + 1] - offs[g]) // 8)]
             n = x[0]
             at, flat = [v // 8 for v in x[1 + 2 * n : 2 + 3 * n]], x[2 + 3 * n :]
             if len(at) != n + 1 or at[-1] != len(flat):
@@ -84,7 +86,21 @@ def read(spark: SparkSession, path: str, seq_idx: int | None = None) -> DataFram
     return spark.createDataFrame(rows, "seq_idx int, bin bigint, span_min bigint, span_max bigint, ranges array<struct<lo:bigint,hi:bigint>>")
 
 
+def bin_width(path: str) -> int:
+    return int(np.frombuffer(matchfile.read_at(path, 16, 8), "<u8")[0])
+
+
+def rows_of(spark: SparkSession, path: str, seq_idx: int, first: int, last: int) -> list[tuple[int, int]]:
+    """Row ranges that may hold matches overlapping the positions ``first`` to ``last`` (inclusive) of a genome.
+
+    A match that starts in an earlier bin counts if that bin's span reaches into the positions.
+    """
+    width = bin_width(path)
+    near = read(spark, path, seq_idx).where((F.col("bin") <= last // width) & (F.col("span_max") > first))
+    return sorted((r.lo, r.hi) for r in near.select(F.explode("ranges").alias("r")).select("r.lo", "r.hi").collect())  # one region's
+
+
 def verify(mums: DataFrame, path: str) -> bool:
     """Whether the index was built from this table: number of genomes and checksum agree."""
-    head = np.fromfile(path, "<u8", 4)
+    head = np.frombuffer(matchfile.read_at(path, 0, 32), "<u8")
     return int(head[3]) == int(mums.agg({"seq_idx": "max"}).first()[0]) + 1 and int(head[1]) == int(layout.lengths_checksum(mums).first().checksum)

@@ -3,9 +3,11 @@
 Layout: flags u16, n_seqs u64, n_rows u64, lengths u32[n] (u16 without the length flag), starts i64[n, N] (-1: absent),
 strand bits [n * N] (most significant bit first), then, with the block flag, num_blocks u64 and u32 pairs (s, e).
 Rows are read in chunks that are multiples of 8, so every chunk's strand bits begin on a byte; each chunk is a partition
-and reads three ranges of the file. A filter on mum_id prunes chunks before anything is read.
+and reads three ranges of the file. A filter on mum_id prunes chunks before anything is read; the option ``ranges`` names
+several row ranges, of which only the chunks they touch are read, and no other row is given.
 
-Paths must be readable by the executors (a shared file system).
+Paths must be readable by the executors (a shared file system), or start with http:// or https://: then each read is a
+request for a byte range, and a server that does not know ranges is an error.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import os
 import struct
 import tempfile
+import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,12 +54,43 @@ class Header:
         return self.strands_at + -(-self.n_rows * self.n_seqs // 8)
 
 
+def is_url(path: str) -> bool:
+    return path.startswith(("http://", "https://"))
+
+
+def read_at(path: str, offset: int, size: int) -> bytes:
+    """``size`` bytes from ``offset`` of a file or of what a server holds; fewer are an error."""
+    if not size:
+        return b""
+    if is_url(path):
+        ask = urllib.request.Request(path, headers={"Range": f"bytes={offset}-{offset + size - 1}"})
+        with urllib.request.urlopen(ask) as answer:  # an HTTP error is an OSError
+            if answer.status != 206:
+                raise ValueError(f"{path}: the server does not answer byte ranges")
+            data = answer.read(size + 1)
+    else:
+        with open(path, "rb") as f:
+            f.seek(offset)
+            data = f.read(size)
+    if len(data) != size:
+        raise ValueError(f"{path}: {size} bytes wanted at {offset}, {len(data)} read")
+    return data
+
+
+def size_of(path: str) -> int:
+    if not is_url(path):
+        return os.path.getsize(path)
+    with urllib.request.urlopen(urllib.request.Request(path, headers={"Range": "bytes=0-0"})) as answer:
+        total = (answer.headers.get("Content-Range") or "").rpartition("/")[2]
+    if not total.isdigit():
+        raise ValueError(f"{path}: the server does not tell the size")
+    return int(total)
+
+
 def read_header(path: str) -> Header:
-    with open(path, "rb") as f:
-        h = Header(*struct.unpack("<HQQ", f.read(18)), None)
-        if h.flags & BLOCKS:
-            f.seek(h.blocks_at)
-            h.num_blocks = struct.unpack("<Q", f.read(8))[0]
+    h = Header(*struct.unpack("<HQQ", read_at(path, 0, 18)), None)
+    if h.flags & BLOCKS:
+        h.num_blocks = struct.unpack("<Q", read_at(path, h.blocks_at, 8))[0]
     return h
 
 
@@ -64,9 +98,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """s, e: the stored inclusive blocks (none if the file has none)."""
     h, pairs = read_header(path), np.zeros((0, 2), np.int64)
     if h.num_blocks:
-        with open(path, "rb") as f:
-            f.seek(h.blocks_at + 8)
-            pairs = np.frombuffer(f.read(h.num_blocks * 8), "<u4").reshape(-1, 2).astype(np.int64)
+        pairs = np.frombuffer(read_at(path, h.blocks_at + 8, h.num_blocks * 8), "<u4").reshape(-1, 2).astype(np.int64)
     return spark.createDataFrame(pa.table({"s": pairs[:, 0], "e": pairs[:, 1]}))
 
 
@@ -77,8 +109,8 @@ class _Rows(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows, self.least, self.most = path, rows, 0, None
+    def __init__(self, path: str, rows: int, ranges: list[tuple[int, int]] | None = None):
+        self.path, self.rows, self.ranges, self.least, self.most = path, rows, ranges, 0, None
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
@@ -97,26 +129,36 @@ class _Reader(DataSourceReader):
         n = read_header(self.path).n_rows
         end = n if self.most is None else min(n, self.most + 1)
         first = max(0, self.least) // self.rows * self.rows
-        return [_Rows(lo, min(lo + self.rows, n)) for lo in range(first, max(end, 0), self.rows)] or [_Rows(0, 0)]
+        chunks = [_Rows(lo, min(lo + self.rows, n)) for lo in range(first, max(end, 0), self.rows)]
+        if self.ranges is not None:
+            chunks = [c for c in chunks if any(lo < c.hi and c.lo < hi for lo, hi in self.ranges)]
+        return chunks or [_Rows(0, 0)]
 
     def read(self, part: _Rows) -> Iterator[pa.RecordBatch]:
         h, n = read_header(self.path), part.hi - part.lo
-        with open(self.path, "rb") as f:
-            f.seek(18 + part.lo * h.width)
-            length = np.frombuffer(f.read(n * h.width), f"<u{h.width}").astype(np.int64)
-            f.seek(h.starts_at + part.lo * h.n_seqs * 8)
-            start = np.frombuffer(f.read(n * h.n_seqs * 8), "<i8")
-            f.seek(h.strands_at + part.lo * h.n_seqs // 8)
-            strand = np.unpackbits(np.frombuffer(f.read(-(-n * h.n_seqs // 8)), np.uint8))[: n * h.n_seqs].astype(bool)
-        if len(length) != n or len(start) != n * h.n_seqs or len(strand) != n * h.n_seqs:
-            raise ValueError(f"{self.path}: file ends early")
-        mum = np.repeat(np.arange(part.lo, part.hi), h.n_seqs)
-        seq = np.tile(np.arange(h.n_seqs, dtype=np.int32), n)
-        yield pa.RecordBatch.from_arrays([pa.array(mum), pa.array(seq), pa.array(start), pa.array(np.repeat(length, h.n_seqs)), pa.array(strand)], names=["mum_id", "seq_idx", "start", "length", "strand"])
+        length = np.frombuffer(read_at(self.path, 18 + part.lo * h.width, n * h.width), f"<u{h.width}").astype(np.int64)
+        start = np.frombuffer(read_at(self.path, h.starts_at + part.lo * h.n_seqs * 8, n * h.n_seqs * 8), "<i8")
+        bits = read_at(self.path, h.strands_at + part.lo * h.n_seqs // 8, -(-n * h.n_seqs // 8))
+        strand = np.unpackbits(np.frombuffer(bits, np.uint8))[: n * h.n_seqs].astype(bool)
+        row = np.arange(part.lo, part.hi)
+        keep = np.ones(n, bool) if self.ranges is None else np.logical_or.reduce([(row >= lo) & (row < hi) for lo, hi in self.ranges] or [np.zeros(n, bool)])
+        cells = np.repeat(keep, h.n_seqs)
+        mum, seq = np.repeat(row, h.n_seqs), np.tile(np.arange(h.n_seqs, dtype=np.int32), n)
+        columns = (mum, seq, start, np.repeat(length, h.n_seqs), strand)
+        yield pa.RecordBatch.from_arrays([pa.array(c[cells]) for c in columns], names=["mum_id", "seq_idx", "start", "length", "strand"])
+
+
+def _ranges(text: str | None) -> list[tuple[int, int]] | None:
+    """Half-open row ranges from ``lo-hi,lo-hi``; empty ones are left out."""
+    if text is None:
+        return None
+    pairs = [tuple(map(int, x.split("-"))) for x in text.split(",") if x]
+    return [(lo, hi) for lo, hi in pairs if lo < hi]
 
 
 class MatchFile(DataSource):
-    """``spark.read.format("matchfile").load(path)``; option ``rows`` sets the chunk size (a multiple of 8)."""
+    """``spark.read.format("matchfile").load(path)``; option ``rows`` sets the chunk size (a multiple of 8),
+    ``ranges`` the rows to read (``lo-hi,lo-hi``, half-open)."""
 
     @classmethod
     def name(cls) -> str:
@@ -129,7 +171,7 @@ class MatchFile(DataSource):
         rows = int(self.options.get("rows", CHUNK_ROWS))
         if rows <= 0 or rows % 8:
             raise ValueError("rows must be a positive multiple of 8")
-        return _Reader(self.options["path"], rows)
+        return _Reader(self.options["path"], rows, _ranges(self.options.get("ranges")))
 
 
 def register(spark: SparkSession) -> None:

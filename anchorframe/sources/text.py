@@ -12,6 +12,11 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BED).csv(path, sep="\t", comment="#", mode="FAILFAST", enforceSchema=True)
 
 
+def bed_lines(rows: DataFrame) -> DataFrame:
+    """``value``: a line for each half-open row that is not empty."""
+    return rows.where("end > start").select(F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("end").cast("string"), "path").alias("value"))
+
+
 def write_bed(rows: DataFrame, path: str, by: str | None = None) -> None:
     """Half-open rows, tab-separated; one folder for each value of ``by`` if given. Empty intervals are left out."""
     w = rows.where("end > start").select(*([by] if by else []), "contig", "start", "end", "path").write.mode("overwrite")
@@ -20,7 +25,12 @@ def write_bed(rows: DataFrame, path: str, by: str | None = None) -> None:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """contigs from lines of path, contig name, length (white space between), genomes in order of first appearance."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), F.split(F.trim("value"), r"\s+").alias("x")).where(F.size("x") >= 3)
+    return manifest_of(spark.read.text(path))
+
+
+def manifest_of(lines: DataFrame) -> DataFrame:
+    """The contigs of a manifest's lines (``value``), in their order."""
+    lines = lines.select(F.monotonically_increasing_id().alias("i"), F.split(F.trim("value"), r"\s+").alias("x")).where(F.size("x") >= 3)
     c = lines.select("i", F.col("x")[0].alias("path"), F.col("x")[1].alias("contig"), F.col("x")[2].cast("bigint").alias("length"))
     first = c.groupBy("path").agg(F.min("i").alias("f"))
     order = first.select("path", (F.row_number().over(W.orderBy("f")) - 1).alias("seq_idx"))  # a row per genome
@@ -29,13 +39,17 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return c.select("seq_idx", "contig_idx", "contig", "length", "offset", "path")
 
 
-def write_matches(table: DataFrame, path: str) -> None:
-    """One line for each match: length, comma-separated starts, comma-separated strands."""
+def match_lines(table: DataFrame) -> DataFrame:
+    """mum_id and ``value``, one line for each match: length, comma-separated starts, comma-separated strands."""
     from ..operators.layout import wide
 
     starts = F.array_join(F.transform("starts", lambda x: x.cast("string")), ",")
     strands = F.array_join(F.transform("strands", lambda x: F.when(x, F.lit("+")).otherwise(F.lit("-"))), ",")
-    wide(table).orderBy("mum_id").select(F.concat_ws("\t", F.col("length").cast("string"), starts, strands).alias("value")).write.mode("overwrite").text(path)
+    return wide(table).select("mum_id", F.concat_ws("\t", F.col("length").cast("string"), starts, strands).alias("value"))
+
+
+def write_matches(table: DataFrame, path: str) -> None:
+    match_lines(table).orderBy("mum_id").select("value").write.mode("overwrite").text(path)
 
 
 def write_fasta(slices: DataFrame, path: str) -> None:
@@ -43,10 +57,12 @@ def write_fasta(slices: DataFrame, path: str) -> None:
     slices.orderBy("path", "contig", "start").select(F.concat("header", F.lit("\n"), "slice").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_graph(blocks: DataFrame, links: DataFrame, walks: DataFrame, reference: str, path: str) -> None:
-    """Graph in GFA 1.1: header, segments (lengths only), links, walks."""
+def write_graph(blocks: DataFrame, links: DataFrame, walks: DataFrame, reference: str, path: str, sequences: DataFrame | None = None) -> None:
+    """Graph in GFA 1.1: header, segments, links, walks. ``sequences`` (block, seq) gives the segments their letters; without
+    it, or for blocks it lacks, they are ``*``."""
+    blocks = blocks.withColumn("seq", F.lit(None).cast("string")) if sequences is None else blocks.join(sequences.select("block", "seq"), "block", "left")
     h = blocks.sparkSession.createDataFrame([(0, f"H\tVN:Z:1.1\tRS:Z:{reference}")], "k int, value string")
-    s = blocks.select(F.lit(1).alias("k"), F.concat_ws("\t", F.lit("S"), F.concat(F.lit("b"), F.col("block").cast("string")), F.lit("*")).alias("value"))
+    s = blocks.select(F.lit(1).alias("k"), F.concat_ws("\t", F.lit("S"), F.concat(F.lit("b"), F.col("block").cast("string")), F.coalesce("seq", F.lit("*"))).alias("value"))
     name = lambda c: F.concat(F.lit("b"), F.col(c).cast("string"))
     l = links.select(F.lit(2).alias("k"), F.concat_ws("\t", F.lit("L"), name("a"), "a_dir", name("b"), "b_dir", F.lit("0M")).alias("value"))
     step = F.concat(F.when(F.col("direction") == "+", F.lit(">")).otherwise(F.lit("<")), F.lit("b"), F.col("block").cast("string"))
