@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir), works on all rows it is given and retur
 the columns of ``documents``. Between stages the rows are written as Parquet and read again.
 
 Defined results: documents with null or empty text, null ids or null sources pass through every stage that does not
-name them (an empty text is not toxic, repeats nothing, and the mix takes none of it, so the last stage leaves it out);
+name them (an empty text is scored like any other, repeats nothing, and the mix gives it the copies that all documents of
+its source get; a source without any words gets none);
 repeated rows of one doc_id and text stay together until the mix; an empty table gives an empty result; extra columns,
 whatever their names, are carried along, but for ``copies``, which the mix writes.
 """
