@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.ordered import ranked, shared
 from .operators import collinear, coords, enhance as en, gaps, intervals, layout, liftover, segment, seqs
-from .sources import binindex, fasta as fa, matchfile, text
+from .sources import archive, binindex, fasta as fa, matchfile, svg, text
 
 VERSION = "0.1.0"
 # File extensions of the binary format, of its text form and of their companions.
@@ -41,6 +41,7 @@ def stored_blocks(spark: SparkSession, path: str) -> DataFrame | None:
 
 def in_order(df: DataFrame) -> tuple[DataFrame, bool]:
     """The table sorted by the first genome, and whether it was so already."""
+    df = collinear.facing_forward(df)
     if not layout.disorder(df.where("seq_idx = 0")).where("n_violations > 0").count():
         return df, True
     return reordered(df, layout.sort_by_genome(df, 0, absent=True)), False
@@ -241,12 +242,18 @@ def fasta(spark, a):
     bed = shared(text.read_bed(spark, a.bed))
     if bed.isEmpty():
         raise ValueError("no rows")
-    paths = [r.path for r in bed.select("path").distinct().collect()]  # the files to read
-    pieces = pieces_of(spark, a.sequences, paths)
-    lost = seqs.missing(bed, pieces.where("piece = 0")).collect()
-    if lost:
-        raise ValueError("; ".join(f"no sequence {r.contig} in {r.path}" for r in lost))
-    got = seqs.fetch_pieces(seqs.file_names(bed), pieces)
+    if a.archive:
+        bad = archive.complaints(bed, a.archive, a.program).collect()
+        if bad:
+            raise ValueError("; ".join(sorted(r.message for r in bad)))
+        got = shared(archive.fetch(seqs.file_names(bed), a.archive, a.program))
+    else:
+        paths = [r.path for r in bed.select("path").distinct().collect()]  # the files to read
+        pieces = pieces_of(spark, a.sequences, paths)
+        lost = seqs.missing(bed, pieces.where("piece = 0")).collect()
+        if lost:
+            raise ValueError("; ".join(f"no sequence {r.contig} in {r.path}" for r in lost))
+        got = seqs.fetch_pieces(seqs.file_names(bed), pieces)
     if a.each:
         fa.write_each(got, a.out)
     elif a.out:
@@ -255,6 +262,14 @@ def fasta(spark, a):
         say(got.orderBy("path", "contig", "start").select(F.concat("header", F.lit("\n"), "slice").alias("value")))
 
 
+def draw(spark, a):
+    contigs = manifest(spark, a)
+    df, _ = in_order(load(spark, a.table))
+    df = shared(df)
+    blocks = shared(collinear.oriented_blocks(df, genomes(df)))
+    svg.write_polygons(collinear.polygons(blocks, df), contigs.groupBy("seq_idx").agg(F.sum("length").alias("total")), a.out)
+
+
 def stats(spark, a):
     report = layout.table_stats(load(spark, a.table)).first().asDict()
     stem = a.table.removesuffix(BINARY)
@@ -273,7 +288,7 @@ def parser() -> argparse.ArgumentParser:
         if table:
             c.add_argument("table")
         if out:
-            c.add_argument("-o", "--out", required=name in ("index", "shred", "gaps"))
+            c.add_argument("-o", "--out", required=name in ("index", "shred", "gaps", "draw"))
         for flags, options in args:
             c.add_argument(*flags, **options)
 
@@ -290,7 +305,8 @@ def parser() -> argparse.ArgumentParser:
     add("shred", shred, lengths, (("--size",), {"type": int, "default": 10_000_000}), (("--per-sequence",), flag))
     add("gaps", gaps_, (("--min-gap",), {"type": int, "required": True}), (("--outlier-factor",), {"type": float}))
     add("enhance", enhance, (("min_gap",), {"type": int}), lengths, form, store, (("--min-match",), {"type": int, "default": 20}), (("--outlier-factor",), {"type": float, "default": 5.0}))
-    add("fasta", fasta, (("bed",), {}), store, (("--each",), flag), table=False)
+    add("fasta", fasta, (("bed",), {}), store, (("--each",), flag), (("--archive",), {}), (("--program",), {"default": archive.PROGRAM}), table=False)
+    add("draw", draw, lengths)
     add("stats", stats, (("--json",), flag), out=False)
     return p
 

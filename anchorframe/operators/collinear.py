@@ -15,6 +15,16 @@ def neighbour_pairs(mums: DataFrame, width: int = WIDTH) -> DataFrame:
     return n.select("seq_idx", F.when(F.col("strand"), l).otherwise(r).alias("l"), F.when(F.col("strand"), r).otherwise(l).alias("r"))
 
 
+def facing_forward(mums: DataFrame) -> DataFrame:
+    """The same matches, each read so that the first genome has it forward: those it has reversed are turned over in all
+    genomes. A table that needs none of this is given back as it is."""
+    turned = mums.where("seq_idx = 0 and start >= 0 and not strand").select("mum_id")
+    if turned.isEmpty():
+        return mums
+    own = mums.join(turned.withColumn("turn", F.lit(True)), "mum_id", "left")
+    return own.select("mum_id", "seq_idx", "start", "length", (F.col("strand") != F.coalesce("turn", F.lit(False))).alias("strand"))
+
+
 def common_adjacency(mums: DataFrame, genomes: int, width: int = WIDTH) -> DataFrame:
     """l, r: pairs that follow each other in every genome."""
     return neighbour_pairs(mums, width).groupBy("l", "r").agg(F.count("*").alias("m")).where(F.col("m") == genomes).select("l", "r")
@@ -35,9 +45,10 @@ def islands(numbers: DataFrame, col: str, width: int = WIDTH) -> DataFrame:
 def collinear_blocks(mums: DataFrame, genomes: int, width: int = WIDTH) -> DataFrame:
     """s, e: inclusive ranges of rows that are chained in every genome.
 
-    Rows are taken in the order of the first genome (whose matches are forward), where chained rows follow each other.
+    Rows are taken in the order of the first genome, where chained rows follow each other (see layout.sort_by_genome);
+    matches that it has reversed are turned over first.
     """
-    pairs = common_adjacency(mums, genomes, width).where("r = l + 1")
+    pairs = common_adjacency(facing_forward(mums), genomes, width).where("r = l + 1")
     return islands(pairs, "l", width).select("s", (F.col("e") + 1).alias("e"))
 
 
@@ -92,3 +103,13 @@ def links(blocks: DataFrame, mums: DataFrame, width: int = WIDTH) -> DataFrame:
     """a, a_dir, b, b_dir: distinct steps between blocks over all genomes."""
     w = with_next(walk_steps(blocks, mums, width), ["seq_idx"], ["place"], ["block", "direction"], width=width).where("next is not null")
     return w.select(F.col("block").alias("a"), F.col("direction").alias("a_dir"), F.col("next.block").alias("b"), F.col("next.direction").alias("b_dir")).distinct()
+
+
+def polygons(blocks: DataFrame, mums: DataFrame) -> DataFrame:
+    """block, seq_idx, x0, x1, y0, y1: corners of each block between neighbouring genomes, as a drawing of synteny has them."""
+    m = mums.select("mum_id", "seq_idx", "start", (F.col("start") + F.col("length")).alias("end"))
+    head = blocks.select("block", F.col("s").alias("mum_id")).join(m, "mum_id").select("block", "seq_idx", F.col("start").alias("hs"), F.col("end").alias("he"))
+    tail = blocks.select("block", F.col("e").alias("mum_id")).join(m, "mum_id").select("block", "seq_idx", F.col("start").alias("ts"), F.col("end").alias("te"))
+    x = head.join(tail, ["block", "seq_idx"]).select("block", "seq_idx", F.least("hs", "ts").alias("x0"), F.greatest("he", "te").alias("x1"))
+    n = with_next(x, ["block"], ["seq_idx"], ["x0", "x1"]).where("next is not null")
+    return n.select("block", "seq_idx", "x0", "x1", F.col("next.x0").alias("y0"), F.col("next.x1").alias("y1"))

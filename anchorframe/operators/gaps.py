@@ -56,14 +56,29 @@ def enhanced(mums: DataFrame, found: DataFrame, first: int, genomes: int) -> Dat
     return mums.select("mum_id", "seq_idx", "start", "length", "strand").unionByName(new)
 
 
-def trimmed(pairs: DataFrame, mums: DataFrame) -> DataFrame:
-    """mum_id, cut: how much each match of an overlapping pair must lose so that no genome's gap is negative.
-
-    Pairs (l, r) are judged on the matches as given: the longer one (the right one on ties) loses the deepest overlap.
-    A match in several pairs loses the largest of its cuts.
-    """
+def overlaps(pairs: DataFrame, mums: DataFrame) -> DataFrame:
+    """l, r, loser, cut: the deepest overlap of each overlapping pair, and the match that loses it: the longer one, the
+    right one on ties. Pairs are judged on the matches as given."""
     side = lambda k: mums.select(F.col("mum_id").alias(k), "seq_idx", F.col("start").alias(f"{k}s"), F.col("length").alias(f"{k}n"))
     j = pairs.join(side("l"), "l").join(side("r"), ["r", "seq_idx"])
     gap = F.abs(F.col("ls") - F.col("rs")) - F.when(F.col("rs") < F.col("ls"), F.col("rn")).otherwise(F.col("ln"))
     d = j.groupBy("l", "r").agg(F.min(gap).alias("g"), F.first("ln").alias("ln"), F.first("rn").alias("rn")).where("g < 0")
-    return d.select(F.when(F.col("ln") > F.col("rn"), F.col("l")).otherwise(F.col("r")).alias("mum_id"), (-F.col("g")).alias("c")).groupBy("mum_id").agg(F.max("c").alias("cut"))
+    return d.select("l", "r", F.when(F.col("ln") > F.col("rn"), F.col("l")).otherwise(F.col("r")).alias("loser"), (-F.col("g")).alias("cut"))
+
+
+def trimmed(pairs: DataFrame, mums: DataFrame) -> DataFrame:
+    """mum_id, cut: how much each match of an overlapping pair must lose so that no genome's gap is negative; a match in
+    several pairs loses the largest of its cuts."""
+    return overlaps(pairs, mums).groupBy(F.col("loser").alias("mum_id")).agg(F.max("cut").alias("cut"))
+
+
+def without_overlaps(pairs: DataFrame, mums: DataFrame) -> DataFrame:
+    """The match table after trimming. A left match loses its end and a right one its beginning, as the first genome reads
+    them, so starts move in the genomes that read that side first; what would be cut to nothing is left out."""
+    cuts = overlaps(pairs, mums).groupBy(F.col("loser").alias("mum_id")).agg(
+        F.max(F.when(F.col("loser") == F.col("l"), F.col("cut")).otherwise(0)).alias("tail"), F.max(F.when(F.col("loser") == F.col("r"), F.col("cut")).otherwise(0)).alias("head")
+    )
+    m = mums.join(cuts, "mum_id", "left").fillna(0, ["head", "tail"])
+    start = F.when(F.col("start") < 0, F.col("start")).otherwise(F.col("start") + F.when(F.col("strand"), F.col("head")).otherwise(F.col("tail")))
+    out = m.select("mum_id", "seq_idx", start.cast("bigint").alias("start"), (F.col("length") - F.col("head") - F.col("tail")).cast("bigint").alias("length"), "strand")
+    return out.where("length > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..functions.ordered import shared, with_next
+from ..functions.ordered import shared
 from ..operators import collinear as co, coords, enhance, gaps as gp, graph, intervals, layout, liftover as lo, matching, segment, seqs
 from . import adapters as ad
 
@@ -239,6 +239,11 @@ def trim_overlaps(spark, d):
     return gp.trimmed(co.common_adjacency(m, G, WIDTH), m)
 
 
+def overlaps_removed(spark, d):
+    m = ad.mums(spark, d, slot=64)
+    return gp.without_overlaps(co.common_adjacency(m, G, WIDTH), m)
+
+
 #: Sequences for the k-mer operators: short texts, split in two halves where two sequences are needed.
 K, K_SHORT = 24, 400
 
@@ -391,13 +396,7 @@ def split_multifasta(spark, d):
 
 def block_polygons(spark, d):
     """Corner points of each block between neighbouring genomes, as a plot of synteny draws them."""
-    b = _oriented(spark, d)
-    m = ad.mums(spark, d).select("mum_id", "seq_idx", "start", (F.col("start") + F.col("length")).alias("end"))
-    head = b.select("block", F.col("s").alias("mum_id")).join(m, "mum_id").select("block", "seq_idx", F.col("start").alias("hs"), F.col("end").alias("he"))
-    tail = b.select("block", F.col("e").alias("mum_id")).join(m, "mum_id").select("block", "seq_idx", F.col("start").alias("ts"), F.col("end").alias("te"))
-    x = head.join(tail, ["block", "seq_idx"]).select("block", "seq_idx", F.least("hs", "ts").alias("x0"), F.greatest("he", "te").alias("x1"))
-    n = with_next(x, ["block"], ["seq_idx"], ["x0", "x1"]).where("next is not null")
-    return n.select("block", "seq_idx", "x0", "x1", F.col("next.x0").alias("y0"), F.col("next.x1").alias("y1"))
+    return co.polygons(_oriented(spark, d), ad.mums(spark, d))
 
 
 def entry(spark, d):
@@ -410,7 +409,7 @@ NAMES = [
     cross_contig_rejects, local_to_global, global_to_local, sort_by_genome_rank, sortedness_violations, bin_ranges_rle, bin_spans, bin_index_offsets, nearest_nonempty_bin,
     flank_bins, region_bin_candidates, lengths_checksum, table_stats, genome_lengths, contig_offsets, last_mum_end, presence_counts, wide_to_long, long_to_wide, neighbour_pairs,
     common_adjacency, collinear_blocks, filter_collinear, block_renumber, collinear_pct, oriented_blocks, rearranged_blocks, walk_steps, walk_links_distinct, contig_breaks,
-    shred_cuts, shred_intervals, gap_lengths, gaps_to_enhance, gap_outliers, gap_coords, trim_overlaps, unique_kmer_anchors, pairwise_mems, multi_mums, multi_mums_stranded, enhanced_gaps, enhanced_union, bubble_nodes, interblock_walks, fasta_pieces,
+    shred_cuts, shred_intervals, gap_lengths, gaps_to_enhance, gap_outliers, gap_coords, trim_overlaps, overlaps_removed, unique_kmer_anchors, pairwise_mems, multi_mums, multi_mums_stranded, enhanced_gaps, enhanced_union, bubble_nodes, interblock_walks, fasta_pieces,
     fasta_slices, fasta_headers, fasta_filenames, fasta_missing, reverse_complement, strand_mirror, region_parse, path_functions, haplotype_ids, split_multifasta, block_polygons,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

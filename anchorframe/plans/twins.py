@@ -196,6 +196,16 @@ JOIN contigs b ON b.seq_idx = g.seq_idx AND b.off <= "right" - 1 AND "right" - 1
 min(abs(a.start - b.start) - CASE WHEN b.start < a.start THEN b.length ELSE a.length END) AS g FROM ca JOIN mums a ON a.mum_id = l JOIN mums b ON b.mum_id = r AND b.seq_idx = a.seq_idx GROUP BY l, r) WHERE g < 0) GROUP BY mum_id""",
         _B, slot=64,
     ),
+    "overlaps_removed": _q(
+        """SELECT m.mum_id, m.seq_idx, m.start + CASE WHEN strand THEN coalesce(head, 0) ELSE coalesce(tail, 0) END AS start, length - coalesce(head, 0) - coalesce(tail, 0) AS length, strand
+FROM mums m LEFT JOIN cu ON cu.mum_id = m.mum_id WHERE length - coalesce(head, 0) - coalesce(tail, 0) > 0""",
+        _B,
+        """,
+ov AS (SELECT l, r, any_value(a.length) > any_value(b.length) AS left_loses, -min(abs(a.start - b.start) - CASE WHEN b.start < a.start THEN b.length ELSE a.length END) AS cut
+  FROM ca JOIN mums a ON a.mum_id = l JOIN mums b ON b.mum_id = r AND b.seq_idx = a.seq_idx GROUP BY l, r),
+cu AS (SELECT CASE WHEN left_loses THEN l ELSE r END AS mum_id, max(CASE WHEN left_loses THEN cut ELSE 0 END) AS tail, max(CASE WHEN left_loses THEN 0 ELSE cut END) AS head FROM ov WHERE cut > 0 GROUP BY 1)""",
+        slot=64,
+    ),
     "unique_kmer_anchors": """WITH s AS (SELECT item_id % 2 AS seq_id, string_agg(lower(text), ' ' ORDER BY item_id) AS seq FROM benchmark GROUP BY 1),
 x AS (SELECT seq_id, i - 1 AS pos, substr(seq, i, 5) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 3)) AS i FROM s))
 SELECT kmer, CAST(seq_id AS BIGINT) AS seq_id, pos FROM x WHERE kmer IN (SELECT kmer FROM x GROUP BY kmer HAVING count(*) = 2 AND count(DISTINCT seq_id) = 2)""",

@@ -211,3 +211,58 @@ def test_byte_ranges_over_http(spark, world):
         assert main(["stats", url, "--json"], spark) == 0
     finally:
         server.shutdown()
+
+
+def test_archive_by_its_program(spark, world, tmp_path, capsys):
+    d, genomes, *_ = world
+    program = tmp_path / "program"
+    program.write_text(
+        "#!/usr/bin/env python3\nimport sys\nargs = [a for a in sys.argv[2:] if a not in ('-t', '1')]\n"
+        f"seqs = {{f'chr{{j}}': s for j, s in enumerate({genomes!r})}}\n"
+        "for r in args[1:]:\n    c, _, x = r.partition(':')\n    if c not in seqs:\n        sys.exit(f'no contig {c}')\n"
+        "    a, b = map(int, x.split('-'))\n    s = seqs[c][a - 1 : b]\n    print('>' + r)\n    print(s[:50])\n    print(s[50:])\n"
+    )
+    program.chmod(0o755)
+    bed = tmp_path / "x.bed"
+    bed.write_text("chr0\t10\t90\ta\nchr1\t0\t5\tb\n")
+    assert main(["fasta", str(bed), "--archive", "x.agc", "--program", str(program)], spark) == 0
+    assert capsys.readouterr().out.splitlines() == [">chr0:11-90", genomes[0][10:90], ">chr1:1-5", genomes[1][:5]]
+    bed.write_text("chr7\t10\t90\ta\nchr7\t10\t90\ta\nchr8\t4\t2\tb\n")
+    assert main(["fasta", str(bed), "--archive", "x.agc", "--program", str(program)], spark) == 1
+    assert capsys.readouterr().err.strip() == "error: invalid region chr8:4-2; no contig chr7"
+
+
+def test_malformed_bed_names_its_line(spark, tmp_path):
+    from anchorframe.sources import text
+
+    (tmp_path / "a.bed").write_text("# x\nc\t1\t2\tp\nc\t1\n")
+    with pytest.raises(Exception, match="a.bed:3: four fields"):
+        text.read_bed(spark, f"{tmp_path}/a.bed").collect()
+    (tmp_path / "b.bed").write_text("c\tx\t2\tp\n")
+    with pytest.raises(Exception, match="b.bed:1: start and end"):
+        text.read_bed(spark, f"{tmp_path}/b.bed").collect()
+
+
+def test_drawing_and_bins(spark, world, tmp_path):
+    d, genomes, *_ = world
+    assert main(["draw", f"{d}/t.bumbl", "-o", f"{tmp_path}/p"], spark) == 0
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/p").collect()]
+    assert lines[0].startswith("<svg") and lines[-1] == "</svg>" and sum("<polygon" in x for x in lines) == 2 and sum("<line" in x for x in lines) == 3
+    assert binindex.parse_bins(3) == (3, 3) and binindex.parse_bins((1, 4)) == (1, 4)
+    with pytest.raises(ValueError):
+        binindex.parse_bins("1-2")
+    main(["index", f"{d}/t.bumbl", "-w", "100", "-o", f"{tmp_path}/i"], spark)
+    index = binindex.read(spark, f"{tmp_path}/i", 0)
+    rows = sorted(k for r in binindex.ranges_of(index, (0, 10)).collect() for k in range(r.lo, r.hi))
+    table = spark.read.format("matchfile").load(f"{d}/t.bumbl")
+    assert rows == sorted(r.mum_id for r in table.where("seq_idx = 0 and start < 1100").collect())
+
+
+def test_blocks_do_not_depend_on_reading_direction(spark):
+    from anchorframe.operators import collinear
+
+    rows = [(i, j, 100 * i if j < 2 else 900 - 100 * i, 20, j < 2) for i in range(6) for j in range(3)]
+    turned = [(i, j, s, n, f != (i % 2 == 1)) for i, j, s, n, f in rows]
+    for table in (rows, turned):
+        got = collinear.collinear_blocks(spark.createDataFrame(table, matchfile.SCHEMA), 3, 8).collect()
+        assert [(b.s, b.e) for b in got] == [(0, 5)]
