@@ -7,9 +7,10 @@ window alone, so both sides keep a common fingerprint: every shared window is fo
 shared with the benchmark are extended in both directions over all windows that contain them, and a window counts as a
 hit only if its whole word sequence (64-bit hash) is one of the benchmark's.
 
-The benchmark side is sent to the executors in blocks of at most ``block_bytes`` of text: its size is summed first,
-and a larger benchmark is run through block after block, hits being merged per document afterwards. The documents are
-never shuffled for a benchmark of one block.
+A benchmark of at most ``block_bytes`` of text (its size is summed first) is sent to the executors, and the documents are
+read once and never shuffled. A larger one stays a table: the documents' fingerprints meet the benchmark's by a shuffle,
+texts that share any are fetched, and the windows around shared fingerprints are compared by another. Either way the
+documents are read a fixed number of times, whatever the benchmark's size.
 
 Defined results: null and empty texts have no words, no hits and are clean; null or empty items have no windows; rows
 that share an item_id form one item, an item with a null id hits words but is not listed; equal document rows get
@@ -19,7 +20,7 @@ results.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkit as tk
-from .common import LOWER, UPPER, map_rows, struct_array
+from .common import LOWER, UPPER, cut, map_rows, struct_array
 
 WINDOW, K, BLOCK_BYTES = 13, 5, 24 << 20
 
@@ -161,25 +162,81 @@ def decontaminate(
     """Columns ``row`` and ``res``: n_words, n_hit, item_ids (sorted as strings), spans of hit words [from, to)."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     size = bench.agg(F.sum(F.octet_length("text") + F.lit(32))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    if blocks == 1:
+    if size <= block_bytes:
         got = bench.collect()  # at most block_bytes
         return _scan(docs, *build([r.id for r in got], [r.text for r in got], window, k), text_col)
-    # The key is the row's text: documents with equal texts have equal hits, so one of each text is searched.
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["key"])
-    found = None
-    for b in range(blocks):
-        got = bench.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
-        part = _scan(texts, *build([r.id for r in got], [r.text for r in got], window, k), "text").where("res.n_hit > 0").select("row.key", "res.item_ids", "res.spans")
-        found = part if found is None else found.unionByName(part)
-    total = found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"))
-    plain = _scan(docs, [], [], text_col).withColumn("key", F.sha2(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), 256))
+    # Documents with equal texts have equal hits, so one of each text is searched.
+    key = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    texts = docs.select(key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["key"])
+    whole, prints = _benchmark_tables(bench, window, k)
+    lengths = sorted(r.l for r in prints.select("l").distinct().collect())  # at most ``window``
+    shared = _prints(texts, lengths, k).join(prints, ["l", "g"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("l", "g")).alias("prints"))
+    near = cut(_near_windows(texts.join(shared, "key"), k).join(whole, ["l", "x"]).select("key", "s", "l", "id").distinct())
+    ids = near.where("id is not null").select("key", "id").distinct().groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("item_ids"))
+    spans = near.select("key", F.array("s", F.col("s") + F.col("l")).alias("x")).distinct().groupBy("key").agg(_merged(F.collect_list("x")).alias("spans"))
+    total = spans.join(ids, "key", "left")
+    plain = _scan(docs, [], [], text_col).withColumn("key", key(F.col(f"row.`{text_col}`")))
     ids, spans = F.coalesce("item_ids", F.array().cast("array<string>")), F.coalesce("spans", F.array().cast("array<array<bigint>>"))
     hits = F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, x: acc + x[1] - x[0])
     return plain.join(total, "key", "left").select("row", F.struct(F.col("res.n_words").alias("n_words"), hits.alias("n_hit"), ids.alias("item_ids"), spans.alias("spans")).alias("res"))
 
 
+def _benchmark_tables(bench: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (l, x, id) of all windows, and distinct (l, g) of their fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, classes = build(b.column(0).to_pylist(), b.column(1).to_pylist(), window, k)
+            for c in classes:
+                reps = np.diff(c.begin)
+                x = np.repeat(c.hashes, reps).view(np.int64)
+                label = pa.array([names[i] if i >= 0 else None for i in c.items], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c.length, np.int32)), pa.array(x), label, pa.nulls(len(x), pa.int64())], names=["l", "x", "id", "g"])
+                n = len(c.prints)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c.length, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(c.prints.view(np.int64))], names=["l", "x", "id", "g"])
+
+    both = cut(bench.mapInArrow(run, "l int, x bigint, id string, g bigint"))
+    return both.where("x is not null").select("l", "x", "id").distinct(), both.where("g is not null").select("l", "g").distinct()
+
+
+def _prints(texts: DataFrame, lengths: list[int], k: int) -> DataFrame:
+    """key, l, g: the distinct fingerprints of every text for each window length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in tk.tokenize(b.column(1), tk.NOT_ALNUM):
+                h = w.hashes()
+                for length in lengths:
+                    g, ok = tk.windows(h, w.row, min(k, length))
+                    at = np.flatnonzero(minima(g, ok, w.row, length - min(k, length) + 1))
+                    row, x = tk.uniq_pairs(w.row[at], g[at])
+                    keys = b.column(0).take(pa.array(row + w.lo))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(x), length, np.int32)), pa.array(x.view(np.int64))], names=["key", "l", "g"])
+
+    return texts.select("key", "text").mapInArrow(run, "key string, l int, g bigint")
+
+
+def _near_windows(texts: DataFrame, k: int) -> DataFrame:
+    """key, l, x, s: the windows around the shared ``prints`` of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text, prints in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for w in tk.tokenize(pa.array([text], pa.large_string()), tk.NOT_ALNUM):
+                    h, m = w.hashes(), len(w)
+                    for length in sorted({p["l"] for p in prints}):
+                        own = np.sort(np.array([p["g"] for p in prints if p["l"] == length], np.int64).view(np.uint64))
+                        g, ok = tk.windows(h, w.row, min(k, length))
+                        run_ = length - min(k, length) + 1
+                        at = np.flatnonzero(ok & (tk.member(g, own) >= 0))
+                        s = np.unique((at[:, None] - np.arange(run_)[None, :]).ravel())
+                        s = s[(s >= 0) & (s + length <= m)]
+                        x = tk.span_hash(h, s, s + length)
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(s)), pa.array(np.full(len(s), length, np.int32)), pa.array(x.view(np.int64)), pa.array(s)], names=["key", "l", "x", "s"])
+
+    return texts.select("key", "text", "prints").mapInArrow(run, "key string, l int, x bigint, s bigint")
+
+
 def contaminated(res: str = "res"):
     """The contract's rule: a twentieth of the words, at least, is hit."""
     return (F.col(f"{res}.n_hit") > 0) & (F.col(f"{res}.n_hit") * 20 >= F.col(f"{res}.n_words"))
