@@ -17,12 +17,12 @@ partitioning.
 
 Targets: sources ordered by code point, null last, have the weights 5, 2, 1, repeating, and share ``share`` times all
 words; a target stops at ``cap`` times its source's size and the excess is shared again by weight among the rest until
-none is above. That fixed point is found by one pass over the sources ordered by cap / weight.
+none is above. Each round of that is one aggregate over the table of sources. Sources are numbered range by range, so a
+table of many sources (one per web host, say) meets in no task either.
 
 Defined results: null and empty texts have size 0 and take 0; a source of size 0 has target 0; rows that agree in
 doc_id, source and size share one decision (their joint mass is what is paired); null ids and null sources are values
 like others; an empty table gives an empty result; extra columns are untouched by :func:`mix`.
-The table of sources is windowed in one task: one row per source.
 """
 
 from __future__ import annotations
@@ -40,21 +40,33 @@ def size_of(text_col: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``nth``, the place of its source (from 0) by code point, null last."""
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(sources.repartitionByRange(n, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
+    counts = sorted((r["range"], r["count"]) for r in dealt.groupBy("range").count().collect())  # a row per range, n at most
+    before, offsets = 0, []
+    for r, c in counts:
+        offsets.append((r, before))
+        before += c
+    frame = sources.sparkSession.createDataFrame(offsets, "range int, before bigint")
+    place = F.row_number().over(W.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return dealt.withColumn("place", place).join(F.broadcast(frame), "range").select(*sources.columns, (F.col("before") + F.col("place")).alias("nth"))
+
+
 def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """source, source_size, target from (source, size)."""
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    nth = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (nth % len(weights) + 1).cast("int")))
-    s = s.withColumn("top", F.col("source_size") * F.lit(cap))
-    order = W.orderBy((F.col("top") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before, every = order.rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    s = s.withColumn("mass", F.sum("source_size").over(every) * F.lit(share) - zero(F.sum("top").over(before)))
-    s = s.withColumn("left", F.sum("w").over(every) - zero(F.sum("w").over(before)))
-    # In this order those that stop at the cap come first.
-    s = s.withColumn("level", F.col("mass") / F.col("left")).withColumn("stops", F.col("w") * F.col("level") >= F.col("top"))
-    s = s.withColumn("line", F.first(F.when(~F.col("stops"), F.col("level")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    return s.select("source", "source_size", F.when(F.col("stops"), F.col("top")).otherwise(F.least(F.col("w") * F.col("line"), F.col("top"))).alias("target"))
+    s = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("nth") % len(weights) + 1).cast("int")))
+    s = cut(s.select("source", "source_size", "w", (F.col("source_size") * F.lit(cap)).alias("top")))
+    total, weight = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    level, known = (total * share / weight if weight else 0.0), None
+    while level != known:  # the level only rises, and each round stops at least one more source
+        known = level
+        stops = F.col("w") * F.lit(level) > F.col("top")
+        full, rest = s.agg(F.coalesce(F.sum(F.when(stops, F.col("top"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~stops, F.col("w"))), F.lit(0.0))).first()
+        level = max(level, (total * share - full) / rest) if rest else level
+    return s.select("source", "source_size", F.least(F.col("w") * F.lit(level), F.col("top")).alias("target"))
 
 
 def _fold(level: int, seed: int):
