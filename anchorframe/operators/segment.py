@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ordered import WIDTH, running_sum, shared, with_next
@@ -28,25 +31,34 @@ def shred_cuts(rows: DataFrame, mums: DataFrame, contigs: DataFrame, size: int,
 
     A row cuts if a contig breaks there, or if it is forward everywhere and the genomes' mean distance from their last
     cut exceeds ``size``. Contig breaks cut whatever came before, so the chain falls into independent stretches; each is
-    folded on its own, starting from the ends of the row that closed the one before.
+    read row by row in one task that remembers the last cut only, starting from the ends of the row that closed the one
+    before.
     """
     ends = F.array_sort(F.collect_list(F.struct("seq_idx", F.when(F.col("start") >= 0, F.col("start") + F.col("length")).alias("end"))))
     per = mums.join(rows.select("mum_id"), "mum_id").groupBy("mum_id").agg(F.bool_and("strand").alias("fwd"), F.transform(ends, lambda x: x["end"]).alias("ends"))
     per = shared(per.join(contig_breaks(rows, mums, contigs, width), "mum_id"))
     seg = running_sum(per, [], ["mum_id"], F.col("brk").cast("bigint"), "upto", width).withColumn("seg", F.col("upto") - F.col("brk").cast("bigint"))
-    opening = seg.where("brk").select((F.col("seg") + 1).alias("seg"), F.col("ends").alias("opening"))
-    lists = seg.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("mum_id", "fwd", "brk", "ends"))).alias("rows")).join(opening, "seg", "left")
-    zero = F.transform(F.element_at("rows", 1)["ends"], lambda x: F.lit(0).cast("bigint"))
-    start = F.struct(F.coalesce(F.transform("opening", lambda x: F.coalesce(x, F.lit(0).cast("bigint"))), zero).alias("last"), F.array().cast("array<struct<mum_id:bigint,ends:array<bigint>>>").alias("cuts"))
-
-    def step(acc, r):
-        spans = F.filter(F.zip_with(r["ends"], acc["last"], lambda e, l: e - l), lambda x: x.isNotNull())
-        far = r["fwd"] & (F.size(spans) > 0) & (F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: a + x) > F.size(spans) * F.lit(size))
-        new = F.zip_with(r["ends"], acc["last"], lambda e, l: F.coalesce(e, l))
-        return F.when(r["brk"] | far, F.struct(new.alias("last"), F.concat(acc["cuts"], F.array(F.struct(r["mum_id"].alias("mum_id"), new.alias("ends")))).alias("cuts"))).otherwise(acc)
-
-    folded = lists.select(F.aggregate("rows", start, step, lambda acc: acc["cuts"]).alias("cuts"))
-    return folded.select(F.explode("cuts").alias("c")).select("c.mum_id", "c.ends")
+    steps = seg.select("seg", "mum_id", "fwd", "brk", "ends")
+    opening = seg.where("brk").select((F.col("seg") + 1).alias("seg"), F.lit(-1).cast("bigint").alias("mum_id"), F.lit(True).alias("fwd"), F.lit(True).alias("brk"), "ends")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for b in batches:
+            out = []
+            for stretch, mum, fwd, brk, ends in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if stretch != now:
+                    now, last = stretch, [0] * len(ends)
+                if mum < 0:
+                    last = [e or 0 for e in ends]
+                    continue
+                spans = [e - x for e, x in zip(ends, last, strict=True) if e is not None]
+                if brk or (fwd and spans and sum(spans) > len(spans) * size):
+                    last = [x if e is None else e for e, x in zip(ends, last, strict=True)]
+                    out.append((mum, last))
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["mum_id", "ends"])
+
+    ordered = steps.unionByName(opening).repartition("seg").sortWithinPartitions("seg", "mum_id")
+    return ordered.mapInArrow(fold, "mum_id bigint, ends array<bigint>")
 
 
 def shred_intervals(cuts: DataFrame, contigs: DataFrame, width: int = WIDTH) -> DataFrame:
