@@ -72,7 +72,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, width: i
     return running_sum(df, keys, order, F.lit(1), name, width).withColumn(name, F.col(name) - 1)
 
 
-#: Position blocks in which :func:`asof` looks for candidates; only one row of each goes further.
+#: Position blocks in which :func:`asof` looks for candidates.
 FINE = 1 << 14
 
 
@@ -80,18 +80,25 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, order: lis
     """``left`` with the struct ``name`` of ``value`` of the last row of ``right`` whose order[0] is at most ``at``.
 
     Ties in order[0] go to the last by the rest of ``order``. The distinct points of ``left`` meet the rows of their own
-    fine block; of all other blocks only the last row counts, so the right side is reduced before it is shuffled.
+    fine block and the one before, which nearly always hold the answer, so of the right side only those blocks go on.
+    Points for which they are empty look further, among the last rows of all blocks.
     """
     fine = min(FINE, width)
     r = right.select(*keys, F.col(order[0]).cast("bigint").alias("_at"), F.struct(*order).alias("_o"), F.struct(*value).alias("_v")).withColumn("_fine", _block("_at", fine))
-    lasts = r.groupBy(*keys, "_fine").agg(F.max_by(F.struct("_at", "_o", "_v"), "_o").alias("_x")).select(*keys, "_x._at", "_x._o", "_x._v")
-    points = shared(left.select(*keys, F.col(at).cast("bigint").alias("_p")).distinct().withColumn("_fine", _block("_p", fine)))
+    points = shared(left.select(*keys, F.col(at).cast("bigint").alias("_p")).distinct())
     few = small(points)
-    near = r.join(F.broadcast(points) if few else points, [*keys, "_fine"]).where("_at <= _p")
-    near = near.groupBy(*keys, "_p").agg(F.max_by("_v", "_o").alias("_near"))
-    far = _asof_lasts(points.select(*keys, "_p", (F.col("_fine") * fine - 1).alias("_at")), lasts, keys, width)
-    found = far.join(F.broadcast(near) if few else near, [*keys, "_p"], "left").select(*keys, "_p", F.coalesce("_near", "_far").alias(name))
-    found = shared(found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_p", name))  # a row per point
+    around = points.withColumn("_fine", F.explode(F.array(_block("_p", fine), _block("_p", fine) - 1)))
+    near = r.join(F.broadcast(around) if few else around, [*keys, "_fine"]).where("_at <= _p")
+    found = shared(near.groupBy(*keys, "_p").agg(F.max_by("_v", "_o").alias(name)))
+    lost = points.join(F.broadcast(found) if few else found, [*keys, "_p"], "left_anti")
+    if not lost.isEmpty():  # points before a key's first row have no answer anywhere
+        first = r.groupBy(*keys).agg(F.min("_at").alias("_first"))
+        lost = shared((lost.join(first, keys) if keys else lost.join(F.broadcast(first))).where("_first <= _p").drop("_first"))
+    if not lost.isEmpty():
+        lasts = r.groupBy(*keys, "_fine").agg(F.max_by(F.struct("_at", "_o", "_v"), "_o").alias("_x")).select(*keys, "_x._at", "_x._o", "_x._v")
+        far = _asof_lasts(lost.withColumn("_at", F.col("_p")), lasts, keys, width)
+        found = found.unionByName(shared(far.select(*keys, "_p", F.col("_far").alias(name))))
+    found = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_p", name)
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(at).cast("bigint").eqNullSafe(F.col("_p"))]
     return left.join(F.broadcast(found) if few else found, same, "left").select(*left.columns, name)
 

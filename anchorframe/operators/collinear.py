@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordered import WIDTH, ranked, running_sum, with_next
+from ..functions.ordered import WIDTH, ranked, running_sum, shared, with_next
 
 
 def neighbour_pairs(mums: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -32,14 +32,14 @@ def common_adjacency(mums: DataFrame, genomes: int, width: int = WIDTH) -> DataF
 
 def islands(numbers: DataFrame, col: str, width: int = WIDTH) -> DataFrame:
     """s, e: maximal runs of consecutive distinct numbers, inclusive."""
-    x = numbers.select(F.col(col).alias("x"))
+    x = shared(numbers.select(F.col(col).alias("x")))
     n = with_next(x, [], ["x"], ["x"], width=width)
     # where a run ends the next one starts, if there is one
-    last = F.col("next").isNull() | (F.col("next.x") != F.col("x") + 1)
-    ends = n.where(last).select(F.col("x").alias("e"), F.col("next.x").alias("s"))
+    ends = shared(n.where("next is null or next.x <> x + 1").select(F.col("x").alias("e"), F.col("next.x").alias("s")))
     later = with_next(ends, [], ["e"], ["e"], width=width).where("next is not null").select("s", F.col("next.e").alias("e"))
-    first = n.agg(F.min("x").alias("s"), F.min(F.when(last, F.col("x"))).alias("e")).where("s is not null")
-    return later.unionByName(first)
+    none = F.lit(None).cast("bigint")
+    first = x.agg(F.min("x").alias("s")).select("s", none.alias("e")).unionByName(ends.agg(F.min("e").alias("e")).select(none.alias("s"), "e"))
+    return later.unionByName(first.agg(F.max("s").alias("s"), F.max("e").alias("e")).where("s is not null"))
 
 
 def collinear_blocks(mums: DataFrame, genomes: int, width: int = WIDTH) -> DataFrame:
