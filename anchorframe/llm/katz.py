@@ -20,7 +20,7 @@ CHUNK bytes, and chunks talk to partitioned tables:
 
 A middle word with more than ``hot`` tokens (at most MOST_HOT of them, whose ids alone are collected) is spread over all
 partitions by its follower w. Bigram and trigram counts are still whole there; what belongs to the histories v and u v is
-summed over the partitions by an ordinary aggregate, whose rows go back to the partitions that asked.
+summed over the partitions by one more packed exchange, and the sums go back to the partitions that asked.
 
 A partition holds ``part_tokens`` tokens on average, whatever the size of the corpus, and is worked on by itself; tasks
 take several partitions in turn beyond MOST_TASKS. Memory is bounded by the larger of a partition with a word just below the limit, a
@@ -206,23 +206,25 @@ class Part:
         of_h = np.concatenate([self.ch[:, None], self.few(self.h3, self.c3, n), above[:, None], self.few(self.h3, lower, n)], 1)
         return of_v, of_h
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Names of the histories v and u v, the same in all partitions."""
+    def spread(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Histories v and u v of hot words, numbered with all v first, then all u v: the partition in which their sums come
+        together, their names, which all partitions agree on, and their numbers; ordered by partition and name."""
+        if not self.is_hot.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         with np.errstate(over="ignore"):
             v = tk.mix(self.name.astype(np.uint64) * _SPREAD)
-            return v, tk.mix(v[self.vh] + tk.mix(self.name.astype(np.uint64)[self.uh] + np.uint64(7)))
-
-    def scores(self, one: Unigram, d2: np.ndarray, d3: np.ndarray, whole: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-        """log10 P of every token; ``whole`` (keys, sums) holds what other partitions know of hot words' histories."""
+            h = tk.mix(v[self.vh] + tk.mix(self.name.astype(np.uint64)[self.uh] + np.uint64(7)))
+        at = np.concatenate([np.flatnonzero(self.is_hot), len(v) + np.flatnonzero(self.is_hot[self.vh])])
+        key = np.concatenate([v, h])[at]
+        to = part_of(key, parts)
+        order = np.lexsort((key, to))
+        return to[order], key[order], at[order]
+
+    def scores(self, one: Unigram, d2: np.ndarray, d3: np.ndarray, at: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """log10 P of every token; ``whole`` are the SUMS over all partitions of the histories with the numbers ``at``."""
         of_v, of_h = self.sums(one)
-        if whole is not None and self.is_hot.any():
-            name_v, name_h = self.keys()
-            mine = self.is_hot[self.vh]
-            for mask, names, sums in ((self.is_hot, name_v, of_v), (mine, name_h, of_h)):
-                at = tk.member(names[mask], whole[0])
-                if (at < 0).any():
-                    raise RuntimeError("a partition lacks the sums of a spread history")
-                sums[mask] = whole[1][at]
+        k = len(of_v)
+        of_v[at[at < k]], of_h[at[at >= k] - k] = whole[at < k], whole[at >= k]
         before, few, mass = of_v[:, 0], of_v[:, 1 : FEW + 1], of_v[:, FEW + 1]
         p1 = one(self.count[self.w2])
         v, s = self.v2, self.c2.astype(float)
@@ -241,12 +243,12 @@ class Part:
 def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row for each document.
 
-    A word is hot above ``hot_tokens`` training tokens: by default four partitions, and one in MOST_HOT of all at least.
+    A word is hot above ``hot_tokens`` training tokens: by default two partitions, and one in MOST_HOT of all at least.
     """
     chunks = cut(chunked(docs)).withColumn("cid", F.monotonically_increasing_id())
     total, starts, n_chunks = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0)), F.count("*")).first()
     parts = int(max(8, total // part_tokens))
-    limit = max(4 * total // parts, total // MOST_HOT, 1) if hot_tokens is None else hot_tokens
+    limit = max(2 * total // parts, total // MOST_HOT, 1) if hot_tokens is None else hot_tokens
     tasks, chunk_tasks = min(parts, MOST_TASKS), min(max(n_chunks, 1), MOST_TASKS)
     row = pa.schema([("part", pa.int32()), ("cid", pa.int64()), ("blob", pa.binary())])
     answer = pa.schema([*row, ("stat", pa.list_(pa.float64())), ("hot", pa.int64())])
@@ -332,40 +334,53 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
     asks = both.repartition(chunk_tasks, "cid").sortWithinPartitions("cid", "part").mapInArrow(ask_trigrams, "part int, cid bigint, blob binary, own boolean")
     table = asks.repartition(tasks, "part")
 
+    told = pa.schema([("part", pa.int32()), ("to", pa.int32()), ("blob", pa.binary()), ("x", pa.list_(pa.float64()))])
+    as_rows = "part int, to int, blob binary, x array<double>"
+
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of counts of bigrams and trigrams; sums of hot words' histories, by key and partition."""
+        """Counts of counts of bigrams and trigrams; sums of hot words' histories, to the partitions where they meet."""
         for part, rows in stream(batches):
             blobs = [blob for _, _, blob, own in rows if not own]
             if not blobs:
                 continue
             x = Part(blobs, hot)
-            out = [(None, part, [*counts_of_counts(x.c2), *counts_of_counts(x.c3)])]
+            out = [(part, None, None, [*counts_of_counts(x.c2), *counts_of_counts(x.c3)])]
             if x.is_hot.any():
-                for key, sums, mine in zip(x.keys(), x.sums(one), (x.is_hot, x.is_hot[x.vh]), strict=True):
-                    out += [(int(k), part, s.tolist()) for k, s in zip(key[mine].view(np.int64), sums[mine], strict=True)]
-            yield batch(out, pa.schema([("key", pa.int64()), ("part", pa.int32()), ("x", pa.list_(pa.float64()))]))
+                to, key, at = x.spread(parts)
+                sums = np.concatenate(x.sums(one))[at]
+                out += [(part, p, pack(np.diff(key[s:e], prepend=np.uint64(0)), *sums[s:e].T), None) for p, s, e in runs(to)]
+            yield batch(out, told)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of histories over all partitions, back to each that asked, in its order."""
+        for to, rows in stream(batches):
+            got = [(part, unpack(blob, np.uint64, *[np.float64] * SUMS)) for _, part, blob in rows]
+            with np.errstate(over="ignore"):
+                _, at = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for _, g in got]), return_inverse=True)
+            whole = [np.bincount(at, np.concatenate([g[1 + i] for _, g in got]))[at] for i in range(SUMS)]
+            ends = np.cumsum([len(g[0]) for _, g in got])
+            yield batch([(part, to, pack(*(w[e - len(g[0]) : e] for w in whole)), None) for (part, g), e in zip(got, ends, strict=True)], told)
 
-    tallied = table.sortWithinPartitions("part").mapInArrow(tally, "key bigint, part int, x array<double>")
-    of_orders = tallied.where("key is null").agg(*[F.coalesce(F.sum(F.col("x")[i]), F.lit(0.0)).alias(f"n{i}") for i in range(2 * FEW + 2)])
+    tallied = table.sortWithinPartitions("part").mapInArrow(tally, as_rows)
+    of_orders = tallied.where("x is not null").agg(*[F.coalesce(F.sum(F.col("x")[i]), F.lit(0.0)).alias(f"n{i}") for i in range(2 * FEW + 2)])
     empty = lambda t: F.lit(None).cast(t)
-    asked = table.select("part", F.lit(2).alias("kind"), "cid", "blob", "own", empty("bigint").alias("key"), empty("array<double>").alias("x"))
+    asked = table.select("part", F.lit(2).alias("kind"), "cid", "blob", "own", empty("array<double>").alias("x"))
     # to every partition: the counts of counts, and the whole sums of the histories it asks for
-    told = of_orders.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), empty("bigint").alias("key"), F.array(*of_orders.columns).alias("x"))
+    news = of_orders.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), empty("bigint").alias("cid"), empty("binary").alias("blob"), F.array(*of_orders.columns).alias("x"))
     if len(hot):
-        sums = tallied.where("key is not null").groupBy("key").agg(F.collect_list("part").alias("parts"), F.array(*[F.sum(F.col("x")[i]) for i in range(SUMS)]).alias("x"))
-        told = told.unionByName(sums.select(F.explode("parts").alias("part"), F.lit(1).alias("kind"), "key", "x"))
-    told = told.select("part", "kind", empty("bigint").alias("cid"), empty("binary").alias("blob"), empty("boolean").alias("own"), "key", "x")
-    asked = beside(asked, told, tasks, "part").sortWithinPartitions("part", "kind")
+        sums = to_part(tallied.where("to is not null").select("to", "part", "blob"), tasks, "to").mapInArrow(add_up, as_rows)
+        news = news.unionByName(sums.select("part", F.lit(1).alias("kind"), F.col("to").cast("bigint").alias("cid"), "blob", empty("array<double>").alias("x")))
+    news = news.select("part", "kind", "cid", "blob", empty("boolean").alias("own"), "x")
+    asked = beside(asked, news, tasks, "part").sortWithinPartitions("part", "kind", "cid")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in stream(batches):
-            keys, sums, cids, blobs, out, orders = [], [], [], [], [], None
-            for _, kind, cid, blob, own, key, x in rows:
+            sums, cids, blobs, out, orders = {}, [], [], [], None
+            for _, kind, cid, blob, own, x in rows:
                 if kind == 0:
                     orders = x
                 elif kind == 1:
-                    keys.append(key)
-                    sums.append(x)
+                    sums[cid] = blob
                 elif own:
                     out.append((0, cid, blob))
                 else:
@@ -373,10 +388,10 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
                     blobs.append(blob)
             if blobs:
                 d2, d3 = discounts(np.array(orders[: FEW + 1])), discounts(np.array(orders[FEW + 1 :]))
-                names = np.array(keys, np.int64).view(np.uint64)
-                by = np.argsort(names)
                 x = Part(blobs, hot)
-                p = x.scores(one, d2, d3, (names[by], np.array(sums).reshape(-1, SUMS)[by]))
+                to, _, at = x.spread(parts)
+                whole = [np.stack(unpack(sums[q], *[np.float64] * SUMS), 1) for q, _, _ in runs(to)]
+                p = x.scores(one, d2, d3, at, np.concatenate(whole) if whole else np.zeros((0, SUMS)))
                 ends = np.cumsum(x.sizes)
                 for cid, s, e, doc in zip(cids, ends - x.sizes, ends, x.doc, strict=True):
                     own = np.bincount(doc, p[s:e])

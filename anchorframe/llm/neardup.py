@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import setsketch as ss, textkit as tk
-from .common import LOWER, UPPER, cut
+from .common import LOWER, UPPER, cut, tidy
 from .graph import components
 
 NUMERATOR, DENOMINATOR = 75, 100
@@ -66,7 +66,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cat(0).astype(np.int64)), pa.array(cat(1)), pa.array(cat(2)), regs], names=["doc_id", "th", "n", "k1", "k2", "regs"])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    out = own.mapInArrow(run, "doc_id bigint, th bigint, n bigint, k1 bigint, k2 bigint, regs binary")
+    out = own.mapInArrow(tidy(run), "doc_id bigint, th bigint, n bigint, k1 bigint, k2 bigint, regs binary")
     return out.select("doc_id", "th", "n", F.xxhash64("n", "k1", "k2").alias("v"), "regs")
 
 
@@ -79,7 +79,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
                 keys = ss.band_keys(regs).view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), ss.BANDS)), pa.array(keys)], names=["v", "key"])
 
-    return nodes.select("v", "regs").mapInArrow(run, "v bigint, key bigint")
+    return nodes.select("v", "regs").mapInArrow(tidy(run), "v bigint, key bigint")
 
 
 class _Group:
@@ -240,7 +240,7 @@ def _across(t: pa.Table):
 
 
 def _links(df: DataFrame, keys: list[str], fn) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_stream(keys, fn), "a bigint, b bigint")
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_stream(keys, fn)), "a bigint, b bigint")
 
 
 def components_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:

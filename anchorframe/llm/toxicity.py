@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkit as tk
-from .common import map_rows, remainder, struct_array, unit
+from .common import map_rows, remainder, struct_array, tidy, unit
 from .quality import sampled
 
 SAMPLE, BITS, EPOCHS = 10_000, 22, 4
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chosen = sampled(texts, labels, "toxic", remainder(4) == 2, sample, 5).select("y", "text", unit("doc_id", seed=6).alias("u"), "doc_id")
     one = chosen.repartition(1).sortWithinPartitions("u", "doc_id", "text").select("y", "text")
-    got = one.mapInArrow(run, "n bigint, bias double, at binary, weight binary").collect()  # one row, the model
+    got = one.mapInArrow(tidy(run), "n bigint, bias double, at binary, weight binary").collect()  # one row, the model
     if not got:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return Model(got[0].bias, np.frombuffer(got[0].at, np.int64), np.frombuffer(got[0].weight, np.float64), got[0].n)
