@@ -33,7 +33,7 @@ def none(odd):
 
 @pytest.fixture(scope="module")
 def side(spark):
-    labels = [(1, 1, 0), (1, 1, 0), (6, 0, 1), (7, None, None), (None, 1, 1), (9, 1, 0)]
+    labels = [(1, 1, 0), (1, 1, 0), (6, 0, 1), (7, None, None), (None, 1, 1), (9, 1, 0)] + [(i, 1, 0) for i in (2, 3, 4, 5, 8, 10)]
     items = [(1, "w1 w2"), (1, "w1 w2"), (2, None), (3, ""), (None, "w5")]
     return spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), spark.createDataFrame(items, "item_id bigint, text string")
 
