@@ -25,13 +25,35 @@ def alleles(between: DataFrame, keys: list[str]) -> DataFrame:
     return between.join(numbered, [*keys, "seq"])
 
 
+# How nodes within blocks and anchors are named.
+NODE, ANCHOR = "oblock%d_g%d_a%d", "oblock%d_m%d"
+
+
 def bubble_nodes(between: DataFrame) -> DataFrame:
     """block, gap, seq_idx, name: the node each genome passes between two rows of a block; null where nothing lies between."""
     a = alleles(between, ["block", "gap"])
-    name = F.concat(F.lit("oblock"), F.col("block").cast("string"), F.lit("_g"), F.col("gap").cast("string"), F.lit("_a"), F.col("allele").cast("string"))
+    name = F.format_string(NODE, F.col("block").cast("bigint"), F.col("gap").cast("bigint"), F.col("allele").cast("bigint"))
     return a.select("block", "gap", "seq_idx", F.when(F.col("seq") != "", name).alias("name"))
 
 
+def block_walk(blocks: DataFrame, mums: DataFrame, nodes: DataFrame) -> DataFrame:
+    """block, seq_idx, place, name, direction: the anchors and alleles each genome passes within a block, in its own order; a
+    genome that reads the block backwards passes them from the last to the first."""
+    rows = collinear.block_rows(blocks.select("s", "e")).join(blocks.select("s", "block"), "s")
+    forward = mums.where("start >= 0").select("mum_id", "seq_idx", "strand")
+    anchor = rows.join(forward, "mum_id").select("block", "seq_idx", "strand", (2 * (F.col("mum_id") - F.col("s"))).alias("k"), F.format_string(ANCHOR, F.col("block").cast("bigint"), F.col("mum_id")).alias("name"))
+    facing = anchor.where("k = 0").select("block", "seq_idx", "strand")
+    inner = nodes.where("name is not null").join(facing, ["block", "seq_idx"]).select("block", "seq_idx", "strand", (2 * F.col("gap") + 1).alias("k"), "name")
+    place = F.when(F.col("strand"), F.col("k")).otherwise(-F.col("k"))
+    return anchor.unionByName(inner).select("block", "seq_idx", place.alias("place"), "name", F.when(F.col("strand"), F.lit("+")).otherwise(F.lit("-")).alias("direction"))
+
+
+def node_links(walk: DataFrame, width: int = WIDTH) -> DataFrame:
+    """a, a_dir, b, b_dir: the distinct steps between nodes that any genome's walk through a block takes."""
+    n = with_next(walk, ["block", "seq_idx"], ["place"], ["name", "direction"], width=width).where("next is not null")
+    return n.select(F.col("name").alias("a"), F.col("direction").alias("a_dir"), F.col("next.name").alias("b"), F.col("next.direction").alias("b_dir")).distinct()
+
+
 def block_spans(blocks: DataFrame, mums: DataFrame) -> DataFrame:
     """block, seq_idx, start, end of each block in each genome."""
     ends = blocks.select("block", F.explode(F.array_distinct(F.array("s", "e"))).alias("mum_id"))

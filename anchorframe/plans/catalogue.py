@@ -318,6 +318,10 @@ def bubble_nodes(spark, d):
     return graph.bubble_nodes(i.select("block", "gap", "seq_idx", F.substring(F.lit("acgtgcatcgatgc"), at.cast("int"), size.cast("int")).alias("seq")))
 
 
+def block_walk_links(spark, d):
+    return graph.node_links(graph.block_walk(_oriented(spark, d), ad.mums(spark, d), bubble_nodes(spark, d)))
+
+
 def interblock_walks(spark, d):
     return graph.interblock(_oriented(spark, d), ad.mums(spark, d), 60, 4096)
 
@@ -409,7 +413,7 @@ NAMES = [
     cross_contig_rejects, local_to_global, global_to_local, sort_by_genome_rank, sortedness_violations, bin_ranges_rle, bin_spans, bin_index_offsets, nearest_nonempty_bin,
     flank_bins, region_bin_candidates, lengths_checksum, table_stats, genome_lengths, contig_offsets, last_mum_end, presence_counts, wide_to_long, long_to_wide, neighbour_pairs,
     common_adjacency, collinear_blocks, filter_collinear, block_renumber, collinear_pct, oriented_blocks, rearranged_blocks, walk_steps, walk_links_distinct, contig_breaks,
-    shred_cuts, shred_intervals, gap_lengths, gaps_to_enhance, gap_outliers, gap_coords, trim_overlaps, overlaps_removed, unique_kmer_anchors, pairwise_mems, multi_mums, multi_mums_stranded, enhanced_gaps, enhanced_union, bubble_nodes, interblock_walks, fasta_pieces,
+    shred_cuts, shred_intervals, gap_lengths, gaps_to_enhance, gap_outliers, gap_coords, trim_overlaps, overlaps_removed, unique_kmer_anchors, pairwise_mems, multi_mums, multi_mums_stranded, enhanced_gaps, enhanced_union, bubble_nodes, block_walk_links, interblock_walks, fasta_pieces,
     fasta_slices, fasta_headers, fasta_filenames, fasta_missing, reverse_complement, strand_mirror, region_parse, path_functions, haplotype_ids, split_multifasta, block_polygons,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

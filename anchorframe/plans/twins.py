@@ -231,6 +231,18 @@ FROM (SELECT *, min(seq_idx) OVER (PARTITION BY block, gap, seq) AS first FROM i
 iv0 AS (SELECT block, l - s AS gap, a.seq_idx, CASE WHEN a.strand THEN a.start + a.length ELSE b.start + b.length END AS x, CASE WHEN a.strand THEN b.start ELSE a.start END AS y
   FROM (SELECT block, s, unnest(range(s, e)) AS l FROM ob) p JOIN mums a ON a.mum_id = l JOIN mums b ON b.mum_id = l + 1 AND b.seq_idx = a.seq_idx),
 iv AS (SELECT block, gap, seq_idx, substr('acgtgcatcgatgc', CAST((x - y) % 5 + 6 AS INTEGER), CAST((gap + seq_idx * seq_idx) % 4 AS INTEGER)) AS seq FROM iv0)""",
+    ),
+    "block_walk_links": _q(
+        """SELECT DISTINCT name AS a, dir AS a_dir, nn AS b, nd AS b_dir FROM (SELECT *, lead(name) OVER w AS nn, lead(dir) OVER w AS nd FROM st WINDOW w AS (PARTITION BY block, seq_idx ORDER BY place)) WHERE nn IS NOT NULL""",
+        _B, _O,
+        """,
+iv0 AS (SELECT block, l - s AS gap, a.seq_idx, CASE WHEN a.strand THEN a.start + a.length ELSE b.start + b.length END AS x, CASE WHEN a.strand THEN b.start ELSE a.start END AS y, a.strand
+  FROM (SELECT block, s, unnest(range(s, e)) AS l FROM ob) p JOIN mums a ON a.mum_id = l JOIN mums b ON b.mum_id = l + 1 AND b.seq_idx = a.seq_idx),
+iv AS (SELECT block, gap, seq_idx, strand, substr('acgtgcatcgatgc', CAST((x - y) % 5 + 6 AS INTEGER), CAST((gap + seq_idx * seq_idx) % 4 AS INTEGER)) AS seq FROM iv0),
+al AS (SELECT block, gap, seq_idx, strand, seq, dense_rank() OVER (PARTITION BY block, gap ORDER BY first) - 1 AS a FROM (SELECT *, min(seq_idx) OVER (PARTITION BY block, gap, seq) AS first FROM iv)),
+st0 AS (SELECT block, seq_idx, 2 * gap + 1 AS k, 'oblock' || block || '_g' || gap || '_a' || a AS name, strand FROM al WHERE seq <> ''
+  UNION ALL SELECT block, m.seq_idx, 2 * (m.mum_id - s), 'oblock' || block || '_m' || m.mum_id, strand FROM ob JOIN mums m ON m.mum_id BETWEEN s AND e),
+st AS (SELECT block, seq_idx, name, CASE WHEN strand THEN k ELSE -k END AS place, CASE WHEN strand THEN '+' ELSE '-' END AS dir FROM st0)""",
     ),
     "interblock_walks": _q(
         """SELECT seq_idx, block, lo, hi, joined, CAST(sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY seq_idx ORDER BY block) AS BIGINT) AS walk FROM

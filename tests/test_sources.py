@@ -55,3 +55,14 @@ def test_streamed_regions(spark, table, tmp_path):
     q.awaitTermination(60)
     assert {r.region_id for r in spark.table("hits").collect()} <= {1, 2}
     assert spark.table("hits").where("region_id = 1").count() == 2
+
+
+def test_graph_file(spark, tmp_path):
+    blocks = spark.createDataFrame([(0, 0, 2, 3), (1, 3, 4, 2)], "block bigint, s bigint, e bigint, n bigint")
+    links = spark.createDataFrame([(0, "+", 1, "-")], "a bigint, a_dir string, b bigint, b_dir string")
+    walks = spark.createDataFrame([(0, 0, 0, "+"), (0, 1, 1, "-"), (1, 0, 1, "+")], "seq_idx int, place bigint, block bigint, direction string")
+    seq = spark.createDataFrame([(0, "ACGT")], "block bigint, seq string")
+    text.write_graph(blocks, links, walks, "ref", f"{tmp_path}/g", seq)
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/g").collect()]
+    assert lines[0] == "H\tVN:Z:1.1\tRS:Z:ref"
+    assert set(lines[1:]) == {"S\tb0\tACGT", "S\tb1\t*", "L\tb0\t+\tb1\t-\t0M", "W\tg0\t1\tall\t*\t*\t>b0<b1", "W\tg1\t1\tall\t*\t*\t>b1"}
