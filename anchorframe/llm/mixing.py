@@ -44,12 +44,8 @@ def numbered(sources: DataFrame) -> DataFrame:
     """``sources`` with ``nth``, the place of its source (from 0) by code point, null last."""
     n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(sources.repartitionByRange(n, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
-    counts = sorted((r["range"], r["count"]) for r in dealt.groupBy("range").count().collect())  # a row per range, n at most
-    before, offsets = 0, []
-    for r, c in counts:
-        offsets.append((r, before))
-        before += c
-    frame = sources.sparkSession.createDataFrame(offsets, "range int, before bigint")
+    upto = F.sum("count").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))  # a row per range, n at most
+    frame = dealt.groupBy("range").count().select("range", F.coalesce(upto, F.lit(0)).alias("before"))
     place = F.row_number().over(W.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
     return dealt.withColumn("place", place).join(F.broadcast(frame), "range").select(*sources.columns, (F.col("before") + F.col("place")).alias("nth"))
 
