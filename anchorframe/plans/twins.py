@@ -69,6 +69,19 @@ cuts AS (SELECT mum_id, unnest([0, 1, 2, 3, 4]) AS seq_idx, unnest([e0, e1, e2,
 _SP = """,
 sp0 AS (SELECT seq_idx, start // 200 AS bin, min(start) AS span_min, max(start + length) AS span_max FROM mums GROUP BY ALL)"""
 
+#: Unique matches by trying every substring of the first sequence: t holds each sequence, or both its strands, n its length.
+_UNIQUE = """,
+u AS (SELECT grp, i AS p0, l, substr(s0, i, l) AS w, t0, t1, t2, n0, n1, n2 FROM
+  (SELECT *, unnest(range(16, CAST(n0 - i + 2 AS BIGINT))) AS l FROM (SELECT *, unnest(range(1, n0 - 14)) AS i FROM q))),
+f AS (SELECT *, instr(t0, w) AS a0, instr(t1, w) AS a1, instr(t2, w) AS a2 FROM u),
+g AS (SELECT * FROM f WHERE a0 = p0 AND a1 > 0 AND a2 > 0 AND instr(substr(t0, a0 + 1), w) = 0 AND instr(substr(t1, a1 + 1), w) = 0 AND instr(substr(t2, a2 + 1), w) = 0),
+e AS (SELECT *, [substr('<' || t0, a0, 1), substr('>' || t1, a1, 1), substr('=' || t2, a2, 1)] AS lc, [substr(t0 || '<', a0 + l, 1), substr(t1 || '>', a1 + l, 1), substr(t2 || '=', a2 + l, 1)] AS rc FROM g),
+h AS (SELECT grp, l, row_number() OVER (PARTITION BY grp ORDER BY b0, b1, b2, l) - 1 AS match, [b0, b1, b2] AS starts, [true, a1 <= n1, a2 <= n2] AS fwd FROM
+  (SELECT *, a0 - 1 AS b0, CASE WHEN a1 <= n1 THEN a1 - 1 ELSE 2 * n1 + 2 - a1 - l END AS b1, CASE WHEN a2 <= n2 THEN a2 - 1 ELSE 2 * n2 + 2 - a2 - l END AS b2 FROM e
+   WHERE NOT (lc[1] = lc[2] AND lc[2] = lc[3]) AND NOT (rc[1] = rc[2] AND rc[2] = rc[3]))),
+z AS (SELECT grp, match, l AS length, unnest([0, 1, 2]) AS seq_idx, unnest(starts) AS pos, unnest(fwd) AS strand FROM h)
+"""
+
 
 def _q(select: str, *extra: str, slot: int = 256, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{_M.replace('{slot}', str(slot))}{''.join(extra)}\n{select}"
@@ -80,7 +93,20 @@ _SLICE = """WITH sl AS (SELECT 'doc' || doc_id AS contig, (doc_id * 131) % n_cha
 _LR = """WITH lr AS (SELECT CAST(s_suppkey AS BIGINT) AS region_id, CAST(s_suppkey % 5 AS INTEGER) AS seq_idx, CASE WHEN s_suppkey % 10 = 4 THEN 'nowhere' ELSE n_name END AS contig,
   CAST((s_suppkey * 37) % 1000 AS BIGINT) AS s, CASE WHEN s_suppkey % 7 = 3 THEN 1000000000000 ELSE (s_suppkey * 37) % 1000 + 100 END AS e FROM supplier JOIN nation ON s_suppkey % 25 = n_nationkey)"""
 
+_GROUPS = f"""WITH b AS (SELECT CAST(item_id AS BIGINT) AS grp, {_DNA.format(x="text")} AS t FROM benchmark),
+q0 AS (SELECT grp, t AS s0, substr(t, length(t) // 2 + 1) || left(t, length(t) // 2) AS s1, 'acgtta' || t || 'ttgaca' AS s2 FROM b WHERE length(t) >= 16),
+"""
+_TURN = "reverse(translate({s}, 'acgt', 'tgca'))"
+
 SQL = {
+    "multi_mums": _GROUPS + "q AS (SELECT grp, s0, s0 AS t0, s1 AS t1, s2 AS t2, length(s0) AS n0, length(s1) AS n1, length(s2) AS n2 FROM q0)" + _UNIQUE
+    + "SELECT grp, match, CAST(seq_idx AS INTEGER) AS seq_idx, CAST(pos AS BIGINT) AS pos, CAST(length AS BIGINT) AS length FROM z",
+    "multi_mums_stranded": _GROUPS
+    + f"""q1 AS (SELECT grp, s0, {_TURN.format(s="s1")} AS s1, s2 FROM q0),
+q AS (SELECT grp, s0, s0 || '#' || {_TURN.format(s="s0")} AS t0, s1 || '$' || {_TURN.format(s="s1")} AS t1, s2 || '%' || {_TURN.format(s="s2")} AS t2,
+  length(s0) AS n0, length(s1) AS n1, length(s2) AS n2 FROM q1)"""
+    + _UNIQUE
+    + "SELECT grp, match, CAST(seq_idx AS INTEGER) AS seq_idx, CAST(pos AS BIGINT) AS pos, CAST(length AS BIGINT) AS length, strand FROM z",
     "subset_overlap": _q("SELECT mum_id, seq_idx, start, length, strand FROM mums WHERE seq_idx = 0 AND start < 200000 AND start + length > 100000"),
     "subset_batch": _q('SELECT region_id, mum_id, m.seq_idx, m.start, length, strand FROM regions r JOIN mums m ON m.seq_idx = r.seq_idx AND m.start < r."end" AND m.start + length > r.start'),
     "subset_partial": _q('SELECT region_id, mum_id, m.start FROM regions r JOIN part_ m ON m.seq_idx = r.seq_idx AND m.start >= 0 AND m.start < r."end" AND m.start + length > r.start'),
