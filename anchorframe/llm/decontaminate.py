@@ -5,7 +5,7 @@ window length L the fingerprints are the k-word hashes (k = min(5, L)) that are
 consecutive k-word hashes. Any shared window holds exactly one such run, and what is minimal in it depends on the
 window alone, so both sides keep a common fingerprint: every shared window is found, none is sampled. Fingerprints
 shared with the benchmark are extended in both directions over all windows that contain them, and a window counts as a
-hit only if its whole word sequence (64-bit hash) is one of the benchmark's.
+hit only if its whole word sequence (128 bits: two hashes with different seeds) is one of the benchmark's.
 
 A benchmark of at most ``block_bytes`` of text (its size is summed first) is sent to the executors, and the documents are
 read once and never shuffled. A larger one stays a table: the documents' fingerprints meet the benchmark's by a shuffle,
@@ -59,12 +59,17 @@ def minima(g: np.ndarray, ok: np.ndarray, row: np.ndarray, w: int) -> np.ndarray
 
 @dataclass
 class Class:
-    """Windows of one length: their sorted hashes with item lists, and the sorted fingerprints."""
+    """Windows of one length: their sorted hashes (of both lanes) with item lists, and the sorted fingerprints.
+
+    Different windows of one first hash have entries of their own, as many as ``most`` in a row.
+    """
 
     length: int
     k: int
     prints: np.ndarray
     hashes: np.ndarray
+    again: np.ndarray
+    most: int
     begin: np.ndarray
     items: np.ndarray
 
@@ -75,32 +80,53 @@ def build(ids: list[str | None], texts: list[str], window: int, k: int) -> tuple
     mine = np.array([number.get(i, -1) for i in ids], np.int64)
     found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     for w in tk.tokenize(pa.array(texts, pa.large_string()), tk.NOT_ALNUM):
-        h, n = w.hashes(), w.counts()
+        h, h2, n = w.hashes(), w.hashes(1), w.counts()
         for length in np.unique(np.minimum(n[n > 0], window)):
             rows = (n == length) if length < window else (n >= window)
             g, ok = tk.windows(h, w.row, int(min(k, length)))
             ok &= rows[w.row[: len(g)]]
             keep = minima(g, ok, w.row[: len(g)], int(length - min(k, length) + 1))
             x, whole = tk.windows(h, w.row, int(length))
+            y, _ = tk.windows(h2, w.row, int(length))
             whole &= rows[w.row[: len(x)]]
-            found.setdefault(int(length), []).append((g[keep], x[whole], mine[w.lo + w.row[: len(x)][whole]]))
+            found.setdefault(int(length), []).append((g[keep], x[whole], mine[w.lo + w.row[: len(x)][whole]], y[whole]))
     out = []
     for length, parts in sorted(found.items()):
-        x, item = tk.uniq_pairs(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
-        hashes, begin = np.unique(x, return_index=True)
-        out.append(Class(length, min(k, length), np.unique(np.concatenate([p[0] for p in parts])), hashes, np.append(begin, len(x)), item))
+        prints, x, item, y = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((item, y, x))
+        x, y, item = x[order], y[order], item[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        fresh = new.copy()
+        fresh[1:] |= item[1:] != item[:-1]
+        begin = np.append(np.flatnonzero(new[fresh]), fresh.sum())
+        hashes = x[new]
+        most = int(np.unique(hashes, return_counts=True)[1].max(initial=1))
+        out.append(Class(length, min(k, length), np.unique(prints), hashes, y[new], most, begin, item[fresh]))
     return names, out
 
 
+def same_window(c: Class, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Entry of each window, given both its hashes, or -1."""
+    i = np.searchsorted(c.hashes, x)
+    out = np.full(len(x), -1)
+    for step in range(c.most):
+        at = np.minimum(i + step, len(c.hashes) - 1)
+        hit = (c.hashes[at] == x) & (c.again[at] == y)
+        out[hit] = at[hit]
+    return out
+
+
 def search(w: tk.Words, classes: list[Class]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hit words, and the distinct (row, item) pairs of a chunk."""
     m, h = len(w), w.hashes()
+    spans, spans2 = tk.Spans(h), None
     cover = np.zeros(m + 1, np.int64)
     rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for c in classes:
         if m < c.length:
             continue
-        g, ok = tk.windows(h, w.row, c.k)
+        g, ok = spans.windows(c.k), w.row[: m - c.k + 1] == w.row[c.k - 1 :]
         run = c.length - c.k + 1
         at = np.flatnonzero(minima(g, ok, w.row, run))
         at = at[tk.member(g[at], c.prints) >= 0]
@@ -109,7 +135,13 @@ def search(w: tk.Words, classes: list[Class]) -> tuple[np.ndarray, np.ndarray, n
         s = np.unique((at[:, None] - np.arange(run)[None, :]).ravel())
         s = s[(s >= 0) & (s + c.length <= m)]
         s = s[w.row[s] == w.row[s + c.length - 1]]
-        i = tk.member(tk.span_hash(h, s, s + c.length), c.hashes)
+        x = spans.of(s, s + c.length)
+        close = tk.member(x, c.hashes) >= 0
+        s, x = s[close], x[close]
+        if not len(s):
+            continue
+        spans2 = spans2 or tk.Spans(w.hashes(1))
+        i = same_window(c, x, spans2.of(s, s + c.length))
         s, i = s[i >= 0], i[i >= 0]
         np.add.at(cover, s, 1)
         np.add.at(cover, s + c.length, -1)
@@ -171,7 +203,7 @@ def decontaminate(
     whole, prints = _benchmark_tables(bench, window, k)
     lengths = sorted(r.l for r in prints.select("l").distinct().collect())  # at most ``window``
     shared = _prints(texts, lengths, k).join(prints, ["l", "g"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("l", "g")).alias("prints"))
-    near = cut(_near_windows(texts.join(shared, "key"), k).join(whole, ["l", "x"]).select("key", "s", "l", "id").distinct())
+    near = cut(_near_windows(texts.join(shared, "key"), k).join(whole, ["l", "x", "y"]).select("key", "s", "l", "id").distinct())
     ids = near.where("id is not null").select("key", "id").distinct().groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("item_ids"))
     spans = near.select("key", F.array("s", F.col("s") + F.col("l")).alias("x")).distinct().groupBy("key").agg(_merged(F.collect_list("x")).alias("spans"))
     total = spans.join(ids, "key", "left")
@@ -182,21 +214,21 @@ def decontaminate(
 
 
 def _benchmark_tables(bench: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct (l, x, id) of all windows, and distinct (l, g) of their fingerprints."""
+    """Distinct (l, x, y, id) of all windows (x and y: both hashes), and distinct (l, g) of their fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, classes = build(b.column(0).to_pylist(), b.column(1).to_pylist(), window, k)
             for c in classes:
                 reps = np.diff(c.begin)
-                x = np.repeat(c.hashes, reps).view(np.int64)
+                x, y = (np.repeat(v, reps).view(np.int64) for v in (c.hashes, c.again))
                 label = pa.array([names[i] if i >= 0 else None for i in c.items], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c.length, np.int32)), pa.array(x), label, pa.nulls(len(x), pa.int64())], names=["l", "x", "id", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c.length, np.int32)), pa.array(x), pa.array(y), label, pa.nulls(len(x), pa.int64())], names=["l", "x", "y", "id", "g"])
                 n = len(c.prints)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c.length, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(c.prints.view(np.int64))], names=["l", "x", "id", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c.length, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(c.prints.view(np.int64))], names=["l", "x", "y", "id", "g"])
 
-    both = cut(bench.mapInArrow(run, "l int, x bigint, id string, g bigint"))
-    return both.where("x is not null").select("l", "x", "id").distinct(), both.where("g is not null").select("l", "g").distinct()
+    both = cut(bench.mapInArrow(run, "l int, x bigint, y bigint, id string, g bigint"))
+    return both.where("x is not null").select("l", "x", "y", "id").distinct(), both.where("g is not null").select("l", "g").distinct()
 
 
 def _prints(texts: DataFrame, lengths: list[int], k: int) -> DataFrame:
@@ -217,13 +249,13 @@ def _prints(texts: DataFrame, lengths: list[int], k: int) -> DataFrame:
 
 
 def _near_windows(texts: DataFrame, k: int) -> DataFrame:
-    """key, l, x, s: the windows around the shared ``prints`` of every text."""
+    """key, l, x, y, s: the windows around the shared ``prints`` of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, text, prints in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for w in tk.tokenize(pa.array([text], pa.large_string()), tk.NOT_ALNUM):
-                    h, m = w.hashes(), len(w)
+                    h, h2, m = w.hashes(), w.hashes(1), len(w)
                     for length in sorted({p["l"] for p in prints}):
                         own = np.sort(np.array([p["g"] for p in prints if p["l"] == length], np.int64).view(np.uint64))
                         g, ok = tk.windows(h, w.row, min(k, length))
@@ -231,10 +263,10 @@ def _near_windows(texts: DataFrame, k: int) -> DataFrame:
                         at = np.flatnonzero(ok & (tk.member(g, own) >= 0))
                         s = np.unique((at[:, None] - np.arange(run_)[None, :]).ravel())
                         s = s[(s >= 0) & (s + length <= m)]
-                        x = tk.span_hash(h, s, s + length)
-                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(s)), pa.array(np.full(len(s), length, np.int32)), pa.array(x.view(np.int64)), pa.array(s)], names=["key", "l", "x", "s"])
+                        x, y = (pa.array(tk.span_hash(v, s, s + length).view(np.int64)) for v in (h, h2))
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(s)), pa.array(np.full(len(s), length, np.int32)), x, y, pa.array(s)], names=["key", "l", "x", "y", "s"])
 
-    return texts.select("key", "text", "prints").mapInArrow(run, "key string, l int, x bigint, s bigint")
+    return texts.select("key", "text", "prints").mapInArrow(run, "key string, l int, x bigint, y bigint, s bigint")
 
 
 def contaminated(res: str = "res"):

@@ -5,8 +5,8 @@ distributed hashes, truncated to exponentially spaced steps, so registers of a u
 and two sets' registers agree with about the probability of their Jaccard similarity J. Bands of four registers are
 joined on; of 40 bands a pair of J = 0.75 shares none with probability 2.5e-7, one of J = 0.3 shares any with 0.28.
 
-1. Equal sets collapse into one node (named by a 64-bit hash of the set), so copies cost nothing afterwards.
-2. Every node is tied to the smallest node (by name) of each of its buckets; the connected components of these ties are candidate
+1. Equal sets (by 128 bits of sums over their hashes) collapse into one numbered node, so copies cost nothing afterwards.
+2. Every node is tied to the smallest node of each of its buckets; the connected components of these ties are candidate
    clusters: two nodes that share any bucket are in one cluster. No pair within a bucket is ever written.
 3. A cluster is dealt by hash into blocks of about ``block`` nodes and BLOCK_SHINGLES shingles, whichever gives more
    blocks. Within a block pairs are first judged by the joint likelihood of their registers (given the set sizes; pairs
@@ -45,7 +45,7 @@ BLOCK_SHINGLES = 2_000_000
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n (set size), v (node: hash of the set), regs (binary); one row per document."""
+    """doc_id, th (hash of the text), n (set size), k1 and k2 (128 bits that name the set), regs (binary); one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,8 +66,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cat(0).astype(np.int64)), pa.array(cat(1)), pa.array(cat(2)), regs], names=["doc_id", "th", "n", "k1", "k2", "regs"])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    out = own.mapInArrow(tidy(run), "doc_id bigint, th bigint, n bigint, k1 bigint, k2 bigint, regs binary")
-    return out.select("doc_id", "th", "n", F.xxhash64("n", "k1", "k2").alias("v"), "regs")
+    return own.mapInArrow(tidy(run), "doc_id bigint, th bigint, n bigint, k1 bigint, k2 bigint, regs binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -248,10 +247,13 @@ def components_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = docs.sparkSession
     s = cut(sketch(docs))
     full = s.where("n > 0 and doc_id is not null")
-    nodes = cut(full.groupBy("v").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("n").alias("n"), F.min("regs").alias("regs")))
+    nodes = full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("n").alias("n"), F.min("regs").alias("regs"))
+    nodes = cut(nodes.withColumn("v", F.monotonically_increasing_id()))
     # Rows that share an id, but not a set, are tied through it.
-    twins = full.groupBy("doc_id").agg(F.min("v").alias("b"), F.max("v").alias("z")).where("b <> z").select("doc_id", "b")
-    twins = cut(full.join(twins, "doc_id").where("v <> b").select(F.col("v").alias("a"), "b"))
+    key = F.struct("k1", "k2")
+    twins = full.groupBy("doc_id").agg(F.min(key).alias("b"), F.max(key).alias("z")).where("b <> z").select("doc_id")
+    twins = full.join(twins, "doc_id").join(nodes.select("k1", "k2", "v"), ["k1", "k2"]).select("doc_id", "v")
+    twins = cut(twins.join(twins.groupBy("doc_id").agg(F.min("v").alias("b")), "doc_id").where("v <> b").select(F.col("v").alias("a"), "b"))
     bands = _bands(nodes)
     hubs = bands.groupBy("key").agg(F.min("v").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
     ties = bands.join(hubs, "key").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
@@ -278,12 +280,12 @@ def components_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         right = both.select("c", F.explode(F.sequence(F.lit(0), F.col("oblocks") - 1)).alias("ob"), F.col("blk").alias("mb"), "v", "text", F.lit(1).alias("side"))
         found = cut(found.unionByName(_links(left.unionByName(right), ["c", "ob", "mb"], _across)))
     links = components(found.unionByName(twins))
-    joined = nodes.select("v", F.col("rep.doc_id").alias("least")).join(links, "v", "left")
-    loose = joined.where("c is null").select("v", F.col("least").alias("component_id"))
+    joined = nodes.select("k1", "k2", "v", F.col("rep.doc_id").alias("least")).join(links, "v", "left")
+    loose = joined.where("c is null").select("k1", "k2", F.col("least").alias("component_id"))
     tied = joined.where("c is not null")
     smallest = tied.groupBy("c").agg(F.min("least").alias("component_id"))
-    labels = loose.unionByName(tied.join(smallest, "c").select("v", "component_id"))
-    out = s.select("doc_id", "n", "v").join(labels, "v", "left")
+    labels = loose.unionByName(tied.join(smallest, "c").select("k1", "k2", "component_id"))
+    out = s.select("doc_id", "n", "k1", "k2").join(labels, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 

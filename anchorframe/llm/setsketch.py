@@ -22,11 +22,10 @@ def shingles(w: tk.Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.
     A row with fewer than k words (but some) has its whole word sequence as its one shingle.
     """
     h, n = w.hashes(), w.counts()
-    s = tk.prefix(h)
     g, ok = tk.windows(h, w.row, k)
     at = np.flatnonzero(ok)
     short = np.flatnonzero((n > 0) & (n < k))
-    x = np.concatenate([g[at], tk.span_hash(h, w.first[short], w.first[short + 1], s)])
+    x = np.concatenate([g[at], tk.span_hash(h, w.first[short], w.first[short + 1])])
     row = np.concatenate([w.row[at], short])
     order = np.lexsort((x, row))
     x, row = x[order], row[order]

@@ -20,7 +20,7 @@ its key. What goes through Spark are the symbols that anchors stand for, and not
 
 A chunk sends equal names once, so copies of a text or a passage that a third of all documents share add one entry for
 each chunk. Chunks are dealt to partitions once and stay there; only the packed names travel. Equality is decided on 128
-bits of hashes of word sequences (name and context, or two window hashes).
+bits, two hashes of the words with different seeds (of name and context, or of a window), and not on the words.
 
 Defined results: null and empty texts have no words and keep the empty string; texts shorter than a window lose nothing;
 repeated rows are occurrences of their own and so repeat each other; null ids are kept; empty tables give empty results;
@@ -51,9 +51,9 @@ def _merge(keep: np.ndarray, low: np.ndarray, new_low: np.ndarray, at: np.ndarra
     return reduce(np.where(keep, low, np.minimum(low, new_low) if reduce is np.minimum.reduceat else np.maximum(low, new_low)), at)
 
 
-def rounds(h: np.ndarray, first: np.ndarray, count: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(boundary, hull from, hull to) that survive each round; ``first`` are the rows' first words."""
-    m, s = len(h), tk.prefix(h)
+def rounds(h: np.ndarray, first: np.ndarray, s: tk.Spans, count: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(boundary, hull from, hull to) that survive each round; ``first`` are the rows' first words, ``s`` the spans of h."""
+    m = len(h)
     pos = np.arange(m)
     fixed = np.zeros(m, bool)
     fixed[first[first < m]] = True
@@ -86,8 +86,11 @@ def rounds(h: np.ndarray, first: np.ndarray, count: int = ROUNDS) -> Iterator[tu
         yield pos, low, high
 
 
-def anchors(w: tk.Words, h: np.ndarray, window: int = WINDOW) -> dict[str, np.ndarray]:
-    """Runs of windows of one anchor: row, key, ctx, s1, s2 (first windows' first words within the chunk)."""
+def anchors(w: tk.Words, p: tk.Spans, q: tk.Spans, window: int = WINDOW) -> dict[str, np.ndarray]:
+    """Runs of windows of one anchor: row, key, ctx, s1, s2 (first windows' first words within the chunk).
+
+    ``p`` and ``q`` are the spans of the words' hashes in both lanes: names and keys are of the first, contexts of the second.
+    """
     m = len(w)
     empty = np.zeros(0, np.int64)
     n = m - window + 1
@@ -96,8 +99,8 @@ def anchors(w: tk.Words, h: np.ndarray, window: int = WINDOW) -> dict[str, np.nd
     valid = w.row[:n] == w.row[window - 1 :]
     anchor, level = np.full(n, -1), np.zeros(n, np.int64)
     a_low, a_high = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    begin, p = w.first[w.row], tk.prefix(h)
-    for t, (pos, low, high) in reversed(list(enumerate(rounds(h, w.first[:-1]), 1))):
+    h, begin = p.levels[0], w.first[w.row]
+    for t, (pos, low, high) in reversed(list(enumerate(rounds(h, w.first[:-1], p), 1))):
         ok = (low >= 0) & (high <= m) & (high - low <= window)
         pos, low, high = pos[ok], low[ok], high[ok]
         lo, hi = np.maximum(high - window, begin[pos]), np.minimum(low, w.first[w.row[pos] + 1] - window)
@@ -126,7 +129,7 @@ def anchors(w: tk.Words, h: np.ndarray, window: int = WINDOW) -> dict[str, np.nd
     b, t = anchor[s1], level[s1]
     with np.errstate(over="ignore"):
         key = tk.mix(tk.span_hash(h, a_low[s1], a_high[s1], p) + (b - a_low[s1]).astype(np.uint64) * np.uint64(1000003) + t.astype(np.uint64))
-        ctx = tk.mix(tk.span_hash(h, s1, s2 + window, p) ^ ((b - s1 + 64) * 4096 + (s2 - s1)).astype(np.uint64))
+        ctx = tk.mix(q.of(s1, s2 + window) ^ ((b - s1 + 64) * 4096 + (s2 - s1)).astype(np.uint64))
     return {"row": w.row[s1], "key": key, "ctx": ctx, "s1": s1, "s2": s2}
 
 
@@ -156,8 +159,8 @@ class Chunk:
         self.rows = table.column(0).chunk(0)
         self.texts, self.window, self.parts, self.pieces = self.rows.field(text_col), window, parts, []
         for w in tk.tokenize(self.texts, lower=False):
-            h = w.hashes()
-            self.pieces.append((w, h, anchors(w, h, window)))
+            p, q = (tk.Spans(w.hashes(lane)) for lane in (0, 1))
+            self.pieces.append((w, (p.levels[0], q.levels[0]), anchors(w, p, q, window)))
         cat = lambda k: np.concatenate([a[k] for _, _, a in self.pieces]) if self.pieces else np.zeros(0, np.int64)
         key, ctx = cat("key").astype(np.uint64), cat("ctx").astype(np.uint64)
         self.part, self.key, self.ctx, self.often, self.at = distinct(part_of(key, parts), key, ctx)
@@ -181,9 +184,8 @@ class Chunk:
             reps = s2 - s1 + 1
             s = (np.repeat(s1 - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())).astype(np.int64) if len(s1) else np.zeros(0, np.int64)
             row = np.repeat(a["row"][mine], reps)
-            again = tk.mix(h ^ np.uint64(0xA0761D6478BD642F))
-            one.append(tk.span_hash(h, s, s + self.window))
-            two.append(tk.span_hash(again, s, s + self.window))
+            for into, x in zip((one, two), h, strict=True):
+                into.append(tk.span_hash(x, s, s + self.window))
             rows.append(row + w.lo)
             firsts.append(s - w.first[row])
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)

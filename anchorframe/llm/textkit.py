@@ -1,13 +1,16 @@
 """Vectorised tokenising and hashing of whole Arrow text columns.
 
-Words are delimited by ASCII bytes only, so all work is done on UTF-8 bytes. Hashes are polynomials modulo 2**64 over
-random byte (or word) values, computed from one running sum each, so every word and every k-word window of a chunk
-costs a constant number of array operations. Texts are handled in chunks of about a megabyte (a longer text is its
-own chunk), which bounds memory whatever the batch size.
+Words are delimited by ASCII bytes only, so all work is done on UTF-8 bytes. A word's hash takes in eight bytes at a
+time with a full mix after each (words above LONG bytes are hashed by BLAKE2b); a span's hash joins the hashes of its
+pieces of 1, 2, 4, ... words, again with a mix at each joint, so a window of k words costs about 2 log k array operations.
+Nothing is a plain polynomial, whose values agree for whole families of inputs. Two lanes with different seeds give 128
+bits. Texts are handled in chunks of about a megabyte (a longer text is its own chunk), which bounds memory whatever the
+batch size.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,33 +19,12 @@ import pyarrow as pa
 
 CHUNK = 1 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240611))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE, _WBASE = (int(x) * 2 + 1 for x in _rng.integers(2**61, 2**62, 2))
-
-
-def _inverse(a: int) -> int:
-    return pow(a, -1, 2**64)
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, CHUNK + 1)
-            for name, b in (("up", self.base), ("down", _inverse(self.base))):
-                x = np.full(size, b, np.uint64)
-                x[0] = 1
-                with np.errstate(over="ignore"):
-                    setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
-
-
-_bytes, _words = _Powers(_BASE), _Powers(_WBASE)
+#: Words above so many bytes are hashed one by one.
+LONG = 256
+#: Seeds and odd multipliers of the two lanes.
+_SEED = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+_STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_BELOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,29 +75,39 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        up, down = _bytes.get(n + 1)
-        s = np.zeros(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(_BYTE[self.data] * up[:n], out=s[1:])
-            return mix((s[self.end] - s[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        return byte_hash(self.data, self.start, self.end - self.start, lane)
 
     def stems(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the first ``size`` bytes of each longer word, and which words are longer."""
-        n = len(self.data)
-        up, down = _bytes.get(n + 1)
-        s = np.zeros(n + 1, np.uint64)
         longer = self.end - self.start > size
         a = self.start[longer]
-        with np.errstate(over="ignore"):
-            np.cumsum(_BYTE[self.data] * up[:n], out=s[1:])
-            return mix((s[a + size] - s[a]) * down[a] + np.uint64(size)), longer
+        return byte_hash(self.data, a, np.full(len(a), size)), longer
 
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
+def byte_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of each run of ``size`` bytes from ``start``."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from every place
+    with np.errstate(over="ignore"):
+        h = mix((_SEED[lane] + size.astype(np.uint64) * _STEP[lane]) ^ (eight[start] & _BELOW[np.minimum(size, 8)]))
+        more, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(more):
+            piece = eight[start[more] + done] & _BELOW[np.minimum(size[more] - done, 8)]
+            h[more] = mix(h[more] * _STEP[lane] + piece)
+            done += 8
+            more = more[size[more] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=16).digest()
+        h[i] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    return h
+
+
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -171,23 +163,60 @@ def windows(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    return span_hash(h, np.arange(n), np.arange(n) + k), row[:n] == row[k - 1 :]
+    return Spans(h).windows(k), row[:n] == row[k - 1 :]
 
 
-def prefix(h: np.ndarray) -> np.ndarray:
-    up, _ = _words.get(len(h) + 1)
-    s = np.zeros(len(h) + 1, np.uint64)
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two neighbouring pieces from theirs; their order matters."""
     with np.errstate(over="ignore"):
-        np.cumsum(h * up[: len(h)], out=s[1:])
-    return s
+        return mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
+
 
+class Spans:
+    """Hashes of any runs of ``h``, from those of all its runs of 1, 2, 4, ... entries (made when first needed)."""
 
-def span_hash(h: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray | None = None) -> np.ndarray:
+    def __init__(self, h: np.ndarray):
+        self.levels = [h]
+
+    def level(self, j: int) -> np.ndarray:
+        while len(self.levels) <= j:
+            x, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(join(x[: len(x) - half], x[half:]))
+        return self.levels[j]
+
+    @staticmethod
+    def seed(size):
+        with np.errstate(over="ignore"):
+            return mix(np.asarray(size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def windows(self, k: int) -> np.ndarray:
+        """All runs of ``k`` entries, by first entry."""
+        n, at = len(self.levels[0]) - k + 1, 0
+        out = np.broadcast_to(self.seed(np.array([k])), n)
+        for j in reversed(range(k.bit_length())):
+            if k >> j & 1:
+                out = join(out, self.level(j)[at : at + n])
+                at += 1 << j
+        return out
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The runs from ``a`` up to ``b``."""
+        size = b - a
+        out = self.seed(size)
+        if not len(size):
+            return out
+        at = np.array(a, np.int64)
+        for j in reversed(range(int(size.max()).bit_length())):
+            use = np.flatnonzero(size >> j & 1)
+            if len(use):
+                out[use] = join(out[use], self.level(j)[at[use]])
+                at[use] += 1 << j
+        return out
+
+
+def span_hash(h: np.ndarray, a: np.ndarray, b: np.ndarray, s: Spans | None = None) -> np.ndarray:
     """Hash of the word sequences ``h[a:b]``."""
-    s = prefix(h) if s is None else s
-    _, down = _words.get(len(h) + 1)
-    with np.errstate(over="ignore"):
-        return mix((s[b] - s[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (Spans(h) if s is None else s).of(a, b)
 
 
 def member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
