@@ -18,15 +18,12 @@ def _sum(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first()
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Least node of the piece of every node, of all edges of one partition."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not got:
-        return
-    names, at = np.unique(np.concatenate([x for ab in got for x in ab]), return_inverse=True)
-    a, b = (np.concatenate(x) for x in zip(*[np.split(p, 2) for p in np.split(at, np.cumsum([2 * len(x) for x, _ in got])[:-1])], strict=True))
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges (a, b) and the least node of its piece."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = np.split(at, 2)
     root = np.arange(len(names))
-    while True:
+    while len(names):
         low = root.copy()
         np.minimum.at(low, root[a], root[b])
         np.minimum.at(low, root[b], root[a])
@@ -34,7 +31,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (low == root).all():
             break
         root = low
-    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["v", "c"])
+    return names, names[root]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`forest` of all edges of one partition."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if got:
+        v, c = forest(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(c)], names=["v", "c"])
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, htmltext, katz, linededup, mixing, neardup, quality, substrings, toxicity
+from . import decontaminate, fingerprint, htmltext, katz, linededup, mixing, neardup, quality, simhash, substrings, toxicity
 from .common import table
 
 
@@ -52,5 +52,9 @@ def op3_katz_score(spark, sf_dir):
     return katz.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_katz_score": op3_katz_score, "op6_substring_dedup": op6_substring_dedup, "pipeline": pipeline, "op9_html_text": op9_html_text, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
+def op11_simhash(spark, sf_dir):
+    return simhash.components_of(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op11_simhash": op11_simhash, "op3_katz_score": op3_katz_score, "op6_substring_dedup": op6_substring_dedup, "pipeline": pipeline, "op9_html_text": op9_html_text, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
 ORACLES = {"op6_substring_dedup": substrings.ORACLE, "op4_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
