@@ -89,4 +89,4 @@ def beside(placed: DataFrame, more: DataFrame, n: int, key: str) -> DataFrame:
     Spark's union joins such tables partition by partition; where that is switched off, all rows are dealt again.
     """
     out = placed.unionByName(more.repartition(n, key))
-    return out if placed.sparkSession.conf.get("spark.sql.unionOutputPartitioning") == "true" else out.repartition(n, key)
+    return out if placed.sparkSession.conf.get("spark.sql.unionOutputPartitioning", "false") == "true" else out.repartition(n, key)

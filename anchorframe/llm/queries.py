@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, htmltext, importance, katz, linededup, mixing, neardup, quality, simhash, substrings, toxicity
+from . import collocations, decontaminate, fingerprint, htmltext, importance, katz, linededup, mixing, neardup, quality, simhash, substrings, toxicity
 from .common import table
 
 
@@ -60,5 +60,9 @@ def op13_importance(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op13_importance": op13_importance, "op11_simhash": op11_simhash, "op3_katz_score": op3_katz_score, "op6_substring_dedup": op6_substring_dedup, "pipeline": pipeline, "op9_html_text": op9_html_text, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
-ORACLES = {"op6_substring_dedup": substrings.ORACLE, "op4_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+def op12_collocations(spark, sf_dir):
+    return collocations.digest(spark, sf_dir)
+
+
+QUERIES = {"op12_collocations": op12_collocations, "op13_importance": op13_importance, "op11_simhash": op11_simhash, "op3_katz_score": op3_katz_score, "op6_substring_dedup": op6_substring_dedup, "pipeline": pipeline, "op9_html_text": op9_html_text, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprint": op5_fingerprint, "op10_line_dedup": op10_line_dedup, "op7_mix_sources": op7_mix_sources, "op8_decontaminate": op8_decontaminate}
+ORACLES = {"op12_collocations": collocations.ORACLE, "op6_substring_dedup": substrings.ORACLE, "op4_near_duplicates": neardup.ORACLE, "op10_line_dedup": linededup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
