@@ -8,8 +8,9 @@ are windowed by key alone.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 WIDTH = 1 << 20
 
@@ -24,13 +25,41 @@ def shared(df: DataFrame) -> DataFrame:
     Nothing stays in memory, and plans that are built on it start anew, so they stay short. The folder is the session's
     ``spark.checkpoint.dir``, which driver and executors must share; a local master without one uses a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a local master without one gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared-"))
-    return df.checkpoint()
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+class Scratch:
+    """Tables of an operator that works in rounds, as files in a folder of their own beside the session's checkpoints.
+
+    Unlike a checkpoint, a table read again has the size of its files and not the product of all sizes it was joined from,
+    which after a dozen rounds takes the planner longer than the work. ``close`` deletes the folder; what is still
+    needed then must have been checkpointed.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.count}"
+        self.count += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int | None = None) -> bool:

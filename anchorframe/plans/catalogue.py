@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..functions.ordered import shared
-from ..operators import collinear as co, coords, enhance, gaps as gp, graph, intervals, layout, liftover as lo, matching, segment, seqs
+from ..functions.ordered import running_sum, shared
+from ..operators import collinear as co, coords, enhance, gaps as gp, graph, intervals, layout, liftover as lo, matching, segment, seqs, suffix_order
 from . import adapters as ad
 
 #: Positions in a block of the order-dependent helpers, bin width of the index queries, strip size, genomes.
@@ -297,6 +297,23 @@ def multi_mums_stranded(spark, d):
     return matching.multi_matches(g, "grp", K_MULTI, both_strands=True)
 
 
+def _genomes(spark, d):
+    """Three sequences of all benchmark items, in pieces: in order, the whole turned over, and in another order."""
+    t = ad.table(spark, d, "benchmark").select(F.col("item_id").cast("bigint").alias("i"), _dna(F.col("text")).alias("seq")).where("seq <> ''")
+    orders = {0: F.col("i"), 1: -F.col("i"), 2: F.col("i") % 3 * (1 << 40) + F.col("i")}
+    parts = None
+    for g, by in orders.items():
+        own = running_sum(t.select(by.alias("by"), "i", "seq"), [], ["by", "i"], F.length("seq"), "upto", WIDTH)
+        own = own.select(F.lit(0).cast("bigint").alias("grp"), F.lit(g).alias("seq_idx"), (F.col("upto") - F.length("seq")).alias("at"), scalar.reverse_complement(F.col("seq")).alias("seq") if g == 1 else "seq")
+        parts = own if parts is None else parts.unionByName(own)
+    return parts
+
+
+def whole_matches(spark, d):
+    """Unique matches of three whole sequences as one group, on either strand."""
+    return suffix_order.unique_matches(_genomes(spark, d), K_MULTI, both_strands=True).drop("grp")
+
+
 def enhanced_gaps(spark, d):
     """The partial match table with new matches in gaps of 300 or more. A gap's sequences are a benchmark item, in each
     genome with other letters in its middle, and turned over in the second genome."""
@@ -413,7 +430,7 @@ NAMES = [
     cross_contig_rejects, local_to_global, global_to_local, sort_by_genome_rank, sortedness_violations, bin_ranges_rle, bin_spans, bin_index_offsets, nearest_nonempty_bin,
     flank_bins, region_bin_candidates, lengths_checksum, table_stats, genome_lengths, contig_offsets, last_mum_end, presence_counts, wide_to_long, long_to_wide, neighbour_pairs,
     common_adjacency, collinear_blocks, filter_collinear, block_renumber, collinear_pct, oriented_blocks, rearranged_blocks, walk_steps, walk_links_distinct, contig_breaks,
-    shred_cuts, shred_intervals, gap_lengths, gaps_to_enhance, gap_outliers, gap_coords, trim_overlaps, overlaps_removed, unique_kmer_anchors, pairwise_mems, multi_mums, multi_mums_stranded, enhanced_gaps, enhanced_union, bubble_nodes, block_walk_links, interblock_walks, fasta_pieces,
+    shred_cuts, shred_intervals, gap_lengths, gaps_to_enhance, gap_outliers, gap_coords, trim_overlaps, overlaps_removed, unique_kmer_anchors, pairwise_mems, multi_mums, multi_mums_stranded, whole_matches, enhanced_gaps, enhanced_union, bubble_nodes, block_walk_links, interblock_walks, fasta_pieces,
     fasta_slices, fasta_headers, fasta_filenames, fasta_missing, reverse_complement, strand_mirror, region_parse, path_functions, haplotype_ids, split_multifasta, block_polygons,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

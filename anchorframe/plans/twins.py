@@ -83,6 +83,28 @@ z AS (SELECT grp, match, l AS length, unnest([0, 1, 2]) AS seq_idx, unnest(start
 """
 
 
+#: Unique matches of whole sequences x (seq_idx, s) by sorting all suffixes of both strands as strings; a text ends in a digit of its own.
+_SUFFIXES = """tx AS (SELECT seq_idx, true AS fwd, length(s) AS n, s || CAST(seq_idx * 2 AS VARCHAR) AS t FROM x
+  UNION ALL SELECT seq_idx, false, length(s), reverse(translate(s, 'acgt', 'tgca')) || CAST(seq_idx * 2 + 1 AS VARCHAR) FROM x),
+su AS (SELECT seq_idx, fwd, n, i - 1 AS place, substr(t, i) AS a, CASE WHEN i = 1 THEN right(t, 1) ELSE substr(t, i - 1, 1) END AS bef FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM tx)),
+l99 AS (SELECT *, row_number() OVER (ORDER BY a) AS rn, lag(a) OVER (ORDER BY a) AS b, 0 AS off FROM su),
+""" + "".join(
+    f"l{t} AS (SELECT * REPLACE (off + CASE WHEN substr(a, off + 1, {1 << t}) = substr(b, off + 1, {1 << t}) THEN {1 << t} ELSE 0 END AS off) FROM l{t + 1 if t < 16 else 99}),\n" for t in range(16, -1, -1)
+) + """sa AS MATERIALIZED (SELECT seq_idx, fwd, n, place, bef, rn, off AS lcp, a FROM l0),
+""" + "".join(
+    f"""k{m} AS (SELECT rn AS r0, {m} AS m, long FROM (SELECT rn, lcp, min(lcp) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND {m - 1} FOLLOWING) AS long,
+  count(*) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND {m - 1} FOLLOWING) AS have, lead(lcp, {m}, 0) OVER (ORDER BY rn) AS nxt FROM sa)
+  WHERE have = {m - 1} AND long >= 16 AND lcp < long AND nxt < long),
+""" for m in (3, 6)
+) + """me AS (SELECT k.*, sa.seq_idx, sa.fwd, sa.bef, substr(a, long + 1, 1) AS aft, CASE WHEN fwd THEN place ELSE n - place - long END AS start
+  FROM (SELECT * FROM k3 UNION ALL SELECT * FROM k6) k JOIN sa ON sa.rn BETWEEN r0 AND r0 + m - 1),
+go AS (SELECT r0, m, long, list(start ORDER BY seq_idx) FILTER (m = 3 OR fwd) AS starts FROM me GROUP BY r0, m, long
+  HAVING (m = 3 AND count(DISTINCT seq_idx) = 3 AND bool_or(fwd AND seq_idx = 0) AND min(bef) <> max(bef))
+    OR (m = 6 AND count(DISTINCT (seq_idx, start)) = 3 AND count(DISTINCT (seq_idx, fwd)) = 6 AND min(bef) FILTER (fwd) <> max(bef) FILTER (fwd) AND min(aft) FILTER (fwd) <> max(aft) FILTER (fwd))),
+nu AS (SELECT *, row_number() OVER (ORDER BY starts, long) - 1 AS match FROM go)
+SELECT match, me.seq_idx, CAST(me.start AS BIGINT) AS pos, CAST(me.long AS BIGINT) AS length, me.fwd AS strand FROM nu JOIN me USING (r0, m) WHERE m = 3 OR fwd"""
+
+
 def _q(select: str, *extra: str, slot: int = 256, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{_M.replace('{slot}', str(slot))}{''.join(extra)}\n{select}"
 
@@ -99,6 +121,11 @@ q0 AS (SELECT grp, t AS s0, substr(t, length(t) // 2 + 1) || left(t, length(t) /
 _TURN = "reverse(translate({s}, 'acgt', 'tgca'))"
 
 SQL = {
+    "whole_matches": f"""WITH b AS (SELECT CAST(item_id AS BIGINT) AS i, {_DNA.format(x="text")} AS t FROM benchmark),
+x AS (SELECT 0 AS seq_idx, string_agg(t, '' ORDER BY i) AS s FROM b UNION ALL SELECT 1, {_TURN.format(s="string_agg(t, '' ORDER BY i)")} FROM b
+  UNION ALL SELECT 2, string_agg(t, '' ORDER BY i % 3, i) FROM b),
+"""
+    + _SUFFIXES,
     "multi_mums": _GROUPS + "q AS (SELECT grp, s0, s0 AS t0, s1 AS t1, s2 AS t2, length(s0) AS n0, length(s1) AS n1, length(s2) AS n2 FROM q0)" + _UNIQUE
     + "SELECT grp, match, CAST(seq_idx AS INTEGER) AS seq_idx, CAST(pos AS BIGINT) AS pos, CAST(length AS BIGINT) AS length FROM z",
     "multi_mums_stranded": _GROUPS
