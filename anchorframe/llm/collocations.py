@@ -3,11 +3,11 @@
 A phrase's pivot is its rarest word (its leftmost occurrence, where it has several). All phrases of one pivot are counted in
 one place, and only what they are made of is sent there:
 
-1. Chunks of texts ask partitions of words for the frequencies of their distinct words, each once with its number, so
-   that every chunk knows which words reach ``least`` occurrences (no other word can be in a candidate) and which of
-   two words is rarer.
+1. Chunks of texts ask partitions for the frequencies of their distinct words and pairs of neighbours, each once with its
+   number, so that every chunk knows which words and pairs reach ``least`` occurrences (no other can be in a
+   candidate) and which of two words is rarer.
 2. Every occurrence of a word that has neighbours no rarer than itself sends a rewritten fragment: itself with up to
-   two such words on either side, of one piece of text. A fragment goes to the pivot's partition; equal fragments of a chunk
+   two such words on either side, of one piece of text and as far as the pairs are frequent. A fragment goes to the pivot's partition; equal fragments of a chunk
    go once with their number. Hot pivots have few distinct fragments, since few words are as frequent, and those above
    ``hot`` occurrences are dealt by chunk and summed up once more.
 3. A partition mines its fragments: the phrases of two or three words around the pivot, and no others, so every occurrence
@@ -15,7 +15,7 @@ one place, and only what they are made of is sent there:
 4. Candidates meet the counts of their parts by joins, those inside a longer one with most of their occurrences go, and
    each language's first ones are taken among the first ones of its shares.
 
-Frequencies of step 1 go by 64-bit hashes and only decide on routing and on what can be left out (a collision could only
+Frequencies of step 1 go by hashes (64 bits for words, 48 for pairs) and only decide on routing and on what can be left out (a collision could only
 keep more); all counts that are returned are of the words themselves.
 
 Defined results: null texts are empty, a null lang is ``und``; words never span rows or pieces; repeated rows count again;
@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkit as tk
 from .common import LOWER, UPPER, cut, table, tidy
-from .exchange import batch, beside, distinct, pack, part_of, runs, stream, unpack
+from .exchange import batch, beside, pack, part_of, stream, unpack
 from .substrings import chunked
 
 LEAST, FIRST, LONGER = 10, 2000, 50
-#: Bytes of text in a chunk, chunks for each partition of words, tasks of a stage at most.
-CHUNK, PART_CHUNKS, MOST_TASKS = 6 << 20, 4, 20_000
+#: Bytes of text in a chunk, chunks for each partition of words and pairs, tasks of a stage at most.
+CHUNK, PART_CHUNKS, MOST_TASKS = 6 << 20, 2, 20_000
 #: Occurrences of a pivot above which its fragments are dealt by chunk, and shares of a language that are ranked apart.
 HOT, SHARES = 1 << 22, 64
 BREAK = np.zeros(256, bool)
@@ -59,6 +59,21 @@ class Unit:
         self.joined = np.append((piece[1:] == piece[:-1]) & (w.row[1:] == w.row[:-1]), False)  # to the next word
 
 
+class _Table:
+    """Distinct keys and their numbers, dealt to partitions."""
+
+    def __init__(self, key: np.ndarray, often: np.ndarray, parts: int):
+        part = part_of(key, parts)
+        self.order = np.argsort(part, kind="stable")
+        self.part, self.key, self.often = part[self.order], key[self.order], often[self.order].astype(np.int64)
+
+    def span(self, p: int) -> slice:
+        return slice(*np.searchsorted(self.part, [p, p + 1]))
+
+    def of(self, p: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.diff(self.key[self.span(p)], prepend=np.uint64(0)), self.often[self.span(p)]
+
+
 class Chunk:
     """A chunk's texts, by language."""
 
@@ -75,30 +90,35 @@ class Chunk:
         often = np.concatenate([u.often for u in self.units] or [np.zeros(0, np.int64)])
         self.key, at = np.unique(key, return_inverse=True)
         self.often = np.bincount(at, often, len(self.key)).astype(np.int64)
-        part = part_of(self.key, parts)
-        self.order = np.argsort(part, kind="stable")
-        self.part = part[self.order]
+        joint = [tk.join(u.key[u.id[:-1]], u.key[u.id[1:]])[u.joined[:-1]] >> np.uint64(16) for u in self.units]
+        self.pair, self.pair_at, pair_often = np.unique(np.concatenate(joint or [np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        self.tables = [_Table(self.key, self.often, parts), _Table(self.pair, pair_often, parts)]
 
     def asks(self) -> list[tuple[int, bytes]]:
-        key, often = self.key[self.order], self.often[self.order]
-        return [(p, pack(np.diff(key[s:e], prepend=np.uint64(0)), often[s:e])) for p, s, e in runs(self.part)]
+        return [(p, pack(*[x for t in self.tables for x in t.of(p)])) for p in np.unique(np.concatenate([t.part for t in self.tables])).tolist()]
 
-    def frequencies(self, answers: dict[int, bytes]) -> np.ndarray:
-        out = np.zeros(len(self.key), np.int64)
-        for p, s, e in runs(self.part):
-            out[self.order[s:e]] = unpack(answers[p], np.int64)[0]
-        return out
+    def frequencies(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the words, and whether each pair is frequent."""
+        out = [np.zeros(len(self.key), np.int64), np.zeros(len(self.pair), np.uint8)]
+        for p, blob in answers.items():
+            for t, into, got in zip(self.tables, out, unpack(blob, np.int64, np.uint8), strict=True):
+                into[t.order[t.span(p)]] = got
+        return out[0], out[1].astype(bool)
 
-    def fragments(self, total: np.ndarray, least: int, hot: int, cid: int) -> Iterator[pa.RecordBatch]:
+    def fragments(self, total: np.ndarray, frequent: np.ndarray, least: int, hot: int, cid: int) -> Iterator[pa.RecordBatch]:
         """Fragments with their pivots' keys, places and numbers; single words and the languages' sums (no word) too."""
         rank = np.empty(len(self.key), np.int64)
         rank[np.lexsort((self.key, total))] = np.arange(len(self.key))
+        done = 0
         for u in self.units:
             at = np.searchsorted(self.key, u.key)
+            joined = u.joined.copy()
+            joined[u.joined] = frequent[self.pair_at[done : done + u.joined.sum()]]
+            done += u.joined.sum()
             f, own = total[at], np.where(total[at] >= least, rank[at], -1)
             r, n = own[u.id], len(u.id)
             pad = np.pad(r, 2, constant_values=-1)
-            joined = np.pad(u.joined, 2)  # joined[i + 2]: word i to word i + 1
+            joined = np.pad(joined, 2)  # joined[i + 2]: word i to word i + 1
             i = np.flatnonzero(r >= 0)
             l1 = joined[i + 1] & (pad[i + 1] > r[i])
             l2 = l1 & joined[i] & (pad[i] > r[i])
@@ -134,17 +154,22 @@ class Chunk:
             )
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers each chunk's question with its words' totals over all chunks."""
+def _count(least: int):
+    """Answers each chunk's question with its words' totals over all chunks and whether its pairs reach ``least``."""
     schema = pa.schema([("part", pa.int32()), ("cid", pa.int64()), ("blob", pa.binary())])
-    for part, rows in stream(batches):
-        cids, got = zip(*((cid, unpack(blob, np.uint64, np.int64)) for _, cid, blob in rows), strict=True)
+
+    def total(got: list, i: int) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
-            key = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in got])
-        names, at = np.unique(key, return_inverse=True)
-        total = np.bincount(at, np.concatenate([n for _, n in got]), len(names)).astype(np.int64)[at]
-        ends = np.cumsum([len(k) for k, _ in got])
-        yield batch([(part, cid, pack(total[e - len(k) : e])) for cid, (k, _), e in zip(cids, got, ends, strict=True)], schema)
+            names, at = np.unique(np.concatenate([np.cumsum(g[i], dtype=np.uint64) for g in got]), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([g[i + 1] for g in got]), len(names)).astype(np.int64)[at]
+        return np.split(sums, np.cumsum([len(g[i]) for g in got])[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in stream(batches):
+            cids, got = zip(*((cid, unpack(blob, np.uint64, np.int64, np.uint64, np.int64)) for _, cid, blob in rows), strict=True)
+            yield batch([(part, cid, pack(w, (p >= least).astype(np.uint8))) for cid, w, p in zip(cids, total(got, 0), total(got, 2), strict=True)], schema)
+
+    return run
 
 
 def counts(docs: DataFrame, least: int = LEAST, size: int = CHUNK, hot: int = HOT) -> DataFrame:
@@ -168,10 +193,10 @@ def counts(docs: DataFrame, least: int = LEAST, size: int = CHUNK, hot: int = HO
             if part != -1:
                 raise RuntimeError("answers without their chunk")
             c = Chunk(body, parts)
-            yield from c.fragments(c.frequencies({p: blob for _, p, blob in rows}), least, hot, cid & 0xFFFFFFFF)
+            yield from c.fragments(*c.frequencies({p: blob for _, p, blob in rows}), least, hot, cid & 0xFFFFFFFF)
 
     asked = chunks.mapInArrow(tidy(ask), "part int, cid bigint, blob binary")
-    answers = asked.repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part").mapInArrow(tidy(_count), "part int, cid bigint, blob binary")
+    answers = asked.repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part").mapInArrow(tidy(_count(least)), "part int, cid bigint, blob binary")
     told = beside(placed, answers.select("cid", "part", "blob"), n, "cid").sortWithinPartitions("cid", "part")
     sent = told.mapInArrow(tidy(send), "key bigint, salt int, lang string, frag string, place tinyint, n bigint")
     at_pivot = sent.repartition(tasks, "key", "salt").withColumn("w", F.split("frag", " "))
