@@ -77,11 +77,12 @@ def collinear_share(blocks: DataFrame, mums: DataFrame) -> DataFrame:
 
 
 def oriented_blocks(mums: DataFrame, genomes: int, width: int = WIDTH) -> DataFrame:
-    """block, s, e, n: chains of shared adjacencies whose rows have the same strand in every genome."""
-    pairs = common_adjacency(mums, genomes, width).where("r = l + 1")
-    strands = mums.groupBy("mum_id").agg(F.sum(F.when(F.col("strand"), F.lit(0)).otherwise(F.shiftleft(F.lit(1).cast("bigint"), 0) * F.pow(F.lit(2.0), F.col("seq_idx")).cast("bigint"))).alias("mask"))
-    p = pairs.join(strands.withColumnRenamed("mum_id", "l").withColumnRenamed("mask", "ml"), "l").join(strands.withColumnRenamed("mum_id", "r").withColumnRenamed("mask", "mr"), "r").where("ml = mr")
-    b = islands(p, "l", width).select("s", (F.col("e") + 1).alias("e"))
+    """block, s, e, n: chains of shared adjacencies whose rows have the same strands in every genome.
+
+    Neighbours of one strand in each of all genomes agree in the strands of all, so nothing about strands need be
+    compared again, for any number of genomes.
+    """
+    b = islands(common_adjacency(mums, genomes, width).where("r = l + 1"), "l", width).select("s", (F.col("e") + 1).alias("e"))
     return ranked(b, [], ["s"], "block", width).select(F.col("block").cast("bigint").alias("block"), "s", "e", (F.col("e") - F.col("s") + 1).alias("n"))
 
 

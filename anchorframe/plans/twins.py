@@ -17,7 +17,7 @@ regions AS (SELECT CAST(s_suppkey AS BIGINT) AS region_id, CAST(s_suppkey % 5 AS
 _B = """,
 np AS (SELECT seq_idx, CASE WHEN strand THEN mum_id ELSE nid END AS l, CASE WHEN strand THEN nid ELSE mum_id END AS r
   FROM (SELECT *, lead(mum_id) OVER w AS nid, lead(strand) OVER w AS nstrand FROM mums WINDOW w AS (PARTITION BY seq_idx ORDER BY start, mum_id)) WHERE strand = nstrand),
-ca AS (SELECT l, r FROM np GROUP BY l, r HAVING count(*) = 5),
+ca AS MATERIALIZED (SELECT l, r FROM np GROUP BY l, r HAVING count(*) = 5),
 bl AS MATERIALIZED (SELECT min(l) AS s, max(l) + 1 AS e FROM (SELECT l, l - row_number() OVER (ORDER BY l) AS g FROM ca WHERE r = l + 1) GROUP BY g)"""
 _O = """,
 mk AS (SELECT mum_id, CAST(sum(CASE WHEN strand THEN 0 ELSE 1 << seq_idx END) AS BIGINT) AS mask FROM mums GROUP BY mum_id),
@@ -254,7 +254,7 @@ min(abs(a.start - b.start) - CASE WHEN b.start < a.start THEN b.length ELSE a.le
 FROM mums m LEFT JOIN cu ON cu.mum_id = m.mum_id WHERE length - coalesce(head, 0) - coalesce(tail, 0) > 0""",
         _B,
         """,
-ov AS (SELECT l, r, any_value(a.length) > any_value(b.length) AS left_loses, -min(abs(a.start - b.start) - CASE WHEN b.start < a.start THEN b.length ELSE a.length END) AS cut
+ov AS MATERIALIZED (SELECT l, r, any_value(a.length) > any_value(b.length) AS left_loses, -min(abs(a.start - b.start) - CASE WHEN b.start < a.start THEN b.length ELSE a.length END) AS cut
   FROM ca JOIN mums a ON a.mum_id = l JOIN mums b ON b.mum_id = r AND b.seq_idx = a.seq_idx GROUP BY l, r),
 cu AS (SELECT CASE WHEN left_loses THEN l ELSE r END AS mum_id, max(CASE WHEN left_loses THEN cut ELSE 0 END) AS tail, max(CASE WHEN left_loses THEN 0 ELSE cut END) AS head FROM ov WHERE cut > 0 GROUP BY 1)""",
         slot=64,

@@ -180,3 +180,34 @@ def test_entry_module_without_extras(spark):
     import __spark_entry__ as e
 
     assert "extract_bed" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_oriented_blocks_of_a_hundred_genomes(spark):
+    """Forward, reversed and broken chains, in more genomes than a number has bits."""
+    n, rows = 100, 24
+    place = {j: list(range(rows)) if j % 3 else list(range(rows))[::-1] for j in range(n)}
+    place[70][10], place[70][11] = place[70][11], place[70][10]
+    flip = {(j, i) for j in (64, 99) for i in range(16, rows)}  # these genomes turn over the tail's matches in place
+    table = [(i, j, place[j][i] * 100, 20, (j % 3 != 0) != ((j, i) in flip)) for j in range(n) for i in range(rows)]
+    mums = spark.createDataFrame(table, "mum_id bigint, seq_idx int, start bigint, length bigint, strand boolean")
+
+    def together(l):
+        for j in range(n):
+            a, b = (next(t for t in table if t[0] == k and t[1] == j) for k in (l, l + 1))
+            if a[4] != b[4] or b[2] - a[2] != (100 if a[4] else -100):
+                return False
+        return True
+
+    chained = [together(i) for i in range(rows - 1)]
+    want, i = [], 0
+    while i < rows - 1:
+        if chained[i]:
+            s = i
+            while i < rows - 1 and chained[i]:
+                i += 1
+            want.append((s, i))
+        i += 1
+    got = collinear.oriented_blocks(mums, n).orderBy("block").collect()
+    assert [(r.s, r.e) for r in got] == want and len(want) == 2
+    assert collinear.walk_steps(collinear.oriented_blocks(mums, n), mums).where("seq_idx = 99 and direction = '-'").count() == 2
+    assert collinear.rearranged(collinear.oriented_blocks(mums, n), mums).count() >= 0
