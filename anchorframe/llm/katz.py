@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .common import cut, remainder
+from .common import cut, remainder, tidy
 from .exchange import batch, beside, pack, part_of, runs, stream, unpack
 
 CHUNK, FEW = 6 << 20, 5
@@ -88,7 +88,7 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
                 )
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (remainder(10) == 0).alias("held"))
-    return own.mapInArrow(run, "meta binary, body binary, n bigint, d bigint")
+    return own.mapInArrow(tidy(run), "meta binary, body binary, n bigint, d bigint")
 
 
 META = (np.int64, bool, bool, np.int64)
@@ -278,8 +278,8 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
             yield batch(out, answer)
 
     to_part = lambda df, n, key: df.repartition(n, key).sortWithinPartitions(key)
-    asked = chunks.select("cid", "meta", "body").mapInArrow(ask_words, "part int, cid bigint, blob binary")
-    words = cut(to_part(asked, tasks, "part").mapInArrow(count_words, "part int, cid bigint, blob binary, stat array<double>, hot bigint"))
+    asked = chunks.select("cid", "meta", "body").mapInArrow(tidy(ask_words), "part int, cid bigint, blob binary")
+    words = cut(to_part(asked, tasks, "part").mapInArrow(tidy(count_words), "part int, cid bigint, blob binary, stat array<double>, hot bigint"))
     stats = words.where("stat is not null").select(F.posexplode("stat").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
     whole = np.zeros(1 + 2 * (FEW + 1))
     for r in stats.collect():  # as many rows as the array has entries
@@ -331,7 +331,7 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
 
     asks_row = pa.schema([*row, ("own", pa.bool_())])
     both = chunks.select("cid", F.lit(-1).alias("part"), F.col("body").alias("blob"), "meta").unionByName(words.where("cid is not null").select("cid", "part", "blob", F.lit(None).cast("binary").alias("meta")))
-    asks = both.repartition(chunk_tasks, "cid").sortWithinPartitions("cid", "part").mapInArrow(ask_trigrams, "part int, cid bigint, blob binary, own boolean")
+    asks = both.repartition(chunk_tasks, "cid").sortWithinPartitions("cid", "part").mapInArrow(tidy(ask_trigrams), "part int, cid bigint, blob binary, own boolean")
     table = asks.repartition(tasks, "part")
 
     told = pa.schema([("part", pa.int32()), ("to", pa.int32()), ("blob", pa.binary()), ("x", pa.list_(pa.float64()))])
@@ -361,14 +361,14 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
             ends = np.cumsum([len(g[0]) for _, g in got])
             yield batch([(part, to, pack(*(w[e - len(g[0]) : e] for w in whole)), None) for (part, g), e in zip(got, ends, strict=True)], told)
 
-    tallied = table.sortWithinPartitions("part").mapInArrow(tally, as_rows)
+    tallied = table.sortWithinPartitions("part").mapInArrow(tidy(tally), as_rows)
     of_orders = tallied.where("x is not null").agg(*[F.coalesce(F.sum(F.col("x")[i]), F.lit(0.0)).alias(f"n{i}") for i in range(2 * FEW + 2)])
     empty = lambda t: F.lit(None).cast(t)
     asked = table.select("part", F.lit(2).alias("kind"), "cid", "blob", "own", empty("array<double>").alias("x"))
     # to every partition: the counts of counts, and the whole sums of the histories it asks for
     news = of_orders.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), empty("bigint").alias("cid"), empty("binary").alias("blob"), F.array(*of_orders.columns).alias("x"))
     if len(hot):
-        sums = to_part(tallied.where("to is not null").select("to", "part", "blob"), tasks, "to").mapInArrow(add_up, as_rows)
+        sums = to_part(tallied.where("to is not null").select("to", "part", "blob"), tasks, "to").mapInArrow(tidy(add_up), as_rows)
         news = news.unionByName(sums.select("part", F.lit(1).alias("kind"), F.col("to").cast("bigint").alias("cid"), "blob", empty("array<double>").alias("x")))
     news = news.select("part", "kind", "cid", "blob", empty("boolean").alias("own"), "x")
     asked = beside(asked, news, tasks, "part").sortWithinPartitions("part", "kind", "cid")
@@ -400,7 +400,7 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
             if out:
                 yield batch(out, pa.schema([("kind", pa.int32()), ("cid", pa.int64()), ("blob", pa.binary())]))
 
-    judged = asked.mapInArrow(judge, "kind int, cid bigint, blob binary")
+    judged = asked.mapInArrow(tidy(judge), "kind int, cid bigint, blob binary")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in stream(batches):
@@ -420,7 +420,7 @@ def score(docs: DataFrame, part_tokens: int = PART_TOKENS, hot_tokens: int | Non
 
     every = chunks.select("cid", F.lit(-1).alias("kind"), F.col("meta").alias("blob")).unionByName(judged.select("cid", "kind", "blob"))
     last = every.repartition(chunk_tasks, "cid").sortWithinPartitions("cid", "kind")
-    return last.mapInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return last.mapInArrow(tidy(finish), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def digest(docs: DataFrame) -> DataFrame:
