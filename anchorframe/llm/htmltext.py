@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import boosting
 from .common import map_rows, struct_array
 
-PAGES, TREES, SEED = 2000, 80, 5
+PAGES, TREES, SEED = 3600, 90, 5
 DEPTH, BUCKETS = 512, 4096
 #: Attribute that carries the truth in training pages.
 MARK = "data-truth"
@@ -91,7 +91,7 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None, tokens: tuple[int, ...] = (), mark: int = 0):
         self.tag, self.parent, self.kids, self.tokens, self.text = tag, parent, [], tokens, ""
-        self.chars = self.links = self.words = self.stops = self.blocks = self.tags = self.start = 0
+        self.chars = self.links = self.words = self.stops = self.blocks = self.tags = 0
         self.depth, self.mark = (parent.depth + 1, mark or parent.mark) if parent else (0, mark)
 
 
@@ -269,13 +269,11 @@ UNKNOWN = np.zeros(BUCKETS)
 
 def features(root: Node, meaning: np.ndarray = UNKNOWN) -> tuple[list[Node], np.ndarray]:
     """Nodes in page order and their features; ``meaning`` is the log odds of main text by token bucket."""
-    nodes, seen = _order(root), 0
+    nodes = _order(root)
     for n in nodes:
-        n.start = seen
         if n.tag == "#text":
             n.chars, n.words, n.blocks = len(n.text), n.text.count(" ") + 1, 1
             n.stops = sum(map(n.text.count, ".,;"))
-            seen += n.chars
     for n in reversed(nodes):
         if n.parent is not None:
             p = n.parent
@@ -298,7 +296,7 @@ def features(root: Node, meaning: np.ndarray = UNKNOWN) -> tuple[list[Node], np.
         out.append(
             (
                 t, up_tags, low, high, up_low, up_high, n.depth, np.log1p(n.chars), n.links / chars, n.chars / total, n.chars / max(p.chars if p else total, 1), n.words / max(n.blocks, 1),
-                n.stops / max(n.words, 1), n.tags / max(n.words, 1), len(n.kids), len(p.kids) if p else 1, n.start / total, n.blocks, len(n.tokens),
+                n.stops / max(n.words, 1), n.tags / max(n.words, 1), len(n.kids), len(p.kids) if p else 1, n.blocks, len(n.tokens),
             )
         )
     raw = np.array(out, np.float64)
@@ -308,23 +306,27 @@ def features(root: Node, meaning: np.ndarray = UNKNOWN) -> tuple[list[Node], np.
 
 
 def decode(nodes: list[Node], logit: np.ndarray) -> list[str]:
-    """Text blocks of the most probable labelling in which a dropped node drops its subtree."""
+    """Text blocks of the most probable labelling in which a dropped node drops its subtree and a kept one keeps some of it."""
     keep, drop = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
     at = {id(n): i for i, n in enumerate(nodes)}
     best, gone = keep.copy(), drop.copy()
-    for i in range(len(nodes) - 1, 0, -1):
-        p = at[id(nodes[i].parent)]
-        best[p] += max(best[i], gone[i])
-        gone[p] += gone[i]
-    out, todo = [], [0]
+    gain, first = np.full(len(nodes), -np.inf), np.full(len(nodes), -1)  # of the child that is kept most readily
+    for i in range(len(nodes) - 1, -1, -1):
+        if nodes[i].tag != "#text":
+            best[i] += min(gain[i], 0.0)
+        if i:
+            p, more = at[id(nodes[i].parent)], best[i] - gone[i]
+            best[p] += max(best[i], gone[i])
+            gone[p] += gone[i]
+            if more >= gain[p]:
+                gain[p], first[p] = more, i
+    out, todo = [], [0] if best[0] >= gone[0] else []
     while todo:
         i = todo.pop()
-        n = nodes[i]
-        if i and gone[i] > best[i]:
-            continue
-        if n.tag == "#text":
-            out.append(n.text)
-        todo.extend(at[id(k)] for k in reversed(n.kids))
+        if nodes[i].tag == "#text":
+            out.append(nodes[i].text)
+        kids = [k for k in (at[id(n)] for n in nodes[i].kids) if best[k] >= gone[k]]
+        todo.extend(reversed(kids or ([first[i]] if first[i] >= 0 else [])))
     return out
 
 
@@ -340,8 +342,8 @@ def _prose(r: random.Random, least: int = 1, most: int = 8) -> str:
 def _attr(r: random.Random, group: str, always: bool = False) -> str:
     if not always and r.random() < 0.4:
         return ""
-    if r.random() < 0.2:  # a name without meaning
-        t = "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randint(2, 6))) + r.choice(["", "", str(r.randint(1, 99))])
+    if r.random() < {"main": 0.5, "part": 0.5, "plain": 1.0}.get(group, 0.2):  # a name without meaning, of which main text has as many
+        t = r.choice(["", "", "-", "_"]).join("".join(r.choice("abcdefghjklmnopqrstuvwxz") for _ in range(r.randint(2, 7))) for _ in range(r.randint(1, 3))) + r.choice(["", "", str(r.randint(1, 99))])
     else:
         t = r.choice(TOKENS[group].split())
     t = r.choice([t, t, f"{t}-{r.randint(1, 9)}", f"page-{t}", f"{t}_wrap", f"js-{t} c{r.randint(1, 99)}"])
@@ -350,7 +352,12 @@ def _attr(r: random.Random, group: str, always: bool = False) -> str:
 
 
 def training_page(r: random.Random) -> str:
-    """A page whose main text lies under data-truth="1" and its other text under data-truth="2"."""
+    """A page whose main text lies under data-truth="1" and its other text under data-truth="2".
+
+    Where things stand must say little: a good part of the pages begins or ends with the main text or has nothing else,
+    titles lie within or before it, and paragraphs are p, div or lines, with or without a wrapper.
+    """
+    style = r.choices(["p", "div", "br"], [66, 22, 12])[0]
 
     def links(n):
         return "".join(f'<li><a href="/{i}">{_sentence(r, r.randint(1, 3))}</a></li>' for i in range(n))
@@ -370,7 +377,7 @@ def training_page(r: random.Random) -> str:
         return box("ad", None, _prose(r, 1, 3))
 
     def head():
-        return box("head", "header", (f"<h1>{_sentence(r, 3)}</h1>" if r.random() < 0.5 else "") + (nav() if r.random() < 0.5 else _prose(r, 1, 1)))
+        return box("head", "header", (f"<h1>{_sentence(r, 3)}</h1>" if r.random() < 0.3 else "") + (nav() if r.random() < 0.5 else _prose(r, 1, 1)))
 
     def foot():
         return box("foot", "footer", "&copy; " + _prose(r, 1, 4) + (f"<ul>{links(3)}</ul>" if r.random() < 0.3 else ""))
@@ -404,27 +411,38 @@ def training_page(r: random.Random) -> str:
         body = [f"<header{truth}>{body[0]}" + (part("p", _sentence(r, 5), 0.4) if r.random() < 0.5 else "") + "</header>"]
     if body and r.random() < 0.15:
         body.append(part(r.choice(["p", "div"]), _sentence(r, r.randint(2, 7)), 0.7))
-    for _ in range(r.choice([1, 1, 1, 2, 3, 5, 9])):
+    tiny = r.random() < 0.2  # a short text beside surroundings of any length
+    prose = lambda: _prose(r, 1, 1 if tiny else 8)
+    for _ in range(1 if tiny else r.choice([1, 1, 1, 2, 3, 5, 9, 18])):
         x = r.random()
-        if x < 0.7:
-            body.append(part("p", _prose(r), 0.03) if r.random() < 0.7 else open_part("p", f"<b>{_prose(r)}<br>"))
+        if x < 0.7 and style == "p":
+            body.append(part("p", prose(), 0.03) if r.random() < 0.7 else open_part("p", f"<b>{prose()}<br>"))
+        elif x < 0.7 and style == "div":
+            body.append(part("div", prose() if r.random() < 0.8 else f"<span>{prose()}</span>", 0.04))
+        elif x < 0.7:
+            body.append(f"<{(t := r.choice(['div', 'p', 'td', 'font', 'div']).replace('td', 'span'))}{truth}>" + r.choice(["<br>", "<br><br>", "<br />\n"]).join(prose() for _ in range(r.randint(1, 4))) + f"</{t}>")
         elif x < 0.78:
             body.append(part(r.choice(["h2", "h2", "h3"]), _sentence(r, 4)))
         elif x < 0.84:
             tag = r.choice(["ul", "ul", "ol"])
             body.append(f"<{tag}{truth}>" + "".join(f"<li>{_prose(r, 1, 2)}</li>" for _ in range(r.randint(2, 5))) + f"</{tag}>")
         elif x < 0.88:
-            body.append(part("blockquote", _prose(r)))
+            body.append(part("blockquote", prose()))
         elif x < 0.91:
             body.append(f"<table{truth}>" + "".join(f"<tr><td>{_sentence(r, 2)}</td><td>{_sentence(r, 2)}</td></tr>" for _ in range(3)) + "</table>")
         elif x < 0.93:
             body.append(f"<figure{truth}><img src=a.png>{part('figcaption', _sentence(r, 6))}</figure>")
         elif x < 0.97:
-            body.append(part("div", _prose(r)))
+            body.append(part("div", prose()))
         else:
-            body.append(part("p", f'{_prose(r)} <a href="/x">{_sentence(r, 3)}</a> {_prose(r)}'))
+            body.append(part("p", f'{prose()} <a href="/x">{_sentence(r, 3)}</a> {prose()}'))
+    if len(body) > 3 and r.random() < 0.2:  # a chapter of its own
+        at = r.randint(1, len(body) - 1)
+        body = [*body[:at], f"<section{_attr(r, 'plain', r.random() < 0.6)}{truth}>{part(r.choice(['h2', 'h3']), _sentence(r, 3))}{''.join(body[at:])}</section>"]
+    title = body.pop(0) if len(body) > 1 and r.random() < 0.4 else ""
+    bare = r.random() < 0.3
     for extra, odds in ((ad, 0.2), (share, 0.15), (comments, 0.12), (note, 0.1), (side, 0.1), (form, 0.08)):
-        if r.random() < odds:
+        if not bare and r.random() < odds:
             body.insert(r.randint(1, len(body)) if body else 0, extra())
     if len(body) > 2 and r.random() < 0.15:  # in pieces
         at = r.randint(1, len(body) - 1)
@@ -440,11 +458,31 @@ def training_page(r: random.Random) -> str:
         main = f'<{name}{_attr(r, "main", name in ("div", "section"))}{truth}>{"".join(body)}</{name}>'
         if r.random() < 0.2:
             main = f"<main{_attr(r, 'main')}>{main}</main>"
+    def wrapped(inner, marked=False):
+        """Up to four boxes around it, mostly with names without meaning."""
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3, 4])):
+            tag = r.choice(["div", "div", "div", "section"])
+            name = _attr(r, "plain", r.random() < 0.6)
+            inner = f"<{tag}{name}{truth if marked and r.random() < 0.5 else ''}>{inner}</{tag}>"
+        return inner
+
+    main = wrapped(main, True)
+    if not bare and r.random() < 0.3:  # a column beside it
+        column = wrapped(r.choice([side, nav, ad, share])())
+        main = wrapped(main + column if r.random() < 0.6 else column + main)
     before = [f() for f, odds in ((nav, 0.7), (head, 0.5), (ad, 0.4), (note, 0.25), (side, 0.2), (form, 0.1)) if r.random() < odds]
     after = [f() for f, odds in ((comments, 0.35), (side, 0.35), (ad, 0.25), (form, 0.2), (share, 0.2), (note, 0.15), (nav, 0.15)) if r.random() < odds]
     r.shuffle(before)
     r.shuffle(after)
-    page = "".join([*before, main, *after, foot() if r.random() < 0.85 else ""])
+    if bare or r.random() < 0.2:
+        before = []
+    after = [] if bare or r.random() < 0.25 else [*after, foot() if r.random() < 0.9 else ""]
+    if title and r.random() < 0.4:
+        title = f"<{(t := r.choice(['div', 'header', 'section']))}{_attr(r, r.choice(['part', 'main']))}{truth}>{title}</{t}>"
+    if title and r.random() < 0.3:  # before all else
+        before.insert(0, title)
+        title = ""
+    page = "".join([*before, title, main, *after])
     if r.random() < 0.3:
         page = f"<div{r.choice(['', ' id=page', ' class=wrapper'])}>{page}</div>"
     return f"<html><head><title>t</title></head><body>{page}</body></html>"
@@ -478,14 +516,14 @@ def model(pages: int = PAGES, trees: int = TREES, seed: int = SEED) -> Model:
                 kept[b] += good
                 seen[b] += 1
     prior = (kept.sum() + 1) / (seen.sum() + 2)
-    rate = (kept + 2 * prior) / (seen + 2)
+    rate = (kept + 12 * prior) / (seen + 12)
     meaning = np.where(seen > 0, np.log(rate / (1 - rate)) - np.log(prior / (1 - prior)), 0.0)
     xs, ys = [], []
     for _ in range(pages - pages // 2):
         nodes, x = features(parse(training_page(r), marks=True), meaning)
         xs.append(x)
         ys.append(wanted(nodes))
-    return Model(meaning, boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float), trees))
+    return Model(meaning, boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float), trees, depth=6))
 
 
 def texts(pages: list[str | None], judge: Model) -> list[str]:
