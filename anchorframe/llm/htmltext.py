@@ -339,11 +339,18 @@ def _prose(r: random.Random, least: int = 1, most: int = 8) -> str:
     return " ".join(_sentence(r, r.randint(1, 18)) for _ in range(r.randint(least, most)))
 
 
+@cache
+def _nameless() -> list[str]:
+    """Words without meaning, few enough to leave most token buckets to words never seen."""
+    r = random.Random(1)
+    return ["".join(r.choice("abcdefghjklmnopqrstuvwxz") for _ in range(r.randint(1, 7))) for _ in range(300)]
+
+
 def _attr(r: random.Random, group: str, always: bool = False) -> str:
     if not always and r.random() < 0.4:
         return ""
     if r.random() < {"main": 0.5, "part": 0.5, "plain": 1.0}.get(group, 0.2):  # a name without meaning, of which main text has as many
-        t = r.choice(["", "", "-", "_"]).join("".join(r.choice("abcdefghjklmnopqrstuvwxz") for _ in range(r.randint(2, 7))) for _ in range(r.randint(1, 3))) + r.choice(["", "", str(r.randint(1, 99))])
+        t = r.choice(["-", "_"]).join(r.choice(_nameless()) for _ in range(r.choice([1, 1, 2, 3]))) + r.choice(["", "", str(r.randint(1, 99))])
     else:
         t = r.choice(TOKENS[group].split())
     t = r.choice([t, t, f"{t}-{r.randint(1, 9)}", f"page-{t}", f"{t}_wrap", f"js-{t} c{r.randint(1, 99)}"])
