@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.ordered import Scratch
 from .common import cut
 
 #: Up to so many edges (16 bytes each) are joined in one task; more go through the distributed rounds.
@@ -55,16 +56,20 @@ def components(edges: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("v"), F.col("b").alias("c"))
     if before[0] <= ONE_TASK:
         return cut(e.coalesce(1).mapInArrow(_forest, "v bigint, c bigint"))
-    while True:
-        # large star: each node links its larger neighbours to its smallest one (or itself)
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: each node links itself and its smaller neighbours to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        after = _sum(e)
-        if after == before:
-            return e.select(F.col("a").alias("v"), F.col("b").alias("c")).unionByName(e.select(F.col("b").alias("v"), F.col("b").alias("c")).distinct())
-        before = after
+    scratch = Scratch(e.sparkSession)  # rounds of joins: their tables are read again with their true sizes
+    try:
+        while True:
+            # large star: each node links its larger neighbours to its smallest one (or itself)
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            # small star: each node links itself and its smaller neighbours to the smallest of them
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            e = scratch.keep(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+            after = _sum(e)
+            if after == before:
+                return cut(e.select(F.col("a").alias("v"), F.col("b").alias("c")).unionByName(e.select(F.col("b").alias("v"), F.col("b").alias("c")).distinct()))
+            before = after
+    finally:
+        scratch.close()

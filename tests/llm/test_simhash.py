@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from anchorframe.llm import queries, simhash
+from anchorframe.llm import graph, queries, simhash
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -102,3 +102,15 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.QUERIES["op11_simhash"](spark, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == brute(rows)
+
+
+def test_rounds_on_a_long_path(spark, monkeypatch):
+    """A path takes many rounds of joins; the planner's sizes must not grow with them."""
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    r = random.Random(5)
+    names = list(range(700))
+    r.shuffle(names)
+    edges = [(names[i], names[i + 1]) for i in range(699) if i != 350] + [(5000, 5001)]
+    got = dict(graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    want = {v: min(part) for part in (names[:351], names[351:], [5000, 5001]) for v in part}
+    assert got == want
