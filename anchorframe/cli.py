@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.ordered import ranked, shared
 from .operators import collinear, coords, enhance as en, gaps, intervals, layout, liftover, segment, seqs
-from .sources import archive, binindex, fasta as fa, matchfile, svg, text
+from .sources import archive, binindex, fasta as fa, fastaindex, matchfile, svg, text
 
 VERSION = "0.1.0"
 # File extensions of the binary format, of its text form and of their companions.
@@ -219,9 +219,25 @@ def gaps_(spark, a):
     g.join(chosen, "gap").join(gaps.outliers(g, a.outlier_factor).select("gap", "seq_idx", "masked"), ["gap", "seq_idx"]).write.mode("overwrite").parquet(a.out)
 
 
-def pieces_of(spark, path: str | None, paths: list[str]) -> DataFrame:
-    """Sequences in pieces: from a Parquet table (path, contig, seq), else from the FASTA files themselves."""
-    return seqs.in_pieces(spark.read.parquet(path)) if path else fa.read_fasta(spark, paths)
+def fetched(spark, bed: DataFrame, table: str | None) -> tuple[DataFrame, DataFrame]:
+    """Slices of BED rows, and the paths and contigs there are: from a Parquet table (path, contig, seq), else from the FASTA
+    files, of which only the asked bytes are read; files that are compressed, or in a store that only Spark reads, are read whole."""
+    if table:
+        pieces = seqs.in_pieces(spark.read.parquet(table))
+        return seqs.fetch_pieces(bed, pieces), pieces.where("piece = 0").select("path", "contig")
+    paths = [r.path for r in bed.select("path").distinct().collect()]  # the files to read
+    packed = [p for p in paths if p.endswith((".gz", ".bgz", ".bz2", ".zst")) or ("://" in p and not p.startswith(("file://", "http://", "https://")))]
+    tables, there = [], []
+    if len(packed) < len(paths):
+        index = fastaindex.offsets(spark, [p for p in paths if p not in packed])
+        tables.append(fastaindex.fetch(bed.where(~F.col("path").isin(packed)) if packed else bed, index).drop("bytes_read"))
+        there.append(index.select("path", "contig").distinct())
+    if packed:
+        pieces = fa.read_fasta(spark, packed)
+        tables.append(seqs.fetch_pieces(bed.where(F.col("path").isin(packed)), pieces))
+        there.append(pieces.where("piece = 0").select("path", "contig"))
+    join = lambda x: x[0] if len(x) == 1 else x[0].unionByName(x[1])
+    return join(tables), join(there)
 
 
 def enhance(spark, a):
@@ -230,11 +246,10 @@ def enhance(spark, a):
     n = genomes(df)
     open_ = shared(en.open_gaps(blocks, df, contigs, a.min_gap, a.outlier_factor))
     print(f"Gaps to enhance: {open_.select('gap').distinct().count()}", file=sys.stderr)
-    paths = [r.path for r in contigs.select("path").distinct().collect()]  # a row per genome
     if open_.isEmpty():
         out = reordered(df, layout.sort_by_genome(df, 0, absent=True))
     else:
-        out = en.enhanced_table(df, en.rematch(shared(en.slices(open_, pieces_of(spark, a.sequences, paths))), a.min_match), n)
+        out = en.enhanced_table(df, en.rematch(shared(en.of_slices(fetched(spark, en.wanted(open_), a.sequences)[0])), a.min_match), n)
     save(out, a.out, a.format)
 
 
@@ -248,12 +263,10 @@ def fasta(spark, a):
             raise ValueError("; ".join(sorted(r.message for r in bad)))
         got = shared(archive.fetch(seqs.file_names(bed), a.archive, a.program))
     else:
-        paths = [r.path for r in bed.select("path").distinct().collect()]  # the files to read
-        pieces = pieces_of(spark, a.sequences, paths)
-        lost = seqs.missing(bed, pieces.where("piece = 0")).collect()
+        got, there = fetched(spark, seqs.file_names(bed), a.sequences)
+        lost = seqs.missing(bed, there).collect()
         if lost:
             raise ValueError("; ".join(f"no sequence {r.contig} in {r.path}" for r in lost))
-        got = seqs.fetch_pieces(seqs.file_names(bed), pieces)
     if a.each:
         fa.write_each(got, a.out)
     elif a.out:

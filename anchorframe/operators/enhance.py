@@ -17,10 +17,19 @@ def open_gaps(blocks: DataFrame, mums: DataFrame, contigs: DataFrame, least: int
     return usable.join(paths, ["seq_idx", "contig"]).join(wide.select("gap", "seq_idx", "left"), ["gap", "seq_idx"])
 
 
+def wanted(open_: DataFrame) -> DataFrame:
+    """path, contig, start, end, gap, seq_idx, left: what must be read of open gaps."""
+    return open_.select("path", "contig", F.col("l_start").alias("start"), F.col("l_end").alias("end"), "gap", "seq_idx", "left")
+
+
 def slices(open_: DataFrame, pieces: DataFrame) -> DataFrame:
     """gap, seq_idx, left, seq: the sequences of open gaps, from sequences in pieces (see :func:`seqs.fetch_pieces`)."""
-    bed = open_.select("path", "contig", F.col("l_start").alias("start"), F.col("l_end").alias("end"), "gap", "seq_idx", "left")
-    return seqs.fetch_pieces(bed, pieces).select("gap", "seq_idx", "left", F.col("slice").alias("seq")).where("seq <> ''")
+    return of_slices(seqs.fetch_pieces(wanted(open_), pieces))
+
+
+def of_slices(fetched: DataFrame) -> DataFrame:
+    """gap, seq_idx, left, seq of fetched rows that hold anything."""
+    return fetched.select("gap", "seq_idx", "left", F.col("slice").alias("seq")).where("seq <> ''")
 
 
 def rematch(gap_slices: DataFrame, min_length: int, width: int = WIDTH) -> DataFrame:
