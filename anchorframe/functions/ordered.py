@@ -7,6 +7,8 @@ are windowed by key alone.
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -57,6 +59,14 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def local(self) -> str:
+        """The folder as a path of the file system that driver and executors share, for files that Spark does not write."""
+        path = re.sub(r"^file:/*(?=/)", "", self.folder)
+        if "://" in path:
+            raise ValueError(f"{self.folder} is no folder of a shared file system")
+        os.makedirs(path, exist_ok=True)
+        return path
+
     def close(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

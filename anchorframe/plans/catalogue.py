@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..functions.ordered import running_sum, shared
+from ..functions.ordered import Scratch, running_sum, shared
 from ..operators import collinear as co, coords, enhance, gaps as gp, graph, intervals, layout, liftover as lo, matching, segment, seqs, suffix_order
+from ..sources import binindex, matchfile
 from . import adapters as ad
 
 #: Positions in a block of the order-dependent helpers, bin width of the index queries, strip size, genomes.
@@ -25,6 +26,19 @@ def subset_batch(spark, d):
     return intervals.overlap_join(ad.regions(spark, d), ad.mums(spark, d)).select("region_id", "mum_id", "seq_idx", "start", "length", "strand")
 
 
+def subset_indexed(spark, d):
+    """The rows of :func:`subset_batch` from a binary match file, of which only the chunks are read that its index names."""
+    scratch = Scratch(spark)
+    try:
+        table, index = f"{scratch.local()}/m.bin", f"{scratch.local()}/m.bi"
+        mums = scratch.keep(ad.mums(spark, d))
+        matchfile.write(mums, table)
+        binindex.write_all(mums, 1 << 14, index)
+        return shared(binindex.overlapping(spark, table, index, ad.regions(spark, d)).select("region_id", "mum_id", "seq_idx", "start", "length", "strand"))
+    finally:
+        scratch.close()
+
+
 def subset_partial(spark, d):
     return intervals.overlap_join(ad.regions(spark, d), ad.mums_partial(spark, d)).select("region_id", "mum_id", "start")
 
@@ -426,7 +440,7 @@ def entry(spark, d):
 
 
 NAMES = [
-    subset_overlap, subset_batch, subset_partial, extract_bounds, extract_margins, extract_liftover, extract_liftover_stranded, extract_bed, extract_select_seqs,
+    subset_overlap, subset_batch, subset_indexed, subset_partial, extract_bounds, extract_margins, extract_liftover, extract_liftover_stranded, extract_bed, extract_select_seqs,
     cross_contig_rejects, local_to_global, global_to_local, sort_by_genome_rank, sortedness_violations, bin_ranges_rle, bin_spans, bin_index_offsets, nearest_nonempty_bin,
     flank_bins, region_bin_candidates, lengths_checksum, table_stats, genome_lengths, contig_offsets, last_mum_end, presence_counts, wide_to_long, long_to_wide, neighbour_pairs,
     common_adjacency, collinear_blocks, filter_collinear, block_renumber, collinear_pct, oriented_blocks, rearranged_blocks, walk_steps, walk_links_distinct, contig_breaks,

@@ -136,6 +136,7 @@ q AS (SELECT grp, s0, s0 || '#' || {_TURN.format(s="s0")} AS t0, s1 || '$' || {_
     + "SELECT grp, match, CAST(seq_idx AS INTEGER) AS seq_idx, CAST(pos AS BIGINT) AS pos, CAST(length AS BIGINT) AS length, strand FROM z",
     "subset_overlap": _q("SELECT mum_id, seq_idx, start, length, strand FROM mums WHERE seq_idx = 0 AND start < 200000 AND start + length > 100000"),
     "subset_batch": _q('SELECT region_id, mum_id, m.seq_idx, m.start, length, strand FROM regions r JOIN mums m ON m.seq_idx = r.seq_idx AND m.start < r."end" AND m.start + length > r.start'),
+    "subset_indexed": _q('SELECT region_id, mum_id, m.seq_idx, m.start, length, strand FROM regions r JOIN mums m ON m.seq_idx = r.seq_idx AND m.start < r."end" AND m.start + length > r.start'),
     "subset_partial": _q('SELECT region_id, mum_id, m.start FROM regions r JOIN part_ m ON m.seq_idx = r.seq_idx AND m.start >= 0 AND m.start < r."end" AND m.start + length > r.start'),
     "extract_bounds": _q("SELECT region_id, seq_idx, s, e_incl, left_id, left_start, left_end, right_id, right_start, right_end FROM bd", _L),
     "extract_margins": _q("SELECT region_id, left_off, right_off, left_margin, right_margin FROM ofs", _L),

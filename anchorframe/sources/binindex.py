@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import layout
+from ..functions.ordered import shared
+from ..operators import intervals, layout
 from . import matchfile
 
 # The format's magic bytes and the span of an empty bin.
@@ -115,6 +116,66 @@ def rows_of(spark: SparkSession, path: str, seq_idx: int, first: int, last: int)
     return sorted((r.lo, r.hi) for r in near.select(F.explode("ranges").alias("r")).select("r.lo", "r.hi").collect())  # one region's
 
 
+#: Bins that a task reads of an index at a time, and matches of a chunk that is read for them.
+BLOCK, CHUNK_ROWS = 1 << 16, 1 << 12
+
+
+def bins(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+    """seq_idx, bin, span_min, span_max, ranges of the bins that hold matches, read by the tasks in blocks of bins."""
+    words = lambda at, n: np.frombuffer(matchfile.read_at(path, 8 * at, 8 * n), "<u8").astype(np.int64)
+    head = np.frombuffer(matchfile.read_at(path, 0, 40), "<u8")
+    raw = int(head[0]).to_bytes(8, "little")
+    if raw[:7] != MAGIC or raw[7] > 1:
+        raise ValueError(f"{path}: not a bin index")
+    every = raw[7] == 1
+    if every:
+        at = [int(x) // 8 for x in words(4, int(head[3]) + 1)]
+        parts = [(g, at[g], int(words(at[g], 1)[0])) for g in range(int(head[3]))]  # a row for each genome
+    else:
+        parts = [(int(head[4]), 5, (matchfile.size_of(path) // 8 - 6) // 3)]
+    blocks = spark.createDataFrame([p for p in parts if p[2]], "seq_idx int, base bigint, n bigint")
+    blocks = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(block).cast("bigint"))).alias("b0"))
+
+    def run(batches):
+        for b in batches:
+            for g, base, n, b0 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                m = min(block, n - b0)
+                if every:
+                    spans, offs = words(base + 1 + 2 * b0, 2 * m), words(base + 1 + 2 * n + b0, m + 1) // 8
+                    flat = words(base + 2 + 3 * n + int(offs[0]), int(offs[-1] - offs[0]))
+                    lists = [[{"lo": int(x), "hi": int(y)} for x, y in flat[i - offs[0] : j - offs[0]].reshape(-1, 2)] for i, j in zip(offs[:-1], offs[1:], strict=True)]
+                else:
+                    spans, offs = words(base + n + 1 + 2 * b0, 2 * m), words(base + b0, m + 1)
+                    lists = [[{"lo": int(i), "hi": int(j)}] if j > i else [] for i, j in zip(offs[:-1], offs[1:], strict=True)]
+                full = [k for k in range(m) if lists[k]]
+                kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g] * len(full), pa.int32()), pa.array([b0 + k for k in full], pa.int64()), pa.array([int(spans[2 * k]) for k in full], pa.int64()), pa.array([int(spans[2 * k + 1]) for k in full], pa.int64()), pa.array([lists[k] for k in full], kind)],
+                    names=["seq_idx", "bin", "span_min", "span_max", "ranges"],
+                )
+
+    return blocks.mapInArrow(run, "seq_idx int, bin bigint, span_min bigint, span_max bigint, ranges array<struct<lo:bigint,hi:bigint>>")
+
+
+def touched(regions: DataFrame, spark: SparkSession, path: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """chunk: numbers of the chunks of ``rows`` matches that may overlap any region (seq_idx, start, end).
+
+    A bin counts for a region if it begins before the region ends and its span reaches past the region's start; how many bins
+    back that can be follows from the longest reach of any bin.
+    """
+    width, table = bin_width(path), shared(bins(spark, path))
+    back = table.agg(F.max(F.expr(f"(span_max - 1) div {width} - bin"))).first()[0] or 0
+    first, last = F.greatest(F.expr(f"start div {width}") - back, F.lit(0)), F.expr(f"(end - 1) div {width}")
+    asked = regions.where("end > start and end > 0").select("seq_idx", "start", F.explode(F.sequence(first, last)).alias("bin"))
+    near = asked.join(table, ["seq_idx", "bin"]).where("span_max > start").select("seq_idx", "bin", F.explode("ranges").alias("r")).distinct()
+    return near.select(F.explode(F.sequence(F.expr(f"r.lo div {rows}"), F.expr(f"(r.hi - 1) div {rows}"))).alias("chunk")).distinct()
+
+
+def overlapping(spark: SparkSession, table: str, index: str, regions: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows of :func:`intervals.overlap_join` for many regions of a match file, of which only touched chunks are read."""
+    return intervals.overlap_join(regions, matchfile.read_chunks(touched(regions, spark, index, rows), table, rows))
+
+
 def verify(mums: DataFrame, path: str) -> bool:
     """Whether the index was built from this table: number of genomes and checksum agree."""
     head = np.frombuffer(matchfile.read_at(path, 0, 32), "<u8")

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, EqualTo, InputPartition, LessThan, LessThanOrEqual
 
 # The flag bits of the writer here.
@@ -135,17 +135,35 @@ class _Reader(DataSourceReader):
         return chunks or [_Rows(0, 0)]
 
     def read(self, part: _Rows) -> Iterator[pa.RecordBatch]:
-        h, n = read_header(self.path), part.hi - part.lo
-        length = np.frombuffer(read_at(self.path, 18 + part.lo * h.width, n * h.width), f"<u{h.width}").astype(np.int64)
-        start = np.frombuffer(read_at(self.path, h.starts_at + part.lo * h.n_seqs * 8, n * h.n_seqs * 8), "<i8")
-        bits = read_at(self.path, h.strands_at + part.lo * h.n_seqs // 8, -(-n * h.n_seqs // 8))
-        strand = np.unpackbits(np.frombuffer(bits, np.uint8))[: n * h.n_seqs].astype(bool)
-        row = np.arange(part.lo, part.hi)
-        keep = np.ones(n, bool) if self.ranges is None else np.logical_or.reduce([(row >= lo) & (row < hi) for lo, hi in self.ranges] or [np.zeros(n, bool)])
-        cells = np.repeat(keep, h.n_seqs)
-        mum, seq = np.repeat(row, h.n_seqs), np.tile(np.arange(h.n_seqs, dtype=np.int32), n)
-        columns = (mum, seq, start, np.repeat(length, h.n_seqs), strand)
-        yield pa.RecordBatch.from_arrays([pa.array(c[cells]) for c in columns], names=["mum_id", "seq_idx", "start", "length", "strand"])
+        yield read_rows(self.path, part.lo, part.hi, self.ranges)
+
+
+def read_rows(path: str, lo: int, hi: int, ranges: list[tuple[int, int]] | None = None) -> pa.RecordBatch:
+    """Rows ``lo`` (a multiple of 8) to ``hi`` of a match file, all genomes, by three byte ranges; of ``ranges`` only, if given."""
+    h, n = read_header(path), hi - lo
+    length = np.frombuffer(read_at(path, 18 + lo * h.width, n * h.width), f"<u{h.width}").astype(np.int64)
+    start = np.frombuffer(read_at(path, h.starts_at + lo * h.n_seqs * 8, n * h.n_seqs * 8), "<i8")
+    bits = read_at(path, h.strands_at + lo * h.n_seqs // 8, -(-n * h.n_seqs // 8))
+    strand = np.unpackbits(np.frombuffer(bits, np.uint8))[: n * h.n_seqs].astype(bool)
+    row = np.arange(lo, hi)
+    keep = np.ones(n, bool) if ranges is None else np.logical_or.reduce([(row >= a) & (row < b) for a, b in ranges] or [np.zeros(n, bool)])
+    cells = np.repeat(keep, h.n_seqs)
+    mum, seq = np.repeat(row, h.n_seqs), np.tile(np.arange(h.n_seqs, dtype=np.int32), n)
+    columns = (mum, seq, start, np.repeat(length, h.n_seqs), strand)
+    return pa.RecordBatch.from_arrays([pa.array(c[cells]) for c in columns], names=["mum_id", "seq_idx", "start", "length", "strand"])
+
+
+def read_chunks(chunks: DataFrame, path: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows of the chunks (``chunk``: number, of ``rows`` rows each, a multiple of 8) of a match file; no others are read."""
+    total = read_header(path).n_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                if c * rows < total:
+                    yield read_rows(path, c * rows, min((c + 1) * rows, total))
+
+    return chunks.select(chunks["chunk"].cast("bigint")).mapInArrow(run, SCHEMA)
 
 
 def _ranges(text: str | None) -> list[tuple[int, int]] | None:
@@ -179,38 +197,71 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MatchFile)
 
 
-def write(table: DataFrame, path: str, blocks: list[tuple[int, int]] | None = None) -> None:
+def write(table: DataFrame, path: str, blocks: list[tuple[int, int]] | None = None, rows: int = CHUNK_ROWS) -> None:
     """Write a long match table (dense mum_id, every genome present) as one file, replaced in one step.
 
-    The format is a single file, so rows stream through the driver one partition at a time, in row order.
+    Chunks of ``rows`` matches (a multiple of 8) are dealt to tasks, and each task writes its own byte ranges into a file
+    beside the target, which all executors must see; a task that runs twice writes the same bytes twice. The driver
+    writes the header and the blocks only, and renames the file once all tasks are done.
     """
-    from ..operators.layout import wide
-
-    w = wide(table)
-    n, n_seqs = w.count(), table.agg({"seq_idx": "max"}).first()[0]
-    n_seqs = 0 if n_seqs is None else n_seqs + 1
+    n, n_seqs = table.agg(F.max("mum_id"), F.max("seq_idx")).first()
+    n, n_seqs = (0 if x is None else x + 1 for x in (n, n_seqs))
+    h = Header(LENGTH32 | (BLOCKS if blocks is not None else 0), n_seqs, n, None)
     fd, temp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
-    os.close(fd)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> int:
+            t = pa.Table.from_batches(held)
+            lo = t.column("chunk")[0].as_py() * rows
+            mine = min(rows, n - lo)
+            if len(t) != mine * n_seqs or (t.column("mum_id").to_numpy() != np.repeat(np.arange(lo, lo + mine), n_seqs)).any():
+                raise ValueError(f"rows {lo} to {lo + mine} need one match for each of {n_seqs} genomes")
+            with open(temp, "r+b") as f:
+                for at, data in (
+                    (18 + lo * 4, t.column("length").to_numpy()[::n_seqs].astype("<u4")),
+                    (h.starts_at + lo * n_seqs * 8, t.column("start").to_numpy().astype("<i8")),
+                    (h.strands_at + lo * n_seqs // 8, np.packbits(t.column("strand").to_numpy(zero_copy_only=False))),
+                ):
+                    f.seek(at)
+                    f.write(data.tobytes())
+            held.clear()
+            return mine
+
+        done = 0
+        for b in batches:
+            c = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(b)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i < j:
+                    if held and held[0].column(0)[0].as_py() != c[i]:
+                        done += flush()
+                    held.append(b.slice(i, j - i))
+        if held:
+            done += flush()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["done"])
+
     try:
-        with open(temp, "r+b") as f:
-            f.write(struct.pack("<HQQ", LENGTH32 | (BLOCKS if blocks is not None else 0), n_seqs, n))
-            h = Header(LENGTH32, n_seqs, n, None)
-            bits, done = np.zeros(0, bool), 0
-            for i, row in enumerate(w.orderBy("mum_id").toLocalIterator()):
-                f.seek(18 + i * 4)
-                f.write(struct.pack("<I", row.length))
-                f.seek(h.starts_at + i * n_seqs * 8)
-                f.write(np.array(row.starts, "<i8").tobytes())
-                bits = np.append(bits, np.array(row.strands, bool))
-                whole = len(bits) // 8 * 8
-                f.seek(h.strands_at + done)
-                f.write(np.packbits(bits[:whole]).tobytes())
-                bits, done = bits[whole:], done + whole // 8
-            f.seek(h.strands_at + done)
-            f.write(np.packbits(bits).tobytes())
+        with os.fdopen(fd, "wb") as f:
+            f.write(struct.pack("<HQQ", h.flags, n_seqs, n))
+            f.truncate(h.blocks_at)
             if blocks is not None:
+                f.seek(h.blocks_at)
                 f.write(struct.pack("<Q", len(blocks)) + np.array(blocks, "<u4").tobytes())
+        os.chmod(temp, 0o666 & ~_umask())
+        dealt = table.select(F.floor(F.col("mum_id") / rows).cast("bigint").alias("chunk"), "mum_id", "seq_idx", "start", "length", "strand")
+        dealt = dealt.repartition(max(1, min(-(-n // rows), 10_000)), "chunk").sortWithinPartitions("chunk", "mum_id", "seq_idx")
+        done = dealt.mapInArrow(run, "done bigint").agg(F.sum("done")).first()[0] or 0
+        if done != n:
+            raise ValueError(f"{done} of {n} rows")
         os.replace(temp, path)
     except BaseException:
         os.unlink(temp)
         raise
+
+
+def _umask() -> int:
+    mask = os.umask(0)
+    os.umask(mask)
+    return mask

@@ -1,8 +1,11 @@
+import os
 import random
+import struct
 
+import numpy as np
 import pytest
 
-from anchorframe.operators import layout
+from anchorframe.operators import intervals, layout
 from anchorframe.sources import binindex, matchfile, text
 from anchorframe.streaming.regions import REGIONS, stream_overlaps
 
@@ -66,3 +69,42 @@ def test_graph_file(spark, tmp_path):
     lines = [r.value for r in spark.read.text(f"{tmp_path}/g").collect()]
     assert lines[0] == "H\tVN:Z:1.1\tRS:Z:ref"
     assert set(lines[1:]) == {"S\tb0\tACGT", "S\tb1\t*", "L\tb0\t+\tb1\t-\t0M", "W\tg0\t1\tall\t*\t*\t>b0<b1", "W\tg1\t1\tall\t*\t*\t>b1"}
+
+
+def test_files_are_written_by_the_tasks(spark, table, tmp_path):
+    """The bytes of a file, whatever the chunks; incomplete tables leave nothing behind."""
+    n, seqs = 45, 3
+    by = {(r.mum_id, r.seq_idx): r for r in table.collect()}
+    rows = [by[i, j] for i in range(n) for j in range(seqs)]
+    want = struct.pack("<HQQ", 3, seqs, n) + np.array([by[i, 0].length for i in range(n)], "<u4").tobytes() + np.array([r.start for r in rows], "<i8").tobytes()
+    want += np.packbits([r.strand for r in rows]).tobytes() + struct.pack("<QIIII", 2, 0, 3, 5, 9)
+    for chunk in (8, 16, 1 << 16):
+        path = tmp_path / f"p{chunk}"
+        matchfile.write(table.repartition(5), str(path), [(0, 3), (5, 9)], chunk)
+        assert path.read_bytes() == want
+    with pytest.raises(Exception, match="genomes"):
+        matchfile.write(table.where("not (mum_id = 20 and seq_idx = 1)"), str(tmp_path / "gone"))
+    assert not [x for x in os.listdir(tmp_path) if x.startswith(("gone", "tmp"))]
+    matchfile.write(table.limit(0), str(tmp_path / "none"))
+    assert matchfile.read_header(str(tmp_path / "none")).n_rows == 0
+
+
+def test_many_regions_by_the_index(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, j, -1 if j == 1 and i % 5 == 0 else i * 100 + r.randrange(40), 900 if i == 1000 else 20 + i % 7, True) for i in range(4000) for j in range(2)]
+    table = spark.createDataFrame(rows, matchfile.SCHEMA).cache()
+    path, every, one = (str(tmp_path / x) for x in ("m.bin", "all.bi", "one.bi"))
+    matchfile.write(table, path)
+    binindex.write_all(table, 500, every)
+    binindex.write_one(table, 0, 500, one)
+    found = binindex.bins(spark, every, 7).collect()
+    assert sorted((x.seq_idx, x.bin, x.span_min, x.span_max, x.ranges) for x in found) == sorted((x.seq_idx, x.bin, x.span_min, x.span_max, x.ranges) for x in binindex.read(spark, every).collect() if x.ranges)
+    places = [50_000 + k * 61 for k in range(40)] + [100_850, 399_990, 10**9]
+    regions = spark.createDataFrame([(k, k % 2, p, p + r.choice([1, 30, 700])) for k, p in enumerate(places)] + [(99, 0, 70, 70)], REGIONS)
+    key = lambda df: sorted((x.region_id, x.mum_id, x.seq_idx, x.start) for x in df.collect())
+    want = key(intervals.overlap_join(regions, table))
+    assert key(binindex.overlapping(spark, path, every, regions, 64)) == want
+    assert any(m == 1000 for _, m, _, _ in want)  # a match that reaches over many bins
+    assert binindex.touched(regions, spark, every, 64).count() < 16  # of 63 chunks
+    mine = regions.where("seq_idx = 0")
+    assert key(binindex.overlapping(spark, path, one, mine, 64)) == [x for x in want if x[2] == 0]
