@@ -105,6 +105,47 @@ nu AS (SELECT *, row_number() OVER (ORDER BY starts, long) - 1 AS match FROM go)
 SELECT match, me.seq_idx, CAST(me.start AS BIGINT) AS pos, CAST(me.long AS BIGINT) AS length, me.fwd AS strand FROM nu JOIN me USING (r0, m) WHERE m = 3 OR fwd"""
 
 
+#: The table with new matches in its gaps: unique matches by sorted suffixes for every item and set of genomes (x: part, genomes, seq_idx, s).
+_REMATCH = """,
+op AS (SELECT g.gap, g.seq_idx, "left" FROM gaps g JOIN outl o ON o.gap = g.gap AND o.seq_idx = g.seq_idx
+  JOIN contigs a ON a.seq_idx = g.seq_idx AND a.off <= "left" AND "left" < a.off + a.length
+  JOIN contigs b ON b.seq_idx = g.seq_idx AND b.off <= "right" - 1 AND "right" - 1 < b.off + b.length
+  WHERE NOT masked AND "left" >= 0 AND "right" > "left" AND a.contig = b.contig AND g.gap IN (SELECT gap FROM gaps GROUP BY gap HAVING max(gap_len) >= 300)),
+it AS (SELECT CAST(item_id AS BIGINT) AS grp, upper({dna}) AS t FROM benchmark),
+pr AS MATERIALIZED (SELECT gap, grp, grp || ':' || present AS part, genomes FROM
+  (SELECT gap, gap % n AS grp, string_agg(CAST(seq_idx AS VARCHAR), '' ORDER BY seq_idx) AS present, count(*) AS genomes FROM op, (SELECT max(grp) + 1 AS n FROM it) GROUP BY 1, 2) WHERE grp IN (SELECT grp FROM it)),
+x0 AS (SELECT part, genomes, t, CAST(unnest(string_split(split_part(part, ':', 2), '')) AS INTEGER) AS seq_idx FROM (SELECT DISTINCT part, grp, genomes FROM pr) JOIN it USING (grp)),
+x1 AS (SELECT part, genomes, seq_idx, left(t, length(t) // 2) || repeat(substr('ACGTA', seq_idx + 1, 1), seq_idx + 3) || substr(t, length(t) // 2 + 1) AS s FROM x0),
+x AS (SELECT part, genomes, seq_idx, CASE WHEN seq_idx = 1 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS s FROM x1),
+tx AS (SELECT part, genomes, seq_idx, true AS fwd, length(s) AS n, s || CAST(seq_idx * 2 AS VARCHAR) AS t FROM x
+  UNION ALL SELECT part, genomes, seq_idx, false, length(s), reverse(translate(s, 'ACGT', 'TGCA')) || CAST(seq_idx * 2 + 1 AS VARCHAR) FROM x),
+su AS (SELECT part, genomes, seq_idx, fwd, n, i - 1 AS place, substr(t, i) AS a, CASE WHEN i = 1 THEN right(t, 1) ELSE substr(t, i - 1, 1) END AS bef FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM tx)),
+l99 AS (SELECT *, row_number() OVER w AS rn, lag(a) OVER w AS b, 0 AS off FROM su WINDOW w AS (PARTITION BY part ORDER BY a)),
+""" + "".join(
+    f"l{t} AS (SELECT * REPLACE (off + CASE WHEN substr(a, off + 1, {1 << t}) = substr(b, off + 1, {1 << t}) THEN {1 << t} ELSE 0 END AS off) FROM l{t + 1 if t < 10 else 99}),\n" for t in range(10, -1, -1)
+) + """sa AS MATERIALIZED (SELECT part, genomes, seq_idx, fwd, n, place, bef, rn, off AS lcp, a FROM l0),
+k AS (""" + "\nUNION ALL ".join(
+    f"""SELECT part, rn AS r0, {m} AS m, long FROM (SELECT part, rn, lcp, min(lcp) OVER f AS long, count(*) OVER f AS have, lead(lcp, {m}, 0) OVER (PARTITION BY part ORDER BY rn) AS nxt FROM sa
+  WHERE genomes = {m} OR 2 * genomes = {m} WINDOW f AS (PARTITION BY part ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND {m - 1} FOLLOWING)) WHERE have = {m - 1} AND long >= 16 AND lcp < long AND nxt < long""" for m in (2, 3, 4, 5, 6, 8, 10)
+) + """),
+me AS MATERIALIZED (SELECT k.*, genomes, seq_idx, fwd, bef, substr(a, long + 1, 1) AS aft, CASE WHEN fwd THEN place ELSE n - place - long END AS start, min(seq_idx) OVER (PARTITION BY sa.part) AS lead_seq
+  FROM k JOIN sa ON sa.part = k.part AND sa.rn BETWEEN r0 AND r0 + m - 1),
+go AS (SELECT part, r0, m, long, list(start ORDER BY seq_idx) FILTER (m = genomes OR fwd) AS starts FROM me WHERE genomes > 1 GROUP BY part, r0, m, long, genomes
+  HAVING (m = genomes AND count(DISTINCT seq_idx) = genomes AND bool_or(fwd AND seq_idx = lead_seq) AND min(bef) <> max(bef))
+    OR (m = 2 * genomes AND count(DISTINCT (seq_idx, start)) = genomes AND count(DISTINCT (seq_idx, fwd)) = m AND min(bef) FILTER (fwd) <> max(bef) FILTER (fwd) AND min(aft) FILTER (fwd) <> max(aft) FILTER (fwd))),
+nu AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY starts, long) - 1 AS match FROM go),
+z AS (SELECT nu.part, match, seq_idx, me.start AS pos, me.long AS length, fwd AS strand FROM nu JOIN me ON me.part = nu.part AND me.r0 = nu.r0 AND me.m = nu.m WHERE nu.m = genomes OR fwd),
+fd AS MATERIALIZED (SELECT pr.gap, match, z.seq_idx, "left" + pos AS start, length, strand FROM pr JOIN z USING (part) JOIN op ON op.gap = pr.gap AND op.seq_idx = z.seq_idx),
+nb AS (SELECT gap, match, strand, lead(match) OVER w AS nm, lead(strand) OVER w AS ns FROM fd WINDOW w AS (PARTITION BY gap, seq_idx ORDER BY start, match)),
+ck AS (SELECT gap, l, r FROM (SELECT gap, CASE WHEN strand THEN match ELSE nm END AS l, CASE WHEN strand THEN nm ELSE match END AS r FROM nb WHERE ns = strand) JOIN pr USING (gap) GROUP BY gap, l, r, genomes HAVING count(*) = genomes),
+kp AS (SELECT DISTINCT gap, unnest([l, r]) AS match FROM ck),
+le AS (SELECT gap, match, any_value(length) AS length FROM fd JOIN kp USING (gap, match) GROUP BY gap, match),
+al AS MATERIALIZED (SELECT mum_id AS a, -1 AS b, seq_idx, start, length, strand FROM part_
+  UNION ALL SELECT gap, match, j, coalesce(fd.start, -1), le.length, coalesce(fd.strand, false) FROM (SELECT *, CAST(unnest(range(5)) AS INTEGER) AS j FROM le) le LEFT JOIN fd USING (gap, match) WHERE fd.seq_idx = j
+  UNION ALL SELECT gap, match, j, -1, le.length, false FROM (SELECT *, CAST(unnest(range(5)) AS INTEGER) AS j FROM le) le WHERE NOT EXISTS (SELECT 1 FROM fd WHERE fd.gap = le.gap AND fd.match = le.match AND fd.seq_idx = le.j)),
+rk AS (SELECT a, b, row_number() OVER (ORDER BY start, a, b) - 1 AS mum_id FROM al WHERE seq_idx = 0)"""
+
+
 def _q(select: str, *extra: str, slot: int = 256, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{_M.replace('{slot}', str(slot))}{''.join(extra)}\n{select}"
 
@@ -236,6 +277,7 @@ FROM (SELECT *, CASE WHEN strand THEN '+' ELSE '-' END AS d FROM ob JOIN mums ON
 SELECT seq_idx, mum_id AS o, "end" FROM cuts UNION ALL SELECT seq_idx, 1152921504606846976, CAST(sum(length) AS BIGINT) FROM contigs GROUP BY seq_idx)) WHERE "end" > start""",
         _B, _C, _S, recursive=True,
     ),
+    "enhanced_gaps": _q("SELECT mum_id, seq_idx, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, strand FROM al JOIN rk USING (a, b)", _B, _G, _REMATCH.replace("{dna}", _DNA.format(x="text"))),
     "gap_lengths": _q('SELECT gap, seq_idx, "left", "right", gap_len FROM gaps', _B, _G),
     "gaps_to_enhance": _q("SELECT gap, max(gap_len) AS max_len FROM gaps GROUP BY gap HAVING max(gap_len) >= 300", _B, _G),
     "gap_outliers": _q("SELECT gap, seq_idx, gap_len, med, mad, masked FROM outl", _B, _G),
