@@ -58,6 +58,21 @@ class Unit:
         piece = np.cumsum(BREAK[w.data])[w.start] if len(w) else w.start
         self.joined = np.append((piece[1:] == piece[:-1]) & (w.row[1:] == w.row[:-1]), False)  # to the next word
 
+    def pairs(self) -> np.ndarray:
+        """48 bits of each pair of neighbours within a piece, in order."""
+        return tk.join(self.key[self.id[:-1]], self.key[self.id[1:]])[self.joined[:-1]] >> np.uint64(16)
+
+
+def _coded(*columns: np.ndarray) -> np.ndarray:
+    """One number for each tuple, in their order; what is too long for 63 bits is numbered anew on the way."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        top = int(c.max(initial=0)) + 1
+        if (int(code.max(initial=0)) + 1) * top >= 1 << 63:
+            code = np.unique(code, return_inverse=True)[1]
+        code = code * top + c
+    return code
+
 
 class _Table:
     """Distinct keys and their numbers, dealt to partitions."""
@@ -90,8 +105,7 @@ class Chunk:
         often = np.concatenate([u.often for u in self.units] or [np.zeros(0, np.int64)])
         self.key, at = np.unique(key, return_inverse=True)
         self.often = np.bincount(at, often, len(self.key)).astype(np.int64)
-        joint = [tk.join(u.key[u.id[:-1]], u.key[u.id[1:]])[u.joined[:-1]] >> np.uint64(16) for u in self.units]
-        self.pair, self.pair_at, pair_often = np.unique(np.concatenate(joint or [np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        self.pair, pair_often = np.unique(np.concatenate([u.pairs() for u in self.units] or [np.zeros(0, np.uint64)]), return_counts=True)
         self.tables = [_Table(self.key, self.often, parts), _Table(self.pair, pair_often, parts)]
 
     def asks(self) -> list[tuple[int, bytes]]:
@@ -109,12 +123,10 @@ class Chunk:
         """Fragments with their pivots' keys, places and numbers; single words and the languages' sums (no word) too."""
         rank = np.empty(len(self.key), np.int64)
         rank[np.lexsort((self.key, total))] = np.arange(len(self.key))
-        done = 0
         for u in self.units:
             at = np.searchsorted(self.key, u.key)
             joined = u.joined.copy()
-            joined[u.joined] = frequent[self.pair_at[done : done + u.joined.sum()]]
-            done += u.joined.sum()
+            joined[u.joined] = frequent[np.searchsorted(self.pair, u.pairs())]
             f, own = total[at], np.where(total[at] >= least, rank[at], -1)
             r, n = own[u.id], len(u.id)
             pad = np.pad(r, 2, constant_values=-1)
@@ -126,12 +138,9 @@ class Chunk:
             r2 = r1 & joined[i + 3] & (pad[i + 4] >= r[i])
             some = l1 | r1
             i, sides = i[some], [x[some] for x in (l2, l1, r1, r2)]
-            size = len(u.key) + 1
             ids = np.pad(u.id, 2)
             near = [np.where(ok, ids[i + 2 + step] + 1, 0) for ok, step in zip(sides, (-2, -1, 1, 2), strict=True)]
-            left, right = (np.unique(a * size + b, return_inverse=True)[1] for a, b in (near[:2], near[2:]))
-            both = np.unique(left * (right.max(initial=0) + 1) + right, return_inverse=True)[1]
-            _, rep, often = np.unique(both * size + u.id[i], return_index=True, return_counts=True)
+            _, rep, often = np.unique(_coded(u.id[i], *near), return_index=True, return_counts=True)  # a pivot's side by side
             pivot = u.id[i[rep]]
             columns = [u.text.take(pa.array(x[rep] - 1, mask=x[rep] == 0)) for x in near[:2]] + [u.text.take(pa.array(pivot))] + [u.text.take(pa.array(x[rep] - 1, mask=x[rep] == 0)) for x in near[2:]]
             frag = pc.binary_join_element_wise(*columns, b" ", null_handling="skip")
