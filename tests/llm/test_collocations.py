@@ -82,3 +82,12 @@ def test_counting_stays_where_fragments_are(spark):
     docs = spark.createDataFrame(table()[:20], "doc_id bigint, text string, lang string")
     plan = collocations.counts(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate") and plan.count("Exchange hashpartitioning(key") == plan.count("Generate")
+
+
+def test_fragments_are_made_once(spark):
+    """Chunks were rewritten twice, once for pivots of one share and once for dealt ones; now the totals are read again."""
+    docs = spark.createDataFrame([("en", "a b c " * 20)], "lang string, text string")
+    from anchorframe.llm import collocations
+
+    plan = collocations.counts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
