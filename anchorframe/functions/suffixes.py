@@ -42,11 +42,12 @@ def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def once_in_each(seqs: list[bytes], least: int, both_strands: bool) -> list[tuple[int, list[int], list[bool]]]:
+def once_in_each(seqs: list[bytes], least: int, both_strands: bool, palindromes: bool = True) -> list[tuple[int, list[int], list[bool]]]:
     """(length, starts, forward?) of maximal matches of ``least`` letters or more that occur exactly once in each sequence.
 
     With ``both_strands`` occurrences on either strand count, starts are those on the forward strand, and a match is given
-    as it reads forward in the first sequence; one that is its own reverse complement counts once, as forward.
+    as it reads forward in the first sequence; one that is its own reverse complement counts once, as forward, or without
+    ``palindromes`` as what it is on two strands, twice, and is left out.
     """
     n = len(seqs)
     if n < 2 or min(map(len, seqs)) < least:
@@ -66,7 +67,7 @@ def once_in_each(seqs: list[bytes], least: int, both_strands: bool) -> list[tupl
     before = np.where(order > 0, codes[order - 1], -1)
     length = np.array([len(s) for s in seqs])
     out = []
-    for m in (n, 2 * n) if both_strands else (n,):
+    for m in (n, 2 * n) if both_strands and palindromes else (n,):
         if m > size:
             continue
         long = np.lib.stride_tricks.sliding_window_view(shared[1:], m - 1).min(1)  # what m neighbours share

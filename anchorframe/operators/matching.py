@@ -43,11 +43,12 @@ def pairwise_mems(left: DataFrame, right: DataFrame, k: int, width: int = WIDTH)
     return n.select("a", "b", "a_pos", (F.col("a_pos") - F.col("diag")).alias("b_pos"), (F.col("next.a_pos") - F.col("a_pos") + k).alias("length"))
 
 
-def multi_matches(seqs: DataFrame, group: str, k: int, both_strands: bool = False) -> DataFrame:
+def multi_matches(seqs: DataFrame, group: str, k: int, both_strands: bool = False, palindromes: bool = True) -> DataFrame:
     """group, match, seq_idx, pos, length, strand: maximal matches of at least ``k`` characters that occur exactly once in
     each of a group's sequences (group, seq_idx, seq; null ones are absent). ``match`` numbers a group's matches from 0.
 
-    With ``both_strands`` sequences are nucleic acids and occurrences on either strand count. A match may be unique though
+    With ``both_strands`` sequences are nucleic acids and occurrences on either strand count; a match that is its own reverse
+    complement counts once for both, or without ``palindromes`` for each, so that it is never unique. A match may be unique though
     none of its k-mers is, so a group's suffixes are sorted as a whole: a task holds one group, some hundred bytes for
     each character of it. Groups are slices between neighbouring anchors, not genomes.
     """
@@ -55,7 +56,7 @@ def multi_matches(seqs: DataFrame, group: str, k: int, both_strands: bool = Fals
 
     def run(key, t):
         rows = sorted((i, x) for i, x in zip(t.column("seq_idx").to_pylist(), t.column("seq").to_pylist(), strict=True) if x is not None)
-        found = once_in_each([x.encode() for _, x in rows], k, both_strands)
+        found = once_in_each([x.encode() for _, x in rows], k, both_strands, palindromes)
         flat = [(m, rows[j][0], p, n, f) for m, (n, starts, forward) in enumerate(found) for j, (p, f) in enumerate(zip(starts, forward, strict=True))]
         cols = list(zip(*flat, strict=True)) or [[]] * 5
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]

@@ -32,3 +32,9 @@ def test_match_table_is_not_taken_for_small(spark):
     """Joins with blocks broadcast the match table at six times sf0.1, as its estimate was that of the orders file."""
     m = adapters.mums(spark, "/root/testdata/sf0.1")
     assert m._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 20 * 750_000
+
+
+def test_stranded_match_that_is_its_own_reverse_complement(spark, tmp_path):
+    """A match of item 169 stands on both strands of one place, so SQL does not call it unique."""
+    b = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").where("item_id in (168, 169)")
+    assert same_as_sql(spark, "multi_mums_stranded", tables(spark, tmp_path, benchmark=b))
