@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar
-from ..functions.ordered import WIDTH, asof, asof_next, ranked, running_sum, with_next
+from ..functions.ordered import WIDTH, asof, asof_next, fitting, ranked, running_sum, shared, with_next
 
 
 def bin_of(width: int, at: str = "start") -> Column:
@@ -51,11 +51,24 @@ def bin_offsets(mums: DataFrame, seq_idx: int, bin_width: int, width: int = WIDT
     return r.select("bin", (F.col("upto") - F.col("n")).alias("first_row"), "n")
 
 
+def occupied(mums: DataFrame, bin_width: int) -> DataFrame:
+    """seq_idx, bin, span_min, span_max, n of every match by itself: what :func:`bin_spans` sums up, for the searches below,
+    which look at few bins and need not have all of them summed up first."""
+    return mums.where("start >= 0").select("seq_idx", bin_of(bin_width).alias("bin"), F.col("start").alias("span_min"), (F.col("start") + F.col("length")).alias("span_max"), F.lit(1).cast("bigint").alias("n"))
+
+
+#: Bins of a block in which the nearest one is looked for first.
+NEAR = 64
+
+
 def nearest_bins(points: DataFrame, spans: DataFrame, at: str, width: int = WIDTH) -> DataFrame:
-    """``points`` (seq_idx and a bin ``at``) with left_bin and right_bin, the nearest non-empty ones on either side."""
+    """``points`` (seq_idx and a bin ``at``) with left_bin and right_bin, the nearest non-empty ones on either side.
+
+    A bin may have several rows in ``spans`` (see :func:`occupied`).
+    """
     full = spans.where("n > 0").select("seq_idx", "bin")
-    p = asof(points, full, ["seq_idx"], at, ["bin"], ["bin"], "_l", width)
-    p = asof_next(p, full, ["seq_idx"], at, ["bin"], ["bin"], "_r", width)
+    p = asof(points, full, ["seq_idx"], at, ["bin"], ["bin"], "_l", width, NEAR)
+    p = asof_next(p, full, ["seq_idx"], at, ["bin"], ["bin"], "_r", width, NEAR)
     return p.withColumns({"left_bin": F.col("_l.bin"), "right_bin": F.col("_r.bin")}).drop("_l", "_r")
 
 
@@ -63,16 +76,25 @@ def flank_bins(regions: DataFrame, spans: DataFrame, bin_width: int, width: int
     """region_id, left_bin, right_bin: bins that hold a region's bounding matches.
 
     From the region's first bin to the nearest non-empty one on the left; if that starts after the region, once more to
-    the next on the left; likewise on the right with the last base and the bins' ends. Null where neither bounds.
+    the next on the left; likewise on the right with the last base and the bins' ends. Null where neither bounds. A bin
+    may have several rows in ``spans`` (see :func:`occupied`); only bins that were found are summed up.
     """
     full = spans.where("n > 0").select("seq_idx", "bin", "span_min", "span_max")
+
+    def with_span(p: DataFrame, name: str) -> DataFrame:
+        wanted = shared(p.select("seq_idx", F.col(f"{name}.bin").alias("bin")).where("bin is not null").distinct())
+        own = full.join(fitting(wanted), ["seq_idx", "bin"]).groupBy("seq_idx", "bin").agg(F.min("span_min").alias("span_min"), F.max("span_max").alias("span_max"))
+        own = shared(own.select(F.col("seq_idx").alias("_s"), F.struct("bin", "span_min", "span_max").alias(f"_{name}")))
+        same = (F.col("seq_idx") == F.col("_s")) & (F.col(f"{name}.bin") == F.col(f"_{name}.bin"))
+        return p.join(fitting(own), same, "left").drop("_s", name).withColumnRenamed(f"_{name}", name)
+
     p = regions.select("region_id", "seq_idx", F.col("start").alias("s"), (F.col("end") - 1).alias("e"))
     p = p.withColumns({"b0": F.floor(F.col("s") / bin_width).cast("bigint"), "b1": F.floor(F.col("e") / bin_width).cast("bigint")})
     for side, find, step, good in (("l", asof, -1, lambda x: F.col(f"{x}.span_min") <= F.col("s")), ("r", asof_next, 1, lambda x: F.col(f"{x}.span_max") > F.col("e"))):
         at = "b0" if side == "l" else "b1"
-        p = find(p, full, ["seq_idx"], at, ["bin"], ["bin", "span_min", "span_max"], f"{side}1", width)
+        p = with_span(find(p, full, ["seq_idx"], at, ["bin"], ["bin"], f"{side}1", width, NEAR), f"{side}1")
         p = p.withColumn("_at", F.coalesce(F.col(f"{side}1.bin") + step, F.lit(step * (1 << 60))))
-        p = find(p, full, ["seq_idx"], "_at", ["bin"], ["bin", "span_min", "span_max"], f"{side}2", width).drop("_at")
+        p = with_span(find(p, full, ["seq_idx"], "_at", ["bin"], ["bin"], f"{side}2", width, NEAR).drop("_at"), f"{side}2")
         p = p.withColumn(f"{side}_bin", F.when(good(f"{side}1"), F.col(f"{side}1.bin")).when(F.col(f"{side}1").isNotNull() & good(f"{side}2"), F.col(f"{side}2.bin")))
     return p.select("region_id", F.col("l_bin").alias("left_bin"), F.col("r_bin").alias("right_bin"))
 

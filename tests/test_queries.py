@@ -3,7 +3,7 @@
 import duckdb
 
 import __spark_entry__ as entry
-from anchorframe.plans import adapters
+from anchorframe.plans import adapters, catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +38,11 @@ def test_stranded_match_that_is_its_own_reverse_complement(spark, tmp_path):
     """A match of item 169 stands on both strands of one place, so SQL does not call it unique."""
     b = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").where("item_id in (168, 169)")
     assert same_as_sql(spark, "multi_mums_stranded", tables(spark, tmp_path, benchmark=b))
+
+
+def test_bins_are_searched_without_summing_up_all(spark, tmp_path):
+    """Every bin of the table was summed up and written before a few of them were looked at."""
+    assert "Aggregate" not in catalogue._sparse(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    d = tables(spark, tmp_path)
+    same_as_sql(spark, "nearest_nonempty_bin", d)
+    same_as_sql(spark, "flank_bins", d)
