@@ -3,6 +3,7 @@
 import duckdb
 
 import __spark_entry__ as entry
+from anchorframe.operators import graph
 from anchorframe.plans import adapters, catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,11 @@ def test_bins_are_searched_without_summing_up_all(spark, tmp_path):
     d = tables(spark, tmp_path)
     same_as_sql(spark, "nearest_nonempty_bin", d)
     same_as_sql(spark, "flank_bins", d)
+
+
+def test_alleles_are_numbered_in_one_exchange(spark):
+    """Sequences were numbered apart and joined back."""
+    rows = [(1, 0, "c"), (1, 1, "a"), (1, 2, "c"), (1, 3, ""), (2, 2, "a"), (2, 4, None)]
+    a = graph.alleles(spark.createDataFrame(rows, "k int, seq_idx int, seq string"), ["k"])
+    assert "Join" not in a._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.k, r.seq_idx, r.seq, r.allele) for r in a.collect()) == [(1, 0, "c", 0), (1, 1, "a", 1), (1, 2, "c", 0), (1, 3, "", 2), (2, 2, "a", 0)]
