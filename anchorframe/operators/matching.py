@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordered import WIDTH, shared, with_next
+from ..functions.ordered import WIDTH, fitting, shared, with_next
 from ..functions.suffixes import once_in_each
 
 
@@ -31,11 +31,12 @@ def unique_anchors(seqs: DataFrame, k: int, genomes: int) -> DataFrame:
 def pairwise_mems(left: DataFrame, right: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
     """a, b, a_pos, b_pos, length: maximal exact matches of at least ``k`` characters between the sequences of two tables.
 
-    Shared k-mers lie on diagonals; a match is a maximal run of consecutive ones.
+    Shared k-mers lie on diagonals; a match is a maximal run of consecutive ones. Few k-mers on the right are broadcast, so
+    that those of the left stay where they are.
     """
     x = kmers(left, k).select(F.col("seq_id").alias("a"), F.col("pos").alias("a_pos"), "kmer")
     y = kmers(right, k).select(F.col("seq_id").alias("b"), F.col("pos").alias("b_pos"), "kmer")
-    hits = shared(x.join(y, "kmer").select("a", "b", (F.col("a_pos") - F.col("b_pos")).alias("diag"), "a_pos"))
+    hits = shared(x.join(fitting(y), "kmer").select("a", "b", (F.col("a_pos") - F.col("b_pos")).alias("diag"), "a_pos"))
     key = ["a", "b", "diag"]
     before, after = hits.select(*key, (F.col("a_pos") + 1).alias("a_pos")), hits.select(*key, (F.col("a_pos") - 1).alias("a_pos"))
     marks = hits.join(before, [*key, "a_pos"], "left_anti").withColumn("kind", F.lit(0)).unionByName(hits.join(after, [*key, "a_pos"], "left_anti").withColumn("kind", F.lit(1)))
