@@ -211,11 +211,9 @@ def counts(docs: DataFrame, least: int = LEAST, size: int = CHUNK, hot: int = HO
     at_pivot = sent.repartition(tasks, "key", "salt").withColumn("w", F.split("frag", " "))
     mined = at_pivot.select("key", "salt", "lang", "n", F.explode(_owned()).alias("phrase"))
     total = mined.groupBy("key", "salt", "lang", "phrase").agg(F.sum("n").alias("a"))
-    # written once: both filters would else be pushed below the exchange, and chunks rewritten for each of them
-    total = cut(total.where((F.col("salt") > 0) | (F.col("a") >= F.when(F.col("phrase") == "", 1).otherwise(least))))
-    whole = total.where("salt = 0").select("lang", "phrase", "a")
-    again = total.where("salt > 0").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-    return whole.unionByName(again).where(F.col("a") >= F.when(F.col("phrase") == "", 1).otherwise(least))
+    enough = F.col("a") >= F.when(F.col("phrase") == "", 1).otherwise(least)
+    # one branch: filters on the share alone are pushed below the exchange, and chunks rewritten for each of them
+    return total.where((F.col("salt") > 0) | enough).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(enough)
 
 
 def _owned():
