@@ -1,4 +1,5 @@
-"""Exact matches that occur once in each of several short sequences, by one suffix array (array code)."""
+"""Exact matches that occur once in each of several short sequences (array code): for one group by a suffix array, for many
+groups together by their runs of ``least`` letters."""
 
 from __future__ import annotations
 
@@ -89,3 +90,86 @@ def once_in_each(seqs: list[bytes], least: int, both_strands: bool, palindromes:
             by = np.lexsort((~fwd, own))[:: m // n]
             out.append((n_chars, starts[by].tolist(), fwd[by].tolist()))
     return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+def _packed(data: np.ndarray, least: int) -> tuple[np.ndarray, int]:
+    """The first letters of every suffix as a number, and how many letters that is: at most ``least``, as many as fit."""
+    there = np.bincount(data, minlength=256) > 0
+    letters = (np.cumsum(there) - 1).astype(np.int64)[data]
+    bits = max(1, (int(there.sum()) - 1).bit_length())
+    word = min(least, 62 // bits)
+    packed = np.zeros(len(data), np.int64)
+    for i in range(word):
+        packed <<= bits
+        packed[: len(data) - i] |= letters[i:]
+    return packed, word
+
+
+def once_in_each_of(groups: list[list[bytes]], least: int, both_strands: bool, palindromes: bool = True) -> list[list[tuple[int, list[int], list[bool]]]]:
+    """:func:`once_in_each` of every group, for many groups at once.
+
+    What is shared by all sequences of a group begins with ``least`` letters that all of them have. Where these stand once
+    in each, the match begins there and only its length is open. A group in which such letters are repeated may have
+    matches that are unique though none of their runs is, so it is sorted as a whole.
+    """
+    found: list[list[tuple[int, list[int], list[bool]]]] = [[] for _ in groups]
+    use = [g for g, seqs in enumerate(groups) if len(seqs) > 1 and min(map(len, seqs)) >= least]
+    if not use:
+        return found
+    texts, labels = [], []
+    for j, g in enumerate(use):
+        for i, s in enumerate(groups[g]):  # both strands of a sequence side by side, so rows of a class are in its order
+            texts.append(s)
+            labels.append((j, i, True))
+            if both_strands:
+                texts.append(reverse_complement(s))
+                labels.append((j, i, False))
+    group, owner, forward = (np.array(x) for x in zip(*labels, strict=True))
+    genomes = np.array([len(groups[g]) for g in use])
+    data, length = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    begin = np.cumsum(length) - length
+    text = np.repeat(np.arange(len(texts)), length)
+    left = (begin + length)[text] - np.arange(len(data))
+    packed, word = _packed(data, least)
+    at = np.flatnonzero(left >= least)
+    key = packed[at]
+    if word < least:
+        ranks = np.unique(packed, return_inverse=True)[1]
+        key = ranks[at]
+        for off in (*range(word, least - word, word), least - word):
+            key = np.unique(key * (int(ranks.max()) + 1) + ranks[at + off], return_inverse=True)[1]
+    if (int(key.max()) + 1) * len(use) >= 1 << 63:
+        key = np.unique(key, return_inverse=True)[1]
+    key = group[text[at]] * (int(key.max()) + 1) + key
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], at[order]
+    new = np.append(True, key[1:] != key[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(key)))
+    own = owner[text[place]]
+    owners = np.add.reduceat(new | np.append(True, own[1:] != own[:-1]), first, dtype=np.int64)
+    lead = text[place[first]]
+    n = genomes[group[lead]]
+    repeated = np.zeros(len(use), bool)
+    repeated[group[lead[(owners == n) & (size > n)]]] = True
+    plain = (owners == n) & (size == n) & forward[lead] & ~repeated[group[lead]]
+    for m in np.unique(n[plain]):
+        rows = place[first[plain & (n == m)][:, None] + np.arange(m)]
+        before = np.where(left[rows] == length[text[rows]], -1 - np.arange(m), data[rows - 1])
+        rows = rows[(before != before[:, :1]).any(1)]
+        long, room = np.full(len(rows), least), left[rows].min(1)
+        for values, step in ((packed, word), (data, 1)):
+            more = np.flatnonzero(room >= long + step)
+            while len(more):
+                ahead = values[rows[more] + long[more, None]]
+                more = more[(ahead == ahead[:, :1]).all(1)]
+                long[more] += step
+                more = more[room[more] >= long[more] + step]
+        which, fwd = text[rows], forward[text[rows]]
+        starts = rows - begin[which]
+        starts = np.where(fwd, starts, length[which] - starts - long[:, None])
+        for g, *match in zip(group[which[:, 0]].tolist(), long.tolist(), starts.tolist(), fwd.tolist(), strict=True):
+            found[use[g]].append(tuple(match))
+    for g in np.flatnonzero(repeated).tolist():
+        found[use[g]] = once_in_each(groups[use[g]], least, both_strands, palindromes)
+    return [sorted(x, key=lambda y: (y[1], y[0])) for x in found]

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ordered import WIDTH, fitting, shared, with_next
-from ..functions.suffixes import once_in_each
+from ..functions.suffixes import once_in_each_of
 
 
 #: Characters of a piece: finding a position in a string takes time in proportion to it.
 PIECE = 512
+#: Letters of groups that are matched together, both strands counted.
+LETTERS = 1 << 18
 
 
 def kmers(seqs: DataFrame, k: int, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
@@ -50,20 +54,38 @@ def multi_matches(seqs: DataFrame, group: str, k: int, both_strands: bool = Fals
 
     With ``both_strands`` sequences are nucleic acids and occurrences on either strand count; a match that is its own reverse
     complement counts once for both, or without ``palindromes`` for each, so that it is never unique. A match may be unique though
-    none of its k-mers is, so a group's suffixes are sorted as a whole: a task holds one group, some hundred bytes for
-    each character of it. Groups are slices between neighbouring anchors, not genomes.
+    none of its k-mers is, so the suffixes of a group that repeats k-mers in all its sequences are sorted as a whole; other
+    groups are matched many at a time. A task holds LETTERS or one group, some hundred bytes for each character. Groups
+    are slices between neighbouring anchors, not genomes.
     """
     kind = seqs.schema[group].dataType.simpleString()
-
-    def run(key, t):
-        rows = sorted((i, x) for i, x in zip(t.column("seq_idx").to_pylist(), t.column("seq").to_pylist(), strict=True) if x is not None)
-        found = once_in_each([x.encode() for _, x in rows], k, both_strands, palindromes)
-        flat = [(m, rows[j][0], p, n, f) for m, (n, starts, forward) in enumerate(found) for j, (p, f) in enumerate(zip(starts, forward, strict=True))]
-        cols = list(zip(*flat, strict=True)) or [[]] * 5
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(flat), t.schema.field(group).type), *(pa.array(c, y) for c, y in zip(cols, types, strict=True))], names=[group, "match", "seq_idx", "pos", "length", "strand"])
+    strands = 2 if both_strands else 1
+
+    def matched(keys: list, groups: list[list[tuple]], key_type: pa.DataType) -> pa.RecordBatch:
+        rows = [sorted((i, x) for i, x in g if x is not None) for g in groups]
+        found = once_in_each_of([[x.encode() for _, x in g] for g in rows], k, both_strands, palindromes)
+        flat = [(key, m, g[j][0], p, n, f) for key, g, of in zip(keys, rows, found, strict=True) for m, (n, starts, forward) in enumerate(of) for j, (p, f) in enumerate(zip(starts, forward, strict=True))]
+        cols = list(zip(*flat, strict=True)) or [[]] * 6
+        types = [key_type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, types, strict=True)], names=[group, "match", "seq_idx", "pos", "length", "strand"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, groups, letters, key_type = [], [], 0, None
+        for b in batches:
+            key_type = b.schema.field(0).type
+            for key, i, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not keys or keys[-1] != key:
+                    if letters * strands >= LETTERS:
+                        yield matched(keys, groups, key_type)
+                        keys, groups, letters = [], [], 0
+                    keys.append(key)
+                    groups.append([])
+                groups[-1].append((i, x))
+                letters += len(x or "")
+        if keys:
+            yield matched(keys, groups, key_type)
 
     # a number of partitions is not coalesced: groups are small, but each takes a while
     n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = seqs.select(group, F.col("seq_idx").cast("int").alias("seq_idx"), "seq").repartition(n, group)
-    return own.groupBy(group).applyInArrow(run, f"`{group}` {kind}, match bigint, seq_idx int, pos bigint, length bigint, strand boolean")
+    own = seqs.select(group, F.col("seq_idx").cast("int").alias("seq_idx"), "seq").repartition(n, group).sortWithinPartitions(group)
+    return own.mapInArrow(run, f"`{group}` {kind}, match bigint, seq_idx int, pos bigint, length bigint, strand boolean")
