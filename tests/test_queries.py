@@ -106,3 +106,19 @@ def test_groups_over_many_arrow_batches(spark, monkeypatch):
     want = [(j if j else None, m, i, p, n, f) for j, g in enumerate(groups) for m, (n, starts, forward) in enumerate(suffixes.once_in_each(g, 9, True)) for i, (p, f) in enumerate(zip(starts, forward, strict=True))]
     key = lambda x: [(v is not None, v) for v in x]
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key) and want
+
+
+def test_inner_links_are_the_steps_of_the_walks_without_joining_the_match_table_again(spark, tmp_path):
+    """Blocks were made twice and their anchors, directions and nodes joined and put in order; those tables were broadcast."""
+    blocks = spark.createDataFrame([(0, 3, 5, 3), (1, 9, 10, 2)], "block long, s long, e long, n long")
+    rows = [(m, g, 100 * m if g < 2 else 5000 - 100 * m, 20, g < 2) for m in range(12) for g in range(3)]
+    mums = spark.createDataFrame(rows, "mum_id long, seq_idx int, start long, length long, strand boolean")
+    between = graph.inner_intervals(blocks, mums).selectExpr("*", "case when gap = 1 then null when seq_idx = 1 then '' else 'ac' end as seq")
+    nodes = graph.bubble_nodes(between.select("block", "gap", "seq_idx", "seq"))
+    want = {tuple(r) for r in graph.node_links(graph.block_walk(blocks, mums, nodes)).collect()}
+    got = graph.inner_links(between)
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert ("oblock0_m5", "-", "oblock0_m4", "-") in want and ("oblock0_m3", "+", "oblock0_m4", "+") in want and ("oblock1_g0_a0", "-", "oblock1_m9", "-") in want
+    assert "Window" not in catalogue.block_walk_links(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert same_as_sql(spark, "block_walk_links", tables(spark, tmp_path))
