@@ -5,7 +5,7 @@ import random
 import duckdb
 
 import __spark_entry__ as entry
-from anchorframe.functions import suffixes
+from anchorframe.functions import ordered, suffixes
 from anchorframe.operators import graph, matching
 from anchorframe.plans import adapters, catalogue
 
@@ -122,3 +122,13 @@ def test_inner_links_are_the_steps_of_the_walks_without_joining_the_match_table_
     assert ("oblock0_m5", "-", "oblock0_m4", "-") in want and ("oblock0_m3", "+", "oblock0_m4", "+") in want and ("oblock1_g0_a0", "-", "oblock1_m9", "-") in want
     assert "Window" not in catalogue.block_walk_links(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert same_as_sql(spark, "block_walk_links", tables(spark, tmp_path))
+
+
+def test_stretches_between_blocks_read_the_match_table_once(spark, tmp_path):
+    """One plan joined the match table sixteen times, and the driver broadcast the rows to which the next ones were put."""
+    d = tables(spark, tmp_path)
+    q = catalogue.interblock_walks(spark, d)._jdf.queryExecution()
+    assert "parquet" not in q.optimizedPlan().toString() and "BroadcastHashJoin" not in q.executedPlan().toString()
+    n = ordered.with_next(spark.range(1000), [], ["id"], ["id"], width=64)
+    assert n.where("next.id = id + 1").count() == 999 and "Broadcast" not in n._jdf.queryExecution().executedPlan().toString()
+    assert same_as_sql(spark, "interblock_walks", d) and same_as_sql(spark, "rearranged_blocks", d)
