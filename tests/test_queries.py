@@ -6,7 +6,7 @@ import duckdb
 
 import __spark_entry__ as entry
 from anchorframe.functions import ordered, suffixes
-from anchorframe.operators import graph, matching
+from anchorframe.operators import graph, matching, segment
 from anchorframe.plans import adapters, catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -132,3 +132,25 @@ def test_stretches_between_blocks_read_the_match_table_once(spark, tmp_path):
     n = ordered.with_next(spark.range(1000), [], ["id"], ["id"], width=64)
     assert n.where("next.id = id + 1").count() == 999 and "Broadcast" not in n._jdf.queryExecution().executedPlan().toString()
     assert same_as_sql(spark, "interblock_walks", d) and same_as_sql(spark, "rearranged_blocks", d)
+
+
+def test_contig_breaks_of_a_chain_are_found_without_broadcasting_the_chain(spark, tmp_path):
+    """Rows of the chain were joined to the match table twice and to their followers once more, and broadcast for it up to the session's limit."""
+    r = random.Random(4)
+    contigs = {g: [(k, 50 * k + 10 * g * (k > 0), 50 + 10 * g * (k == 0)) for k in range(8)] for g in range(3)}  # number, offset, length
+    starts = {(m, g): -1 if r.random() < 0.2 else r.randint(0, 420) for m in range(60) for g in range(3)}
+    rows = sorted(r.sample(range(60), 45))
+    inside = lambda g, x: next(((k, x - o) for k, o, n in contigs[g] if o <= x < o + n), None)
+    want = {}
+    for m, after in zip(rows, [*rows[1:], None], strict=True):
+        here = [(inside(g, starts[m, g] + 10), inside(g, starts[after, g]) if after is not None and starts[after, g] >= 0 else None) for g in range(3) if starts[m, g] >= 0]
+        want[m] = any(e is None or e[1] == 0 or (n is not None and e[0] != n[0]) for e, n in here)
+    chain = spark.createDataFrame([(m,) for m in rows], "mum_id long")
+    mums = spark.createDataFrame([(m, g, s, 10, True) for (m, g), s in starts.items()], "mum_id long, seq_idx int, start long, length long, strand boolean")
+    table = spark.createDataFrame([(g, k, f"c{k}", n, o) for g, x in contigs.items() for k, o, n in x], "seq_idx int, contig_idx int, contig string, length long, offset long")
+    got = segment.contig_breaks(chain, mums, table, 16)
+    assert {x.mum_id: x.brk for x in got.collect()} == want and len(set(want.values())) == 2
+    d = tables(spark, tmp_path)
+    for name in ("contig_breaks", "shred_cuts", "shred_intervals"):
+        assert same_as_sql(spark, name, d)
+    assert "BroadcastHashJoin [mum_id" not in got._jdf.queryExecution().executedPlan().toString()
