@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordered import WIDTH, fitting, shared, with_next
+from ..functions import runs
+from ..functions.ordered import WIDTH, shared, with_next
 from ..functions.suffixes import once_in_each_of
 
 
@@ -32,19 +34,79 @@ def unique_anchors(seqs: DataFrame, k: int, genomes: int) -> DataFrame:
     return x.join(once.select("kmer"), "kmer").select("kmer", "seq_id", "pos")
 
 
+def _maybe_in(right: DataFrame, k: int) -> np.ndarray:
+    """A filter of the k-mers of ``right``: each task puts its own into pages, which are joined bit by bit."""
+    bits = runs.bits_for(right.agg(F.sum(F.length("seq") - (k - 1))).first()[0] or 1)
+    size = (1 << bits) // 8
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, np.uint8)
+        for some in runs.joined((x,) for b in batches for x in b.column(0).to_pylist()):
+            runs.add(own, [x for (x,) in some], k)
+        used = np.flatnonzero(own.reshape(-1, runs.PAGE).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([own[runs.PAGE * i : runs.PAGE * (i + 1)].tobytes() for i in used], pa.binary())], names=["page", "bits"])
+
+    made = right.select("seq").mapInArrow(pages, "page int, bits binary").groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits"))
+    out = np.zeros(size, np.uint8)
+    for page, x in made.collect():
+        out[runs.PAGE * page : runs.PAGE * (page + 1)] = np.frombuffer(x, np.uint8)
+    return out
+
+
+def _stretches(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """seq_id, base, before, piece: of ``left`` the stretches whose k-mers may all occur on the right, in pieces as those of :func:`_pieces`."""
+    sent = left.sparkSession.sparkContext.broadcast(_maybe_in(right, k))
+    id_type = left.select("seq_id").schema["seq_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for some in runs.joined(zip(b.column(0), b.column(1).to_pylist(), strict=True)):
+                out = []
+                for i, start, end in runs.stretches(sent.value, [x for _, x in some], k):
+                    key, x = some[i]
+                    # letters beyond both ends of a stretch are left out: no match goes on there
+                    out += [(key.as_py(), at, x[at - 1] if at > start else "", x[at : min(at + PIECE + k, end)]) for at in range(start, end - k + 1, PIECE)]
+                cols = list(zip(*out, strict=True)) or [[]] * 4
+                types = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, types, strict=True)], names=["seq_id", "base", "before", "piece"])
+
+    found = shared(left.select("seq_id", "seq").mapInArrow(run, f"seq_id {id_type.simpleString()}, base bigint, before string, piece string"))
+    sent.destroy()
+    return found
+
+
+def _pieces(seqs: DataFrame, k: int) -> DataFrame:
+    """seq_id, base, before, piece: PIECE k-mers from ``base`` on, the letter before them and one more behind them ('' at an end)."""
+    s = seqs.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(PIECE))).alias("base"))
+    before = F.when(F.col("base") > 0, F.substring("seq", F.col("base"), F.lit(1))).otherwise("")
+    return s.select("seq_id", F.col("base").cast("bigint").alias("base"), before.alias("before"), F.substring("seq", F.col("base") + 1, F.lit(PIECE + k)).alias("piece"))
+
+
+def _sides(pieces: DataFrame, k: int) -> DataFrame:
+    """seq_id, pos, kmer, kind, side: of each k-mer the letter before (kind 0) and behind it (kind 1), '' at an end."""
+    s = pieces.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("piece") - (k - 1)))).alias("at"))
+    letter = lambda at: F.substring("piece", at, F.lit(1))
+    sides = F.array(F.when(F.col("at") > 1, letter(F.col("at") - 1)).otherwise(F.col("before")), letter(F.col("at") + k))
+    return s.select("seq_id", (F.col("base") + F.col("at") - 1).alias("pos"), F.substring("piece", F.col("at"), F.lit(k)).alias("kmer"), F.posexplode(sides).alias("kind", "side"))
+
+
 def pairwise_mems(left: DataFrame, right: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
     """a, b, a_pos, b_pos, length: maximal exact matches of at least ``k`` characters between the sequences of two tables.
 
-    Shared k-mers lie on diagonals; a match is a maximal run of consecutive ones. Few k-mers on the right are broadcast, so
-    that those of the left stay where they are.
+    Of the left, only stretches go on whose k-mers may occur on the right. A match begins where a shared k-mer has different
+    letters before it and ends where it has different ones behind, so k-mers meet those of the other side by that letter:
+    pairs within a match are not made, however often both sides repeat a k-mer.
     """
-    x = kmers(left, k).select(F.col("seq_id").alias("a"), F.col("pos").alias("a_pos"), "kmer")
-    y = kmers(right, k).select(F.col("seq_id").alias("b"), F.col("pos").alias("b_pos"), "kmer")
-    hits = shared(x.join(fitting(y), "kmer").select("a", "b", (F.col("a_pos") - F.col("b_pos")).alias("diag"), "a_pos"))
-    key = ["a", "b", "diag"]
-    before, after = hits.select(*key, (F.col("a_pos") + 1).alias("a_pos")), hits.select(*key, (F.col("a_pos") - 1).alias("a_pos"))
-    marks = hits.join(before, [*key, "a_pos"], "left_anti").withColumn("kind", F.lit(0)).unionByName(hits.join(after, [*key, "a_pos"], "left_anti").withColumn("kind", F.lit(1)))
-    n = with_next(marks, key, ["a_pos", "kind"], ["a_pos"], width=width).where("kind = 0")
+    long = F.length("seq") >= k
+    left, right = left.where(long), right.where(long)
+    x = _sides(_stretches(left, right, k), k).withColumnsRenamed({"seq_id": "a", "pos": "a_pos"})
+    y = _sides(_pieces(right, k), k).withColumnsRenamed({"seq_id": "b", "pos": "b_pos"})
+    known = y.groupBy("kmer", "kind").agg(F.collect_set("side").alias("known"))
+    # merges: the planner takes what is made of a small file for as small as the file and would broadcast it
+    others = F.filter("known", lambda s: (s != F.col("own")) | (s == ""))
+    x = x.withColumnRenamed("side", "own").join(known.hint("merge"), ["kmer", "kind"]).withColumn("side", F.explode(others))
+    marks = x.join(y.hint("merge"), ["kmer", "kind", "side"]).select("a", "b", (F.col("a_pos") - F.col("b_pos")).alias("diag"), "a_pos", "kind")
+    n = with_next(shared(marks), ["a", "b", "diag"], ["a_pos", "kind"], ["a_pos"], width=width).where("kind = 0")
     return n.select("a", "b", "a_pos", (F.col("a_pos") - F.col("diag")).alias("b_pos"), (F.col("next.a_pos") - F.col("a_pos") + k).alias("length"))
 
 

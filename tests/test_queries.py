@@ -5,7 +5,7 @@ import random
 import duckdb
 
 import __spark_entry__ as entry
-from anchorframe.functions import ordered, suffixes
+from anchorframe.functions import ordered, runs, suffixes
 from anchorframe.operators import graph, matching, segment
 from anchorframe.plans import adapters, catalogue
 
@@ -154,3 +154,74 @@ def test_contig_breaks_of_a_chain_are_found_without_broadcasting_the_chain(spark
     for name in ("contig_breaks", "shred_cuts", "shred_intervals"):
         assert same_as_sql(spark, name, d)
     assert "BroadcastHashJoin [mum_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def _shuffled_rows(spark):
+    none = getattr(spark._jvm.java.util, "ArrayList")()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_kmers_that_the_right_side_lacks_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Beyond what is broadcast, every k-mer of the documents went through an exchange."""
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 1000)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    d = tables(spark, tmp_path)
+    b, t = (spark.read.parquet(f"{d}/{x}.parquet").where("length(text) >= 24") for x in ("benchmark", "documents"))
+    right, left = (x.selectExpr("sum(length(text) - 23)").first()[0] for x in (b, t))
+    before = _shuffled_rows(spark)
+    try:
+        got = catalogue.pairwise_mems(spark, d).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    shuffled = _shuffled_rows(spark) - before
+    hits = sum(r.length - 23 for r in got)
+    assert right > 1000 and hits and left > 40 * hits
+    assert shuffled < 5 * right + 20 * hits + 1000 < left
+    assert same_as_sql(spark, "pairwise_mems", d)
+
+
+def test_kmer_that_both_sides_repeat(spark):
+    """Every pair of occurrences was made, 10,000,000,000 of them here, though a diagonal has one match."""
+    n, k = 100_000, 24
+    one = lambda i, x: spark.createDataFrame([(i, x)], "seq_id long, seq string")
+    got = matching.pairwise_mems(one(1, "b" + "a" * n), one(2, "a" * n), k).collect()
+    assert len(got) == len({(r.a_pos, r.b_pos) for r in got}) == 2 * (n - k) + 1
+    assert all(min(r.a_pos - 1, r.b_pos) == 0 and r.length == n - max(r.a_pos - 1, r.b_pos) and (r.a, r.b) == (1, 2) for r in got)
+
+
+def test_matches_of_odd_texts_are_those_of_sql(spark, tmp_path, monkeypatch):
+    """Lengths around k, letters of one to four bytes, runs, repeats, equal texts, matches over the bounds of pieces."""
+    r = random.Random(5)
+    for case, (piece, letters) in enumerate(((3, "ab"), (64, "aÄж\U0001f600"), (512, "AbcdÉß \n"))):
+        monkeypatch.setattr(matching, "PIECE", piece)
+        base = ["".join(r.choice(letters) for _ in range(n)) for n in (0, 23, 24, 25, 60, 400)] + [letters[0] * 90, letters[0] * 40 + letters[1], None]
+        docs = [*base, *("".join(r.choice(letters) for _ in range(r.randint(0, 30))) + r.choice([x for x in base if x]).upper()[r.randint(0, 20) :] * r.randint(1, 2) for _ in range(20))]
+        documents = spark.createDataFrame([(i, x) for i, x in enumerate(docs)], "doc_id long, text string")
+        benchmark = spark.createDataFrame([(100 + i, x) for i, x in enumerate(base)], "item_id long, text string")
+        assert len(same_as_sql(spark, "pairwise_mems", tables(spark, tmp_path / str(case), documents=documents, benchmark=benchmark))) > 20
+    none = tables(spark, tmp_path / "none", benchmark=benchmark.where("item_id < 0"))
+    assert same_as_sql(spark, "pairwise_mems", none) == []
+
+
+def test_stretches_that_may_match_are_found_over_block_bounds(monkeypatch):
+    monkeypatch.setattr(runs, "BLOCK", 7)
+    r = random.Random(6)
+    for k in (1, 2, 5, 24, 37):
+        known, texts = (["".join(r.choice("abcdÄ") for _ in range(r.choice((0, 3, 50, 90)))) for _ in range(30)] for _ in range(2))
+        texts[3:6] = [known[0] + known[1], "x" * 40 + "".join(known) + "x" * 40, ""]
+        filter_ = runs.np.zeros(1 << 16, runs.np.uint8)
+        runs.add(filter_, known, k)
+        whole = "".join(known)  # runs over the ends of texts are let through as well
+        want, there = [], {whole[i : i + k] for i in range(len(whole) - k + 1)}
+        for i, x in enumerate(texts):
+            hits = [p for p in range(len(x) - k + 1) if x[p : p + k] in there]
+            for p in hits:
+                if want and want[-1][0] == i and want[-1][2] - k + 1 == p:
+                    want[-1][2] += 1
+                else:
+                    want.append([i, p, p + k])
+        got = runs.stretches(filter_, texts, k)
+        assert got == [tuple(x) for x in want] and want
+    assert [runs.bits_for(n) for n in (0, 1 << 17, 1 << 18, 1 << 30)] == [22, 22, 23, 27]
